@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .runtime import shuffle_partitions
 
 NO_ID = (1 << 63) - 1
-PART_BYTES = 8 << 20
+PART_BYTES = 4 << 20
 
 
 def dealt(docs: DataFrame, part_bytes: int = PART_BYTES) -> tuple[DataFrame, int]:

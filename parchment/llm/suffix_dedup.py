@@ -35,6 +35,7 @@ ANCHOR = 20
 SEPARATOR = 0xFF  # in no UTF-8 text
 #: Common prefixes below this are read from packed 8-byte keys; wider ones come from interval expansion.
 PACKED = 8
+CHUNK_BYTES = 1 << 19
 
 
 def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -136,7 +137,7 @@ class _Bytes:
 
     def __init__(self, group, length: int):
         self.length = length
-        self.slices = [s for b in group.combine_chunks().to_batches() for s in textnum.slices(b, "text", 1 << 20)]
+        self.slices = [s for b in group.combine_chunks().to_batches() for s in textnum.slices(b, "text")]
 
     def anchors(self):
         """Of each slice: rows, data, offsets, mask of whole strings by start, and the anchor hash of each start."""
@@ -219,18 +220,37 @@ def _collected(held: dict[bytes, int], lows: list[int], raw: bytes, first, last,
     return out
 
 
-def _owner_runs(contents: list[bytes], lows: list[int], length: int):
-    """Runs of consecutive strings of a content with one owner: content, start, number of strings, owner."""
-    number, fragment, offset = classes(contents, length)
-    whole = number >= 0
-    fragment, offset, number = fragment[whole], offset[whole], number[whole]
-    owner = np.full(number.max() + 1, exchange.NO_ID, np.int64)
-    np.minimum.at(owner, number, np.array(lows, np.int64)[fragment])
-    owned = owner[number]
-    edge = np.ones(len(owned), bool)
-    edge[1:] = (fragment[1:] != fragment[:-1]) | (owned[1:] != owned[:-1])
-    first = np.flatnonzero(edge)
-    return fragment[first], offset[first], np.diff(np.append(first, len(owned))), owned[first]
+def _owner_runs(contents: list[bytes], lows: list[int], anchors: np.ndarray, length: int):
+    """Runs of consecutive strings of a content with one owner: content, start, number of strings, owner.
+
+    Equal strings are in contents of equal anchors, so contents go by anchor in
+    chunks of about ``CHUNK_BYTES``, each with a transform of its own.
+    """
+    order = np.argsort(anchors, kind="stable")
+    sizes = np.cumsum([len(contents[k]) for k in order.tolist()])
+    edges, begun = [0], 0
+    for k in (np.flatnonzero(anchors[order][1:] != anchors[order][:-1]) + 1).tolist():
+        if sizes[k - 1] - begun >= CHUNK_BYTES:
+            edges.append(k)
+            begun = sizes[k - 1]
+    edges.append(len(order))
+    low = np.array(lows, np.int64)
+    out = []
+    for a, b in zip(edges, edges[1:], strict=False):
+        chunk = order[a:b]
+        number, fragment, offset = classes([contents[k] for k in chunk.tolist()], length)
+        whole = number >= 0
+        fragment, offset, number = chunk[fragment[whole]], offset[whole], number[whole]
+        owner = np.full(number.max() + 1, exchange.NO_ID, np.int64)
+        np.minimum.at(owner, number, low[fragment])
+        owned = owner[number]
+        edge = np.ones(len(owned), bool)
+        edge[1:] = (fragment[1:] != fragment[:-1]) | (owned[1:] != owned[:-1])
+        first = np.flatnonzero(edge)
+        out.append((fragment[first], offset[first], np.diff(np.append(first, len(owned))), owned[first]))
+    columns = [np.concatenate(x) for x in zip(*out, strict=True)]
+    by = np.argsort(columns[0], kind="stable")
+    return [x[by] for x in columns]
 
 
 _SENT = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("anchors", pa.binary()), ("ids", pa.binary()), ("sizes", pa.binary()), ("bytes", pa.binary())])
@@ -272,12 +292,14 @@ def _own(length: int):
     def run(group):
         held: dict[bytes, int] = {}
         lows: list[int] = []
-        received = []
+        received, anchor_of = [], [np.zeros(0, np.uint64)]
         for part, anchors, ids, sizes, blob in zip(group.column("part").to_pylist(), *(exchange.arrays(group.column(c), k) for c, k in (("anchors", np.uint64), ("ids", np.int64), ("sizes", np.int32))), group.column("bytes").to_pylist(), strict=True):
             last = np.cumsum(sizes, dtype=np.int64)
             received.append((part, anchors, ids, _collected(held, lows, blob, last - sizes, last, ids)))
-        contents = list(held)
-        fragment, start, count, owner = _owner_runs(contents, lows, length)
+            anchor_of.append(anchors)
+        contents, own_anchors = list(held), np.zeros(len(lows), np.uint64)
+        own_anchors[np.concatenate([x[3] for x in received])] = np.concatenate(anchor_of)
+        fragment, start, count, owner = _owner_runs(contents, lows, own_anchors, length)
         begin = np.searchsorted(fragment, np.arange(len(contents) + 1))
         rows = []
         for part, anchors, ids, place in received:
@@ -318,7 +340,10 @@ def _remove(length: int, texts: bool):
             place.append(mine)
         runs: list[list[tuple[int, int, int]]] = [[] for _ in lows]
         if lows:
-            for f, *x in zip(*(x.tolist() for x in _owner_runs(list(held), lows, length)), strict=True):
+            own_anchors = np.zeros(len(lows), np.uint64)
+            for (_, _, _, _, anchors, _), mine in zip(slices, place, strict=True):
+                own_anchors[mine[mine >= 0]] = anchors[mine >= 0]
+            for f, *x in zip(*(x.tolist() for x in _owner_runs(list(held), lows, own_anchors, length)), strict=True):
                 runs[f].append(x)
         rows = []
         for (s, raw, first, last, anchors, ids), mine in zip(slices, place, strict=True):
@@ -360,7 +385,7 @@ def _repeated_here(slices) -> np.ndarray:
 def dedup(docs: DataFrame, length: int = LENGTH, texts: bool = True) -> DataFrame:
     """Per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, byte spans removed, and the kept bytes (or their SHA-256)."""
     parted, parts = exchange.dealt(docs)
-    buckets = exchange.n_buckets(docs, parts)
+    buckets = 2 * exchange.n_buckets(docs, parts)
     anchors = parted.groupBy("part").applyInArrow(_send_anchors(length, buckets), exchange.KEYS_DDL)
     repeated = exchange.repeated(anchors)
     sent = parted.groupBy("part").cogroup(repeated.groupBy("part")).applyInArrow(_send_fragments(length, buckets), _SENT_DDL)
