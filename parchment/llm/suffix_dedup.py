@@ -48,24 +48,23 @@ def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     for j in range(PACKED):
         key <<= np.uint64(8)
         key[: n - j] |= data[j:].astype(np.uint64)
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     packed = key[order]
-    rank = np.empty(n, np.int64)
     fresh = exchange.first_of(packed)
-    rank[order] = np.cumsum(fresh) - 1
+    # a suffix's rank is the first row of its group, so a split changes the ranks of the split group only
+    rank = np.empty(n, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
+    tied = np.flatnonzero(~fresh | ~np.append(fresh[1:], True))
     have = PACKED
-    while have < depth and not fresh.all():
-        # only groups that are still tied are ordered again
-        tied = np.flatnonzero(~fresh | ~np.append(fresh[1:], True))
+    while have < depth and len(tied):
         at = order[tied]
-        follow = rank[np.minimum(at + have, n - 1)]
-        again = np.lexsort((follow, rank[at]))
-        order[tied] = at[again]
-        follow, group = follow[again], rank[order[tied]]
-        new = np.ones(len(tied), bool)
-        new[1:] = (follow[1:] != follow[:-1]) | (group[1:] != group[:-1])
-        fresh[tied] = new
-        rank[order] = np.cumsum(fresh) - 1
+        both = (rank[at] << 32) | rank[np.minimum(at + have, n - 1)]
+        again = np.argsort(both)
+        both, at = both[again], at[again]
+        order[tied] = at
+        new = exchange.first_of(both)
+        rank[at] = np.maximum.accumulate(np.where(new, tied, 0))
+        tied = tied[~new | ~np.append(new[1:], True)]
         have *= 2
     return order, packed
 
@@ -101,7 +100,7 @@ def interval_starts(data: np.ndarray, order: np.ndarray, packed: np.ndarray, len
         rows = rows[solid]
         # rows of an interval with the same byte are consecutive after the mapping
         key = (interval << 8) | c[solid]
-        by = np.argsort(key, kind="stable")
+        by = np.argsort(key)
         key, to = key[by], longer[rows[by]].astype(np.int64)
         first = np.flatnonzero(exchange.first_of(key)) if len(key) else np.zeros(0, np.int64)
         # suffixes that tie to the sorted depth stand in any order, so the interval begins at the least row
