@@ -42,16 +42,35 @@ def dealt(docs: DataFrame, part_bytes: int = PART_BYTES) -> tuple[DataFrame, int
     return slim, parts
 
 
+#: Anchors are compared by their upper 48 bits, which is what is sent of them.  A chance match only makes more windows candidates.
+ANCHOR_MASK = np.uint64(0xFFFFFFFFFFFF0000)
+
+
+def pack(anchors: np.ndarray) -> bytes:
+    return np.ascontiguousarray(anchors).view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+
+
+def unpack(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, 2:] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view(np.uint64).reshape(-1)
+
+
+def anchors_of(column: pa.ChunkedArray) -> list[np.ndarray]:
+    return [unpack(x) for x in column.to_pylist()]
+
+
 def n_buckets(docs: DataFrame, parts: int) -> int:
     return max(shuffle_partitions(docs.sparkSession), parts // 2, 1)
 
 
-def split(keys: np.ndarray, buckets: int, *more: np.ndarray):
-    """Rows (bucket, keys, more...) as bytes of sorted ``keys`` (unsigned) dealt by their high bits."""
+def split(keys: np.ndarray, buckets: int, *more: np.ndarray, anchors: bool = False):
+    """Rows (bucket, keys, more...) as bytes of sorted ``keys`` (unsigned) dealt by their high bits; ``anchors`` are packed."""
     at = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
     edges = np.searchsorted(at, np.arange(buckets + 1, dtype=np.uint64))
     for b in np.flatnonzero(np.diff(edges)).tolist():
-        yield (b, *(x[edges[b] : edges[b + 1]].tobytes() for x in (keys, *more)))
+        own = keys[edges[b] : edges[b + 1]]
+        yield (b, pack(own) if anchors else own.tobytes(), *(x[edges[b] : edges[b + 1]].tobytes() for x in more))
 
 
 def table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
@@ -77,7 +96,7 @@ BACK_DDL = "part int, keys binary"
 
 
 def _repeated(group: pa.Table) -> pa.Table:
-    held = arrays(group.column("keys"), np.uint64)
+    held = anchors_of(group.column("keys"))
     sizes = [len(x) for x in held]
     keys = np.concatenate(held)
     order = np.argsort(keys, kind="stable")
@@ -90,7 +109,7 @@ def _repeated(group: pa.Table) -> pa.Table:
     rows = []
     for i, part in enumerate(group.column("part").to_pylist()):
         if len(x := held[i][again[edges[i] : edges[i + 1]]]):
-            rows.append((part, x.tobytes()))
+            rows.append((part, pack(x)))
     return table(rows, BACK)
 
 

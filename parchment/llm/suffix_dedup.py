@@ -144,7 +144,7 @@ class _Bytes:
             data, offsets = textnum.buffer_of(s.column("text"))
             n = max(0, len(data) - self.length + 1)
             grams = _grams(data)
-            low = _sliding_min(grams, self.length - ANCHOR + 1) if n else np.zeros(0, np.uint64)
+            low = textnum.sliding_min(grams & exchange.ANCHOR_MASK, self.length - ANCHOR + 1)
             doc = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))
             whole = doc[:n] == doc[self.length - 1 : self.length - 1 + n]
             yield s, data, offsets, doc, whole, low
@@ -160,16 +160,6 @@ def _grams(data: np.ndarray) -> np.ndarray:
     return textnum.mix((total[ANCHOR:] - total[:n]) * down[:n])
 
 
-def _sliding_min(values: np.ndarray, window: int) -> np.ndarray:
-    """Minima of all windows, by doubling."""
-    out, have = values, 1
-    while have < window:
-        step = min(have, window - have)
-        out = np.minimum(out[: len(out) - step], out[step:])
-        have += step
-    return out
-
-
 def _send_anchors(length: int, buckets: int):
     def run(key, group):
         found = [np.zeros(0, np.uint64)]
@@ -177,7 +167,7 @@ def _send_anchors(length: int, buckets: int):
             x = low[whole]
             found.append(np.unique(x[exchange.first_of(x)]))
         keys = np.unique(np.concatenate(found))
-        return exchange.table([(b, key[0].as_py(), x) for b, x in exchange.split(keys, buckets)], exchange.KEYS)
+        return exchange.table([(b, key[0].as_py(), x) for b, x in exchange.split(keys, buckets, anchors=True)], exchange.KEYS)
 
     return run
 
@@ -264,7 +254,7 @@ def _digest(content: bytes) -> bytes:
 
 def _send_fragments(length: int, buckets: int):
     def run(key, group, back):
-        wanted = np.sort(np.concatenate([np.zeros(0, np.uint64), *exchange.arrays(back.column("keys"), np.uint64)]))
+        wanted = np.sort(np.concatenate([np.zeros(0, np.uint64), *exchange.anchors_of(back.column("keys"))]))
         held: dict[bytes, int] = {}
         lows: list[int] = []
         anchor_of = [np.zeros(0, np.uint64)]
@@ -278,10 +268,10 @@ def _send_fragments(length: int, buckets: int):
         contents, ids = list(held), np.array(lows, np.int64)
         order = np.argsort(anchors, kind="stable")
         rows = []
-        for b, keys, place in exchange.split(anchors[order], buckets, order):
+        for b, keys, place in exchange.split(anchors[order], buckets, order, anchors=True):
             place = np.frombuffer(place, np.int64)
             own = [contents[k] for k in place.tolist()]
-            rows.append((b, part, keys, ids[place].tobytes(), np.array([len(x) for x in own], np.int32).tobytes(), b"".join(own)))
+            rows.append((b, part, keys, ids[place].tobytes(), np.array([len(x) for x in own], np.int32).tobytes(), pa.compress(b"".join(own), "zstd", asbytes=True)))
         return exchange.table(rows, _SENT)
 
     return run
@@ -292,7 +282,8 @@ def _own(length: int):
         held: dict[bytes, int] = {}
         lows: list[int] = []
         received, anchor_of = [], [np.zeros(0, np.uint64)]
-        for part, anchors, ids, sizes, blob in zip(group.column("part").to_pylist(), *(exchange.arrays(group.column(c), k) for c, k in (("anchors", np.uint64), ("ids", np.int64), ("sizes", np.int32))), group.column("bytes").to_pylist(), strict=True):
+        for part, anchors, ids, sizes, blob in zip(group.column("part").to_pylist(), exchange.anchors_of(group.column("anchors")), *(exchange.arrays(group.column(c), k) for c, k in (("ids", np.int64), ("sizes", np.int32))), group.column("bytes").to_pylist(), strict=True):
+            blob = pa.decompress(blob, int(sizes.sum()), "zstd", asbytes=True)
             last = np.cumsum(sizes, dtype=np.int64)
             received.append((part, anchors, ids, _collected(held, lows, blob, last - sizes, last, ids)))
             anchor_of.append(anchors)
@@ -308,7 +299,7 @@ def _own(length: int):
             runs, of = runs[tell], np.repeat(np.arange(len(place)), n)[tell]
             if len(runs):
                 keys = b"".join(_digest(contents[k]) for k in place[of].tolist())
-                rows.append((part, anchors[of].tobytes(), keys, *(x[runs].astype(t).tobytes() for x, t in ((start, np.int32), (count, np.int32), (owner, np.int64)))))
+                rows.append((part, exchange.pack(anchors[of]), keys, *(x[runs].astype(t).tobytes() for x, t in ((start, np.int32), (count, np.int32), (owner, np.int64)))))
         return exchange.table(rows, _BACK)
 
     return run
@@ -325,7 +316,7 @@ def _remove(length: int, texts: bool):
             xs = zip(*(np.frombuffer(x, t).tolist() for x, t in zip(columns, (np.int32, np.int32, np.int64), strict=True)), strict=True)
             for k, x in enumerate(xs):
                 told.setdefault(keys[16 * k : 16 * k + 16], []).append(x)
-        far = np.unique(np.concatenate([np.zeros(0, np.uint64), *exchange.arrays(back.column("anchors"), np.uint64)]))
+        far = np.unique(np.concatenate([np.zeros(0, np.uint64), *exchange.anchors_of(back.column("anchors"))]))
         # strings within the part: the same classes over the part's own distinct fragments
         slices = list(_fragments(group, length, None))
         near = _repeated_here(slices)

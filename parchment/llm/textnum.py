@@ -151,18 +151,16 @@ def rolling(h: np.ndarray, width: int, lane: int = 0) -> np.ndarray:
     return mix(out)
 
 
-def minimizers(grams: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sliding minima of ``window`` consecutive gram hashes, and which grams are such a minimum."""
-    n = len(grams) - window + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(len(grams), bool)
-    low = grams[:n].copy()
-    for j in range(1, window):
-        np.minimum(low, grams[j : j + n], out=low)
-    chosen = np.zeros(len(grams), dtype=bool)
-    for j in range(window):
-        chosen[j : j + n] |= grams[j : j + n] == low
-    return low, chosen
+def sliding_min(values: np.ndarray, window: int) -> np.ndarray:
+    """Minima of all windows of ``window`` consecutive values, by doubling."""
+    if len(values) < window:
+        return values[:0]
+    out, have = values, 1
+    while have < window:
+        step = min(have, window - have)
+        out = np.minimum(out[: len(out) - step], out[step:])
+        have += step
+    return out
 
 
 def covered(marks: np.ndarray, width: int, size: int) -> np.ndarray:

@@ -49,7 +49,7 @@ class _Part:
         n = max(0, len(h) - self.width + 1)
         whole = words.doc[:n] == words.doc[self.width - 1 : self.width - 1 + n]
         grams = textnum.rolling(h, ANCHOR)
-        low, _ = textnum.minimizers(grams, self.width - ANCHOR + 1)
+        low = textnum.sliding_min(grams & exchange.ANCHOR_MASK, self.width - ANCHOR + 1)
         return h, whole, low
 
     def windows(self):
@@ -68,7 +68,7 @@ def _send_anchors(width: int, buckets: int):
             _, whole, low = part.anchors(words)
             found.append(np.unique(low[whole]))
         keys = np.unique(np.concatenate(found))
-        return exchange.table([(b, key[0].as_py(), x) for b, x in exchange.split(keys, buckets)], exchange.KEYS)
+        return exchange.table([(b, key[0].as_py(), x) for b, x in exchange.split(keys, buckets, anchors=True)], exchange.KEYS)
 
     return run
 
@@ -99,7 +99,7 @@ def _all_back(back: pa.Table):
 
 def _send_windows(width: int, buckets: int):
     def run(key, group, back):
-        wanted = np.sort(_all_back(back)["keys"])
+        wanted = np.sort(_joined(exchange.anchors_of(back.column("keys")), np.uint64))
         held: list[list[np.ndarray]] = [[], [], []]
         for ids, _, words, whole, low, first, second in _Part(group, width).windows():
             at = np.flatnonzero(whole)
