@@ -1,0 +1,244 @@
+"""Each operator against a brute-force restatement, on rows with nulls, empties, ties, copies and clashing columns."""
+
+import brute
+import numpy as np
+import pytest
+from conftest import lines
+from pyspark.sql import functions as F
+
+from parchment.llm import decontam, exchange, html, merkle, mixing, pii, quality, secrets, simhash, suffix_dedup, textnum, window_dedup
+
+
+@pytest.fixture
+def small_parts(monkeypatch):
+    """Many parts, so that copies are spread over them."""
+    monkeypatch.setattr(exchange.dealt, "__defaults__", (20_000,))
+
+
+def expected(rows, f):
+    return sorted(((d, *f(t)) for d, t, _ in rows), key=repr)
+
+
+def test_token_windows(docs, rows, nothing, small_parts):
+    want = sorted(((d, n, r, h) for d, n, r, _, h in brute.tokens([(d, t) for d, t, _ in rows])), key=repr)
+    assert lines(window_dedup.dedup(docs, texts=False), "doc_id", "n_words", "n_removed", "kept") == want
+    kept = window_dedup.dedup(docs).select("kept").collect()
+    assert {brute.sha(r["kept"]) for r in kept} == {w[3] for w in want}
+    assert window_dedup.dedup(nothing).count() == 0
+
+
+def test_suffix_array(docs, rows, nothing, small_parts):
+    want = sorted(brute.substrings([(d, t) for d, t, _ in rows]), key=repr)
+    found = suffix_dedup.dedup(docs, texts=False).withColumn("kept", F.lower(F.hex("kept")))
+    assert lines(found, "doc_id", "n_bytes", "n_removed", "n_spans", "kept") == want
+    assert suffix_dedup.dedup(nothing).count() == 0
+
+
+def test_interval_classes_equal_substring_equality():
+    rng = np.random.default_rng(1)
+    fragments = ["".join(rng.choice(list("ab"), 80)).encode() for _ in range(20)]
+    fragments += [fragments[0], fragments[1][:60], b"a" * 70, b"ab" * 40]
+    number, fragment, offset = suffix_dedup.classes(fragments, 50)
+    strings = {}
+    for n, f, o in zip(number, fragment, offset, strict=True):
+        if n >= 0:
+            strings.setdefault(int(n), set()).add(fragments[f][o : o + 50])
+    assert all(len(x) == 1 for x in strings.values())
+    assert len(set().union(*strings.values())) == len(strings)
+    assert sum(len(x) - 49 for x in fragments) == int((number >= 0).sum())
+
+
+def test_simhash(docs, rows, nothing):
+    want = sorted(brute.components([(d, t) for d, t, _ in rows]), key=repr)
+    found = simhash.clusters(simhash.fingerprints(docs)).withColumn("fingerprint", F.lower(F.lpad(F.hex("fp"), 16, "0")))
+    assert lines(found, "doc_id", "fingerprint", "component_id") == want
+    assert simhash.clusters(simhash.fingerprints(nothing)).count() == 0
+
+
+def test_links_split_groups(spark, monkeypatch):
+    """Groups above the tile size are split; all links still connect what they must."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, 4, dtype=np.uint64)
+    values = np.unique(np.concatenate([b ^ (np.uint64(1) << rng.integers(0, 64, 200, dtype=np.uint64)) for b in base]))
+    monkeypatch.setattr(simhash, "TILE_ROWS", 16)
+    df = spark.createDataFrame([(int(v),) for v in values.view(np.int64)], "fp long")
+    found = {r["node"]: r["root"] for r in simhash.components(simhash.links(df, len(values))).collect()}
+    root = {int(v): int(v) for v in values.view(np.int64)} | found
+    group = [root[int(v)] for v in values.view(np.int64)]
+    for i in range(len(values)):
+        near = np.bitwise_count(values ^ values[i]) <= 3
+        assert len({group[j] for j in np.flatnonzero(near)}) == 1
+    assert len(set(group)) == len(base)
+
+
+def test_quality(docs, rows, nothing):
+    found = quality.judged(docs.drop("host"))
+    want = expected(rows, brute.statistics)
+    assert lines(found, "doc_id", *quality.STATS, "base_failed") == want
+    assert all(not r["kept"] for r in found.where("base_failed").collect())
+    assert found.where("NOT base_failed AND NOT kept").count() == 0  # no host of these is nearly all junk
+    assert quality.judged(nothing).count() == 0
+
+
+def test_quality_rejects_hosts(spark):
+    junk = [(i, "too short", "junk") for i in range(400)] + [(999, " ".join(f"w{i}" for i in range(50)), "junk")]
+    fine = [(1000 + i, " ".join(f"v{i}x{k}" for k in range(50)), f"h{i % 3}") for i in range(60)]
+    df = spark.createDataFrame(junk + fine, "doc_id long, text string, source string")
+    found = {r["doc_id"]: r["kept"] for r in quality.judged(df).collect()}
+    assert not found[999] and all(found[1000 + i] for i in range(60))
+    assert {r["doc_id"] for r in quality.keep_good(df).collect()} == {1000 + i for i in range(60)}
+
+
+def test_mixing(docs, rows, nothing):
+    found = mixing.mix(mixing.sized(docs), block_tokens=64).collect()
+    size = {}
+    for _, t, s in rows:
+        size[s] = size.get(s, 0) + len(brute.WORD.findall(t or ""))
+    order = sorted(size, key=lambda s: (s is None, s or ""))
+    goal = brute.targets([(s, size[s]) for s in order])
+    assert len(found) == len(rows)
+    taken = dict.fromkeys(order, 0)
+    for r in found:
+        assert r["source_size"] == size[r["source"]] and abs(r["target"] - goal[r["source"]]) < 1e-6 * max(1, goal[r["source"]])
+        assert 0 <= r["taken"] <= 3 * r["size"]
+        taken[r["source"]] += r["taken"]
+    assert all(abs(taken[s] - goal[s]) <= 1 for s in order)
+    again = mixing.mix(mixing.sized(docs.repartition(5)), block_tokens=64)
+    assert sorted(map(repr, again.collect())) == sorted(map(repr, found))
+    assert mixing.mix(mixing.sized(nothing)).count() == 0
+
+
+def test_pii(docs, rows, nothing):
+    found = pii.report(docs)
+    want = expected(rows, lambda t: (*brute.pii(t)[0], brute.pii(t)[1]))
+    assert lines(found, "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256") == want
+    whole = {(r["doc_id"], r["base_sha256"]): r["spans"] for r in found.collect()}
+    for d, t, _ in rows:
+        _, digest, base = brute.pii(t)
+        assert set(filter(None, base.split(","))) <= set(whole[d, digest].split(","))
+        assert base or not whole[d, digest]
+    assert pii.report(nothing).count() == 0
+
+
+def test_pii_terms(spark):
+    """A word that goes with one address wherever it occurs is a span; common words are not."""
+    names = ["alpha", "bravo", "charlie", "delta", "echo", "foxtrot"]
+    rows = [(i, f"filler number words {x} the director Zebulon wrote from z@corp.example.com about plan {i}") for i, x in enumerate(names)]
+    rows += [(100 + i, f"the director and other words about plan number {i} wrote filler from") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r for r in pii.report(df).collect()}
+    text = dict(rows)
+    terms = {text[0][int(a) : int(b)] for k, a, b in (x.split(":") for x in found[0]["spans"].split(",")) if k == "term"}
+    assert terms == {"Zebulon"}
+    assert all(not found[100 + i]["spans"] for i in range(200))
+    masked = {r["doc_id"]: r["text"] for r in pii.sanitise(df).collect()}
+    assert "Zebulon" not in masked[0] and "[EMAIL]" in masked[0] and masked[100] == text[100] and len(masked) == len(rows)
+
+
+@pytest.mark.parametrize("t", ["a@b.com_x@y.com", "a@b@c.de", "x" * 5000 + "@y", "1" * 6000, "1.2.3.4.5.6.7.8", "0001.2.3.4", "+1" + "(" * 3000, "4 5 3 9-1488 0343 6467", "@", "a@b.c.", "é@x.com"])
+def test_pii_edges(t):
+    assert pii.joined(pii.base_spans(t)) == brute.pii(t)[2]
+
+
+def test_secrets(docs, rows, nothing):
+    found = secrets.report(docs)
+    want = expected(rows, lambda t: (*brute.secrets(t)[0], brute.secrets(t)[1]))
+    assert lines(found, "doc_id", "n_assign", "n_access", "n_hex", "base_sha256") == want
+    assert secrets.report(nothing).count() == 0
+
+
+def test_secret_ownership(spark):
+    key = "ghp_" + "aB3dE5gH7jK9mN1pQ3sT5vW7yZ9bC1dE3fG5"
+    own = "ghp_" + "Zz9Yy8Xx7Ww6Vv5Uu4Tt3Ss2Rr1Qq0Pp9Oo8"
+    rows = [(i, f"copied {key} here", f"owner{i}") for i in range(4)] + [(9, f"mine {own} here", "owner9")]
+    df = spark.createDataFrame([(d, t, s, "en") for d, t, s in rows], "doc_id long, text string, source string, lang string")
+    found = {r["doc_id"]: r for r in secrets.report(df).collect()}
+    assert found[9]["spans"].startswith("key:") and found[9]["n_live"] == 1
+    assert found[0]["spans"] == "" and found[0]["n_example"] == 1 and found[0]["max_owners"] == 4
+
+
+@pytest.mark.parametrize("shard_bytes", [1 << 24, 300])
+def test_decontamination(docs, rows, items, nothing, shard_bytes):
+    held, table = items
+    found = decontam.scan(docs.select("doc_id", "text"), table, shard_bytes=shard_bytes)
+    found = found.select("doc_id", "n_words", "n_hit", F.size("item_ids").alias("n"), F.sha2(F.array_join("item_ids", ","), 256).alias("s"), (F.col("n_hit") > 0).alias("c"))
+    assert lines(found, *found.columns) == expected(rows, lambda t: brute.contamination(t, held))
+    assert decontam.scan(nothing.select("doc_id", "text"), table).count() == 0
+    assert decontam.scan(docs.select("doc_id", "text"), table.limit(0)).where("n_hit > 0").count() == 0
+
+
+def test_decontamination_offsets(spark):
+    t = "Ünü, one-two THREE\tfour; end"
+    df = spark.createDataFrame([(1, t)], "doc_id long, text string")
+    item = spark.createDataFrame([(1, "Two three, FOUR")], "item_id long, text string")
+    span = decontam.scan(df, item).first()["hit_spans"]
+    a, b = map(int, span.split(":"))
+    assert t[a:b] == "two THREE\tfour"
+
+
+PAGE = """<html><head><title>T</title><style>p{{}}</style></head><body><nav><a>Menu</a></nav><header>Top</header><div class="ad">Buy</div>
+<article><header><h1>Head &amp; line</h1></header><p><b>First{0}<br>para</p><p>Second &lt;b&gt; {0}<form><input>Sign up</form><div class="comments"><p>Nice!</p></div></article>
+<aside>Side</aside><div id="cookie-notice">We use cookies</div><footer>&copy; x</footer></body></html>"""
+
+
+def test_main_text(spark):
+    pages = [(1, "https://h.example/en/10", PAGE.format("A")), (2, "https://h.example/en/11.html?x=1", PAGE.format("B")), (3, None, None), (4, "u", ""), (5, "https://k.example/1", "<div>Only <script>var a='</p>'</script>text</div><p>cut <a href='x"), (6, "https://h.example/en/10#top", PAGE.format("A"))]
+    plain = "<p>Shared banner</p><p>Own story {}</p><p>Shared end</p>"
+    pages += [(10 + i, f"https://p.example/a/{i}", plain.format(i)) for i in range(4)] + [(10, "https://p.example/a/0", plain.format(0))]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    found = {r["page_id"]: r["text"] for r in html.extract(df).collect()}
+    assert html.extract(df).count() == len(pages)
+    assert found[1] == found[6] == "Head & line\nFirstA para\nSecond <b> A" and found[2] == found[1].replace("A", "B")
+    assert found[3] == found[4] == "" and found[5] == "Only text\ncut"
+    assert [found[10 + i] for i in range(4)] == [f"Own story {i}" for i in range(4)]
+    assert html.extract(df.limit(0)).count() == 0
+
+
+def test_neighbours_cross_ranges(spark):
+    rows = [("h", f"{i:03d}", bytes([i])) for i in range(50)] + [("i", "x", b"x")]
+    df = spark.createDataFrame(rows, "host string, path string, lines binary")
+    found = {r["path"]: (r["prev_path"], r["next_path"]) for r in html.neighbours(df).collect()}
+    assert found["x"] == (None, None)
+    assert all(found[f"{i:03d}"] == (f"{i - 1:03d}" if i else None, f"{i + 1:03d}" if i < 49 else None) for i in range(50))
+
+
+def test_lcs(monkeypatch):
+    rng = np.random.default_rng(2)
+
+    def length(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+            row = new
+        return row[-1]
+
+    for limit in (1 << 31, 6):
+        monkeypatch.setattr(html, "LCS_BITS", limit)
+        for _ in range(150):
+            a, b = rng.integers(0, 4, rng.integers(0, 14)).tolist(), rng.integers(0, 4, rng.integers(0, 14)).tolist()
+            at = html.lcs(a, b)
+            picked, it = [a[i] for i in at], iter(b)
+            assert at == sorted(set(at)) and len(at) == length(a, b) and all(x in it for x in picked)
+
+
+def test_merkle(spark):
+    rows = [(i, f"u{i}", f"<p>{i}</p>" if i % 9 else None) for i in range(600)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    bad = pages.where("page_id <> 300").withColumn("html", F.when(F.col("page_id") == 17, "<p>!!</p>").otherwise(F.col("html")))
+    content = merkle.warc_record(F.col("url"), F.col("html"))
+    found = {r["page_id"]: r["verdict"] for r in merkle.audit(pages, bad, F.expr("page_id div 256"), ["page_id"], content).collect()}
+    assert found[17] == "corrupt" and found[16] == "intact" and found[299] == "intact"
+    # records after a lost one move to other offsets, in its segment only
+    assert found[300] == "corrupt" and found[511] == "missing" and found[512] == "intact"
+    same = merkle.audit(pages, pages, F.expr("page_id div 256"), ["page_id"], content)
+    assert same.where("verdict <> 'intact'").count() == 0
+    assert merkle.audit(pages.limit(0), pages.limit(0), F.expr("page_id div 256"), ["page_id"], content).count() == 0
+
+
+def test_word_hashes_are_of_words_only():
+    data = np.frombuffer("ab cd ab\tabé".encode(), np.uint8)
+    w = textnum.Words(data, np.array([0, 6, len(data)]))
+    h = w.hashes()
+    assert len(h) == 4 and h[0] == h[2] and len(set(h.tolist())) == 3 and w.count.tolist() == [2, 2]
