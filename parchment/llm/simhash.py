@@ -31,6 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import textnum
 from .runtime import cut, pack, read, unpack
 
 SHINGLE = 3
@@ -112,11 +113,15 @@ def _key(table: list[tuple[int, int]], bits: int):
 
 
 def find_links(values: np.ndarray, part: np.ndarray | None, radius: int = RADIUS, tile: int = TILE) -> tuple[np.ndarray, np.ndarray]:
-    """A forest of the links within ``radius`` among ``values`` (or between those with part 0 and part 1)."""
-    order = np.argsort(np.bitwise_count(values), kind="stable")
+    """A forest of the links within ``radius`` among ``values`` (or between those with part 0 and part 1), as two arrays of rows.
+
+    ``values`` has one fingerprint per row, of one or more 64-bit words.
+    """
+    values = values.reshape(len(values), -1)
+    order = np.argsort(np.bitwise_count(values).sum(axis=1), kind="stable")
     values = values[order]
     part = None if part is None else part[order]
-    count = np.bitwise_count(values).astype(np.int16)
+    count = np.bitwise_count(values).sum(axis=1, dtype=np.int32)
     root = np.arange(len(values))
 
     def find(i: int) -> int:
@@ -132,7 +137,10 @@ def find_links(values: np.ndarray, part: np.ndarray | None, radius: int = RADIUS
             if count[j] - count[min(i + tile, len(values)) - 1] > radius:
                 break
             b = values[j : j + tile]
-            near = np.bitwise_count(a[:, None] ^ b[None, :]) <= radius
+            apart = np.zeros((len(a), len(b)), np.uint16)
+            for w in range(values.shape[1]):
+                apart += np.bitwise_count(a[:, None, w] ^ b[None, :, w])
+            near = apart <= radius
             if i == j:
                 near = np.triu(near, 1)
             if part is not None:
@@ -150,40 +158,51 @@ def find_links(values: np.ndarray, part: np.ndarray | None, radius: int = RADIUS
                         left.append(i + p)
                         right.append(j + q)
                 x, y = x[4096:], y[4096:]
-    return values[np.array(left, np.int64)], values[np.array(right, np.int64)]
+    return order[np.array(left, np.int64)], order[np.array(right, np.int64)]
 
 
-def _compare(table: pa.Table) -> pa.Table:
+def _compare(radius: int, words: list[str]):
     """The groups of one bucket; each is (table, key, i, j), and ``part`` tells the two sides of a split group."""
-    frame = table.select(["t", "k", "i", "j", "part", "fp"]).to_pandas().sort_values(["t", "k", "i", "j"], kind="stable")
-    fp = frame["fp"].to_numpy().view(np.uint64)
-    keys = frame[["t", "k", "i", "j"]].to_numpy()
-    part = frame["part"].to_numpy()
-    cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(fp)]
-    left, right = [], []
-    for a, b in zip(cuts, cuts[1:], strict=False):
-        if b - a > 1:
-            x, y = find_links(fp[a:b], part[a:b] if keys[a][2] != keys[a][3] else None)
-            left.append(x)
-            right.append(y)
-    join = lambda x: np.concatenate(x).view(np.int64) if x else np.zeros(0, np.int64)
-    return pa.table({"a": join(left), "b": join(right)})
-
 
-def links(values: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
-    """(a, b): links between distinct fingerprints that connect all that are within the radius."""
-    spark = values.sparkSession
-    tables, bits = key_tables(n, radius)
-    keyed = values.select("fp", F.posexplode(F.array(*[_key(t, bits) for t in tables])).alias("t", "k"))
+    def run(table):
+        columns = {c: table.column(c).to_numpy() for c in ("t", "k", "i", "j", "part", "id", *words)}
+        order = np.lexsort([columns[c] for c in ("j", "i", "k", "t")])
+        columns = {c: x[order] for c, x in columns.items()}
+        values = np.stack([columns[c] for c in words], axis=1).view(np.uint64)
+        new = np.zeros(len(order), bool)
+        for c in ("t", "k", "i", "j"):
+            new[1:] |= columns[c][1:] != columns[c][:-1]
+        cuts = [0, *np.flatnonzero(new).tolist(), len(order)]
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if b - a > 1:
+                x, y = find_links(values[a:b], columns["part"][a:b] if columns["i"][a] != columns["j"][a] else None, radius)
+                left.append(columns["id"][a:b][x])
+                right.append(columns["id"][a:b][y])
+        return pa.table({"a": np.concatenate(left), "b": np.concatenate(right)})
+
+    return run
+
+
+def _compared(keyed: DataFrame, n_rows: int, radius: int, words: list[str]) -> DataFrame:
+    """(a, b): links among rows (t, k, id, words...) that share a table's key."""
+    spark = keyed.sparkSession
     sizes = keyed.groupBy("t", "k").agg(F.count("*").alias("n")).where(F.col("n") > 1)
     sized = keyed.join(sizes, ["t", "k"]).withColumn("parts", F.ceil(F.col("n") / TILE_ROWS).cast("int"))
-    own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-    dealt = sized.withColumn("own", own).select("t", "k", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    dealt = dealt.select("t", "k", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("part"), "fp")
+    own = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    dealt = sized.withColumn("own", own).select("t", "k", "id", *words, "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    dealt = dealt.select("t", "k", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("part"), "id", *words)
     # each pair of parts is one group; many small groups share a call
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n * len(tables) / 200_000))
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n_rows / 200_000))
     dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64("t", "k", "i", "j"), F.lit(buckets)))
-    return dealt.groupBy("bucket").applyInArrow(_compare, "a long, b long").distinct()
+    return dealt.groupBy("bucket").applyInArrow(_compare(radius, words), "a long, b long").distinct()
+
+
+def links(values: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
+    """(a, b): links between distinct fingerprints that connect all that are within the radius."""
+    tables, bits = key_tables(n, radius)
+    keyed = values.select(F.col("fp").alias("id"), "fp", F.posexplode(F.array(*[_key(t, bits) for t in tables])).alias("t", "k"))
+    return _compared(keyed, n * len(tables), radius, ["fp"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -218,11 +237,107 @@ def clusters(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     return prints.join(rooted.join(named, "root").select("fp", "component_id"), "fp")
 
 
+WIDE_SHINGLE = 5
+SIMILARITY = 0.8
+LANES = 4
+_WIDE = [f"w{i}" for i in range(LANES)]
+_LANE_KEYS = [np.uint64(0x9E3779B97F4A7C15 * (i + 1) % (1 << 64)) for i in range(LANES)]
+_LOWER_BYTES = np.frombuffer(_LOWER, np.uint8)
+
+
+def wide_fingerprints(text: pa.Array, width: int = WIDE_SHINGLE) -> np.ndarray:
+    """SimHashes of 256 bits, one row of four 64-bit words per text, over shingles of ``width`` words (fewer: the whole sequence)."""
+    data, offsets = textnum.buffer_of(text)
+    words = textnum.Words(_LOWER_BYTES[data], offsets)
+    h, rows = words.hashes(), len(words.count)
+    out = np.zeros((rows, LANES), np.uint64)
+    grams = textnum.rolling(h, width)
+    at = np.flatnonzero(words.doc[: len(grams)] == words.doc[width - 1 : width - 1 + len(grams)])
+    grams, doc = grams[at], words.doc[at]
+    short = np.flatnonzero((words.count > 0) & (words.count < width))
+    whole = [textnum.rolling(h[words.first[i] : words.first[i] + words.count[i]], int(words.count[i]))[0] for i in short.tolist()]
+    grams, doc = np.concatenate([grams, np.array(whole, np.uint64)]), np.concatenate([doc, short])
+    order = np.argsort(doc, kind="stable")
+    grams, doc = grams[order], doc[order]
+    if not len(doc):
+        return out
+    first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+    count = np.diff(np.append(first, len(doc)))
+    for lane, key in enumerate(_LANE_KEYS):
+        bits = np.unpackbits(textnum.mix(grams ^ key).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        total = np.add.reduceat(bits, first, axis=0, dtype=np.int32)
+        out[doc[first], lane] = np.packbits(total * 2 > count[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
+    return out
+
+
+def wide_radius(similarity: float = SIMILARITY, slack: float = 1.3) -> int:
+    """Differing bits up to which texts of the given Jaccard similarity are linked: the expected number and ``slack`` deviations more."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    bits = 64 * LANES
+    return round(bits * p + slack * math.sqrt(bits * p * (1 - p)))
+
+
+def wide_tables(n: int, similarity: float = SIMILARITY, miss: float = 0.005, seed: int = 11) -> list[list[int]]:
+    """Bit positions of the key tables: keys split ``n`` values into groups of about GROUP_ROWS, and a pair of the
+    given similarity shares no key with probability ``miss`` at most."""
+    bits = max(0, math.ceil(math.log2(max(1, n / GROUP_ROWS))))
+    agree = (1 - math.acos(2 * similarity / (1 + similarity)) / math.pi) ** bits
+    count = 1 if bits == 0 else math.ceil(math.log(miss) / math.log(1 - agree))
+    rng = np.random.default_rng(seed)
+    return [sorted(rng.choice(64 * LANES, bits, replace=False).tolist()) for _ in range(count)]
+
+
+def _wide_keys(tables: list[list[int]]):
+    def run(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, 4096):
+                part = batch.slice(start, 4096)
+                values = np.stack([part.column(c).to_numpy() for c in _WIDE], axis=1)
+                bits = np.unpackbits(np.ascontiguousarray(values).view(np.uint8), axis=1, bitorder="little")
+                for t, chosen in enumerate(tables):
+                    k = bits[:, chosen].astype(np.int64) @ (np.int64(1) << np.arange(len(chosen), dtype=np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), t, np.int32)), pa.array(k), part.column("id"), *(part.column(c) for c in _WIDE)], names=["t", "k", "id", *_WIDE])
+
+    return run
+
+
+def _both_prints(batches):
+    for batch in batches:
+        for part in textnum.slices(batch, "text"):
+            texts = part.column("text")
+            narrow = np.fromiter((fingerprint(x.as_py()) for x in texts), np.uint64, len(texts))
+            wide = wide_fingerprints(texts)
+            columns = [part.column("doc_id"), part.column("h"), pa.array(narrow.view(np.int64)), *(pa.array(np.ascontiguousarray(wide[:, i]).view(np.int64)) for i in range(LANES))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "h", "fp", *_WIDE])
+
+
+def near_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, h, id, root) of each row: groups of near-duplicates.
+
+    Rows are linked if their fingerprints of 3-word shingles differ in RADIUS bits at most, or their 256-bit
+    fingerprints of 5-word shingles say a similarity of ``similarity`` or more.  The latter are compared exactly
+    within groups that share a key of sampled bits; the tables are enough to miss one such pair in 200 at most.
+    """
+    slim = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.xxhash64("text").alias("h"), "text")
+    ddl = "doc_id long, h long, fp long, " + ", ".join(f"{c} long" for c in _WIDE)
+    prints = cut(slim.mapInArrow(_both_prints, ddl).withColumn("id", F.xxhash64(*_WIDE)))
+    values = cut(prints.select("id", *_WIDE).dropDuplicates(["id"]))
+    n = values.count()
+    tables = wide_tables(n, similarity)
+    keyed = values.mapInArrow(_wide_keys(tables), "t int, k long, id long, " + ", ".join(f"{c} long" for c in _WIDE))
+    wide = _compared(keyed, n * len(tables), wide_radius(similarity), _WIDE)
+    # links of the narrow fingerprints, told by the least wide one that goes with each
+    low = cut(prints.groupBy("fp").agg(F.min("id").alias("low")))
+    same = prints.select("fp", "id").distinct().join(low, "fp").where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b"))
+    narrow = links(low.select("fp"), low.count())
+    narrow = narrow.join(low.toDF("a", "la"), "a").join(low.toDF("b", "lb"), "b").where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b"))
+    found = components(wide.union(same).union(narrow))
+    return prints.select("doc_id", "h", "id").join(found, F.col("id") == F.col("node"), "left").select("doc_id", "h", "id", F.coalesce("root", "id").alias("root"))
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each component: that with the smallest doc_id (none: the last), then the smallest text hash."""
-    prints = fingerprints(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(_NO_ID)))
-    low = prints.groupBy("fp").agg(F.min(F.struct("doc_id", "h")).alias("low"))
-    kept = component_of(prints).join(low, "fp").groupBy("root").agg(F.min("low").alias("low")).select("low.doc_id", "low.h")
+    """One row of each group of near-duplicates: that with the smallest doc_id (none: the last), then the smallest text hash."""
+    kept = near_groups(docs).groupBy("root").agg(F.min(F.struct("doc_id", "h")).alias("low")).select("low.doc_id", "low.h")
     packed = pack(docs).withColumns({"doc_id": F.coalesce(F.col("row.doc_id").cast("long"), F.lit(_NO_ID)), "h": F.xxhash64("text")})
     return unpack(packed.join(kept, ["doc_id", "h"], "left_semi").dropDuplicates(["doc_id", "h"]), docs.columns)
 

@@ -71,6 +71,27 @@ def test_links_split_groups(spark, monkeypatch):
     assert len(set(group)) == len(base)
 
 
+def test_wide_similarity(spark):
+    """Copies with a few words changed are found at a Jaccard similarity of 0.8 and more; others stay apart."""
+    rng = np.random.default_rng(4)
+    rows, pairs = [], []
+    for i in range(300):
+        a = [f"w{x}" for x in rng.integers(0, 5000, 200)]
+        b = list(a)
+        for at in rng.choice(200, 1 + i % 3, replace=False):
+            b[at] = "changed"
+        sets = [{tuple(x[k : k + 5]) for k in range(196)} for x in (a, b)]
+        similarity = len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+        rows += [(2 * i, " ".join(a)), (2 * i + 1, " ".join(b))]
+        if similarity >= 0.85:
+            pairs.append(i)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    root = {r["doc_id"]: r["root"] for r in simhash.near_groups(df).collect()}
+    assert len({root[2 * i] for i in range(300)}) == 300
+    assert len(pairs) > 150 and sum(root[2 * i] == root[2 * i + 1] for i in pairs) >= 0.98 * len(pairs)
+    assert simhash.keep_one(df).count() <= 600 - int(0.98 * len(pairs))
+
+
 def test_quality(docs, rows, nothing):
     found = quality.judged(docs.drop("host"))
     want = expected(rows, brute.statistics)
