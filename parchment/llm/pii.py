@@ -153,7 +153,7 @@ def _candidate_rows(column: pa.Array) -> np.ndarray:
 
 def _find(batches):
     for batch in batches:
-        for part in textnum.slices(batch, "text", 8 << 20):
+        for part in textnum.slices(batch, "text", 2 << 20):
             texts = part.column("text")
             likely = _candidate_rows(texts)
             base, near = [""] * len(texts), [None] * len(texts)
@@ -193,7 +193,7 @@ def _term_counts(wanted):
                 first[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
                 held.append(h[first])
                 size += len(held[-1])
-                if size > 4_000_000:
+                if size > 500_000:
                     terms, n = _summed(terms, n, held)
                     held, size = [], 0
         terms, n = _summed(terms, n, held)
@@ -286,14 +286,14 @@ def _mask_text(text: str, spans, terms) -> str:
 
 def _mask(batches):
     for batch in batches:
-        terms = batch.column("terms").to_pylist()
-        texts = batch.column("text")
-        likely = _candidate_rows(texts)
-        new = []
-        for i, text in enumerate(texts):
-            text = text.as_py()
-            new.append(_mask_text(text, base_spans(text), terms[i]) if text is not None and (likely[i] or terms[i]) else text)
-        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(new, pa.string())], names=["row", "text"])
+        for part in textnum.slices(batch, "text", 2 << 20):
+            texts, terms = part.column("text"), part.column("terms").to_pylist()
+            likely = _candidate_rows(texts)
+            new = []
+            for i, text in enumerate(texts):
+                text = text.as_py()
+                new.append(_mask_text(text, base_spans(text), terms[i]) if text is not None and (likely[i] or terms[i]) else text)
+            yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(new, pa.string())], names=["row", "text"])
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
