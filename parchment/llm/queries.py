@@ -20,6 +20,8 @@ QUERIES = {
 SQL = {
     "op3_host_quality": quality.OP3_SQL,
     "op5_token_window_dedup": window_dedup.OP5_SQL,
+    "op6_suffix_array_dedup": suffix_dedup.OP6_SQL,
     "op8_merkle_fixity": merkle.OP8_SQL,
     "op9_benchmark_decontamination": decontam.OP9_SQL,
+    "op10_secret_ownership": secrets.OP10_SQL,
 }

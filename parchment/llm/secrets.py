@@ -135,3 +135,43 @@ def report(docs: DataFrame, owner=None, repository=None) -> DataFrame:
 
 def op10_secret_ownership(spark, sf_dir: str) -> DataFrame:
     return report(read(spark, sf_dir, "documents"))
+
+
+_ASSIGN_SQL = _ASSIGN.pattern.replace("'", "''")
+#: A match starts after all pieces between the matches up to it and all matches before it.
+_STARTS = "list_transform(range(1, len(m) + 1), lambda i: coalesce(list_sum(list_transform(p[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))"
+
+
+def _matches_sql(kind: int, pattern: str, value: str, condition: str) -> str:
+    return f"""
+  SELECT doc_id, {kind} AS k, CAST(a AS BIGINT) AS a, CAST(a + length(x) AS BIGINT) AS z, v FROM (
+    SELECT doc_id, unnest(m) AS x, unnest({value}) AS v, unnest({_STARTS}) AS a
+    FROM (SELECT doc_id, regexp_extract_all(t, '{pattern}') AS m, {"regexp_extract_all(t, '" + pattern + "', 2)" if value == "g" else "NULL"} AS g, string_split_regex(t, '{pattern}') AS p FROM d WHERE regexp_matches(t, '{pattern}'))
+  ) WHERE {condition}"""
+
+
+OP10_SQL = f"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS owner, coalesce(text, '') AS t FROM documents
+), base AS ({_matches_sql(0, _ASSIGN_SQL, "g", "length(v) >= 8")}
+  UNION ALL{_matches_sql(1, _ACCESS.pattern, "m", "length(x) >= 16")}
+  UNION ALL{_matches_sql(2, "[0-9a-f]{32,}", "m", "true")}
+), added AS ({_matches_sql(3, _KEYS.pattern, "m", "true")}
+), item AS (
+  SELECT * FROM base
+  UNION ALL SELECT * FROM added WHERE NOT EXISTS (SELECT 1 FROM base WHERE base.doc_id = added.doc_id AND base.a < added.z AND added.a < base.z)
+), held AS (
+  SELECT v, count(DISTINCT owner) AS n_owners FROM item JOIN d USING (doc_id) GROUP BY v
+), entropy AS (
+  SELECT v, -sum(n / length(v) * log2(n / length(v))) AS bits FROM (SELECT v, c, count(*) AS n FROM (SELECT v, unnest(string_split(v, '')) AS c FROM held) GROUP BY v, c) GROUP BY v
+), judged AS (
+  SELECT doc_id, count_if(k = 0) AS n_assign, count_if(k = 1) AS n_access, count_if(k = 2) AS n_hex,
+         string_agg(['assign', 'access', 'hex'][k + 1] || ':' || a || ':' || z, ',' ORDER BY a, k) FILTER (k < 3) AS base,
+         string_agg(['assign', 'access', 'hex', 'key'][k + 1] || ':' || a || ':' || z, ',' ORDER BY a, k) FILTER (k < 3 OR n_owners < {EXAMPLE_OWNERS}) AS spans,
+         count_if(n_owners = 1 AND bits >= {LIVE_BITS}) AS n_live, count_if(n_owners >= {EXAMPLE_OWNERS}) AS n_example, max(n_owners) AS max_owners
+  FROM item JOIN held USING (v) JOIN entropy USING (v) GROUP BY doc_id
+)
+SELECT doc_id, {", ".join(f"CAST(coalesce({c}, 0) AS BIGINT) AS {c}" for c in ("n_assign", "n_access", "n_hex", "n_live", "n_example", "max_owners"))},
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN judged USING (doc_id)
+"""

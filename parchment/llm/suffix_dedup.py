@@ -386,3 +386,30 @@ def dedup(docs: DataFrame, length: int = LENGTH, texts: bool = True) -> DataFram
 def op6_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
     found = dedup(read(spark, sf_dir, "documents").select("doc_id", "text"), texts=False)
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.lower(F.hex("kept")).alias("kept_sha256"), "spans")
+
+
+# Bytes are pairs of hexadecimal digits.  Texts are first cut into overlapping chunks, so that no window is sought in a whole text.
+OP6_SQL = r"""
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM documents
+), chunk AS (
+  SELECT doc_id, n, c, substring(h, 2000 * c + 1, 2098) AS s FROM (SELECT doc_id, h, n, unnest(range(0, n // 1000 + 1)) AS c FROM d)
+), win AS (
+  SELECT doc_id, 1000 * c + i AS a, substring(s, 2 * i + 1, 100) AS w FROM (SELECT doc_id, c, s, unnest(range(0, least(1000, n - 49 - 1000 * c))) AS i FROM chunk WHERE n - 49 > 1000 * c)
+), first_in AS (
+  SELECT w, min(doc_id) AS low FROM win GROUP BY w HAVING min(doc_id) < max(doc_id)
+), gone AS (
+  SELECT doc_id, a, a > coalesce(lag(a) OVER (PARTITION BY doc_id ORDER BY a), -100) + 50 AS fresh FROM win JOIN first_in USING (w) WHERE low < doc_id
+), span AS (
+  SELECT doc_id, min(a) AS a, max(a) + 50 AS z FROM (SELECT doc_id, a, count_if(fresh) OVER (PARTITION BY doc_id ORDER BY a) AS g FROM gone) GROUP BY doc_id, g
+), kept AS (
+  SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM span
+), cut AS (
+  SELECT doc_id, sum(z - a) AS n_removed, count(*) AS n_spans, max(z) AS last, string_agg(substring(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head,
+         string_agg(a || ':' || z, ',' ORDER BY a) AS spans
+  FROM kept JOIN d USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(head || substring(h, 2 * last + 1), h))) AS kept_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN cut USING (doc_id)
+"""
