@@ -117,6 +117,7 @@ CONTEXT_CLAUSES, CONTEXT_CHARS, CONTEXT_STATUTES = 6, 6000, 4
 EXCERPT_CHARS, SNIPPET_CHARS = 700, 140
 SHORTLIST_TOP, SHORTLIST_SIMILARITY = 2, 0.25
 DEDUP_SIMILARITY, CLOSE_SIMILARITY, BLOCK_ROWS = 0.95, 0.90, 30
+SYNTHETIC_GROUP_OFFSET = 1_000_000
 RETENTION_HOURS, STALE_MINUTES, LIMITER_SECONDS = 24, 15, 3600
 WILSON_Z = 1.96
 CONFIDENT = 0.8

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import math
 
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -91,3 +91,13 @@ def fit_temperature(df: DataFrame, steps: int = 48, bounds=rules.TEMPERATURE_RAN
         k = min(range(steps), key=lambda i: row[i] if row[i] is not None else math.inf)
         low, high = ts[max(0, k - 1)], ts[min(steps - 1, k + 1)]
     return (low + high) / 2
+
+
+def save(model, temperature: float, path: str) -> None:
+    """The model and its temperature, replacing what is at ``path``."""
+    model.write().overwrite().save(f"{path}/model")
+    SparkSession.active().createDataFrame([(float(temperature),)], "temperature double").write.mode("overwrite").parquet(f"{path}/temperature")
+
+
+def load(path: str) -> tuple[LogisticRegressionModel, float]:
+    return LogisticRegressionModel.load(f"{path}/model"), SparkSession.active().read.parquet(f"{path}/temperature").first()[0]

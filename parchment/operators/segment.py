@@ -11,6 +11,7 @@ import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.functions import udtf
 
 from ..functions import rules
 
@@ -169,3 +170,15 @@ def _run(table):
 def segment(paragraphs: DataFrame) -> DataFrame:
     """Paragraphs (document_id, pos, paragraph) to title, clause, signature and heading rows, numbered within their part."""
     return paragraphs.groupBy("document_id").applyInArrow(_run, _OUT)
+
+
+@udtf(returnType="part string, clause_number string, section_heading string, text string")
+class SegmentTable:
+    """segment(paragraphs): the parts of one document as a table function, for SQL with a lateral join."""
+
+    def eval(self, paragraphs: list):
+        yield from segment_paragraphs(paragraphs or [])
+
+
+def register(spark, name: str = "segment") -> None:
+    spark.udtf.register(name, SegmentTable)

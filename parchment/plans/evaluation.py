@@ -46,13 +46,13 @@ def majority_label(spark, sf_dir):
     return metrics.majority(both, ["lang"], "label", 2 - ordering.risk_rank(F.col("label")))
 
 
-@query(f"WITH {_L} SELECT label AS true_label, count_if(predicted = 'GREEN') AS pred_green, count_if(predicted = 'YELLOW') AS pred_yellow, count_if(predicted = 'RED') AS pred_red FROM l GROUP BY 1")
+@query(f"WITH {_L} SELECT label AS true_label, CAST(count_if(predicted = 'GREEN') AS BIGINT) AS pred_green, CAST(count_if(predicted = 'YELLOW') AS BIGINT) AS pred_yellow, CAST(count_if(predicted = 'RED') AS BIGINT) AS pred_red FROM l GROUP BY 1")
 def confusion_matrix(spark, sf_dir):
     return metrics.confusion(_labelled(spark, sf_dir), "label", "predicted")
 
 
 _PRF = f"""{_L}, k(label) AS (VALUES ('GREEN'), ('YELLOW'), ('RED')),
-c AS (SELECT k.label, count_if(l.label = k.label AND predicted = k.label) AS tp, count_if(predicted = k.label) AS p, count_if(l.label = k.label) AS support FROM k, l GROUP BY 1),
+c AS (SELECT k.label, CAST(count_if(l.label = k.label AND predicted = k.label) AS BIGINT) AS tp, CAST(count_if(predicted = k.label) AS BIGINT) AS p, CAST(count_if(l.label = k.label) AS BIGINT) AS support FROM k, l GROUP BY 1),
 m AS (SELECT label, support, CASE WHEN p > 0 THEN tp / p ELSE 0 END AS pr, CASE WHEN support > 0 THEN tp / support ELSE 0 END AS re FROM c),
 f AS (SELECT *, CASE WHEN pr + re > 0 THEN 2 * pr * re / (pr + re) ELSE 0 END AS f1 FROM m)"""
 
@@ -192,12 +192,12 @@ def dense_first_seen_ids(spark, sf_dir):
     return ordering.dense_ids(read(spark, sf_dir, "events"), "user_id", "event_id", "dense_id").select("event_id", "dense_id")
 
 
-@query(f"WITH {_CLUSTERS}, c AS (SELECT template_id, count(DISTINCT source) AS a, count(DISTINCT lang) AS b FROM t JOIN i USING (template) GROUP BY 1) SELECT count(*) AS clusters, count_if(a > 1) AS mixed_source, count_if(b > 1) AS mixed_lang FROM c")
+@query(f"WITH {_CLUSTERS}, c AS (SELECT template_id, count(DISTINCT source) AS a, count(DISTINCT lang) AS b FROM t JOIN i USING (template) GROUP BY 1) SELECT count(*) AS clusters, CAST(count_if(a > 1) AS BIGINT) AS mixed_source, CAST(count_if(b > 1) AS BIGINT) AS mixed_lang FROM c")
 def cluster_purity(spark, sf_dir):
     return metrics.purity(_clusters(spark, sf_dir), "template_id", "source", "lang")
 
 
-@query(f"WITH {_CLUSTERS}, c AS (SELECT template_id, count(DISTINCT source) AS a FROM t JOIN i USING (template) GROUP BY 1) SELECT count(*) AS groups, count_if(a > 1) AS leaked FROM c")
+@query(f"WITH {_CLUSTERS}, c AS (SELECT template_id, count(DISTINCT source) AS a FROM t JOIN i USING (template) GROUP BY 1) SELECT count(*) AS groups, CAST(count_if(a > 1) AS BIGINT) AS leaked FROM c")
 def split_leakage(spark, sf_dir):
     return metrics.leaks(_clusters(spark, sf_dir), "template_id", "source")
 
@@ -298,19 +298,19 @@ def count_by_group(spark, sf_dir):
     return read(spark, sf_dir, "nation").join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_name").agg(F.count("*").alias("n")).orderBy("r_name")
 
 
-@query("SELECT event_type, count(*) AS total, count_if(value > 400) AS errors, count_if(value <= 100) AS grounded, round(CASE WHEN count_if(value <= 400) > 0 THEN count_if(value <= 100) / count_if(value <= 400) ELSE 0 END, 6) AS rate FROM events GROUP BY 1")
+@query("SELECT event_type, count(*) AS total, CAST(count_if(value > 400) AS BIGINT) AS errors, CAST(count_if(value <= 100) AS BIGINT) AS grounded, round(CASE WHEN CAST(count_if(value <= 400) AS BIGINT) > 0 THEN CAST(count_if(value <= 100) AS BIGINT) / CAST(count_if(value <= 400) AS BIGINT) ELSE 0 END, 6) AS rate FROM events GROUP BY 1")
 def grounding_pass_rate(spark, sf_dir):
     e = read(spark, sf_dir, "events").withColumns({"passed": F.col("value") <= 100, "error": F.when(F.col("value") > 400, "x")})
     return metrics.pass_rate(e, "passed", "error", ["event_type"]).withColumn("rate", F.round("rate", 6))
 
 
-@query(f"WITH {_L} SELECT lang, count(*) AS n, count_if(predicted = 'RED') AS found FROM l JOIN documents USING (doc_id) WHERE label = 'RED' GROUP BY 1")
+@query(f"WITH {_L} SELECT lang, count(*) AS n, CAST(count_if(predicted = 'RED') AS BIGINT) AS found FROM l JOIN documents USING (doc_id) WHERE label = 'RED' GROUP BY 1")
 def recall_by_group(spark, sf_dir):
     both = _labelled(spark, sf_dir).join(read(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
     return metrics.recall_by(both, ["lang"], "label", "predicted")
 
 
-@query("SELECT count(*) AS n, count_if(CASE WHEN lang <> 'de' THEN lang END IS NOT DISTINCT FROM CASE WHEN source <> 'src1' THEN 'en' END) AS correct FROM documents")
+@query("SELECT count(*) AS n, CAST(count_if(CASE WHEN lang <> 'de' THEN lang END IS NOT DISTINCT FROM CASE WHEN source <> 'src1' THEN 'en' END) AS BIGINT) AS correct FROM documents")
 def inference_scorecard(spark, sf_dir):
     d = read(spark, sf_dir, "documents").select(F.when(F.col("lang") != "de", F.col("lang")).alias("a"), F.when(F.col("source") != "src1", "en").alias("b"))
     return metrics.scorecard(d, "a", "b")

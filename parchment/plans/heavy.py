@@ -73,7 +73,7 @@ def cross_max_similarity(spark, sf_dir):
 @query(
     f"""
 WITH {_PAIRS}, {_BEST}, t(threshold) AS (VALUES (0.30), (0.35), (0.40), (0.45)), h AS (SELECT threshold, abs(a - b) AS gap, la <> lb AS differs FROM t JOIN n ON r = 1 AND s >= threshold)
-SELECT CAST(threshold AS DOUBLE) AS threshold, count(*) AS n, round(avg(CAST(differs AS INTEGER)), 6) AS differing_share, round(median(gap), 6) AS median_gap, count_if(gap <= 50) AS near_rows FROM h GROUP BY 1
+SELECT CAST(threshold AS DOUBLE) AS threshold, count(*) AS n, round(avg(CAST(differs AS INTEGER)), 6) AS differing_share, round(median(gap), 6) AS median_gap, CAST(count_if(gap <= 50) AS BIGINT) AS near_rows FROM h GROUP BY 1
 """
 )
 def duplicate_audit(spark, sf_dir):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import evaluation, heavy, review
+from . import evaluation, findings, heavy, review
 
-QUERIES = {**review.QUERIES, **evaluation.QUERIES, **heavy.QUERIES}
-SQL = {**review.SQL, **evaluation.SQL, **heavy.SQL}
+QUERIES = {**review.QUERIES, **evaluation.QUERIES, **heavy.QUERIES, **findings.QUERIES}
+SQL = {**review.SQL, **evaluation.SQL, **heavy.SQL, **findings.SQL}

@@ -76,7 +76,7 @@ def retrieval_policy_central(spark, sf_dir):
 @query(
     f"""
 WITH {_QUERIES_SQL}, n AS (SELECT q.doc_id, q.jurisdiction, count(kb.item_id) AS c FROM q LEFT JOIN kb ON q.topic = kb.topic AND kb.jurisdiction IN (q.jurisdiction, 'Central') AND q.jurisdiction IN ('Maharashtra', 'Delhi') GROUP BY 1, 2)
-SELECT jurisdiction, count(*) AS queries, count_if(c > 0) AS matched, round(count_if(c > 0) / count(*), 6) AS share, CAST(0 AS BIGINT) AS leaks FROM n GROUP BY 1
+SELECT jurisdiction, count(*) AS queries, CAST(count_if(c > 0) AS BIGINT) AS matched, round(CAST(count_if(c > 0) AS BIGINT) / count(*), 6) AS share, CAST(0 AS BIGINT) AS leaks FROM n GROUP BY 1
 """
 )
 def retrieval_coverage(spark, sf_dir):
@@ -227,7 +227,7 @@ WITH {_PAIRS_SQL}, a AS (
   SELECT *, len(problems) = 0 AS safe, len(problems) = 0 AND (oos OR regexp_matches(answer, '(?m)^\\s*[-*] ')) AS good FROM a WHERE attempt <= 2
 ), k AS (SELECT *, min(CASE WHEN good THEN attempt END) OVER (PARTITION BY conv_id) AS stop FROM s), v AS (SELECT * FROM k WHERE stop IS NULL OR attempt <= stop)
 SELECT conv_id, sha256(coalesce(arg_max(CASE WHEN safe THEN answer END, CASE WHEN safe THEN attempt END), '')) AS answer_sha256,
-  CASE WHEN count_if(safe) > 0 THEN 'answered' WHEN list_contains(arg_max(problems, attempt), 'verdict') THEN 'verdict fallback' ELSE 'unreliable fallback' END AS outcome, CAST(max(attempt) AS INTEGER) AS attempts
+  CASE WHEN CAST(count_if(safe) AS BIGINT) > 0 THEN 'answered' WHEN list_contains(arg_max(problems, attempt), 'verdict') THEN 'verdict fallback' ELSE 'unreliable fallback' END AS outcome, CAST(max(attempt) AS INTEGER) AS attempts
 FROM v GROUP BY conv_id
 """
 )

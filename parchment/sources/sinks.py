@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def append(df: DataFrame, path: str, partition_by: str | None = None) -> None:
@@ -38,3 +39,12 @@ def markdown(df: DataFrame, limit: int = 1000) -> str:
 
 def create_table(spark, name: str, ddl: str) -> None:
     spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({ddl}) USING parquet")
+
+
+def add_columns(spark, name: str, ddl: str) -> list[str]:
+    """Add the columns that a table lacks; existing ones and their data stay.  Returns the names added."""
+    have = {c.lower() for c in spark.table(name).columns}
+    missing = [f for f in StructType.fromDDL(ddl).fields if f.name.lower() not in have]
+    if missing:
+        spark.sql(f"ALTER TABLE {name} ADD COLUMNS ({', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in missing)})")
+    return [f.name for f in missing]
