@@ -11,7 +11,8 @@ of a host share, and it keeps a menu that differs from page to page.  So markup
 comes first where it is explicit: blocks in navigation, headers and footers of
 the page, asides, forms, adverts, notices and comment sections are never main
 text, and blocks in the page's article are not deleted for being shared.
-Shared lines are deleted everywhere else, and in pages that have no article.
+Everywhere else, on pages with an article too, shared lines are deleted and
+unshared ones are kept.
 
 Scale: two map-only passes over the pages.  Between them only line hashes move,
 8 bytes a line.  Paths are ordered by range partitioning, so a host with a third
@@ -314,9 +315,7 @@ def _texts(batches):
         texts = []
         for page, deleted in zip(batch.column("html").to_pylist(), batch.column("deleted").to_pylist(), strict=True):
             gone = set(np.frombuffer(deleted, np.int32).tolist()) if deleted else ()
-            found = [(t, k) for i, (t, k) in enumerate(blocks(page)) if i not in gone]
-            best = MAIN if any(k == MAIN for _, k in found) else OTHER
-            texts.append("\n".join(t for t, k in found if k == best))
+            texts.append("\n".join(t for i, (t, k) in enumerate(blocks(page)) if k != DROPPED and i not in gone))
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "url")), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
 

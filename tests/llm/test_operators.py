@@ -215,6 +215,13 @@ def test_main_text(spark):
     assert html.extract(df.limit(0)).count() == 0
 
 
+def test_text_outside_the_article(spark):
+    """On a page with an article, the blocks that no markup decides are kept unless they are shared."""
+    page = "<body><nav>Menu {0}</nav><article><p>Teaser {0}</p></article><div>Body {0}</div><div>Shared line</div><footer>End {0}</footer></body>"
+    df = spark.createDataFrame([(i, f"https://h.example/a/{i}", page.format(i)) for i in range(3)], "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in html.extract(df).collect()} == {i: f"Teaser {i}\nBody {i}" for i in range(3)}
+
+
 def test_neighbours_cross_ranges(spark):
     rows = [("h", f"{i:03d}", bytes([i])) for i in range(50)] + [("i", "x", b"x")]
     df = spark.createDataFrame(rows, "host string, path string, lines binary")
