@@ -1,20 +1,24 @@
 """Operator 7, information-theoretic sanitisation of personal data.
 
 Patterns find the protected entities (e-mail, ip, card, phone).  Corpus-wide
-co-occurrence then estimates how strongly the terms around an entity reveal it:
+co-occurrence then estimates how strongly the terms of its documents reveal it:
 
     disclosure(t, e) = PMI(t, e) / IC(e) = 1 + log P(e | t) / -log P(e)
 
-with probabilities over all documents.  In documents that hold the entity, a
-context term at or above ``generalise`` becomes a span of kind ``term`` (text
-form ``[TERM]``), and one at or above ``remove`` is deleted from the text.  A
-pair counts as evidence only when it is seen in ``support`` distinct contexts,
-so copies of one document are no evidence.
-
-Scale: one map-only pass finds the entities and their context terms (a bounded
-number per entity) and is checkpointed without texts.  Document frequencies are
-counted over all documents, pre-aggregated per partition; only candidate terms
-are counted when there are few enough to broadcast, and all terms beyond that.
+with probabilities over all documents; term and entity occur together if one
+document holds both, at whatever distance.  In documents that hold the entity,
+every occurrence of a term at or above ``generalise`` becomes a span of kind
+``term`` (text form ``[TERM]``), and of one at or above ``remove`` is deleted from
+the text.  A pair counts as evidence only when it is seen in ``support`` distinct
+contexts, so copies of one document are no evidence.  A context is the words
+around an entity: those that the term is among, else one per document.
+
+Scale: one map-only pass finds the entities and their contexts and is checkpointed
+without texts.  Pairs are counted for entities that have enough contexts at all,
+over all terms of their documents; they and the document frequencies of terms are
+pre-aggregated per partition.  Only candidate terms are counted when there are few
+enough to broadcast, and all terms beyond that.  A last map-only pass marks the
+occurrences; disclosing pairs beyond a broadcast are marked in several passes.
 Texts are never shuffled for the report.
 
 Defined cases: a null text is empty and has no spans; failing matches are dropped
@@ -23,6 +27,7 @@ and not retried; rows with equal id and text get equal spans; a null id is kept.
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -122,7 +127,7 @@ def _hash(s: str) -> int:
 
 
 def contexts(text: str, spans, width: int = CONTEXT_WORDS):
-    """(entity, context, term, start, end) for the terms within ``width`` terms of each entity, outside all entities."""
+    """(entity, context, terms) of each span: the terms within ``width`` terms of it, outside all entities, and their hash."""
     out = []
     for a, kind, b in spans:
         before = list(_TERM.finditer(text, max(0, a - 40 * width), a))[-width:]
@@ -131,15 +136,28 @@ def contexts(text: str, spans, width: int = CONTEXT_WORDS):
             after.append(m)
             if len(after) == width:
                 break
-        near = [m for m in (*before, *after) if not any(x < m.end() and m.start() < y for x, _, y in spans)]
-        entity = _hash(kind + ":" + text[a:b])
-        context = _hash(" ".join(m[0] for m in near))
-        out += [(entity, context, _hash(m[0]), m.start(), m.end()) for m in near]
+        near = [m[0] for m in (*before, *after) if not any(x < m.end() and m.start() < y for x, _, y in spans)]
+        out.append((_hash(kind + ":" + text[a:b]), _hash(" ".join(near)), near))
     return out
 
 
-_CONTEXT = pa.list_(pa.struct([("entity", pa.int64()), ("context", pa.int64()), ("term", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]))
-_FOUND = "doc_id long, h long, n_email long, n_ip long, n_card long, n_phone long, base string, near array<struct<entity:bigint,context:bigint,term:bigint,start:int,end:int>>"
+def terms_of(texts: pa.Array, spans: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, row, start, end) of all terms of ``texts`` outside the rows' ``spans``, in order; places in characters."""
+    data, offsets = textnum.buffer_of(texts)
+    words = textnum.Words(_LOWER[data], offsets, _NOT_LETTER)
+    inner = np.concatenate([[0], np.cumsum((data & 0xC0) == 0x80)])
+    origin = (offsets - inner[offsets])[words.doc]
+    start, end = words.start - inner[words.start] - origin, words.end - inner[words.end] - origin
+    keep = end - start >= 3
+    for i, found in enumerate(spans):
+        low, high = words.first[i], words.first[i + 1]
+        for a, _, b in found:
+            keep[low + np.searchsorted(end[low:high], a, "right") : low + np.searchsorted(start[low:high], b, "left")] = False
+    return words.hashes().view(np.int64)[keep], words.doc[keep], start[keep], end[keep]
+
+
+_CONTEXT = pa.list_(pa.struct([("entity", pa.int64()), ("context", pa.int64())]))
+_FOUND = "doc_id long, h long, n_email long, n_ip long, n_card long, n_phone long, base string, near array<struct<entity:bigint,context:bigint>>"
 
 
 def _candidate_rows(column: pa.Array) -> np.ndarray:
@@ -163,7 +181,7 @@ def _find(batches):
                 spans = base_spans(text)
                 if spans:
                     base[i] = joined(spans)
-                    near[i] = [dict(zip(("entity", "context", "term", "start", "end"), x, strict=True)) for x in contexts(text, spans)]
+                    near[i] = [{"entity": e, "context": c} for e, c in sorted({x[:2] for x in contexts(text, spans)})]
                     for _, kind, _ in spans:
                         counts[KINDS.index(kind), i] += 1
             yield pa.RecordBatch.from_arrays(
@@ -210,23 +228,99 @@ def _summed(terms, n, more):
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """Base spans and context terms of each row of ``docs`` (doc_id, text); small rows without the text, checkpointed."""
+    """Base spans, entities and their contexts of each row of ``docs`` (doc_id, text); small rows without the text, checkpointed."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
     return cut(docs.mapInArrow(_find, _FOUND))
 
 
+def _pairs(chosen):
+    """Per partition, of each (chosen) entity and term that share documents: how many, and up to SUPPORT of their contexts."""
+
+    def run(batches):
+        entities = None if chosen is None else set(chosen.value.tolist())
+        held, size = [], 0
+        for batch in batches:
+            for part in textnum.slices(batch, "text"):
+                texts = part.column("text")
+                rows, spans, about = [], [], []
+                for i in np.flatnonzero(_candidate_rows(texts)).tolist():
+                    text = texts[i].as_py()
+                    found = base_spans(text)
+                    seen = [x for x in contexts(text, found) if entities is None or x[0] in entities]
+                    if seen:
+                        rows.append(i)
+                        spans.append(found)
+                        about.append(seen)
+                if not rows:
+                    continue
+                h, row, _, _ = terms_of(texts.take(pa.array(rows)), spans)
+                edges = np.searchsorted(row, np.arange(len(rows) + 1))
+                for i, seen in enumerate(about):
+                    terms = np.unique(h[edges[i] : edges[i + 1]])
+                    for entity in sorted({x[0] for x in seen}):
+                        # of terms beside the entity those contexts, of the others one
+                        near = np.array(sorted({(_hash(t), c) for e, c, beside in seen if e == entity for t in beside}), np.int64).reshape(-1, 2)
+                        near = near[np.isin(near[:, 0], terms)]
+                        first = np.ones(len(near), bool)
+                        first[1:] = near[1:, 0] != near[:-1, 0]
+                        far = terms[~np.isin(terms, near[:, 0])]
+                        t = np.concatenate([near[:, 0], far])
+                        c = np.concatenate([near[:, 1], np.full(len(far), min(c for e, c, _ in seen if e == entity), np.int64)])
+                        held.append((np.full(len(t), entity, np.int64), t, c, np.concatenate([first, np.ones(len(far), bool)]).astype(np.int64)))
+                        size += len(t)
+                        if size > 500_000:
+                            held = [_paired(held)]
+                            size = len(held[0][0])
+                            if size > 250_000:
+                                yield from _batches(held[0])
+                                held, size = [], 0
+        if held:
+            yield from _batches(_paired(held))
+
+    return run
+
+
+def _paired(held):
+    """Sums of n by (entity, term, context); contexts of a pair beyond the least SUPPORT are counted with its first."""
+    e, t, c, n = (np.concatenate(x) for x in zip(*held, strict=True))
+    order = np.lexsort((c, t, e))
+    e, t, c, n = e[order], t[order], c[order], n[order]
+    pair = np.ones(len(e), bool)
+    pair[1:] = (e[1:] != e[:-1]) | (t[1:] != t[:-1])
+    new = pair.copy()
+    new[1:] |= c[1:] != c[:-1]
+    at = np.flatnonzero(new)
+    e, t, c, n, pair = e[at], t[at], c[at], np.add.reduceat(n, at) if len(at) else n, pair[at]
+    first = np.flatnonzero(pair)
+    which = np.cumsum(pair) - 1
+    keep = np.arange(len(e)) - first[which] < SUPPORT
+    np.add.at(n, first[which[~keep]], n[~keep])
+    return e[keep], t[keep], c[keep], n[keep]
+
+
+def _batches(columns, step: int = 100_000):
+    for i in range(0, len(columns[0]), step):
+        yield pa.RecordBatch.from_arrays([pa.array(x[i : i + step]) for x in columns], names=["entity", "term", "context", "n"])
+
+
+def _broadcast(df: DataFrame, column: str):
+    """The distinct values of ``column``, sorted, on all executors; None if there are too many."""
+    values = df.select(column).distinct()
+    if values.count() > BROADCAST_TERMS:
+        return None
+    return df.sparkSession.sparkContext.broadcast(np.array(sorted(r[0] for r in values.toLocalIterator()), np.int64))
+
+
 def disclosures(docs: DataFrame, found: DataFrame) -> DataFrame:
     """(entity, term, disclosure) of the pairs with enough distinct contexts that reach the generalising threshold."""
-    seen = found.select("doc_id", "h", F.explode("near").alias("x")).select("doc_id", "h", "x.entity", "x.term", "x.context")
-    once = seen.groupBy("entity", "term", "context").agg(F.count_distinct("doc_id", "h").alias("n"))
+    seen = found.select(F.explode("near").alias("x")).select("x.entity", "x.context").distinct()
+    able = cut(seen.groupBy("entity").agg(F.count("*").alias("n")).where(F.col("n") >= SUPPORT))
+    texts = docs.select("text").where(F.col("text").isNotNull())
+    once = texts.mapInArrow(_pairs(_broadcast(able, "entity")), "entity long, term long, context long, n long").groupBy("entity", "term", "context").agg(F.sum("n").alias("n"))
     pairs = once.groupBy("entity", "term").agg(F.count("*").alias("contexts"), F.sum("n").alias("n_both")).where(F.col("contexts") >= SUPPORT)
     pairs = cut(pairs)
-    wanted = pairs.select("term").distinct()
-    chosen = None
-    if wanted.count() <= BROADCAST_TERMS:
-        chosen = docs.sparkSession.sparkContext.broadcast(np.array(sorted(r["term"] for r in wanted.toLocalIterator()), np.int64))
-    counts = docs.select("text").where(F.col("text").isNotNull()).mapInArrow(_term_counts(chosen), "term long, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
-    entities = found.select("doc_id", "h", F.explode(F.array_distinct(F.transform("near", lambda x: x["entity"]))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
+    counts = texts.mapInArrow(_term_counts(_broadcast(pairs, "term")), "term long, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
+    entities = found.select(F.explode(F.array_distinct(F.transform("near", lambda x: x["entity"]))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
     total = found.count()
     given = F.least(F.lit(1.0), F.col("n_both") / F.col("n_term"))
     content = -F.log(F.least(F.lit(0.5), F.col("n_entity") / F.lit(max(total, 1))))
@@ -234,10 +328,61 @@ def disclosures(docs: DataFrame, found: DataFrame) -> DataFrame:
     return scored.where(F.col("disclosure") >= GENERALISE).select("entity", "term", "disclosure")
 
 
+def _mark(table):
+    """All occurrences of the terms that disclose an entity of their document."""
+
+    def run(batches):
+        entity, term, score = table.value
+        known = set(entity.tolist())
+        for batch in batches:
+            for part in textnum.slices(batch, "text"):
+                texts = part.column("text")
+                rows, spans, about = [], [], []
+                for i in np.flatnonzero(_candidate_rows(texts)).tolist() if known else ():
+                    text = texts[i].as_py()
+                    found = base_spans(text)
+                    held = {_hash(kind + ":" + text[a:b]) for a, kind, b in found} & known
+                    if held:
+                        rows.append(i)
+                        spans.append(found)
+                        about.append(sorted(held))
+                if not rows:
+                    continue
+                h, row, start, end = terms_of(texts.take(pa.array(rows)), spans)
+                edges = np.searchsorted(row, np.arange(len(rows) + 1))
+                for i, held in enumerate(about):
+                    at = np.concatenate([np.arange(*np.searchsorted(entity, [e, e + 1])) for e in held])
+                    at = at[np.lexsort((-score[at], term[at]))]
+                    at = at[np.unique(term[at], return_index=True)[1]]
+                    here = slice(edges[i], edges[i + 1])
+                    k = np.minimum(np.searchsorted(term[at], h[here]), len(at) - 1)
+                    hit = np.flatnonzero(term[at][k] == h[here])
+                    if len(hit):
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                *(pa.array([part.column(c)[rows[i]].as_py()] * len(hit), pa.int64()) for c in ("doc_id", "h")),
+                                *(pa.array(x[here][hit].astype(np.int32)) for x in (start, end)),
+                                pa.array(score[at][k[hit]]),
+                            ],
+                            names=["doc_id", "h", "start", "end", "disclosure"],
+                        )
+
+    return run
+
+
 def term_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
     """(doc_id, h, terms): the spans that the method adds, one row per distinct (doc_id, h)."""
-    near = found.select("doc_id", "h", F.explode("near").alias("x")).select("doc_id", "h", "x.entity", "x.term", "x.start", "x.end").distinct()
-    hit = near.join(disclosures(docs, found), ["entity", "term"]).groupBy("doc_id", "h", "start", "end").agg(F.max("disclosure").alias("disclosure"))
+    scored = cut(disclosures(docs, found))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text").where(F.col("text").isNotNull())
+    rounds = max(1, math.ceil(scored.count() / BROADCAST_TERMS))
+    hits = None
+    for k in range(rounds):
+        some = sorted(tuple(r) for r in scored.where(F.pmod(F.xxhash64("entity", "term"), F.lit(rounds)) == k).toLocalIterator())
+        e, t, d = zip(*some, strict=True) if some else ((), (), ())
+        table = docs.sparkSession.sparkContext.broadcast((np.array(e, np.int64), np.array(t, np.int64), np.array(d, np.float64)))
+        new = keyed.mapInArrow(_mark(table), "doc_id long, h long, start int, end int, disclosure double")
+        hits = new if hits is None else hits.union(new)
+    hit = hits.groupBy("doc_id", "h", "start", "end").agg(F.max("disclosure").alias("disclosure"))
     return hit.groupBy("doc_id", "h").agg(F.array_sort(F.collect_list(F.struct("start", "end", "disclosure"))).alias("terms"))
 
 

@@ -156,6 +156,24 @@ def test_pii_terms(spark):
     assert "Zebulon" not in masked[0] and "[EMAIL]" in masked[0] and masked[100] == text[100] and len(masked) == len(rows)
 
 
+def test_pii_terms_far_from_the_entity(spark):
+    """A term of the documents with an entity is found and masked wherever it stands in them."""
+    far = " ".join(["common"] * 40)
+    names = ["alpha", "bravo", "charlie", "delta", "echo"]
+    rows = [(i, f"é Zebulon {far} {x} wrote from z@corp.example.com about {far} ZEBULON") for i, x in enumerate(names)]
+    rows += [(100 + i, f"{far} wrote from about plan {i}") for i in range(200)]
+    # copies are no evidence
+    rows += [(500 + i, f"Copied {far} by k@corp.example.com only") for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r["spans"].split(",") for r in pii.report(df).collect()}
+    text = dict(rows)
+    for i in range(5):
+        assert [text[i][int(a) : int(b)] for k, a, b in (x.split(":") for x in found[i]) if k == "term"] == ["Zebulon", "ZEBULON"]
+        assert len(found[500 + i]) == 1
+    masked = {r["doc_id"]: r["text"] for r in pii.sanitise(df).collect()}
+    assert all("zebulon" not in masked[i].lower() and "[EMAIL]" in masked[i] for i in range(5))
+
+
 @pytest.mark.parametrize("t", ["a@b.com_x@y.com", "a@b@c.de", "x" * 5000 + "@y", "1" * 6000, "1.2.3.4.5.6.7.8", "0001.2.3.4", "+1" + "(" * 3000, "4 5 3 9-1488 0343 6467", "@", "a@b.c.", "é@x.com"])
 def test_pii_edges(t):
     assert pii.joined(pii.base_spans(t)) == brute.pii(t)[2]
