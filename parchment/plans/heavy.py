@@ -114,11 +114,11 @@ def paragraph_segmentation(spark, sf_dir):
 @query()
 def clause_location(spark, sf_dir):
     """Words laid out ten to a line and forty lines to a page, and the segmented clauses located among them."""
-    docs = read(spark, sf_dir, "documents").where("lang = 'en'")
+    docs = read(spark, sf_dir, "documents")
     w = docs.select(F.col("doc_id").cast("string").alias("document_id"), F.posexplode(F.split(F.trim("text"), r"\s+")).alias("pos", "text"))
     line, column = F.floor(F.col("pos") / 10), F.col("pos") % 10
     w = w.select("document_id", "pos", (F.floor(line / 40) + 1).alias("page"), (column / 10).alias("x0"), ((line % 40) / 40).alias("top"), ((column + 1) / 10).alias("x1"), ((line % 40 + 0.9) / 40).alias("bottom"), "text")
-    clauses = segment.segment(_paragraphs(spark, sf_dir)).where("part = 'clause'").join(docs.select(F.col("doc_id").cast("string").alias("document_id")), "document_id", "left_semi")
+    clauses = segment.segment(_paragraphs(spark, sf_dir)).where("part = 'clause'")
     return geometry.locations(w, clauses)
 
 

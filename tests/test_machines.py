@@ -136,3 +136,13 @@ def test_sources_and_sinks(spark, tmp_path):
     kinds = {r["path"][-5:]: r["reject_reason"] for r in readers.files(spark, str(tmp_path / "up")).collect()}
     assert kinds == {"a.pdf": None, "b.txt": "unsupported content type"}
     assert sinks.markdown(spark.createDataFrame([(1, "x")], "a int, b string")) == "| a | b |\n| --- | --- |\n| 1 | x |"
+
+
+def test_clauses_are_located_in_all_languages(spark, tmp_path):
+    from parchment.plans import heavy
+
+    text = "1. RENT\nThe tenant pays the rent on the first day of every month.\n2. REPAIRS\nThe landlord repairs the roof and the walls without delay."
+    rows = [(i, text, lang) for i, lang in enumerate(("en", "fr", "de", "es", None))]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = heavy.clause_location(spark, str(tmp_path)).drop("document_id").groupBy("clause_id", "line").count().collect()
+    assert found and all(r["count"] == 5 for r in found)
