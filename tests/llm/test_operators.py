@@ -92,6 +92,29 @@ def test_wide_similarity(spark):
     assert simhash.keep_one(df).count() <= 600 - int(0.98 * len(pairs))
 
 
+def test_near_groups_are_exact(spark, monkeypatch):
+    """With over GROUP_ROWS distinct texts, pairs are grouped if and only if their exact similarity is 0.8 or more."""
+    monkeypatch.setattr(simhash, "TILE_ROWS", 64)
+    rng = np.random.default_rng(8)
+    rows, want = [], []
+    hot = [f"hot{x}" for x in range(30)]
+    for i in range(900):
+        a = [f"w{x}" for x in rng.integers(0, 50000, 150)] + (hot if i % 3 == 0 else [])
+        b = list(a)
+        for at in rng.choice(150, 1 + i % 9, replace=False):
+            b[at] = f"changed{i}x{at}"
+        sets = [{tuple(x[k : k + 5]) for k in range(len(x) - 4)} for x in (a, b)]
+        want.append(5 * len(sets[0] & sets[1]) >= 4 * len(sets[0] | sets[1]))
+        rows += [(2 * i, " ".join(a)), (2 * i + 1, " ".join(b))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    # only the exact links: those of the narrow fingerprints are an estimate of their own
+    prints = simhash.cut(df.withColumn("h", F.xxhash64("text")).mapInArrow(simhash._both_prints, "doc_id long, h long, fp long, id long, n long, grams binary, " + ", ".join(f"{c} long" for c in simhash._WIDE)))
+    found = simhash.similar_links(prints, spark.createDataFrame([], "a long, b long"))
+    of = {r["id"]: r["doc_id"] for r in prints.collect()}
+    pairs = {tuple(sorted((of[r["a"]], of[r["b"]]))) for r in found.collect()}
+    assert pairs == {(2 * i, 2 * i + 1) for i in range(900) if want[i]} and 200 < len(pairs) < 800
+
+
 def test_quality(docs, rows, nothing):
     found = quality.judged(docs.drop("host"))
     want = expected(rows, brute.statistics)
