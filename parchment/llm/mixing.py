@@ -11,9 +11,9 @@ schedule holds the sources in the target proportions.
 
 Everything is DataFrame expressions.  Scale: nothing orders a whole source in one
 task.  Ranks (of documents' tokens, and of slots) are two-level: a window within
-chunks of bounded size plus the running total of the chunks before, of which
-there is one row per ~10,000 rows.  A source with a third of all rows is so dealt
-over as many chunks as it needs.
+chunks plus the running total of the chunks before; there are as many chunks as a
+chunk has rows, the square root of their number, so neither window grows faster.
+A source with a third of all rows is so dealt over all chunks.
 
 Defined cases: null text has size 0 and is never taken; the null source comes last;
 a source without words has target 0; rows with equal ids are summed per row and
@@ -33,8 +33,8 @@ from .runtime import cut, pack, read
 WEIGHTS = (1, 2, 3)
 MAX_EPOCHS = 3
 BLOCK_TOKENS = 512
-CHUNK_ROWS = 10_000
-GOLDEN = 0.6180339887498949
+#: The golden ratio's fraction in 64 bits: multiples modulo 2**64 are exact however many slots there are.
+GOLDEN = 0x9E3779B97F4A7C15
 
 def n_words(text):
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
@@ -77,6 +77,20 @@ def _with_offsets(rows: DataFrame, keys: list[str], chunk: str, order: list, siz
     return local.join(chunks, [*keys, chunk]).withColumn(out, F.col("chunk_before") + F.col("local_before")).drop("chunk_before", "local_before")
 
 
+def _wrapped_multiple(column: str, factor: int):
+    """``column * factor`` modulo 2**64 as a long, in 32-bit halves that do not overflow; the column is under 2**62."""
+    low, high = factor & 0xFFFFFFFF, factor >> 32
+    x0, x1 = F.col(column).bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftright(column, 32)
+    # the low product is under 2**64: its own halves are added one by one
+    a = x0.bitwiseAND(F.lit(0xFFFF)) * low
+    b = F.shiftright(x0, 16) * low
+    carried = b + F.shiftright(a, 16)
+    low32 = F.shiftleft(carried.bitwiseAND(F.lit(0xFFFF)), 16).bitwiseOR(a.bitwiseAND(F.lit(0xFFFF)))
+    cross = lambda x, y: ((F.shiftright(x, 16) * y).bitwiseAND(F.lit(0xFFFF)) * (1 << 16) + x.bitwiseAND(F.lit(0xFFFF)) * y).bitwiseAND(F.lit(0xFFFFFFFF))
+    high32 = (F.shiftright(carried, 16) + cross(x0, F.lit(high)) + cross(x1, F.lit(low))).bitwiseAND(F.lit(0xFFFFFFFF))
+    return F.shiftleft(high32, 32).bitwiseOR(low32)
+
+
 def schedule(goals: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """(sid, rank): the slots of each source, ranked from 0 in the order of the golden-ratio sequence.
 
@@ -87,12 +101,13 @@ def schedule(goals: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     row = goals.agg(F.sum("goal").alias("total"), F.count("*").alias("n")).first()
     points = int((row["total"] or 0) / block_tokens) + 1
     cells = 4 * row["n"] + 1
-    at = F.col("id") * F.lit(GOLDEN)
-    slots = spark.range(points).select(F.col("id").alias("slot"), (at - F.floor(at)).alias("u"))
+    # the upper 53 bits of the product modulo 2**64, which a double holds exactly
+    slots = spark.range(points).select(F.col("id").alias("slot"), (F.shiftrightunsigned(_wrapped_multiple("id", GOLDEN), 11) / F.lit(float(1 << 53))).alias("u"))
+    chunk_rows = max(1, math.isqrt(points))
     slots = slots.withColumn("cell", F.floor(F.col("u") * cells))
     bounds = goals.where("high > low").select("sid", "low", "high", F.explode(F.sequence(F.floor(F.col("low") * cells), F.floor(F.col("high") * cells))).alias("cell"))
     dealt = slots.join(bounds, "cell").where("u >= low AND u < high")
-    dealt = dealt.select("sid", "slot", F.floor(F.col("slot") / CHUNK_ROWS).alias("chunk"), F.lit(1).alias("one"))
+    dealt = dealt.select("sid", "slot", F.floor(F.col("slot") / chunk_rows).alias("chunk"), F.lit(1).alias("one"))
     ranked = _with_offsets(dealt, ["sid"], "chunk", ["slot"], "one", "rank").select("sid", "rank")
     got = dealt.groupBy("sid").agg(F.count("*").alias("got"))
     short = goals.join(got, "sid", "left").withColumn("got", F.coalesce("got", F.lit(0))).where("got < needed")
@@ -110,8 +125,12 @@ def sized(docs: DataFrame) -> DataFrame:
     return cut(alike.select("key", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("number"), "doc_id", "source", "size"))
 
 
+def _content(doc_id, source, text):
+    return F.struct(doc_id.alias("doc_id"), source.alias("source"), F.xxhash64(text).alias("h"), F.length(text).alias("n"))
+
+
 def content_key():
-    return F.unhex(F.md5(F.to_json(F.struct("doc_id", "source", F.xxhash64("text").alias("h"), F.length("text").alias("n")))))
+    return F.unhex(F.md5(F.to_json(_content(F.col("doc_id"), F.col("source"), F.col("text")))))
 
 
 def mix(rows: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, block_tokens: int = BLOCK_TOKENS, seed: int = 17) -> DataFrame:
@@ -123,7 +142,7 @@ def mix(rows: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, block_to
     epochs = F.coalesce(F.try_divide("goal", "source_size").cast("long"), F.lit(0))
     goals = cut(goals.withColumn("needed", epochs * n_blocks + F.ceil((F.col("goal") - epochs * F.col("source_size")) / block)))
 
-    chunks = max(1, math.ceil(rows.count() / CHUNK_ROWS))
+    chunks = max(1, math.isqrt(rows.count()))
     dealt = rows.where("size > 0").withColumn("order", F.xxhash64("key", "number", F.lit(seed)))
     dealt = dealt.withColumn("chunk", F.pmod("order", F.lit(chunks)))
     laid = _with_offsets(dealt, ["sid"], "chunk", ["order", "key", "number"], "size", "first")
@@ -147,8 +166,10 @@ def mix(rows: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, block_to
 def mixed(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the mix takes words of, with size, source_size, target and taken added."""
     plan = mix(sized(docs)).where("taken > 0").select("key", "number", *[F.col(c).alias(f"m_{c}") for c in ("size", "source_size", "target", "taken")])
-    packed = pack(docs.withColumn("_key", content_key()))
-    packed = packed.withColumn("key", F.col("row._key")).withColumn("number", F.row_number().over(W.partitionBy("key").orderBy(F.lit(0))))
+    key = F.unhex(F.md5(F.to_json(_content(F.col("row.doc_id"), F.col("row.source"), F.col("text")))))
+    # rows alike in id, source and text are numbered by all their other columns
+    ties = W.partitionBy("key").orderBy(F.to_json("row", {"ignoreNullFields": "false"}))
+    packed = pack(docs).withColumn("key", key).withColumn("number", F.row_number().over(ties))
     both = packed.join(plan, ["key", "number"])
     added = {"size": "m_size", "source_size": "m_source_size", "target": "m_target", "taken": "m_taken"}
     kept = [c for c in docs.columns if c not in added]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,11 +16,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the folder that the cluster names.
 
-    The folder is read from ``spark.checkpoint.dir``; one is made only where none is set, as in tests.
+    The folder is read from ``spark.checkpoint.dir``.  One is made only where none is set and driver and executors
+    are one process, as in tests; on a cluster a missing setting is an error.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if spark.conf.get("spark.checkpoint.dir", None) is None and not context._jsc.sc().getCheckpointDir().isDefined():
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="parchment-checkpoint-"))
     return df.checkpoint(eager=True)
 
@@ -33,15 +37,14 @@ def project(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[df[source].alias(name) for name, source in columns.items()])
 
 
-def row_key(*columns: str):
-    """A 64-bit key of a row's content, equal for repeated rows."""
-    return F.xxhash64(*columns)
-
-
 def pack(docs: DataFrame, text: str = "text") -> DataFrame:
     """``row`` (all columns but the text, as a struct) and ``text``, so that added columns clash with none."""
     rest = [F.col(f"`{c}`") for c in docs.columns if c != text]
-    return docs.select(F.struct(*rest, F.lit(0).alias("_")).alias("row"), F.col(f"`{text}`").alias("text"))
+    names = {c.lower() for c in docs.columns}
+    filler = "_"
+    while filler in names:
+        filler += "_"
+    return docs.select(F.struct(*rest, F.lit(0).alias(filler)).alias("row"), F.col(f"`{text}`").alias("text"))
 
 
 def unpack(packed: DataFrame, columns: list[str], text: str = "text") -> DataFrame:

@@ -31,7 +31,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import textnum
+from . import jaccard
+from .graph import components
 from .runtime import cut, pack, read, unpack
 
 SHINGLE = 3
@@ -205,23 +206,6 @@ def links(values: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
     return _compared(keyed, n * len(tables), radius, ["fp"])
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the smallest node of each linked node's component, by alternating stars."""
-    edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    before = None
-    while True:
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").where("u <> v").distinct()
-        edges = cut(small)
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct().toDF("node", "root"))
-        before = now
-
-
 def component_of(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(fp, root): the component of each distinct fingerprint of ``prints``."""
     values = cut(prints.select("fp").distinct())
@@ -237,218 +221,39 @@ def clusters(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     return prints.join(rooted.join(named, "root").select("fp", "component_id"), "fp")
 
 
-WIDE_SHINGLE = 5
-SIMILARITY = 0.8
-SAMPLE_ROWS = 20_000
-ORDER_TERMS = 1_000_000
-LANES = 4
-_WIDE = [f"w{i}" for i in range(LANES)]
-_LOWER_BYTES = np.frombuffer(_LOWER, np.uint8)
-
-
-def shingle_sets(text: pa.Array, width: int = WIDE_SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct hashes of each text's shingles of ``width`` words (fewer: the whole sequence) in order, end to end, and the texts' offsets in them."""
-    data, offsets = textnum.buffer_of(text)
-    words = textnum.Words(_LOWER_BYTES[data], offsets)
-    h, rows = words.hashes(), len(words.count)
-    grams = textnum.rolling(h, width)
-    at = np.flatnonzero(words.doc[: len(grams)] == words.doc[width - 1 : width - 1 + len(grams)])
-    grams, doc = grams[at], words.doc[at]
-    short = np.flatnonzero((words.count > 0) & (words.count < width))
-    whole = [textnum.rolling(h[words.first[i] : words.first[i] + words.count[i]], int(words.count[i]))[0] for i in short.tolist()]
-    grams, doc = np.concatenate([grams, np.array(whole, np.uint64)]), np.concatenate([doc, short])
-    order = np.lexsort((grams, doc))
-    grams, doc = grams[order], doc[order]
-    new = np.ones(len(doc), bool)
-    new[1:] = (grams[1:] != grams[:-1]) | (doc[1:] != doc[:-1])
-    return grams[new], np.searchsorted(doc[new], np.arange(rows + 1))
-
-
-def bitmaps(grams: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """256 parity bits of each set, as four words: two sets differ in at least as many shingles as their bitmaps in bits."""
-    rows = len(offsets) - 1
-    out = np.zeros((rows, LANES), np.uint64)
-    at = (textnum.mix(grams) >> np.uint64(56)).astype(np.int64)
-    for i in range(rows):
-        odd = np.bincount(at[offsets[i] : offsets[i + 1]], minlength=64 * LANES) & 1
-        out[i] = np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
-    return out
-
-
-def _both_prints(batches):
-    for batch in batches:
-        for part in textnum.slices(batch, "text"):
-            texts = part.column("text")
-            narrow = np.fromiter((fingerprint(x.as_py()) for x in texts), np.uint64, len(texts))
-            grams, offsets = shingle_sets(texts)
-            maps = bitmaps(grams, offsets)
-            sets = [grams[a:b].tobytes() for a, b in zip(offsets, offsets[1:], strict=False)]
-            ids = np.array([xxhash.xxh64_intdigest(x, SEED) for x in sets], np.uint64)
-            columns = [part.column("doc_id"), part.column("h"), pa.array(narrow.view(np.int64)), pa.array(ids.view(np.int64)), pa.array(np.diff(offsets)), pa.array(sets, pa.binary())]
-            columns += [pa.array(np.ascontiguousarray(maps[:, i]).view(np.int64)) for i in range(LANES)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "h", "fp", "id", "n", "grams", *_WIDE])
-
-
-def _shingles(batches):
-    for batch in batches:
-        for start in range(0, batch.num_rows, 256):
-            part = batch.column("grams").slice(start, 256)
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(x.as_py() for x in part), np.int64))], names=["gram"])
-
-
-def prefix_size(n: int, percent: int) -> int:
-    """So many first shingles of a set, in any one order of all shingles, hold one of each set with that similarity."""
-    return n - -(-n * percent // 100) + 1
-
-
-def _prefixes(common, percent: int):
-    def run(batches):
-        last, rank = common.value
-        for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                keys, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-                for i, x in zip(batch.column("id").slice(start, 256).to_pylist(), batch.column("grams").slice(start, 256).to_pylist(), strict=True):
-                    grams = np.frombuffer(x, np.int64)
-                    if len(grams):
-                        place = np.zeros(len(grams), np.int64)
-                        if len(last):
-                            k = np.minimum(np.searchsorted(last, grams), len(last) - 1)
-                            place = np.where(last[k] == grams, rank[k], 0)
-                        keys.append(grams[np.lexsort((grams, place))[: prefix_size(len(grams), percent)]])
-                        ids.append(np.full(len(keys[-1]), i, np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(ids))], names=["k", "id"])
-
-    return run
-
-
-def _meet(percent: int, tile: int = TILE):
-    """Pairs of each group that have different roots and that sizes and bitmaps allow to be similar."""
-
-    def run(table):
-        columns = {c: table.column(c).to_numpy() for c in ("k", "i", "j", "part", "id", "root", "n", *_WIDE)}
-        order = np.lexsort([columns[c] for c in ("n", "j", "i", "k")])
-        columns = {c: x[order] for c, x in columns.items()}
-        maps = np.stack([columns[c] for c in _WIDE], axis=1).view(np.uint64)
-        n, root, part, ids = (columns[c] for c in ("n", "root", "part", "id"))
-        new = np.zeros(len(order), bool)
-        for c in ("k", "i", "j"):
-            new[1:] |= columns[c][1:] != columns[c][:-1]
-        cuts = [0, *np.flatnonzero(new).tolist(), len(order)]
-        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for low, high in zip(cuts, cuts[1:], strict=False):
-            if high - low < 2 or (root[low:high] == root[low]).all():
-                continue
-            split = columns["i"][low] != columns["j"][low]
-            for p in range(low, high, tile):
-                x = slice(p, min(p + tile, high))
-                for q in range(p, high, tile):
-                    y = slice(q, min(q + tile, high))
-                    if percent * n[q] > 100 * n[x.stop - 1]:
-                        break
-                    near = (root[x, None] != root[None, y]) & (percent * n[None, y] <= 100 * n[x, None]) & (percent * n[x, None] <= 100 * n[None, y])
-                    if split:
-                        near &= part[x, None] != part[None, y]
-                    apart = np.zeros(near.shape, np.int64)
-                    for w in range(LANES):
-                        apart += np.bitwise_count(maps[x, None, w] ^ maps[None, y, w])
-                    near &= (100 + percent) * apart <= (100 - percent) * (n[x, None] + n[None, y])
-                    a, b = np.nonzero(np.triu(near, 1) if p == q else near)
-                    left.append(ids[x][a])
-                    right.append(ids[y][b])
-        a, b = np.concatenate(left), np.concatenate(right)
-        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
-
-    return run
-
-
-def _exact(percent: int):
-    """Of pairs with their sets, those of the similarity or more."""
-
-    def run(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
-                both = len(x) + len(y) - len(np.union1d(x, y))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return run
-
-
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The ``pairs`` (a, b) whose sets are as similar by exact comparison; only sets in a pair are moved."""
-    pairs = cut(pairs.distinct())
-    used = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    held = sets.select("id", "grams").join(used, "id", "left_semi").dropDuplicates(["id"])
-    both = pairs.join(held.toDF("a", "x"), "a").join(held.toDF("b", "y"), "b").select("a", "b", "x", "y")
-    return cut(both.mapInArrow(_exact(percent), "a long, b long"))
+def near_groups(docs: DataFrame, similarity: float = jaccard.SIMILARITY) -> DataFrame:
+    """(doc_id, h, root) of each row: groups of near-duplicates.
 
-
-def _common(prints: DataFrame):
-    """Shingles that a sample of the rows holds often, sorted, with their counts: they come last in the order of all shingles.
-
-    The order decides only how much is compared, never what is found.
-    """
-    share = max(1, math.ceil(prints.count() / SAMPLE_ROWS))
-    sample = prints.where(F.pmod(F.col("id"), F.lit(share)) == 0).dropDuplicates(["id"]).select("grams")
-    counts = sample.mapInArrow(_shingles, "gram long").groupBy("gram").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "gram").limit(ORDER_TERMS)
-    rows = sorted(tuple(r) for r in counts.toLocalIterator())
-    return prints.sparkSession.sparkContext.broadcast(tuple(np.array(x, np.int64) for x in (zip(*rows, strict=True) if rows else ((), ()))))
-
-
-def similar_links(prints: DataFrame, known: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(a, b): exact links that, with ``known`` ones, connect all sets with a Jaccard similarity of ``similarity`` or more.
-
-    Prefix filtering: two such sets share one of their first shingles in any one order of all shingles.  Of each
-    shingle's group the least set is compared with all others first; then all pairs of sets that are not connected yet.
-    """
-    percent = round(100 * similarity)
-    keyed = prints.select("id", "grams").mapInArrow(_prefixes(_common(prints), percent), "k long, id long")
-    keyed = cut(keyed)
-    groups = keyed.groupBy("k").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("k", "low")
-    met = cut(keyed.join(groups, "k").distinct())
-    first = confirmed(met.where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")), prints, percent)
-    found = components(first.union(known))
-    slim = prints.select("id", "n", *_WIDE).dropDuplicates(["id"])
-    slim = cut(slim.join(found, F.col("id") == F.col("node"), "left").select("id", "n", *_WIDE, F.coalesce("root", "id").alias("root")))
-    rooted = met.select("k", "id").join(slim, "id")
-    open_ = rooted.groupBy("k").agg(F.count("*").alias("size"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1")
-    sized = rooted.join(open_.select("k", "size"), "k").withColumn("parts", F.ceil(F.col("size") / TILE_ROWS).cast("int"))
-    sized = sized.withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    dealt = sized.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("k", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("part"), "id", "root", "n", *_WIDE)
-    buckets = max(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(met.count() / 200_000))
-    dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64("k", "i", "j"), F.lit(buckets)))
-    rest = dealt.groupBy("bucket").applyInArrow(_meet(percent), "a long, b long")
-    return first.union(confirmed(rest, prints, percent))
-
-
-def near_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, h, id, root) of each row: groups of near-duplicates.
-
-    Rows are linked if their fingerprints of 3-word shingles differ in RADIUS bits at most, or their sets of 5-word
-    shingles have a Jaccard similarity of ``similarity`` or more.  All such links are found, and each is confirmed
-    by exact comparison.
+    Candidates are the fingerprints within RADIUS bits, and for the similar sets that those miss, sets of 5-word
+    shingles that share a prefix shingle.  A candidate is a link only if the Jaccard similarity of the two sets, compared
+    exactly, is ``similarity`` or more; all such links are found.
     """
     slim = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.xxhash64("text").alias("h"), "text")
-    prints = cut(slim.mapInArrow(_both_prints, "doc_id long, h long, fp long, id long, n long, grams binary, " + ", ".join(f"{c} long" for c in _WIDE)))
-    # links of the narrow fingerprints, told by the least set that goes with each
-    low = cut(prints.groupBy("fp").agg(F.min("id").alias("low")))
-    same = prints.select("fp", "id").distinct().join(low, "fp").where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b"))
-    narrow = links(low.select("fp"), low.count())
-    narrow = narrow.join(low.toDF("a", "la"), "a").join(low.toDF("b", "lb"), "b").where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b"))
-    known = cut(same.union(narrow))
-    found = components(similar_links(prints, known, similarity).union(known))
-    return prints.select("doc_id", "h", "id").join(found, F.col("id") == F.col("node"), "left").select("doc_id", "h", "id", F.coalesce("root", "id").alias("root"))
+    sets = jaccard.Similar(slim, fingerprint, similarity)
+    low = cut(sets.one.groupBy("fp").agg(F.min("id").alias("low")))
+    same = sets.one.join(low, "fp").select(F.col("low").alias("a"), F.col("id").alias("b"))
+    near = links(low.select("fp"), low.count())
+    near = near.join(low.toDF("a", "la"), "a").join(low.toDF("b", "lb"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
+    found = components(sets.links(same.union(near)))
+    named = sets.one.select("digest", "id").join(found, F.col("id") == F.col("node"), "left").select("digest", F.coalesce("root", "id").alias("root"))
+    return sets.rows.select("doc_id", "h", "digest").join(named, "digest").select("doc_id", "h", "root")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each group of near-duplicates: that with the smallest doc_id (none: the last), then the smallest text hash."""
-    kept = near_groups(docs).groupBy("root").agg(F.min(F.struct("doc_id", "h")).alias("low")).select("low.doc_id", "low.h")
+    """One row of each group of near-duplicates: that with the smallest doc_id (none: the last), then the smallest text hash.
+
+    What goes is told to the texts, which are not moved if it fits a broadcast; rows with equal id and text are rare and
+    are made one apart.
+    """
+    groups = cut(near_groups(docs).groupBy("root", "doc_id", "h").agg(F.count("*").alias("n")))
+    best = groups.groupBy("root").agg(F.min(F.struct("doc_id", "h")).alias("low"))
+    told = groups.join(best, "root").select("doc_id", "h", "n", (F.struct("doc_id", "h") == F.col("low")).alias("stays"))
+    told = cut(told.where("NOT stays OR n > 1").select("doc_id", "h", "stays"))
+    told = F.broadcast(told) if told.count() <= jaccard.BROADCAST_ROWS else told
     packed = pack(docs).withColumns({"doc_id": F.coalesce(F.col("row.doc_id").cast("long"), F.lit(_NO_ID)), "h": F.xxhash64("text")})
-    return unpack(packed.join(kept, ["doc_id", "h"], "left_semi").dropDuplicates(["doc_id", "h"]), docs.columns)
+    single = packed.join(told, ["doc_id", "h"], "left_anti")
+    repeated = packed.join(told.where("stays").drop("stays"), ["doc_id", "h"], "left_semi").dropDuplicates(["doc_id", "h"])
+    return unpack(single.unionByName(repeated), docs.columns)
 
 
 def op2_simhash_components(spark, sf_dir: str) -> DataFrame:

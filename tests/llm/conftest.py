@@ -6,8 +6,8 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).parent))
 
-DDL = "doc_id long, text string, lang string, source string, n_chars long, h string, row string, n_words string, size int, key string, fp string, part string, host string, terms string"
-EXTRA = ("x", "r", "w", 1, "k", "f", "p", "host", "t")
+DDL = "doc_id long, text string, lang string, source string, n_chars long, h string, row string, n_words string, size int, key string, fp string, part string, host string, terms string, _ string, _key string, row_ string"
+EXTRA = ("x", "r", "w", 1, "k", "f", "p", "host", "t", "u", "v", "w")
 
 
 def texts() -> list[tuple[int | None, str | None, str | None]]:
