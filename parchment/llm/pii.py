@@ -4,25 +4,32 @@ Patterns find the protected entities (e-mail, ip, card, phone).  Corpus-wide
 co-occurrence then estimates how strongly the terms of its documents reveal it:
 
     disclosure(t, e) = PMI(t, e) / IC(e) = 1 + log P(e | t) / -log P(e)
-
-with probabilities over all documents; term and entity occur together if one
-document holds both, at whatever distance.  In documents that hold the entity,
-every occurrence of a term at or above ``generalise`` becomes a span of kind
-``term`` (text form ``[TERM]``), and of one at or above ``remove`` is deleted from
-the text.  A pair counts as evidence only when it is seen in ``support`` distinct
-contexts, so copies of one document are no evidence.  A context is the words
-around an entity: those that the term is among, else one per document.
-
-Scale: one map-only pass finds the entities and their contexts and is checkpointed
-without texts.  Pairs are counted for entities that have enough contexts at all,
-over all terms of their documents; they and the document frequencies of terms are
-pre-aggregated per partition.  Only candidate terms are counted when there are few
-enough to broadcast, and all terms beyond that.  A last map-only pass marks the
+    P(e) = n_e / N,  P(e | t) = (n_et + SMOOTH * P(e)) / (n_t + SMOOTH)
+
+with counts of documents; term and entity occur together if one document holds
+both, at whatever distance.  The smoothing draws terms that are seen little
+towards P(e).  A pair is evidence only if SUPPORT distinct texts hold it, so a
+text and its copies are none.  In documents that hold the entity, every
+occurrence of a term that reaches THRESHOLD becomes a span of kind ``term``.
+
+Generalisation ladder: a term (``Zebulon``) has a class, that of all terms with
+its last CLASS_LETTERS letters (``[*on]``).  In the text a disclosing term becomes
+its class if the class itself, scored alike, is under the threshold, and is
+removed otherwise.
+
+Scale: one map-only pass finds the entities and is checkpointed without texts.
+Pairs are counted for entities of enough texts only, over all terms of their
+documents; they and the document frequencies of terms are pre-aggregated per
+partition.  Only candidate terms are counted when there are few enough to
+broadcast, and all terms beyond that.  A last map-only pass marks the
 occurrences; disclosing pairs beyond a broadcast are marked in several passes.
-Texts are never shuffled for the report.
+Texts are never shuffled for the report.  Work within a document grows with its
+entities of enough texts times its distinct terms.
 
 Defined cases: a null text is empty and has no spans; failing matches are dropped
 and not retried; rows with equal id and text get equal spans; a null id is kept.
+Terms are runs of three or more letters or code points above 127, A-Z lower-cased,
+outside all base spans; the frequency of a term counts it inside them too.
 """
 
 from __future__ import annotations
@@ -32,17 +39,18 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import textnum
+from . import exchange, textnum
 from .runtime import cut, pack, project, read, unpack
 
-CONTEXT_WORDS = 8
-SUPPORT = 3
-GENERALISE = 0.9
-REMOVE = 0.97
+SUPPORT = 2
+SMOOTH = 1.0
+THRESHOLD = 0.9
+CLASS_LETTERS = 2
 BROADCAST_TERMS = 1_000_000
 
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -53,7 +61,6 @@ _LOCAL_CHARS = re.compile(r"[A-Za-z0-9._%+-]*")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_TERM = re.compile(r"[A-Za-z\x80-\U0010ffff]{3,}")
 
 
 def luhn(digits: str) -> bool:
@@ -116,33 +123,28 @@ def joined(spans) -> str:
 
 _LOWER = np.array([b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)], np.uint8)
 _NOT_LETTER = np.array([not (0x61 <= b <= 0x7A or b >= 0x80) for b in range(256)])
-_NOTHING = np.zeros(256, bool)
 
 
-def _hash(s: str) -> int:
-    """The hash of a string's bytes, A-Z lower-cased; equal to that of the same run of letters in a text."""
-    data = _LOWER[np.frombuffer(s.encode(), np.uint8)]
-    words = textnum.Words(data, np.array([0, len(data)]), _NOTHING)
-    return int(words.hashes().view(np.int64)[0]) if len(data) else 0
+def _entity(kind: str, value: str) -> int:
+    """A signed 64-bit hash of an entity."""
+    h = xxhash.xxh64_intdigest(f"{kind}:{value}")
+    return h - (1 << 64) if h >> 63 else h
+
+
+def _entities(text: str, spans) -> list[int]:
+    return sorted({_entity(kind, text[a:b]) for a, kind, b in spans})
 
 
-def contexts(text: str, spans, width: int = CONTEXT_WORDS):
-    """(entity, context, terms) of each span: the terms within ``width`` terms of it, outside all entities, and their hash."""
-    out = []
-    for a, kind, b in spans:
-        before = list(_TERM.finditer(text, max(0, a - 40 * width), a))[-width:]
-        after = []
-        for m in _TERM.finditer(text, b):
-            after.append(m)
-            if len(after) == width:
-                break
-        near = [m[0] for m in (*before, *after) if not any(x < m.end() and m.start() < y for x, _, y in spans)]
-        out.append((_hash(kind + ":" + text[a:b]), _hash(" ".join(near)), near))
-    return out
+def _class_hashes(words: textnum.Words) -> np.ndarray:
+    """The hash of each word's class: its last CLASS_LETTERS letters, unlike that of a word of these letters."""
+    letters = np.flatnonzero((words.data & 0xC0) != 0x80)
+    begin = letters[np.maximum(np.searchsorted(letters, words.end) - CLASS_LETTERS, 0)]
+    h = textnum.span_hashes(words.data, np.maximum(begin, words.start), words.end)
+    return textnum.mix(h ^ np.uint64(0x5851F42D4C957F2D))
 
 
-def terms_of(texts: pa.Array, spans: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, row, start, end) of all terms of ``texts`` outside the rows' ``spans``, in order; places in characters."""
+def terms_of(texts: pa.Array, spans: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, class, row, start, end) of all terms of ``texts`` outside the rows' ``spans``, in order; places in characters."""
     data, offsets = textnum.buffer_of(texts)
     words = textnum.Words(_LOWER[data], offsets, _NOT_LETTER)
     inner = np.concatenate([[0], np.cumsum((data & 0xC0) == 0x80)])
@@ -151,13 +153,14 @@ def terms_of(texts: pa.Array, spans: list) -> tuple[np.ndarray, np.ndarray, np.n
     keep = end - start >= 3
     for i, found in enumerate(spans):
         low, high = words.first[i], words.first[i + 1]
-        for a, _, b in found:
-            keep[low + np.searchsorted(end[low:high], a, "right") : low + np.searchsorted(start[low:high], b, "left")] = False
-    return words.hashes().view(np.int64)[keep], words.doc[keep], start[keep], end[keep]
+        if found:
+            # base spans of different kinds may overlap: a word is inside one or more if more begin before its end than end by its start
+            a, b = np.sort([x for x, _, _ in found]), np.sort([y for _, _, y in found])
+            keep[low:high] &= np.searchsorted(a, end[low:high], "left") == np.searchsorted(b, start[low:high], "right")
+    return words.hashes().view(np.int64)[keep], _class_hashes(words).view(np.int64)[keep], words.doc[keep], start[keep], end[keep]
 
 
-_CONTEXT = pa.list_(pa.struct([("entity", pa.int64()), ("context", pa.int64())]))
-_FOUND = "doc_id long, h long, n_email long, n_ip long, n_card long, n_phone long, base string, near array<struct<entity:bigint,context:bigint>>"
+_FOUND = "doc_id long, h long, n_email long, n_ip long, n_card long, n_phone long, base string, entities array<long>"
 
 
 def _candidate_rows(column: pa.Array) -> np.ndarray:
@@ -174,24 +177,23 @@ def _find(batches):
         for part in textnum.slices(batch, "text", 2 << 20):
             texts = part.column("text")
             likely = _candidate_rows(texts)
-            base, near = [""] * len(texts), [None] * len(texts)
+            base, entities = [""] * len(texts), [None] * len(texts)
             counts = np.zeros((4, len(texts)), np.int64)
             for i in np.flatnonzero(likely).tolist():
                 text = texts[i].as_py()
                 spans = base_spans(text)
                 if spans:
-                    base[i] = joined(spans)
-                    near[i] = [{"entity": e, "context": c} for e, c in sorted({x[:2] for x in contexts(text, spans)})]
+                    base[i], entities[i] = joined(spans), _entities(text, spans)
                     for _, kind, _ in spans:
                         counts[KINDS.index(kind), i] += 1
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), part.column("h"), *(pa.array(c) for c in counts), pa.array(base, pa.string()), pa.array(near, _CONTEXT)],
-                names=["doc_id", "h", "n_email", "n_ip", "n_card", "n_phone", "base", "near"],
+                [part.column("doc_id"), part.column("h"), *(pa.array(c) for c in counts), pa.array(base, pa.string()), pa.array(entities, pa.list_(pa.int64()))],
+                names=["doc_id", "h", "n_email", "n_ip", "n_card", "n_phone", "base", "entities"],
             )
 
 
 def _term_counts(wanted):
-    """Per partition, in how many of its documents each (wanted) term occurs."""
+    """Per partition, in how many of its documents each (wanted) term or class occurs."""
 
     def run(batches):
         chosen = None if wanted is None else wanted.value
@@ -201,16 +203,17 @@ def _term_counts(wanted):
             for part in textnum.slices(batch, "text"):
                 data, offsets = textnum.buffer_of(part.column("text"))
                 words = textnum.Words(_LOWER[data], offsets, _NOT_LETTER)
-                h, doc = words.hashes().view(np.int64), words.doc
-                if chosen is not None:
-                    keep = np.isin(h, chosen)
-                    h, doc = h[keep], doc[keep]
-                order = np.lexsort((h, doc))
-                h, doc = h[order], doc[order]
-                first = np.ones(len(h), bool)
-                first[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-                held.append(h[first])
-                size += len(held[-1])
+                for h in (words.hashes().view(np.int64), _class_hashes(words).view(np.int64)):
+                    doc = words.doc
+                    if chosen is not None:
+                        keep = exchange.in_sorted(h, chosen)
+                        h, doc = h[keep], doc[keep]
+                    order = np.lexsort((h, doc))
+                    h, doc = h[order], doc[order]
+                    first = np.ones(len(h), bool)
+                    first[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+                    held.append(h[first])
+                    size += len(held[-1])
                 if size > 500_000:
                     terms, n = _summed(terms, n, held)
                     held, size = [], 0
@@ -228,45 +231,46 @@ def _summed(terms, n, more):
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """Base spans, entities and their contexts of each row of ``docs`` (doc_id, text); small rows without the text, checkpointed."""
+    """Base spans and entities of each row of ``docs`` (doc_id, text); small rows without the text, checkpointed."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
     return cut(docs.mapInArrow(_find, _FOUND))
 
 
+def _holding(part: pa.RecordBatch, chosen: set[int] | None):
+    """Rows of ``part`` that hold (chosen) entities: their numbers, base spans and entities."""
+    rows, spans, about = [], [], []
+    for i in np.flatnonzero(_candidate_rows(part.column("text"))).tolist():
+        text = part.column("text")[i].as_py()
+        found = base_spans(text)
+        held = [e for e in _entities(text, found) if chosen is None or e in chosen]
+        if held:
+            rows.append(i)
+            spans.append(found)
+            about.append(held)
+    return rows, spans, about
+
+
 def _pairs(chosen):
-    """Per partition, of each (chosen) entity and term that share documents: how many, and up to SUPPORT of their contexts."""
+    """Per partition, of each (chosen) entity and term or class that share documents: how many, and up to SUPPORT of their texts."""
 
     def run(batches):
         entities = None if chosen is None else set(chosen.value.tolist())
         held, size = [], 0
         for batch in batches:
             for part in textnum.slices(batch, "text"):
-                texts = part.column("text")
-                rows, spans, about = [], [], []
-                for i in np.flatnonzero(_candidate_rows(texts)).tolist():
-                    text = texts[i].as_py()
-                    found = base_spans(text)
-                    seen = [x for x in contexts(text, found) if entities is None or x[0] in entities]
-                    if seen:
-                        rows.append(i)
-                        spans.append(found)
-                        about.append(seen)
+                rows, spans, about = _holding(part, entities) if entities is None or entities else ((), (), ())
                 if not rows:
                     continue
-                h, row, _, _ = terms_of(texts.take(pa.array(rows)), spans)
+                h, kind, row, _, _ = terms_of(part.column("text").take(pa.array(rows)), spans)
                 edges = np.searchsorted(row, np.arange(len(rows) + 1))
                 for i, seen in enumerate(about):
-                    terms = np.unique(h[edges[i] : edges[i + 1]])
-                    for entity in sorted({x[0] for x in seen}):
-                        # of terms beside the entity those contexts, of the others one
-                        near = np.array(sorted({(_hash(t), c) for e, c, beside in seen if e == entity for t in beside}), np.int64).reshape(-1, 2)
-                        near = near[np.isin(near[:, 0], terms)]
-                        first = np.ones(len(near), bool)
-                        first[1:] = near[1:, 0] != near[:-1, 0]
-                        far = terms[~np.isin(terms, near[:, 0])]
-                        t = np.concatenate([near[:, 0], far])
-                        c = np.concatenate([near[:, 1], np.full(len(far), min(c for e, c, _ in seen if e == entity), np.int64)])
-                        held.append((np.full(len(t), entity, np.int64), t, c, np.concatenate([first, np.ones(len(far), bool)]).astype(np.int64)))
+                    text = part.column("h")[rows[i]].as_py()
+                    terms, at = np.unique(h[edges[i] : edges[i + 1]], return_index=True)
+                    kinds = kind[edges[i] : edges[i + 1]][at]
+                    t = np.concatenate([terms, np.unique(kinds)])
+                    k = np.concatenate([kinds, np.zeros(len(t) - len(kinds), np.int64)])
+                    for entity in seen:
+                        held.append((np.full(len(t), entity, np.int64), t, np.full(len(t), text, np.int64), np.ones(len(t), np.int64), k))
                         size += len(t)
                         if size > 500_000:
                             held = [_paired(held)]
@@ -281,26 +285,26 @@ def _pairs(chosen):
 
 
 def _paired(held):
-    """Sums of n by (entity, term, context); contexts of a pair beyond the least SUPPORT are counted with its first."""
-    e, t, c, n = (np.concatenate(x) for x in zip(*held, strict=True))
+    """Sums of n by (entity, term, text), with the term's class; texts of a pair beyond the least SUPPORT are counted with its first."""
+    e, t, c, n, k = (np.concatenate(x) for x in zip(*held, strict=True))
     order = np.lexsort((c, t, e))
-    e, t, c, n = e[order], t[order], c[order], n[order]
+    e, t, c, n, k = e[order], t[order], c[order], n[order], k[order]
     pair = np.ones(len(e), bool)
     pair[1:] = (e[1:] != e[:-1]) | (t[1:] != t[:-1])
     new = pair.copy()
     new[1:] |= c[1:] != c[:-1]
     at = np.flatnonzero(new)
-    e, t, c, n, pair = e[at], t[at], c[at], np.add.reduceat(n, at) if len(at) else n, pair[at]
+    e, t, c, n, k, pair = e[at], t[at], c[at], np.add.reduceat(n, at) if len(at) else n, k[at], pair[at]
     first = np.flatnonzero(pair)
     which = np.cumsum(pair) - 1
     keep = np.arange(len(e)) - first[which] < SUPPORT
     np.add.at(n, first[which[~keep]], n[~keep])
-    return e[keep], t[keep], c[keep], n[keep]
+    return e[keep], t[keep], c[keep], n[keep], k[keep]
 
 
 def _batches(columns, step: int = 100_000):
     for i in range(0, len(columns[0]), step):
-        yield pa.RecordBatch.from_arrays([pa.array(x[i : i + step]) for x in columns], names=["entity", "term", "context", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(x[i : i + step]) for x in columns], names=["entity", "term", "text", "n", "class"])
 
 
 def _broadcast(df: DataFrame, column: str):
@@ -312,47 +316,41 @@ def _broadcast(df: DataFrame, column: str):
 
 
 def disclosures(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """(entity, term, disclosure) of the pairs with enough distinct contexts that reach the generalising threshold."""
-    seen = found.select(F.explode("near").alias("x")).select("x.entity", "x.context").distinct()
+    """(entity, term, disclosure, level) of the pairs of enough texts that reach the threshold; level 1: to its class, 2: removed."""
+    seen = found.select(F.explode("entities").alias("entity"), "h").distinct()
     able = cut(seen.groupBy("entity").agg(F.count("*").alias("n")).where(F.col("n") >= SUPPORT))
-    texts = docs.select("text").where(F.col("text").isNotNull())
-    once = texts.mapInArrow(_pairs(_broadcast(able, "entity")), "entity long, term long, context long, n long").groupBy("entity", "term", "context").agg(F.sum("n").alias("n"))
-    pairs = once.groupBy("entity", "term").agg(F.count("*").alias("contexts"), F.sum("n").alias("n_both")).where(F.col("contexts") >= SUPPORT)
-    pairs = cut(pairs)
-    counts = texts.mapInArrow(_term_counts(_broadcast(pairs, "term")), "term long, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
-    entities = found.select(F.explode(F.array_distinct(F.transform("near", lambda x: x["entity"]))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
-    total = found.count()
-    given = F.least(F.lit(1.0), F.col("n_both") / F.col("n_term"))
-    content = -F.log(F.least(F.lit(0.5), F.col("n_entity") / F.lit(max(total, 1))))
-    scored = pairs.join(counts, "term").join(entities, "entity").withColumn("disclosure", 1 + F.log(given) / content)
-    return scored.where(F.col("disclosure") >= GENERALISE).select("entity", "term", "disclosure")
+    texts = docs.select(F.xxhash64("text").alias("h"), "text").where(F.col("text").isNotNull())
+    once = texts.mapInArrow(_pairs(_broadcast(able, "entity")), "entity long, term long, text long, n long, class long")
+    once = once.groupBy("entity", "term", "text").agg(F.sum("n").alias("n"), F.max("class").alias("class"))
+    pairs = once.groupBy("entity", "term").agg(F.count("*").alias("texts"), F.sum("n").alias("n_both"), F.max("class").alias("class"))
+    pairs = cut(pairs.where(F.col("texts") >= SUPPORT).drop("texts"))
+    counts = texts.select("text").mapInArrow(_term_counts(_broadcast(pairs, "term")), "term long, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
+    entities = found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
+    p = F.least(F.lit(0.5), F.col("n_entity") / F.lit(max(found.count(), 1)))
+    given = F.least(F.lit(1.0), (F.col("n_both") + SMOOTH * p) / (F.col("n_term") + SMOOTH))
+    scored = cut(pairs.join(counts, "term").join(entities, "entity").select("entity", "term", "class", (1 + F.log(given) / -F.log(p)).alias("disclosure")).where(F.col("disclosure") >= THRESHOLD))
+    # a class among those that reach the threshold itself hides nothing
+    kinds = scored.select("entity", F.col("term").alias("class"), F.lit(2).alias("level"))
+    terms = scored.where("class <> 0").join(kinds, ["entity", "class"], "left")
+    return terms.select("entity", "term", "disclosure", F.coalesce("level", F.lit(1)).alias("level"))
 
 
 def _mark(table):
     """All occurrences of the terms that disclose an entity of their document."""
 
     def run(batches):
-        entity, term, score = table.value
+        entity, term, level = table.value
         known = set(entity.tolist())
         for batch in batches:
             for part in textnum.slices(batch, "text"):
-                texts = part.column("text")
-                rows, spans, about = [], [], []
-                for i in np.flatnonzero(_candidate_rows(texts)).tolist() if known else ():
-                    text = texts[i].as_py()
-                    found = base_spans(text)
-                    held = {_hash(kind + ":" + text[a:b]) for a, kind, b in found} & known
-                    if held:
-                        rows.append(i)
-                        spans.append(found)
-                        about.append(sorted(held))
+                rows, spans, about = _holding(part, known) if known else ((), (), ())
                 if not rows:
                     continue
-                h, row, start, end = terms_of(texts.take(pa.array(rows)), spans)
+                h, _, row, start, end = terms_of(part.column("text").take(pa.array(rows)), spans)
                 edges = np.searchsorted(row, np.arange(len(rows) + 1))
                 for i, held in enumerate(about):
                     at = np.concatenate([np.arange(*np.searchsorted(entity, [e, e + 1])) for e in held])
-                    at = at[np.lexsort((-score[at], term[at]))]
+                    at = at[np.lexsort((-level[at], term[at]))]
                     at = at[np.unique(term[at], return_index=True)[1]]
                     here = slice(edges[i], edges[i + 1])
                     k = np.minimum(np.searchsorted(term[at], h[here]), len(at) - 1)
@@ -362,9 +360,9 @@ def _mark(table):
                             [
                                 *(pa.array([part.column(c)[rows[i]].as_py()] * len(hit), pa.int64()) for c in ("doc_id", "h")),
                                 *(pa.array(x[here][hit].astype(np.int32)) for x in (start, end)),
-                                pa.array(score[at][k[hit]]),
+                                pa.array(level[at][k[hit]].astype(np.int32)),
                             ],
-                            names=["doc_id", "h", "start", "end", "disclosure"],
+                            names=["doc_id", "h", "start", "end", "level"],
                         )
 
     return run
@@ -377,13 +375,13 @@ def term_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
     rounds = max(1, math.ceil(scored.count() / BROADCAST_TERMS))
     hits = None
     for k in range(rounds):
-        some = sorted(tuple(r) for r in scored.where(F.pmod(F.xxhash64("entity", "term"), F.lit(rounds)) == k).toLocalIterator())
-        e, t, d = zip(*some, strict=True) if some else ((), (), ())
-        table = docs.sparkSession.sparkContext.broadcast((np.array(e, np.int64), np.array(t, np.int64), np.array(d, np.float64)))
-        new = keyed.mapInArrow(_mark(table), "doc_id long, h long, start int, end int, disclosure double")
+        some = sorted(tuple(r) for r in scored.where(F.pmod(F.xxhash64("entity", "term"), F.lit(rounds)) == k).select("entity", "term", "level").toLocalIterator())
+        e, t, level = zip(*some, strict=True) if some else ((), (), ())
+        table = docs.sparkSession.sparkContext.broadcast((np.array(e, np.int64), np.array(t, np.int64), np.array(level, np.int64)))
+        new = keyed.mapInArrow(_mark(table), "doc_id long, h long, start int, end int, level int")
         hits = new if hits is None else hits.union(new)
-    hit = hits.groupBy("doc_id", "h", "start", "end").agg(F.max("disclosure").alias("disclosure"))
-    return hit.groupBy("doc_id", "h").agg(F.array_sort(F.collect_list(F.struct("start", "end", "disclosure"))).alias("terms"))
+    hit = hits.groupBy("doc_id", "h", "start", "end").agg(F.max("level").alias("level"))
+    return hit.groupBy("doc_id", "h").agg(F.array_sort(F.collect_list(F.struct("start", "end", "level"))).alias("terms"))
 
 
 def spans_column():
@@ -418,7 +416,7 @@ _MASKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"
 
 def _mask_text(text: str, spans, terms) -> str:
     marks = [(a, b, _MASKS[k]) for a, k, b in spans]
-    marks += [(x["start"], x["end"], "" if x["disclosure"] >= REMOVE else "[TERM]") for x in terms or ()]
+    marks += [(x["start"], x["end"], "" if x["level"] > 1 else f"[*{text[max(x['start'], x['end'] - CLASS_LETTERS) : x['end']]}]") for x in terms or ()]
     out, at = [], 0
     for a, b, mask in sorted(marks):
         if a < at:  # overlaps what is masked already: only its rest is taken out

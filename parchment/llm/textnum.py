@@ -128,14 +128,19 @@ class Words:
 
     def hashes(self, lane: int = 0) -> np.ndarray:
         """A 64-bit polynomial hash of each word's bytes, finalised with its length."""
-        n = len(self.data)
-        if not len(self.start):
-            return np.zeros(0, np.uint64)
-        up, down = powers(lane, n + 1)
-        total = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
-        h = (total[self.end] - total[self.start]) * down[self.start]
-        return mix(h + (self.end - self.start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        return span_hashes(self.data, self.start, self.end, lane)
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lane: int = 0) -> np.ndarray:
+    """A 64-bit polynomial hash of each span of bytes, finalised with its length."""
+    n = len(data)
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    up, down = powers(lane, n + 1)
+    total = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
+    h = (total[end] - total[start]) * down[start]
+    return mix(h + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def rolling(h: np.ndarray, width: int, lane: int = 0) -> np.ndarray:

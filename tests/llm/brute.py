@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import Counter
 from itertools import groupby
@@ -115,6 +116,33 @@ def pii(t):
     return _digest(spans, ("email", "ip", "card", "phone"))
 
 
+def pii_terms(docs, support=2, smooth=1.0, threshold=0.9):
+    """Per row (start, end, level) of the terms that disclose an entity of the row: PMI over rows, level 1 if the class of the last two letters is under the threshold."""
+    runs = [[(m.start(), m.end(), lower(m[0])) for m in re.finditer(r"[A-Za-z\x80-\U0010ffff]+", t or "")] for _, t in docs]
+    spans = [[(k, int(a), int(b)) for k, a, b in (x.split(":") for x in filter(None, pii(t)[2].split(",")))] for _, t in docs]
+    holds = [{(k, t[a:b]) for k, a, b in s} for s, (_, t) in zip(spans, docs, strict=True)]
+    terms = [[r for r in rs if r[1] - r[0] >= 3 and not any(a < r[1] and r[0] < b for _, a, b in s)] for rs, s in zip(runs, spans, strict=True)]
+    n_term = Counter(x for rs in runs for x in {w for _, _, w in rs} | {("class", w[-2:]) for _, _, w in rs})
+    n_entity = Counter(e for h in holds for e in h)
+    both, texts = Counter(), {}
+    for h, rs, (_, t) in zip(holds, terms, docs, strict=True):
+        for e in h:
+            for x in {w for _, _, w in rs} | {("class", w[-2:]) for _, _, w in rs}:
+                both[e, x] += 1
+                texts.setdefault((e, x), set()).add(t)
+
+    def high(e, x):
+        p = min(0.5, n_entity[e] / len(docs))
+        given = min(1.0, (both[e, x] + smooth * p) / (n_term[x] + smooth))
+        return len(texts[e, x]) >= support and 1 + math.log(given) / -math.log(p) >= threshold
+
+    out = []
+    for h, rs in zip(holds, terms, strict=True):
+        levels = ((a, b, max((1 + high(e, ("class", w[-2:])) for e in h if high(e, w)), default=0)) for a, b, w in rs)
+        out.append([x for x in levels if x[2]])
+    return out
+
+
 def secrets(t):
     t = t or ""
     words = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key"))

@@ -1,5 +1,7 @@
 """Each operator against a brute-force restatement, on rows with nulls, empties, ties, copies and clashing columns."""
 
+import time
+
 import brute
 import numpy as np
 import pytest
@@ -174,6 +176,32 @@ def test_pii(docs, rows, nothing):
     assert pii.report(nothing).count() == 0
 
 
+def test_pii_terms_against_brute_force(docs, rows):
+    """Terms, their places and their levels on the mixed rows are those of a plain count of documents."""
+    found = brute.pii_terms([(d, t) for d, t, _ in rows])
+    want = {(d, t, *x) for (d, t, _), spans in zip(rows, found, strict=True) for x in spans}
+    got = pii.term_spans(docs.select("doc_id", "text"), pii.find(docs)).join(docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("th"), "text"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("th")))
+    assert {(r["doc_id"], r["text"], x["start"], x["end"], x["level"]) for r in got.collect() for x in r["terms"]} == want
+    assert len(want) > 20 and {x[-1] for x in want} == {1, 2}
+
+
+def test_pii_ladder(spark):
+    """A disclosing term becomes its class where that is common, and is removed where it is not."""
+    rows = [(i, f"wrote {x} Zebulon and Quexaz from z@corp.example.com about plan") for i, x in enumerate(("alpha", "bravo", "gamma"))]
+    rows += [(100 + i, f"wrote from about plan and button {i}") for i in range(200)]
+    masked = {r["doc_id"]: r["text"] for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert masked[0] == "wrote alpha [*on] and  from [EMAIL] about plan" and masked[100] == rows[3][1]
+
+
+def test_pii_long_log(spark):
+    """A log of many entities is read in time in proportion to its length."""
+    log = "\n".join(f"request of user{i}@h{i % 7}.example.com from 10.{i % 200}.{i % 91}.7 done" for i in range(20_000))
+    df = spark.createDataFrame([(1, log), (2, log + " end")], "doc_id long, text string")
+    began = time.time()
+    r = pii.find(df).collect()
+    assert [x["n_email"] for x in r] == [20_000, 20_000] and time.time() - began < 30
+
+
 def test_pii_terms(spark):
     """A word that goes with one address wherever it occurs is a span; common words are not."""
     names = ["alpha", "bravo", "charlie", "delta", "echo", "foxtrot"]
