@@ -1,10 +1,14 @@
 """Operator 3, quality rules with host-level verdicts.
 
 Per document the base statistics decide ``base_failed``.  Rule failures are then
-aggregated by host (here the documents' ``source``), each rule's failure rate is
-shrunk towards the corpus by a beta prior fitted to the hosts by moments, and a
-host is rejected when a shrunk rate reaches ``REJECT``: nearly all that it
-publishes fails that rule.  Documents of a rejected host go even if they passed.
+aggregated by host (here the documents' ``source``).  Each rule has a beta prior of
+the hosts' failure rates, fitted by moments: mean m, and the variance between hosts
+left when that of drawing documents is taken off.  A host's posterior under that
+prior has a mean and a deviation; the host is rejected when, for any rule, its rate
+exceeds both ``FACTOR`` times the corpus rate m and ``FLOOR`` at a certainty of 95 %
+(the mean less CERTAIN deviations).  The verdict is relative, so a host is judged
+against all others; the floor keeps hosts whose documents nearly all pass, whatever
+the corpus rate.  Documents of a rejected host go even if they passed.
 
 Scale: one map-only pass over texts gives small rows, which are checkpointed.
 The aggregation by host combines on the map side, so a host with a third of all
@@ -30,7 +34,10 @@ from .runtime import cut, pack, read, unpack
 MIN_WORDS = 20
 REPEAT_WINDOW = 8
 MAX_REPEAT_PERCENT = 30
-REJECT = 0.95
+FACTOR = 2.0
+FLOOR = 0.2
+CERTAIN = 1.645
+MAX_STRENGTH = 1000.0
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
@@ -121,43 +128,46 @@ def measured(docs: DataFrame) -> DataFrame:
     return out.withColumn("base_failed", F.col("fails_short") | F.col("fails_repeats"))
 
 
-def host_verdicts(stats: DataFrame, reject: float = REJECT) -> DataFrame:
-    """(host, n_docs, rate_<rule>, host_rejected): failure rates by host, shrunk by a beta prior fitted by moments.
+def host_verdicts(stats: DataFrame, factor: float = FACTOR, floor: float = FLOOR) -> DataFrame:
+    """(host, n_docs, rate_<rule>, low_<rule>, host_rejected): posterior mean and lower bound of each rule's failure rate, and the verdict.
 
     ``stats`` has a row per document, or counts ``n`` of documents with equal verdicts.
     """
     names = [*RULES, "base"]
     failed = {**{k: F.col(f"fails_{k}") for k in RULES}, "base": F.col("base_failed")}
     weight = F.col("n") if "n" in stats.columns else F.lit(1)
-    hosts = stats.groupBy("host").agg(F.sum(weight).alias("n_docs"), *[F.sum(F.when(failed[k], weight).otherwise(0)).alias(f"n_{k}") for k in names])
-    # moments over hosts: mean m and variance v give strength m(1-m)/v - 1, kept within [1, 1000]
-    moments = hosts.agg(*[F.avg(F.col(f"n_{k}") / F.col("n_docs")).alias(f"m_{k}") for k in names], *[F.var_pop(F.col(f"n_{k}") / F.col("n_docs")).alias(f"v_{k}") for k in names])
-    row = moments.first()
-    rates = []
+    hosts = cut(stats.groupBy("host").agg(F.sum(weight).alias("n_docs"), *[F.sum(F.when(failed[k], weight).otherwise(0)).alias(f"n_{k}") for k in names]))
+    totals = hosts.agg(F.avg(1 / F.col("n_docs")).alias("inverse"), *[F.avg(F.col(f"n_{k}") / F.col("n_docs")).alias(f"m_{k}") for k in names], *[F.var_pop(F.col(f"n_{k}") / F.col("n_docs")).alias(f"v_{k}") for k in names])
+    row = totals.first()
+    rates, lows, verdict = [], [], F.lit(False)
     for k in names:
-        m, v = row[f"m_{k}"] or 0.0, row[f"v_{k}"] or 0.0
-        m = min(max(m, 1e-6), 1 - 1e-6)
-        strength = min(max(m * (1 - m) / v - 1 if v > 0 else 1000.0, 1.0), 1000.0)
-        rates.append(((F.col(f"n_{k}") + F.lit(m * strength)) / (F.col("n_docs") + F.lit(strength))).alias(f"rate_{k}"))
-    return hosts.select("host", "n_docs", *rates).withColumn("host_rejected", F.greatest(*[F.col(f"rate_{k}") for k in names]) >= F.lit(reject))
-
-
-def judged(docs: DataFrame, host: str = "source", reject: float = REJECT) -> DataFrame:
+        m = min(max(row[f"m_{k}"] or 0.0, 1e-6), 1 - 1e-6)
+        between = (row[f"v_{k}"] or 0.0) - m * (1 - m) * (row["inverse"] or 0.0)
+        strength = min(max(m * (1 - m) / between - 1, 1.0), MAX_STRENGTH) if between > 0 else MAX_STRENGTH
+        rate = (F.col(f"n_{k}") + F.lit(m * strength)) / (F.col("n_docs") + F.lit(strength))
+        low = rate - F.lit(CERTAIN) * F.sqrt(rate * (1 - rate) / (F.col("n_docs") + F.lit(strength + 1)))
+        rates.append(rate.alias(f"rate_{k}"))
+        lows.append(low.alias(f"low_{k}"))
+        verdict = verdict | (F.col(f"low_{k}") > F.lit(max(factor * m, floor)))
+    return hosts.select("host", "n_docs", *rates, *lows).withColumn("host_rejected", verdict)
+
+
+def judged(docs: DataFrame, host: str = "source", factor: float = FACTOR, floor: float = FLOOR) -> DataFrame:
     """One small row per document: doc_id, host, statistics, base_failed, host_rejected, kept."""
     stats = cut(measured(docs.select("doc_id", F.col(host).alias("host"), "text")).drop("text"))
-    hosts = host_verdicts(stats, reject).withColumnRenamed("host", "v_host")
+    hosts = host_verdicts(stats, factor, floor).withColumnRenamed("host", "v_host")
     both = stats.join(hosts, F.col("host").eqNullSafe(F.col("v_host")), "left")
     return both.withColumn("kept", ~F.col("base_failed") & ~F.coalesce("host_rejected", F.lit(False)))
 
 
-def keep_good(docs: DataFrame, host: str = "source", reject: float = REJECT) -> DataFrame:
+def keep_good(docs: DataFrame, host: str = "source", factor: float = FACTOR, floor: float = FLOOR) -> DataFrame:
     """The rows of ``docs`` that pass their own rules and whose host is not rejected; texts are not shuffled.
 
     Rejected hosts are few by their nature; their number is checked before they are broadcast.
     """
     slim = docs.select("doc_id", F.col(host).alias("host"), "text")
     stats = cut(measured(slim).groupBy("host", *[f"fails_{k}" for k in RULES], "base_failed").agg(F.count("*").alias("n")))
-    bad = cut(host_verdicts(stats, reject).where("host_rejected").select(F.col("host").alias("v_host")))
+    bad = cut(host_verdicts(stats, factor, floor).where("host_rejected").select(F.col("host").alias("v_host")))
     fresh = measured(pack(docs).withColumn("host", F.col(f"row.`{host}`")))
     on = F.col("host").eqNullSafe(F.col("v_host"))
     small = bad.count() <= 100_000
@@ -169,13 +179,15 @@ def op3_host_quality(spark, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *STATS, "base_failed", "kept")
 
 
-_RATES = "".join(
+_NAMES = (*RULES, "base")
+_PRIORS = "".join(
     f"""
-, {k}_m AS (SELECT least(greatest(avg(n_{k} / n_docs), 1e-6), 1 - 1e-6) AS m, var_pop(n_{k} / n_docs) AS v FROM hosts)
-, {k}_p AS (SELECT m, CASE WHEN v > 0 THEN least(greatest(m * (1 - m) / v - 1, 1.0), 1000.0) ELSE 1000.0 END AS s FROM {k}_m)"""
-    for k in (*RULES, "base")
+, {k}_m AS (SELECT least(greatest(avg(n_{k} / n_docs), 1e-6), 1 - 1e-6) AS m, var_pop(n_{k} / n_docs) AS v, avg(1 / n_docs) AS inverse FROM hosts)
+, {k}_p AS (SELECT m, CASE WHEN v - m * (1 - m) * inverse > 0 THEN least(greatest(m * (1 - m) / (v - m * (1 - m) * inverse) - 1, 1.0), {MAX_STRENGTH}) ELSE {MAX_STRENGTH} END AS s FROM {k}_m)
+, {k}_r AS (SELECT source, n_docs + s + 1 AS n, (n_{k} + m * s) / (n_docs + s) AS rate, greatest({FACTOR} * m, {FLOOR}) AS bad FROM hosts, {k}_p)
+, {k}_v AS (SELECT source, rate - {CERTAIN} * sqrt(rate * (1 - rate) / n) > bad AS rejected FROM {k}_r)"""
+    for k in _NAMES
 )
-_SHRUNK = ", ".join(f"(n_{k} + {k}_p.m * {k}_p.s) / (n_docs + {k}_p.s)" for k in (*RULES, "base"))
 OP3_SQL = (
     r"""
 WITH d AS (
@@ -201,9 +213,9 @@ WITH d AS (
          count_if(dups) AS n_lines, count_if(short OR repeats) AS n_base
   FROM f GROUP BY source
 )"""
-    + _RATES
+    + _PRIORS
     + f"""
-, verdicts AS (SELECT source, greatest({_SHRUNK}) >= {REJECT} AS rejected FROM hosts, {", ".join(f"{k}_p" for k in (*RULES, "base"))})
+, verdicts AS (SELECT source, bool_or(rejected) AS rejected FROM ({" UNION ALL ".join(f"SELECT * FROM {k}_v" for k in _NAMES)}) GROUP BY source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, short OR repeats AS base_failed, NOT (short OR repeats) AND NOT rejected AS kept
 FROM f JOIN verdicts ON f.source IS NOT DISTINCT FROM verdicts.source
 """
