@@ -2,11 +2,12 @@
 
 Patterns find candidate credentials in every text.  Each candidate's value is
 hashed and the corpus is asked how widely it is held: by how many distinct
-owners and repositories.  A value that many owners hold is a copied example
-(documentation, templates); a high-entropy value of a single owner looks live.
-The contract's three base kinds are always reported.  The method adds spans of
-kind ``key`` (credential formats that the base kinds miss) where the value is
-owner-specific; widely copied ones are left alone.
+owners and repositories.  A value that many owners hold, or that stands in many
+repositories, is a copied example (documentation, templates); a high-entropy
+value of one owner, in few repositories, looks live.  The contract's three base
+kinds are always reported.  The method adds a span of kind ``live`` for the value
+of each candidate that looks live, and one of kind ``key`` for credential formats
+that the base kinds miss, unless they are copied examples.
 
 Scale: one map-only pass over texts, checkpointed without texts.  Ownership is
 counted in two aggregations with map-side combine, first over distinct
@@ -34,9 +35,11 @@ from .pii import joined
 from .runtime import cut, read
 
 EXAMPLE_OWNERS = 3
+EXAMPLE_REPOSITORIES = 6
+LIVE_REPOSITORIES = 2
 LIVE_BITS = 2.5
 
-KINDS = ("assign", "access", "hex", "key")
+KINDS = ("assign", "access", "hex", "key", "live")
 _ASSIGN = re.compile(
     r"([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
     r"[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
@@ -67,8 +70,8 @@ def bits(value: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in Counter(value).values())
 
 
-_ITEM = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.string()), ("bits", pa.float64())])
-_FOUND = "doc_id long, h long, owner string, repository string, n_assign long, n_access long, n_hex long, base string, items array<struct<kind:string,start:int,end:int,value:string,bits:double>>"
+_ITEM = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("size", pa.int32()), ("value", pa.string()), ("bits", pa.float64())])
+_FOUND = "doc_id long, h long, owner string, repository string, n_assign long, n_access long, n_hex long, base string, items array<struct<kind:string,start:int,end:int,size:int,value:string,bits:double>>"
 
 
 def _find(batches):
@@ -80,7 +83,7 @@ def _find(batches):
             found = candidates(text) if text else ()
             if found:
                 base[i] = joined([(a, k, b) for a, k, b, _ in found if k != "key"])
-                items[i] = [{"kind": k, "start": a, "end": b, "value": v, "bits": bits(v)} for a, k, b, v in found]
+                items[i] = [{"kind": k, "start": a, "end": b, "size": len(v), "value": v, "bits": bits(v)} for a, k, b, v in found]
                 for _, k, _, _ in found:
                     if k != "key":
                         counts[KINDS.index(k), i] += 1
@@ -108,7 +111,9 @@ def ownership(found: DataFrame) -> DataFrame:
     held = found.where(F.size("items") > 0).select("owner", "repository", F.explode("items").alias("x")).select("owner", "repository", "x.value", "x.bits")
     once = held.groupBy("value", "owner", "repository").agg(F.max("bits").alias("bits"))
     held_by = once.groupBy("value").agg(F.count_distinct("owner").alias("n_owners"), F.count_distinct("owner", "repository").alias("n_repositories"), F.max("bits").alias("bits"))
-    verdict = F.when(F.col("n_owners") >= EXAMPLE_OWNERS, "example").when((F.col("n_owners") == 1) & (F.col("bits") >= LIVE_BITS), "live").otherwise("unclear")
+    example = (F.col("n_owners") >= EXAMPLE_OWNERS) | (F.col("n_repositories") >= EXAMPLE_REPOSITORIES)
+    live = (F.col("n_owners") == 1) & (F.col("n_repositories") <= LIVE_REPOSITORIES) & (F.col("bits") >= LIVE_BITS)
+    verdict = F.when(example, "example").when(live, "live").otherwise("unclear")
     return held_by.select("value", "n_owners", "n_repositories", verdict.alias("verdict"))
 
 
@@ -117,11 +122,16 @@ def report(docs: DataFrame, owner=None, repository=None) -> DataFrame:
     repository = F.concat_ws("/", owner, F.col("lang")) if repository is None else repository
     found = find(docs, owner, repository)
     each = found.where(F.size("items") > 0).select("doc_id", "h", F.explode("items").alias("x")).select("doc_id", "h", "x.*").distinct()
+    place = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int")
+    # a value ends where its match ends
+    spans = F.when((F.col("kind") != "key") | (F.col("verdict") != "example"), F.struct("start", place.alias("k"), "end"))
+    live = F.when(F.col("verdict") == "live", F.struct((F.col("end") - F.col("size")).alias("start"), F.lit(len(KINDS)).alias("k"), "end"))
     judged = each.join(ownership(found), "value").groupBy("doc_id", "h").agg(
         F.count_if(F.col("verdict") == "live").alias("n_live"),
         F.count_if(F.col("verdict") == "example").alias("n_example"),
         F.max("n_owners").alias("max_owners"),
-        F.array_sort(F.collect_list(F.when((F.col("kind") != "key") | (F.col("n_owners") < EXAMPLE_OWNERS), F.struct("start", F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).alias("k"), "end")))).alias("all"),
+        F.max("n_repositories").alias("max_repositories"),
+        F.array_sort(F.array_union(F.collect_list(spans), F.collect_set(live))).alias("all"),
     )
     judged = judged.withColumnsRenamed({"doc_id": "j_doc_id", "h": "j_h"})
     both = found.join(judged, F.col("doc_id").eqNullSafe(F.col("j_doc_id")) & (F.col("h") == F.col("j_h")), "left")
@@ -130,6 +140,7 @@ def report(docs: DataFrame, owner=None, repository=None) -> DataFrame:
     return both.select(
         "doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), spans.alias("spans"),
         F.coalesce("n_live", F.lit(0)).cast("long").alias("n_live"), F.coalesce("n_example", F.lit(0)).cast("long").alias("n_example"), F.coalesce("max_owners", F.lit(0)).cast("long").alias("max_owners"),
+        F.coalesce("max_repositories", F.lit(0)).cast("long").alias("max_repositories"),
     )
 
 
@@ -152,7 +163,7 @@ def _matches_sql(kind: int, pattern: str, value: str, condition: str) -> str:
 
 OP10_SQL = f"""
 WITH d AS (
-  SELECT doc_id, coalesce(source, '') AS owner, coalesce(text, '') AS t FROM documents
+  SELECT doc_id, coalesce(source, '') AS owner, concat_ws('/', source, lang) AS repository, coalesce(text, '') AS t FROM documents
 ), base AS ({_matches_sql(0, _ASSIGN_SQL, "g", "length(v) >= 8")}
   UNION ALL{_matches_sql(1, _ACCESS.pattern, "m", "length(x) >= 16")}
   UNION ALL{_matches_sql(2, "[0-9a-f]{32,}", "m", "true")}
@@ -161,17 +172,25 @@ WITH d AS (
   SELECT * FROM base
   UNION ALL SELECT * FROM added WHERE NOT EXISTS (SELECT 1 FROM base WHERE base.doc_id = added.doc_id AND base.a < added.z AND added.a < base.z)
 ), held AS (
-  SELECT v, count(DISTINCT owner) AS n_owners FROM item JOIN d USING (doc_id) GROUP BY v
+  SELECT v, count(DISTINCT owner) AS n_owners, count(DISTINCT (owner, repository)) AS n_repositories FROM item JOIN d USING (doc_id) GROUP BY v
 ), entropy AS (
   SELECT v, -sum(n / length(v) * log2(n / length(v))) AS bits FROM (SELECT v, c, count(*) AS n FROM (SELECT v, unnest(string_split(v, '')) AS c FROM held) GROUP BY v, c) GROUP BY v
+), verdicts AS (
+  SELECT v, n_owners, n_repositories, CASE WHEN n_owners >= {EXAMPLE_OWNERS} OR n_repositories >= {EXAMPLE_REPOSITORIES} THEN 'example'
+         WHEN n_owners = 1 AND n_repositories <= {LIVE_REPOSITORIES} AND bits >= {LIVE_BITS} THEN 'live' ELSE 'unclear' END AS verdict
+  FROM held JOIN entropy USING (v)
+), span AS (
+  SELECT doc_id, k, a, z FROM item JOIN verdicts USING (v) WHERE k < 3 OR verdict <> 'example'
+  UNION SELECT doc_id, 4, z - length(v), z FROM item JOIN verdicts USING (v) WHERE verdict = 'live'
+), spans AS (
+  SELECT doc_id, string_agg(['assign', 'access', 'hex', 'key', 'live'][k + 1] || ':' || a || ':' || z, ',' ORDER BY a, k) AS spans FROM span GROUP BY doc_id
 ), judged AS (
   SELECT doc_id, count_if(k = 0) AS n_assign, count_if(k = 1) AS n_access, count_if(k = 2) AS n_hex,
          string_agg(['assign', 'access', 'hex'][k + 1] || ':' || a || ':' || z, ',' ORDER BY a, k) FILTER (k < 3) AS base,
-         string_agg(['assign', 'access', 'hex', 'key'][k + 1] || ':' || a || ':' || z, ',' ORDER BY a, k) FILTER (k < 3 OR n_owners < {EXAMPLE_OWNERS}) AS spans,
-         count_if(n_owners = 1 AND bits >= {LIVE_BITS}) AS n_live, count_if(n_owners >= {EXAMPLE_OWNERS}) AS n_example, max(n_owners) AS max_owners
-  FROM item JOIN held USING (v) JOIN entropy USING (v) GROUP BY doc_id
+         count_if(verdict = 'live') AS n_live, count_if(verdict = 'example') AS n_example, max(n_owners) AS max_owners, max(n_repositories) AS max_repositories
+  FROM item JOIN verdicts USING (v) GROUP BY doc_id
 )
-SELECT doc_id, {", ".join(f"CAST(coalesce({c}, 0) AS BIGINT) AS {c}" for c in ("n_assign", "n_access", "n_hex", "n_live", "n_example", "max_owners"))},
+SELECT doc_id, {", ".join(f"CAST(coalesce({c}, 0) AS BIGINT) AS {c}" for c in ("n_assign", "n_access", "n_hex", "n_live", "n_example", "max_owners", "max_repositories"))},
        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
-FROM d LEFT JOIN judged USING (doc_id)
+FROM d LEFT JOIN judged USING (doc_id) LEFT JOIN spans USING (doc_id)
 """

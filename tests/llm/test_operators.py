@@ -3,6 +3,7 @@
 import time
 
 import brute
+import duckdb
 import numpy as np
 import pytest
 from conftest import lines
@@ -145,6 +146,27 @@ def test_quality_rejects_hosts(spark):
     assert {r["doc_id"] for r in quality.keep_good(df).collect()} == {1000 + i for i in range(60)}
 
 
+def test_quality_is_relative(spark):
+    """One host whose documents all fail is rejected among a thousand that fail at 5 %; one at 15 % is not."""
+    rows = [(h * 1000 + i, f"h{h}", 0 if i < (100 if h == 0 else 15 if h == 1 else 5) else 1) for h in range(1000) for i in range(100)]
+    stats = spark.createDataFrame(rows, "doc_id long, host string, ok int").select("host", *[(F.lit(False) if k != "symbols" else F.col("ok") == 0).alias(f"fails_{k}") for k in quality.RULES], F.lit(False).alias("base_failed"))
+    assert [r["host"] for r in quality.host_verdicts(stats).where("host_rejected").collect()] == ["h0"]
+
+
+@pytest.mark.parametrize("bad", [0, 30])
+def test_quality_sql_with_bad_hosts(spark, bad, tmp_path):
+    """Code and SQL agree where hosts are rejected, ``kept`` then being less than what passes its own rules."""
+    fine = lambda i: " ".join(f"w{i}x{k}" for k in range(40))
+    rows = [(h * 100 + i, "##### " * 8 + fine(i) if h == 1 and i < bad else fine(i), f"h{h}" if h else None) for h in range(6) for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    df = quality.op3_host_quality(spark, str(tmp_path))
+    found = sorted(map(tuple, df.collect()))
+    assert found == sorted(con.execute(f"SELECT {', '.join(df.columns)} FROM ({quality.OP3_SQL})").fetchall())
+    assert sum(not r["kept"] for r in df.collect()) == (40 if bad else 0) and df.where("base_failed").count() == 0
+
+
 def test_mixing(docs, rows, nothing):
     found = mixing.mix(mixing.sized(docs), block_tokens=64).collect()
     size = {}
@@ -253,10 +275,20 @@ def test_secret_ownership(spark):
     rows = [(i, f"copied {key} here", f"owner{i}") for i in range(4)] + [(9, f"mine {own} here", "owner9")]
     df = spark.createDataFrame([(d, t, s, "en") for d, t, s in rows], "doc_id long, text string, source string, lang string")
     found = {r["doc_id"]: r for r in secrets.report(df).collect()}
-    assert found[9]["spans"].startswith("key:") and found[9]["n_live"] == 1
+    assert found[9]["spans"] == "key:5:45,live:5:45" and found[9]["n_live"] == 1 and found[9]["max_repositories"] == 1
     assert found[0]["spans"] == "" and found[0]["n_example"] == 1 and found[0]["max_owners"] == 4
 
 
+def test_secret_repositories(spark):
+    """A value of one owner in many repositories is an example, in few it is live; both are reported by their base kinds."""
+    own, wide = "04dbebab91ab85687d33eeaaf9ac699e1188f962", "14dbebab91ab85687d33eeaaf9ac699e1188f962"
+    rows = [(i, f"token={wide} x", "a", f"l{i}") for i in range(6)] + [(10, f"token={own} x", "a", "l0"), (11, f"see {own}", "a", "l1")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    found = {r["doc_id"]: r for r in secrets.report(df).collect()}
+    assert found[0]["spans"] == "assign:0:46,hex:6:46" and found[0]["n_example"] == 2 and found[0]["max_repositories"] == 6
+    assert found[10]["spans"] == "assign:0:46,hex:6:46,live:6:46" and found[11]["spans"] == "hex:4:44,live:4:44"
+
+
 @pytest.mark.parametrize("shard_bytes", [1 << 24, 300])
 def test_decontamination(docs, rows, items, nothing, shard_bytes):
     held, table = items
