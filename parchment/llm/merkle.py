@@ -12,12 +12,16 @@ group grows with the corpus, and the tree height is the same for all segments.
 All levels together are a fraction 1/(fanout-1) larger than the leaves.
 
 Defined cases: a null field hashes unlike an empty one; repeated rows are records
-of their own; a segment that only one replica has differs at its root; an empty
-table has no roots and audits as intact.
+of their own; a record without an order key (null segment) goes to one of as many
+segments of their own as hold about half the bound each, by a hash of the columns
+given for that, equal in both replicas; records that only the replica has are rows
+with verdict ``extra``; an empty table has no roots and no rows.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -63,9 +67,9 @@ def tree(leaf_nodes: DataFrame, levels: int = LEVELS, fanout: int = FANOUT) -> l
     return out
 
 
-def mismatches(ours: list[DataFrame], theirs: list[DataFrame], fanout: int = FANOUT) -> DataFrame:
-    """(segment, position, verdict) of the leaves that differ, are missing or are extra in ``theirs``."""
-    suspects = None
+def mismatches(ours: list[DataFrame], theirs: list[DataFrame], fanout: int = FANOUT) -> tuple[DataFrame, DataFrame]:
+    """(segment, position, verdict) of the leaves that differ, are missing or are extra in ``theirs``, and (segment, nodes_compared)."""
+    suspects, visited = None, None
     for mine, other in zip(reversed(ours), reversed(theirs), strict=True):
         if suspects is not None:
             up = suspects.select("segment", F.col("position").alias("parent"))
@@ -73,16 +77,30 @@ def mismatches(ours: list[DataFrame], theirs: list[DataFrame], fanout: int = FAN
         a = mine.select("segment", "position", F.struct("from", "to", "hash").alias("a"))
         b = other.select("segment", "position", F.struct("from", "to", "hash").alias("b"))
         verdict = F.when(F.col("b").isNull(), "missing").when(F.col("a").isNull(), "extra").otherwise("corrupt")
-        suspects = cut(a.join(b, ["segment", "position"], "full").where(~F.col("a").eqNullSafe(F.col("b"))).select("segment", "position", verdict.alias("verdict")))
-    return suspects
-
-
-def audit(records: DataFrame, replica: DataFrame, segment: Column, order: list[str], content: Column) -> DataFrame:
-    """The leaves of ``records`` with the verdict of the comparison (intact, corrupt or missing)."""
-    leaf = cut(leaves(records, segment, order, content))
-    other = cut(leaves(replica, segment, order, content))
-    found = mismatches(tree(leaf), tree(other))
-    return leaf.join(found, ["segment", "position"], "left").withColumn("verdict", F.coalesce("verdict", F.lit("intact")))
+        level = cut(a.join(b, ["segment", "position"], "full").select("segment", "position", F.when(~F.col("a").eqNullSafe(F.col("b")), verdict).alias("verdict")))
+        seen = level.groupBy("segment").agg(F.count("*").alias("n"))
+        visited = seen if visited is None else visited.union(seen)
+        suspects = level.where("verdict IS NOT NULL")
+    return suspects, visited.groupBy("segment").agg(F.sum("n").alias("nodes_compared"))
+
+
+def audit(records: DataFrame, replica: DataFrame, segment: Column, order: list[str], content: Column, spread: list[str] | None = None) -> DataFrame:
+    """The leaves of ``records``, and those that only ``replica`` has, with verdict (intact, corrupt, missing or extra).
+
+    Added are both roots of the segment (null where a replica has none; the first if a segment is over the bound) and the
+    number of nodes that were compared in it.  ``spread`` names the columns whose hash deals out records of a null segment.
+    """
+    nulls = records.where(segment.isNull()).count()
+    dealt = -1 - F.pmod(F.xxhash64(*(spread or order)), F.lit(max(1, math.ceil(2 * nulls / SEGMENT_RECORDS))))
+    segment = F.coalesce(segment.cast("long"), dealt)
+    leaf, other = (cut(leaves(x, segment, order, content)) for x in (records, replica))
+    ours, theirs = tree(leaf), tree(other)
+    found, visited = mismatches(ours, theirs)
+    mine = leaf.join(found, ["segment", "position"], "left").withColumn("verdict", F.coalesce("verdict", F.lit("intact")))
+    extra = other.join(found.where("verdict = 'extra'"), ["segment", "position"])
+    roots = [top.where("position = 0").select("segment", F.col("hash").alias(name)) for top, name in ((ours[-1], "root"), (theirs[-1], "replica_root"))]
+    about = visited.join(roots[0], "segment", "left").join(roots[1], "segment", "left")
+    return mine.unionByName(extra).join(about, "segment")
 
 
 def damaged(pages: DataFrame) -> DataFrame:
@@ -94,19 +112,40 @@ def damaged(pages: DataFrame) -> DataFrame:
 def op8_merkle_fixity(spark, sf_dir: str) -> DataFrame:
     """Audits the archive of ``pages`` against a replica that was damaged on purpose."""
     pages = read(spark, sf_dir, "pages").select("page_id", "url", "html")
-    found = audit(pages, damaged(pages), F.expr(f"page_id div {SEGMENT_RECORDS}"), ["page_id"], warc_record(F.col("url"), F.col("html")))
-    return found.select("page_id", "segment", F.col("from").alias("offset_from"), F.col("to").alias("offset_to"), F.col("hash").alias("record_sha256"), "verdict")
+    found = audit(pages, damaged(pages), F.expr(f"page_id div {SEGMENT_RECORDS}"), ["page_id"], warc_record(F.col("url"), F.col("html")), ["url"])
+    return found.select(
+        "page_id", "segment", F.col("from").alias("offset_from"), F.col("to").alias("offset_to"), F.col("hash").alias("record_sha256"), "verdict",
+        F.col("root").alias("root_sha256"), F.col("replica_root").alias("replica_root_sha256"), "nodes_compared",
+    )
 
 
-OP8_SQL = """
-WITH r AS (
-  SELECT page_id, page_id // 4096 AS segment, html,
+def _tree_sql(side: str, html: str) -> str:
+    """Leaves ``<side>0`` to roots ``<side>3`` of the archive of ``html``."""
+    out = f"""
+{side}r AS (
+  SELECT page_id, page_id // {SEGMENT_RECORDS} AS segment, html,
          'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10)
          || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || CAST(strlen(html) AS VARCHAR) || chr(13) || chr(10) || chr(13) || chr(10)
          || html || chr(13) || chr(10) || chr(13) || chr(10) AS rec
-  FROM pages
-)
-SELECT page_id, segment, CAST(sum(strlen(rec)) OVER w - strlen(rec) AS BIGINT) AS offset_from, CAST(sum(strlen(rec)) OVER w AS BIGINT) AS offset_to,
-       sha256(rec) AS record_sha256, CASE WHEN md5(html) LIKE '%00' AND contains(html, '<') THEN 'corrupt' ELSE 'intact' END AS verdict
-FROM r WINDOW w AS (PARTITION BY segment ORDER BY page_id ROWS UNBOUNDED PRECEDING)
+  FROM (SELECT page_id, url, {html} AS html FROM pages)
+), {side}0 AS (
+  SELECT page_id, segment, row_number() OVER w - 1 AS position, CAST(sum(strlen(rec)) OVER w - strlen(rec) AS BIGINT) AS a, CAST(sum(strlen(rec)) OVER w AS BIGINT) AS z, sha256(rec) AS hash
+  FROM {side}r WINDOW w AS (PARTITION BY segment ORDER BY page_id ROWS UNBOUNDED PRECEDING)
+)"""
+    for k in range(1, LEVELS + 1):
+        out += f""", {side}{k} AS (
+  SELECT segment, position // {FANOUT} AS position, min(a) AS a, max(z) AS z, sha256(string_agg(a || ':' || z || ':' || hash, chr(10) ORDER BY position)) AS hash
+  FROM {side}{k - 1} GROUP BY segment, position // {FANOUT}
+)"""
+    return out
+
+
+_BAD = "".join(f", bad{k} AS (SELECT m.segment, m.position FROM m{k} m JOIN t{k} t USING (segment, position) WHERE m.hash <> t.hash)" for k in range(LEVELS, 0, -1))
+_SEEN = " UNION ALL ".join([f"SELECT segment, position FROM m{LEVELS}", *(f"SELECT m.segment, m.position FROM m{k - 1} m JOIN bad{k} b ON m.segment = b.segment AND m.position // {FANOUT} = b.position" for k in range(LEVELS, 0, -1))])
+OP8_SQL = f"""
+WITH {_tree_sql("m", "html")}, {_tree_sql("t", r"CASE WHEN md5(html) LIKE '%00' THEN regexp_replace(html, '^([^<]*)<', '\1?') ELSE html END")}{_BAD}
+, visited AS (SELECT segment, CAST(count(*) AS BIGINT) AS nodes_compared FROM ({_SEEN}) GROUP BY segment)
+SELECT m0.page_id, segment, m0.a AS offset_from, m0.z AS offset_to, m0.hash AS record_sha256, CASE WHEN m0.hash = t0.hash THEN 'intact' ELSE 'corrupt' END AS verdict,
+       m{LEVELS}.hash AS root_sha256, t{LEVELS}.hash AS replica_root_sha256, nodes_compared
+FROM m0 JOIN t0 USING (segment, position) JOIN m{LEVELS} USING (segment) JOIN t{LEVELS} USING (segment) JOIN visited USING (segment)
 """

@@ -367,13 +367,34 @@ def test_merkle(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     bad = pages.where("page_id <> 300").withColumn("html", F.when(F.col("page_id") == 17, "<p>!!</p>").otherwise(F.col("html")))
     content = merkle.warc_record(F.col("url"), F.col("html"))
-    found = {r["page_id"]: r["verdict"] for r in merkle.audit(pages, bad, F.expr("page_id div 256"), ["page_id"], content).collect()}
-    assert found[17] == "corrupt" and found[16] == "intact" and found[299] == "intact"
+    audit = lambda a, b: {r["page_id"]: r for r in merkle.audit(a, b, F.expr("page_id div 256"), ["page_id"], content).collect()}
+    found = audit(pages, bad)
+    verdict = {k: r["verdict"] for k, r in found.items()}
+    assert verdict[17] == "corrupt" and verdict[16] == "intact" and verdict[299] == "intact"
     # records after a lost one move to other offsets, in its segment only
-    assert found[300] == "corrupt" and found[511] == "missing" and found[512] == "intact"
-    same = merkle.audit(pages, pages, F.expr("page_id div 256"), ["page_id"], content)
-    assert same.where("verdict <> 'intact'").count() == 0
-    assert merkle.audit(pages.limit(0), pages.limit(0), F.expr("page_id div 256"), ["page_id"], content).count() == 0
+    assert verdict[300] == "corrupt" and verdict[511] == "missing" and verdict[512] == "intact"
+    # of segment 0: the root, its one child (of 256 records), the 16 nodes below that and the 16 records below the one that differs
+    assert found[17]["nodes_compared"] == 1 + 1 + 16 + 16 and found[512]["nodes_compared"] == 1
+    assert found[512]["root"] == found[512]["replica_root"] and found[17]["root"] != found[17]["replica_root"]
+    same = audit(pages, pages)
+    assert {r["verdict"] for r in same.values()} == {"intact"} and {r["nodes_compared"] for r in same.values()} == {1}
+    assert not audit(pages.limit(0), pages.limit(0))
+    # records and whole segments that only the replica has
+    more = pages.union(spark.createDataFrame([(767, "u", "x"), (9000, "u", "y")], pages.schema))
+    extra = audit(pages, more)
+    assert extra[767]["verdict"] == extra[9000]["verdict"] == "extra" and extra[9000]["root"] is None and len(extra) == 602
+    assert audit(more, pages)[9000]["verdict"] == "missing"
+
+
+def test_merkle_null_keys(spark):
+    """Records without an id are audited like others, in segments of their own; repeated rows are records of their own."""
+    rows = [(None, f"u{i}", f"<p>{i}</p>") for i in range(50)] + [(None, None, None)] * 2 + [(i, "v", "<p>") for i in range(20)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    bad = pages.withColumn("html", F.when(F.col("url") == "u7", "<p>!</p>").otherwise(F.col("html")))
+    content = merkle.warc_record(F.col("url"), F.col("html"))
+    found = merkle.audit(pages, bad, F.expr("page_id div 256"), ["page_id", "url"], content, ["url"]).collect()
+    assert len(found) == len(rows) and [(r["url"], r["page_id"]) for r in found if r["verdict"] == "corrupt"] == [("u7", None)]
+    assert sum(r["verdict"] == "intact" for r in found) == len(rows) - 1 and all(r["segment"] < 0 for r in found if r["page_id"] is None)
 
 
 def test_word_hashes_are_of_words_only():
