@@ -8,9 +8,10 @@ co-occurrence then estimates how strongly the terms of its documents reveal it:
 
 with counts of documents; term and entity occur together if one document holds
 both, at whatever distance.  The smoothing draws terms that are seen little
-towards P(e).  A pair is evidence only if SUPPORT distinct texts hold it, so a
-text and its copies are none.  In documents that hold the entity, every
-occurrence of a term that reaches THRESHOLD becomes a span of kind ``term``.
+towards P(e).  A pair is evidence only if SUPPORT documents of distinct ids hold
+it, so a document and its repeated rows are none.  In documents that hold the
+entity, every occurrence of a term that reaches THRESHOLD becomes a span of kind
+``term``.
 
 Generalisation ladder: a term (``Zebulon``) has a class, that of all terms with
 its last CLASS_LETTERS letters (``[*on]``).  In the text a disclosing term becomes
@@ -18,13 +19,13 @@ its class if the class itself, scored alike, is under the threshold, and is
 removed otherwise.
 
 Scale: one map-only pass finds the entities and is checkpointed without texts.
-Pairs are counted for entities of enough texts only, over all terms of their
+Pairs are counted for entities of enough documents only, over all terms of their
 documents; they and the document frequencies of terms are pre-aggregated per
 partition.  Only candidate terms are counted when there are few enough to
 broadcast, and all terms beyond that.  A last map-only pass marks the
 occurrences; disclosing pairs beyond a broadcast are marked in several passes.
 Texts are never shuffled for the report.  Work within a document grows with its
-entities of enough texts times its distinct terms.
+entities of enough documents times its distinct terms.
 
 Defined cases: a null text is empty and has no spans; failing matches are dropped
 and not retried; rows with equal id and text get equal spans; a null id is kept.
@@ -52,6 +53,7 @@ SMOOTH = 1.0
 THRESHOLD = 0.9
 CLASS_LETTERS = 2
 BROADCAST_TERMS = 1_000_000
+_NO_ID = (1 << 63) - 1
 
 KINDS = ("email", "ip", "card", "phone", "term")
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -251,7 +253,7 @@ def _holding(part: pa.RecordBatch, chosen: set[int] | None):
 
 
 def _pairs(chosen):
-    """Per partition, of each (chosen) entity and term or class that share documents: how many, and up to SUPPORT of their texts."""
+    """Per partition, of each (chosen) entity and term or class that share documents: how many, and up to SUPPORT of their ids."""
 
     def run(batches):
         entities = None if chosen is None else set(chosen.value.tolist())
@@ -264,13 +266,13 @@ def _pairs(chosen):
                 h, kind, row, _, _ = terms_of(part.column("text").take(pa.array(rows)), spans)
                 edges = np.searchsorted(row, np.arange(len(rows) + 1))
                 for i, seen in enumerate(about):
-                    text = part.column("h")[rows[i]].as_py()
+                    doc = part.column("doc_id")[rows[i]].as_py()
                     terms, at = np.unique(h[edges[i] : edges[i + 1]], return_index=True)
                     kinds = kind[edges[i] : edges[i + 1]][at]
                     t = np.concatenate([terms, np.unique(kinds)])
                     k = np.concatenate([kinds, np.zeros(len(t) - len(kinds), np.int64)])
                     for entity in seen:
-                        held.append((np.full(len(t), entity, np.int64), t, np.full(len(t), text, np.int64), np.ones(len(t), np.int64), k))
+                        held.append((np.full(len(t), entity, np.int64), t, np.full(len(t), doc, np.int64), np.ones(len(t), np.int64), k))
                         size += len(t)
                         if size > 500_000:
                             held = [_paired(held)]
@@ -285,7 +287,7 @@ def _pairs(chosen):
 
 
 def _paired(held):
-    """Sums of n by (entity, term, text), with the term's class; texts of a pair beyond the least SUPPORT are counted with its first."""
+    """Sums of n by (entity, term, document), with the term's class; documents of a pair beyond the least SUPPORT are counted with its first."""
     e, t, c, n, k = (np.concatenate(x) for x in zip(*held, strict=True))
     order = np.lexsort((c, t, e))
     e, t, c, n, k = e[order], t[order], c[order], n[order], k[order]
@@ -304,7 +306,7 @@ def _paired(held):
 
 def _batches(columns, step: int = 100_000):
     for i in range(0, len(columns[0]), step):
-        yield pa.RecordBatch.from_arrays([pa.array(x[i : i + step]) for x in columns], names=["entity", "term", "text", "n", "class"])
+        yield pa.RecordBatch.from_arrays([pa.array(x[i : i + step]) for x in columns], names=["entity", "term", "doc", "n", "class"])
 
 
 def _broadcast(df: DataFrame, column: str):
@@ -316,14 +318,14 @@ def _broadcast(df: DataFrame, column: str):
 
 
 def disclosures(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """(entity, term, disclosure, level) of the pairs of enough texts that reach the threshold; level 1: to its class, 2: removed."""
-    seen = found.select(F.explode("entities").alias("entity"), "h").distinct()
+    """(entity, term, disclosure, level) of the pairs of enough documents that reach the threshold; level 1: to its class, 2: removed."""
+    seen = found.select(F.explode("entities").alias("entity"), F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc")).distinct()
     able = cut(seen.groupBy("entity").agg(F.count("*").alias("n")).where(F.col("n") >= SUPPORT))
-    texts = docs.select(F.xxhash64("text").alias("h"), "text").where(F.col("text").isNotNull())
-    once = texts.mapInArrow(_pairs(_broadcast(able, "entity")), "entity long, term long, text long, n long, class long")
-    once = once.groupBy("entity", "term", "text").agg(F.sum("n").alias("n"), F.max("class").alias("class"))
-    pairs = once.groupBy("entity", "term").agg(F.count("*").alias("texts"), F.sum("n").alias("n_both"), F.max("class").alias("class"))
-    pairs = cut(pairs.where(F.col("texts") >= SUPPORT).drop("texts"))
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), "text").where(F.col("text").isNotNull())
+    once = texts.mapInArrow(_pairs(_broadcast(able, "entity")), "entity long, term long, doc long, n long, class long")
+    once = once.groupBy("entity", "term", "doc").agg(F.sum("n").alias("n"), F.max("class").alias("class"))
+    pairs = once.groupBy("entity", "term").agg(F.count("*").alias("docs"), F.sum("n").alias("n_both"), F.max("class").alias("class"))
+    pairs = cut(pairs.where(F.col("docs") >= SUPPORT).drop("docs"))
     counts = texts.select("text").mapInArrow(_term_counts(_broadcast(pairs, "term")), "term long, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
     entities = found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
     p = F.least(F.lit(0.5), F.col("n_entity") / F.lit(max(found.count(), 1)))
