@@ -116,6 +116,55 @@ def pii(t):
     return _digest(spans, ("email", "ip", "card", "phone"))
 
 
+def lcs_places(a, b):
+    """Places in ``a`` of a longest common subsequence with ``b``, equal ends first, then as far back as the plain table allows."""
+    low = 0
+    while low < min(len(a), len(b)) and a[low] == b[low]:
+        low += 1
+    high = 0
+    while high < min(len(a), len(b)) - low and a[-1 - high] == b[-1 - high]:
+        high += 1
+    x, y = a[low : len(a) - high], b[low : len(b) - high]
+    n = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    for i, p in enumerate(x):
+        for j, q in enumerate(y):
+            n[i + 1][j + 1] = n[i][j] + 1 if p == q else max(n[i][j + 1], n[i + 1][j])
+    i, j, out = len(x), len(y), []
+    while i and j:
+        if n[i][j] == n[i][j - 1]:
+            j -= 1
+        elif n[i][j] == n[i - 1][j]:
+            i -= 1
+        else:
+            i, j = i - 1, j - 1
+            out.append(low + i)
+    return [*range(low), *reversed(out), *range(len(a) - high, len(a))]
+
+
+def main_texts(pages, blocks, key, distance):
+    """(page_id, text) by pairing, alignment and deletion over ``pages`` (page_id, url, html); blocks are (text, 0 dropped, 1 other, 2 article)."""
+    cut = [(i, key(u), blocks(h)) for i, u, h in pages]
+    lines = {}
+    for i, k, found in cut:  # one version of each path stands for it
+        lines.setdefault(k, []).append((i, [t for t, _ in found]))
+    out = []
+    for i, (host, path), found in cut:
+        paths = sorted(p for h, p in lines if h == host)
+        at = paths.index(path)
+        near = sorted((distance(path, p), k, p) for k, p in enumerate(paths[max(0, at - 2) : at][::-1] + paths[at + 1 : at + 3]))
+        own, main = [t for t, _ in found], [x for x, (_, k) in enumerate(found) if k == 2]
+        gone, votes = set(), Counter()
+        for rank, (_, _, p) in enumerate(near):
+            shared = lcs_places(own, min(lines[host, p], key=lambda v: v[0])[1])
+            if rank == 0:
+                gone |= {x for x in shared if found[x][1] == 1}
+            if 2 * len(set(shared) & set(main)) <= len(main):
+                votes.update(set(shared) & set(main))
+        gone |= {x for x, n in votes.items() if n > 2}
+        out.append((i, "\n".join(t for x, (t, k) in enumerate(found) if k and x not in gone)))
+    return out
+
+
 def pii_terms(docs, support=2, smooth=1.0, threshold=0.9):
     """Per row (start, end, level) of the terms that disclose an entity of the row: PMI over rows, level 1 if the class of the last two letters is under the threshold."""
     runs = [[(m.start(), m.end(), lower(m[0])) for m in re.finditer(r"[A-Za-z\x80-\U0010ffff]+", t or "")] for _, t in docs]
@@ -124,17 +173,17 @@ def pii_terms(docs, support=2, smooth=1.0, threshold=0.9):
     terms = [[r for r in rs if r[1] - r[0] >= 3 and not any(a < r[1] and r[0] < b for _, a, b in s)] for rs, s in zip(runs, spans, strict=True)]
     n_term = Counter(x for rs in runs for x in {w for _, _, w in rs} | {("class", w[-2:]) for _, _, w in rs})
     n_entity = Counter(e for h in holds for e in h)
-    both, texts = Counter(), {}
-    for h, rs, (_, t) in zip(holds, terms, docs, strict=True):
+    both, ids = Counter(), {}
+    for h, rs, (d, _) in zip(holds, terms, docs, strict=True):
         for e in h:
             for x in {w for _, _, w in rs} | {("class", w[-2:]) for _, _, w in rs}:
                 both[e, x] += 1
-                texts.setdefault((e, x), set()).add(t)
+                ids.setdefault((e, x), set()).add(d)
 
     def high(e, x):
         p = min(0.5, n_entity[e] / len(docs))
         given = min(1.0, (both[e, x] + smooth * p) / (n_term[x] + smooth))
-        return len(texts[e, x]) >= support and 1 + math.log(given) / -math.log(p) >= threshold
+        return len(ids[e, x]) >= support and 1 + math.log(given) / -math.log(p) >= threshold
 
     out = []
     for h, rs in zip(holds, terms, strict=True):
