@@ -5,7 +5,7 @@ of that similarity share one of their first ``n - ceil(0.8 n) + 1`` shingles, so
 only these are exchanged.  The order puts shingles that a bounded sample holds
 often last; it decides how much is compared, never what is found.  Within the
 sets of one shingle, numpy exclusive-or and bit counts of 512 parity bits bound
-the difference of two sets from below, tile by tile; longer maps, of four bits or
+the difference of two sets from below, tile by tile; longer maps, of two bits or
 more for each shingle, bound it closely.  What is left is confirmed on the sets.
 
 Scale: sets are never stored.  A row keeps its prefix (a fifth of its shingles, 8
@@ -13,7 +13,7 @@ bytes each) and is named by a number of its own; equal sets, told by 128 bits,
 are one.  Texts are read again for the sets in candidate pairs only.  A shingle
 of a third of all rows is counted with map-side combine, joined back by an
 equi-join that adaptive execution can split.  Its sets are first compared with one
-of them, drawn by a hash of shingle and set, so that a set in a large group of near
+of them, drawn by the hash of the shingle, so that a set in a large group of near
 copies meets as many different ones as it shares shingles with them and the group
 becomes one component; only sets that are apart then are compared in pairs of parts.
 
@@ -78,8 +78,8 @@ def bitmap(grams: np.ndarray) -> np.ndarray:
 
 
 def fine_map(grams: np.ndarray) -> np.ndarray:
-    """Parity bits like ``bitmap``, four to eight for each shingle (a power of two of them), as bytes."""
-    size = 1 << max(6, (4 * len(grams)).bit_length())
+    """Parity bits like ``bitmap``, two to four for each shingle (a power of two of them), as bytes."""
+    size = 1 << max(6, (2 * len(grams)).bit_length())
     odd = np.bincount((textnum.mix(grams) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little")
 
@@ -252,8 +252,10 @@ class Similar:
         self.percent = round(100 * similarity)
         self.docs = docs
         self.rows = measured(docs, fingerprint, self.percent)
-        least = self.rows.groupBy("digest").agg(F.min("row").alias("row"))
-        self.first = self.rows.join(least.select("row"), "row", "left_semi").withColumnRenamed("row", "id")
+        least = self.rows.groupBy("digest").agg(F.min("row").alias("least"), F.count("*").alias("n_rows")).where("n_rows > 1")
+        again = cut(self.rows.select("row", "digest").join(least, "digest").where("row <> least").select("row"))
+        again = F.broadcast(again) if again.count() <= BROADCAST_ROWS else again
+        self.first = self.rows.join(again, "row", "left_anti").withColumnRenamed("row", "id")
         self.one = cut(self.first.select("id", "digest", "doc_id", "h", "fp", "n", "fine", *_MAPS))
 
     def plausible(self, pairs: DataFrame) -> DataFrame:
@@ -279,9 +281,10 @@ class Similar:
     def links(self, more: DataFrame) -> DataFrame:
         """(a, b): links that connect all similar sets; ``more`` (a, b) are further candidates, confirmed alike."""
         keyed = self.first.select("id", "prefix").mapInArrow(_keys, "k long, id long")
-        drawn = F.min(F.struct(F.xxhash64("k", "id").alias("by"), "id"))
-        groups = keyed.groupBy("k").agg(drawn.alias("drawn"), F.count("*").alias("n")).where("n > 1").select("k", F.col("drawn.id").alias("centre"))
-        met = cut(keyed.join(groups, "k"))
+        # the shingle's hash puts the sets in an order of its own, of which the least is drawn
+        order = F.col("id").bitwiseXOR(F.col("k"))
+        groups = keyed.groupBy("k").agg(F.min(order).alias("low"), F.max(order).alias("high")).where("low <> high")
+        met = cut(keyed.join(groups.select("k", F.col("low").bitwiseXOR(F.col("k")).alias("centre")), "k"))
         star = self.confirmed(met.select(F.col("centre").alias("a"), F.col("id").alias("b")).union(more))
         found = components(star)
         rooted = met.select("k", "id").join(found, F.col("id") == F.col("node"), "left").select("k", "id", F.coalesce("root", "id").alias("root"))
