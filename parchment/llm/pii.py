@@ -20,10 +20,9 @@ removed otherwise.
 
 Scale: one map-only pass finds the entities and is checkpointed without texts.
 Pairs are counted for entities of enough documents only, over all terms of their
-documents; they and the document frequencies of terms are pre-aggregated per
-partition.  Only candidate terms are counted when there are few enough to
-broadcast, and all terms beyond that.  A last map-only pass marks the
-occurrences; disclosing pairs beyond a broadcast are marked in several passes.
+documents; they and the document frequencies of all terms are pre-aggregated per
+partition.  A last map-only pass marks the occurrences; disclosing pairs beyond a
+broadcast are marked in several passes.
 Texts are never shuffled for the report.  Work within a document grows with its
 entities of enough documents times its distinct terms.
 
@@ -45,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import exchange, textnum
+from . import textnum
 from .runtime import cut, pack, project, read, unpack
 
 SUPPORT = 2
@@ -194,36 +193,27 @@ def _find(batches):
             )
 
 
-def _term_counts(wanted):
-    """Per partition, in how many of its documents each (wanted) term or class occurs."""
-
-    def run(batches):
-        chosen = None if wanted is None else wanted.value
-        terms, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        held, size = [], 0
-        for batch in batches:
-            for part in textnum.slices(batch, "text"):
-                data, offsets = textnum.buffer_of(part.column("text"))
-                words = textnum.Words(_LOWER[data], offsets, _NOT_LETTER)
-                for h in (words.hashes().view(np.int64), _class_hashes(words).view(np.int64)):
-                    doc = words.doc
-                    if chosen is not None:
-                        keep = exchange.in_sorted(h, chosen)
-                        h, doc = h[keep], doc[keep]
-                    order = np.lexsort((h, doc))
-                    h, doc = h[order], doc[order]
-                    first = np.ones(len(h), bool)
-                    first[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-                    held.append(h[first])
-                    size += len(held[-1])
-                if size > 500_000:
-                    terms, n = _summed(terms, n, held)
-                    held, size = [], 0
-        terms, n = _summed(terms, n, held)
-        for i in range(0, len(terms), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(terms[i : i + 100_000]), pa.array(n[i : i + 100_000])], names=["term", "n"])
-
-    return run
+def _term_counts(batches):
+    """Per partition, in how many of its documents each term or class occurs."""
+    terms, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    held, size = [], 0
+    for batch in batches:
+        for part in textnum.slices(batch, "text"):
+            data, offsets = textnum.buffer_of(part.column("text"))
+            words = textnum.Words(_LOWER[data], offsets, _NOT_LETTER)
+            for h in (words.hashes().view(np.int64), _class_hashes(words).view(np.int64)):
+                order = np.lexsort((h, words.doc))
+                h, doc = h[order], words.doc[order]
+                first = np.ones(len(h), bool)
+                first[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+                held.append(h[first])
+                size += len(held[-1])
+            if size > 500_000:
+                terms, n = _summed(terms, n, held)
+                held, size = [], 0
+    terms, n = _summed(terms, n, held)
+    for i in range(0, len(terms), 100_000):
+        yield pa.RecordBatch.from_arrays([pa.array(terms[i : i + 100_000]), pa.array(n[i : i + 100_000])], names=["term", "n"])
 
 
 def _summed(terms, n, more):
@@ -326,7 +316,7 @@ def disclosures(docs: DataFrame, found: DataFrame) -> DataFrame:
     once = once.groupBy("entity", "term", "doc").agg(F.sum("n").alias("n"), F.max("class").alias("class"))
     pairs = once.groupBy("entity", "term").agg(F.count("*").alias("docs"), F.sum("n").alias("n_both"), F.max("class").alias("class"))
     pairs = cut(pairs.where(F.col("docs") >= SUPPORT).drop("docs"))
-    counts = texts.select("text").mapInArrow(_term_counts(_broadcast(pairs, "term")), "term long, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
+    counts = texts.select("text").mapInArrow(_term_counts, "term long, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
     entities = found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
     p = F.least(F.lit(0.5), F.col("n_entity") / F.lit(max(found.count(), 1)))
     given = F.least(F.lit(1.0), (F.col("n_both") + SMOOTH * p) / (F.col("n_term") + SMOOTH))
