@@ -111,9 +111,9 @@ def recall_by(df: DataFrame, keys: list[str], true: str, predicted: str, label:
 
 def token_loss(source: DataFrame, emitted: DataFrame, keys: list[str], marker: str) -> DataFrame:
     """Bag difference of tokens per key: source and missing words, percent kept, and missing ones that are no structural marker."""
-    s = source.groupBy(*keys, "token").agg(F.count("*").alias("s"))
-    e = emitted.groupBy(*keys, "token").agg(F.count("*").alias("e"))
-    lost = s.join(e, [*keys, "token"], "left").withColumn("lost", F.greatest(F.col("s") - F.coalesce("e", F.lit(0)), F.lit(0)))
+    both = source.select(*keys, "token", F.lit(1).alias("s"), F.lit(0).alias("e")).unionByName(emitted.select(*keys, "token", F.lit(0).alias("s"), F.lit(1).alias("e")))
+    counted = both.groupBy(*keys, "token").agg(F.sum("s").alias("s"), F.sum("e").alias("e")).where("s > 0")
+    lost = counted.withColumn("lost", F.greatest(F.col("s") - F.col("e"), F.lit(0)))
     out = lost.groupBy(*keys).agg(F.sum("s").alias("source_words"), F.sum("lost").alias("missing_words"), F.sum(F.when(~F.col("token").rlike(marker), F.col("lost")).otherwise(0)).alias("unexplained_words"))
     return out.withColumn("percent", F.when(F.col("source_words") == 0, 100.0).otherwise((F.col("source_words") - F.col("missing_words")) * 100.0 / F.col("source_words")))
 

@@ -5,12 +5,16 @@ Every sequence has a position column, and every rank a total order.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import rules
 
+RANGE_ROWS = 100_000
+
 
 def gaps(df: DataFrame, keys: list[str], order: list[str], value: str, out: str = "gap") -> DataFrame:
     return df.withColumn(out, F.col(value) - F.lag(value).over(W.partitionBy(*keys).orderBy(*order)))
@@ -77,10 +81,21 @@ def numbered(clauses: DataFrame, keys: list[str], position: str = "pos") -> Data
 
 
 def dense_ids(df: DataFrame, key: str, position: str, out: str) -> DataFrame:
-    """Number keys from 0 by first appearance; one row per key goes through the global order."""
-    firsts = df.groupBy(key).agg(F.min(position).alias("first"))
-    ids = firsts.withColumn(out, F.row_number().over(W.orderBy("first", key)) - 1).drop("first")
-    return df.join(ids, key)
+    """Number keys from 0 by first appearance (a numeric position), then by key; a null key is one of them.
+
+    Keys are told by 128 bits and never moved themselves.  The order is two-level: ranks within ranges of the position,
+    plus the number of keys in the ranges before, of which there is one row per ``RANGE_ROWS`` keys.
+    """
+    name = F.md5(F.col(key).cast("string")) if dict(df.dtypes)[key] in ("string", "binary") else F.col(key)
+    named = df.withColumn("_name", F.coalesce(name.cast("string"), F.lit("")))
+    firsts = named.groupBy("_name").agg(F.min(position).alias("_first"), F.min(F.substring(F.col(key).cast("string"), 1, 64)).alias("_key"))
+    end = firsts.agg(F.min("_first").alias("low"), F.max("_first").alias("high"), F.count("*").alias("n")).first()
+    low, width = end["low"] or 0, (end["high"] or 0) - (end["low"] or 0) + 1
+    placed = firsts.withColumn("_range", F.coalesce(F.floor((F.col("_first") - F.lit(low)) * F.lit(max(1, math.ceil(end["n"] / RANGE_ROWS))) / F.lit(width)), F.lit(-1)))
+    inside = placed.withColumn("_local", F.row_number().over(W.partitionBy("_range").orderBy("_first", "_key", "_name")) - 1)
+    before = placed.groupBy("_range").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    ids = inside.join(before.select("_range", "_before"), "_range").select("_name", (F.col("_local") + F.col("_before")).cast("int").alias(out))
+    return named.join(ids, "_name").drop("_name")
 
 
 def history(turns: DataFrame, key: str, position: str, limit: int = rules.HISTORY_TURNS, chars: int = rules.TURN_CHARS) -> DataFrame:

@@ -24,12 +24,15 @@ def relevance(query_words: Column, entry_words: Column) -> Column:
     return F.size(F.array_intersect(query_words, entry_words))
 
 
-def retrieve(queries: DataFrame, bridge: DataFrame, entries: DataFrame, query_id: str = "query_id", central: bool = False, states=rules.STATES) -> DataFrame:
+def retrieve(queries: DataFrame, bridge: DataFrame, entries: DataFrame, query_id: str = "query_id", central: bool = False, states=rules.STATES, strict: bool = False) -> DataFrame:
     """Ranked candidates of each query (query_id, jurisdiction, topic, text): score desc, entry_id asc; no limit.
 
     ``bridge`` is (jurisdiction, topic, entry_id); ``entries`` has entry_id, jurisdiction and entry_words.
-    Unsupported states and null topics retrieve nothing.
+    Null states and topics retrieve nothing; nor do unsupported states, which with ``strict`` stop the run.
     """
+    if strict:
+        known = F.col("jurisdiction").isNull() | F.col("jurisdiction").isin(*states)
+        queries = queries.where(F.when(known, True).otherwise(F.raise_error(F.concat(F.lit("unsupported jurisdiction: "), "jurisdiction")).cast("boolean")))
     asked = queries.where(F.col("jurisdiction").isin(*states) & F.col("topic").isNotNull()).withColumn("query_words", text.retrieval_words(F.col("text")))
     own = bridge.select(F.col("jurisdiction").alias("b_jurisdiction"), F.col("topic").alias("b_topic"), "entry_id").distinct()
     match = (F.col("jurisdiction") == F.col("b_jurisdiction")) & (F.col("topic") == F.col("b_topic"))
@@ -38,12 +41,17 @@ def retrieve(queries: DataFrame, bridge: DataFrame, entries: DataFrame, query_id
         wanted = asked.withColumn("look", F.explode(F.array("jurisdiction", F.lit(rules.CENTRAL))))
         match = (F.col("look") == F.col("b_jurisdiction")) & (F.col("topic") == F.col("b_topic"))
     kb = entries.withColumnRenamed("jurisdiction", "entry_jurisdiction").drop("topic", "text")
-    found = wanted.join(own, match).join(kb, "entry_id")
+    # scored in the join with the reference data, so that no word list is shuffled
+    found = wanted.join(own, match).join(kb, "entry_id").withColumn("score", relevance(F.col("query_words"), F.col("entry_words")))
     # the other states' entries never pass, whatever the bridge says
     found = found.where((F.col("entry_jurisdiction") == F.col("jurisdiction")) | (F.col("entry_jurisdiction") == rules.CENTRAL))
-    found = found.dropDuplicates([query_id, "entry_id"]).withColumn("score", relevance(F.col("query_words"), F.col("entry_words")))
-    rank = F.row_number().over(W.partitionBy(query_id).orderBy(F.col("score").desc(), F.col("entry_id")))
-    return found.withColumn("rank", rank).drop("b_jurisdiction", "b_topic", "query_words", "entry_words", "look")
+    # an entry comes twice only if the bridge names it for the state and for Central
+    found = found.drop("b_jurisdiction", "b_topic", "query_words", "entry_words", "look")
+    best = F.row_number().over(W.partitionBy(query_id).orderBy(F.col("score").desc(), F.col("entry_id"))) - 1
+    again = F.row_number().over(W.partitionBy(query_id, "score", "entry_id").orderBy("entry_jurisdiction")) if central else F.lit(1)
+    if central:
+        found = found.repartition(query_id).withColumn("again", again).where("again = 1").drop("again")
+    return found.withColumn("rank", best + 1)
 
 
 def retrieved_arrays(queries: DataFrame, ranked: DataFrame, query_id: str = "query_id") -> DataFrame:

@@ -54,6 +54,6 @@ def block_split(df: DataFrame, block: str, label: str, share: float = 0.20, trie
     shares = {r[label]: r["all_share"] for r in whole.collect()}  # one row per class
     off = sum((F.abs(F.coalesce(F.try_element_at("m", F.lit(k)), F.lit(0)) / F.col("test_size") - F.lit(v)) for k, v in shares.items()), F.lit(0.0))
     scored = wide.select("try", (off + F.abs(F.col("test_size") / F.lit(max(total, 1)) - share)).alias("score"))
-    best = scored.orderBy("score", "try").limit(1).select("try")
+    best = scored.orderBy(F.round("score", 12), "try").limit(1).select("try")
     chosen = test.join(best, "try", "left_semi").select(F.col(block), F.lit("test").alias("split"))
     return sizes.select(block).join(chosen, block, "left").withColumn("split", F.coalesce("split", F.lit("train")))

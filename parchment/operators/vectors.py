@@ -33,14 +33,26 @@ def unit(v: Column, floor: float = 1e-12) -> Column:
     return F.transform(v, lambda x: x.cast("double") / n)
 
 
+def pooled(tokens: DataFrame, keys: list[str], position: str, vector: str, mask: str) -> DataFrame:
+    """(keys, vector): the mean of a text's token vectors that are not masked, at unit length; what a model's last step does.
+
+    ``tokens`` has a row per token; a text is bounded by the model's window, so its tokens are gathered.
+    """
+    held = tokens.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(position, F.col(mask).cast("int").alias("m"), F.col(vector).alias("v")))).alias("t"))
+    total = F.aggregate("t", F.transform(F.get("t", F.lit(0))["v"], lambda x: F.lit(0.0)), lambda a, t: F.zip_with(a, t["v"], lambda x, y: x + y.cast("double") * t["m"]))
+    n = F.greatest(F.aggregate("t", F.lit(0), lambda a, t: a + t["m"]).cast("double"), F.lit(1e-9))
+    return held.select(*keys, F.transform(total, lambda x: x / n).alias("mean")).select(*keys, unit(F.col("mean")).alias("vector"))
+
+
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     column = column.combine_chunks()
     values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return values.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
-def _pairs(threshold: float, best: int, same: bool):
+def _pairs(threshold: float, best: int, same: bool, once: bool = False):
     def run(key, left, right):
+        diagonal = once and key[0].as_py() == key[1].as_py()
         a, b = _matrix(left.column("v")), _matrix(right.column("rv"))
         ia, ib = left.column("id").to_numpy(), right.column("rid").to_numpy()
         if not len(ia) or not len(ib):
@@ -51,7 +63,7 @@ def _pairs(threshold: float, best: int, same: bool):
                 s = a[i : i + BLOCK] @ b[j : j + BLOCK].T
                 keep = s >= threshold
                 if same:
-                    keep &= ia[i : i + BLOCK, None] != ib[None, j : j + BLOCK]
+                    keep &= ia[i : i + BLOCK, None] < ib[None, j : j + BLOCK] if diagonal else ia[i : i + BLOCK, None] != ib[None, j : j + BLOCK]
                 if best:
                     # only rows that can still be among the best leave; ties at the edge all stay
                     masked = np.where(keep, s, -np.inf)
@@ -70,14 +82,18 @@ def _pairs(threshold: float, best: int, same: bool):
 def similar(left: DataFrame, right: DataFrame, threshold: float = -2.0, best: int = 0, same: bool = False) -> DataFrame:
     """(a, b, similarity) of (id, v) rows: pairs at or above ``threshold``; with ``best``, a superset of each row's best.
 
-    ``same`` leaves out pairs of equal ids.
+    ``same`` leaves out pairs of equal ids; with one frame on both sides and no ``best``, each pair of blocks is
+    computed once and its pairs are returned in both directions.
     """
-    n, m = left.count(), right.count()
+    once = same and not best and left is right
+    n = left.count()
+    m = n if left is right else right.count()
     rows, columns = max(1, math.ceil(n / (8 * BLOCK))), max(1, math.ceil(m / (8 * BLOCK)))
-    a = left.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(rows)).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(columns - 1))).alias("j"))
-    b = right.select(F.col("id").alias("rid"), F.col("v").alias("rv"), F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("ri"), F.pmod(F.xxhash64("id"), F.lit(columns)).cast("int").alias("rj"))
-    a = a.withColumn("i", F.col("i").cast("int"))
-    return a.groupBy("i", "j").cogroup(b.groupBy("ri", "rj")).applyInArrow(_pairs(threshold, best, same), "a long, b long, similarity double")
+    own, other = (F.pmod(F.xxhash64("id"), F.lit(k)).cast("int") for k in (rows, columns))
+    a = left.select("id", "v", own.alias("i")).withColumn("j", F.explode(F.sequence(F.col("i") if once else F.lit(0), F.lit(columns - 1))))
+    b = right.select(F.col("id").alias("rid"), F.col("v").alias("rv"), other.alias("rj")).withColumn("ri", F.explode(F.sequence(F.lit(0), F.col("rj") if once else F.lit(rows - 1))))
+    found = a.groupBy("i", "j").cogroup(b.groupBy("ri", "rj")).applyInArrow(_pairs(threshold, best, same, once), "a long, b long, similarity double")
+    return found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity")) if once else found
 
 
 def neighbours(vectors: DataFrame, k: int, threshold: float = -2.0) -> DataFrame:

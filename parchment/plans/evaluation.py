@@ -217,7 +217,20 @@ def few_shot_sample(spark, sf_dir):
     return splits.few_shots(_labelled(spark, sf_dir), "label", "doc_id").select("doc_id", "label", "shot")
 
 
-@query()
+@query(
+    f"""
+WITH {_L}, b AS (SELECT CAST(floor((doc_id - 1) / 30) AS BIGINT) AS block, label FROM l), c AS (SELECT block, label, count(*) AS n FROM b GROUP BY 1, 2), s AS (SELECT block, sum(n) AS size FROM c GROUP BY 1),
+total AS (SELECT sum(size) AS n FROM s), laid AS (SELECT block, size, try, md5(block || '|' || try || '|0') AS o FROM s, range(0, 400) t(try)),
+run AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY try ORDER BY o, block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM laid),
+test AS (SELECT try, block, size FROM run, total WHERE before < 0.2 * total.n), k(label) AS (VALUES ('GREEN'), ('YELLOW'), ('RED')),
+whole AS (SELECT label, sum(c.n) / max(total.n) AS share FROM c, total GROUP BY 1), sums AS (SELECT try, sum(size) AS size FROM test GROUP BY 1),
+drawn AS (SELECT try, label, sum(n) AS n FROM test JOIN c USING (block) GROUP BY 1, 2),
+score AS (SELECT sums.try, sum(abs(coalesce(drawn.n, 0) / sums.size - whole.share)) + max(abs(sums.size / total.n - 0.2)) AS score
+  FROM sums JOIN whole ON true JOIN total ON true LEFT JOIN drawn ON drawn.try = sums.try AND drawn.label = whole.label GROUP BY 1),
+best AS (SELECT try FROM score ORDER BY round(score, 12), try LIMIT 1)
+SELECT block, CASE WHEN block IN (SELECT block FROM test JOIN best USING (try)) THEN 'test' ELSE 'train' END AS split FROM s
+"""
+)
 def block_split_search(spark, sf_dir):
     return splits.block_split(splits.block_ids(_labelled(spark, sf_dir), "doc_id"), "block", "label")
 

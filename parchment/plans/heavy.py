@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..operators import geometry, model, segment, vectors
-from ..operators.common import read
+from ..operators.common import checkpoint, read, shared_folder
 from ..streaming import arrivals, limiter
 from .evaluation import _labelled
 
@@ -29,14 +27,6 @@ def _vectors(spark, sf_dir):
     return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label")
 
 
-def _checkpoint(df):
-    """Reliable checkpoint in the cluster's folder; one of its own only where none is set."""
-    spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) is None and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="parchment-checkpoint-"))
-    return df.checkpoint()
-
-
 _PAIRS = "v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), p AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label AS la, b.label AS lb, list_dot_product(a.e, b.e) AS s FROM v a JOIN v b ON a.vec_id <> b.vec_id)"
 _BEST = "n AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(s, 9) DESC, b) AS r FROM p)"
 
@@ -94,10 +84,22 @@ SELECT id, min(root) AS component FROM r GROUP BY id
 def connected_components(spark, sf_dir):
     v = _vectors(spark, sf_dir)
     edges = vectors.similar(v, v, 0.42, same=True).where("a < b").select("a", "b")
-    return vectors.components(v, edges, _checkpoint)
+    return vectors.components(v, edges, checkpoint)
 
 
-@query()
+@query(
+    """
+WITH RECURSIVE h AS (SELECT CAST(user_id AS VARCHAR) AS key, event_id AS id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS n FROM events),
+r(key, n, id, t, log, allowed) AS (
+  SELECT key, n, id, t, [t], true FROM h WHERE n = 1
+  UNION ALL
+  SELECT h.key, h.n, h.id, h.t, CASE WHEN len(list_filter(r.log, lambda x: h.t - x < 14400000000)) < 3 THEN list_append(list_filter(r.log, lambda x: h.t - x < 14400000000), h.t) ELSE list_filter(r.log, lambda x: h.t - x < 14400000000) END,
+    len(list_filter(r.log, lambda x: h.t - x < 14400000000)) < 3
+  FROM r JOIN h ON h.key = r.key AND h.n = r.n + 1
+)
+SELECT key, id, t, allowed FROM r
+"""
+)
 def sliding_log_limiter(spark, sf_dir):
     return limiter.limited(read(spark, sf_dir, "events"), "user_id", "ts", "event_id", limit=3, seconds=4 * 3600)
 
@@ -145,7 +147,7 @@ def logreg_predict(spark, sf_dir):
 @query()
 def temperature_scale(spark, sf_dir):
     df = model.group_folds(_risk(spark, sf_dir), "label").cache()
-    scored = _checkpoint(model.out_of_fold(df, 3.0, True).select("vec_id", "y", "probabilities"))
+    scored = checkpoint(model.out_of_fold(df, 3.0, True).select("vec_id", "y", "probabilities"))
     t = model.fit_temperature(scored)
     cold = model.tempered(F.col("probabilities"), t)
     return scored.select("vec_id", F.lit(round(t, 3)).alias("temperature"), *[F.round(F.get(cold, F.lit(i)), 4).alias(x.lower()) for i, x in enumerate(rules.LABELS)])
@@ -156,7 +158,7 @@ def streaming_daily_counts(spark, sf_dir):
     path = f"{sf_dir}/events.parquet"
     schema = spark.read.parquet(path).schema
     stream = arrivals.arriving(spark, sf_dir if path.endswith("events.parquet") else path, schema, glob="events.parquet")
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="parchment-stream-")
+    folder = shared_folder(spark, "parchment-stream-")
     name = f"daily_{spark.sparkContext.startTime}_{spark.range(1).select(F.expr('uuid()')).first()[0].replace('-', '')}"
     return arrivals.run_once(arrivals.daily_counts(stream), name, f"{folder}/{name}").withColumns({"total": F.round("total", 4), "day": F.col("day").cast("string")})
 

@@ -184,10 +184,10 @@ _LABEL_SQL = "CASE turn % 3 WHEN 0 THEN 'GREEN' WHEN 1 THEN 'YELLOW' ELSE 'RED'
 @query(
     f"""
 WITH {_PAIRS_SQL}, t AS (
-  SELECT conv_id, turn, reply, {_LABEL_SQL} AS label, {sql_words('reply', rules.GROUNDING_STOP_WORDS, 2)} AS says, {sql_words('text', rules.GROUNDING_STOP_WORDS, 2)} AS src,
+  SELECT conv_id, turn, reply, {_LABEL_SQL} AS label, CASE turn % 4 WHEN 0 THEN [] WHEN 1 THEN ['e1'] WHEN 2 THEN ['e1', 'e2'] ELSE ['x9'] END AS cites, {sql_words('reply', rules.GROUNDING_STOP_WORDS, 2)} AS says, {sql_words('text', rules.GROUNDING_STOP_WORDS, 2)} AS src,
     regexp_extract_all(reply, '{rules.NUMBER}') AS rn, regexp_extract_all(text, '{rules.NUMBER}') AS sn FROM p
 ), c AS (
-  SELECT conv_id, turn, true AS citation_restricted, len(regexp_extract_all(reply || ' ' || substring(reply, 1, 30), '{rules.STATUTE_REFERENCE}')) = 0 AS no_smuggled_citation,
+  SELECT conv_id, turn, NOT list_contains(cites, 'x9') AS citation_restricted, len(regexp_extract_all(reply || ' ' || substring(reply, 1, 30) || ' section 5', '{rules.STATUTE_REFERENCE}')) = 0 OR len(cites) > 0 AS no_smuggled_citation,
     len(list_filter(rn, lambda x: NOT list_contains(sn, x))) = 0 AND (CASE WHEN len(says) > 0 THEN len(list_intersect(says, src)) / len(says) ELSE 0 END >= 0.2 OR len(list_intersect(says, src)) >= 2) AS document_grounded,
     NOT regexp_matches(reply || ' ' || substring(reply, 1, 30), '{_CONCLUSIONS_SQL}') AS no_legal_conclusion, label = 'GREEN' OR length(trim(substring(reply, 1, 30))) >= 20 AS concern_present FROM t
 )
@@ -195,9 +195,10 @@ SELECT *, citation_restricted AND no_smuggled_citation AND document_grounded AND
 """
 )
 def grounding_checks(spark, sf_dir):
-    none = F.array().cast("array<string>")
+    rest = F.col("turn") % 4
+    cites = F.when(rest == 0, F.array().cast("array<string>")).when(rest == 1, text.strings(["e1"])).when(rest == 2, text.strings(["e1", "e2"])).otherwise(text.strings(["x9"]))
     label = F.element_at(text.strings(rules.LABELS), (F.col("turn") % 3 + 1).cast("int"))
-    g = guardrails.grounding(F.col("reply"), F.substring("reply", 1, 30), label, none, F.lit(None).cast("string"), F.col("text"), none)
+    g = guardrails.grounding(F.col("reply"), F.substring("reply", 1, 30), label, cites, F.lit("section 5"), F.col("text"), text.strings(["e1", "e2", "e3"]))
     out = _turn_pairs(spark, sf_dir).select("conv_id", "turn", g.alias("g"))
     names = ("CITATION_RESTRICTED", "NO_SMUGGLED_CITATION", "DOCUMENT_GROUNDED", "NO_LEGAL_CONCLUSION", "CONCERN_PRESENT")
     return out.select("conv_id", "turn", *[F.element_at("g.checks", n).alias(n.lower()) for n in names], "g.passed")
@@ -206,12 +207,12 @@ def grounding_checks(spark, sf_dir):
 _MARKED = "regexp_replace(regexp_replace(reply, '(?m)^\\s*\\d+[.)]\\s', ' ', 'g'), '" + rules.ID_TOKEN + "', ' ', 'g')"
 _PROBLEMS_SQL = f"""list_filter([CASE WHEN regexp_matches(reply, '{_VERDICTS_SQL}') THEN 'verdict' END,
   CASE WHEN len(list_filter(regexp_extract_all(reply, '{rules.STATUTE_REFERENCE}'), lambda m: NOT contains('act, 1908', lower(m)))) > 0 THEN 'uncited_law' END,
-  CASE WHEN len(list_filter(regexp_extract_all({_MARKED}, '{rules.NUMBER}'), lambda x: NOT list_contains(regexp_extract_all(text || ' act, 1908', '{rules.NUMBER}'), x))) > 0 THEN 'invented_number' END], lambda x: x IS NOT NULL)"""
+  CASE WHEN len(list_filter(regexp_extract_all({_MARKED}, '{rules.NUMBER}'), lambda x: NOT list_contains(regexp_extract_all(text || ' rent ' || turn || ' 12 of 30 act, 1908', '{rules.NUMBER}'), x))) > 0 THEN 'invented_number' END], lambda x: x IS NOT NULL)"""
 
 
 def _problems():
-    none = F.array().cast("array<string>")
-    return guardrails.violations(F.col("reply"), F.col("text"), none, F.array(F.lit("act, 1908")), none)
+    rent = F.concat(F.lit("rent "), F.col("turn").cast("string"))
+    return guardrails.violations(F.col("reply"), F.col("text"), F.array(rent), F.array(F.lit("act, 1908")), F.array(F.lit("12 of 30")))
 
 
 @query(f"WITH {_PAIRS_SQL} SELECT conv_id, turn, array_to_string({_PROBLEMS_SQL}, ',') AS problems FROM p")

@@ -39,8 +39,9 @@ def bridge(spark: SparkSession, path: str) -> DataFrame:
 
 def cache(spark: SparkSession, path: str) -> DataFrame:
     """A JSON-lines key/value cache: blank lines skipped, the last line of a key wins."""
-    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("n", "line"))
-    kv = lines.where(F.trim("line") != "").select(F.struct("file", "n").alias("at"), F.get_json_object("line", "$.key").alias("key"), F.get_json_object("line", "$.value").alias("value"))
+    # by line; a large file is read in splits, whose order is that of their offsets
+    lines = spark.read.text(path).select(F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n")).alias("at"), F.col("value").alias("line"))
+    kv = lines.where(F.trim("line") != "").select("at", F.get_json_object("line", "$.key").alias("key"), F.get_json_object("line", "$.value").alias("value"))
     return kv.groupBy("key").agg(F.max_by("value", "at").alias("value"))
 
 
@@ -73,10 +74,39 @@ def saved(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def results_table(spark: SparkSession, path: str, heading: str = "## Results") -> DataFrame:
     """Rows of the markdown table under a heading whose third cell is a percentage."""
     body = spark.read.text(path, wholetext=True).select(F.regexp_extract("value", f"(?s){heading}(.*?)(?:\n## |\\z)", 1).alias("b"))
-    cells = body.select(F.explode(F.split("b", "\n")).alias("l")).where(F.ltrim("l").startswith("|")).select(F.transform(F.split(F.trim("l"), r"\|"), F.trim).alias("c"))
+    cells = body.select(F.explode(F.split("b", "\n")).alias("l")).where(F.ltrim("l").startswith("|")).select(F.transform(F.split(F.trim("l"), r"\|"), lambda x: F.trim(x)).alias("c"))
     return cells.where(F.get("c", F.lit(3)).endswith("%")).select(F.get("c", F.lit(1)).alias("name"), F.get("c", F.lit(2)).alias("n"), F.get("c", F.lit(3)).alias("value"))
 
 
+def tsv_rows(texts: DataFrame, keys: list[str], column: str = "tsv") -> DataFrame:
+    """Rows of tab-separated text by its own header: (keys, pos, cells), a map from column name to cell; rows of another cell count are left out."""
+    lines = texts.select(*keys, F.split(F.regexp_replace(column, "\r", ""), "\n").alias("l"))
+    header = F.split(F.get("l", F.lit(0)), "\t")
+    each = lines.select(*keys, header.alias("names"), F.posexplode(F.slice("l", F.lit(2), F.greatest(F.size("l") - 1, F.lit(0)))).alias("pos", "line"))
+    cells = F.split("line", "\t")
+    return each.where(F.size(cells) == F.size("names")).select(*keys, "pos", F.map_from_arrays("names", cells).alias("cells"))
+
+
+def template_rounds(templates: DataFrame, states: DataFrame, extra_topics: list[str]) -> DataFrame:
+    """Filled clauses of ``templates`` (topic_idx, topic, key, template) and ``states`` (state_idx, state, l1, l2, premises).
+
+    Each topic gives every state its green and yellow wording; which states get the obvious red one rotates with the topic:
+    the first three from its own place on, the others the subtle one.  Topics of ``extra_topics`` have a second round
+    (keys ending in _v2).
+    """
+    n = states.count()  # a table of a few rows
+    place = F.pmod(F.col("state_idx") - F.col("topic_idx"), F.lit(n))
+    both = templates.join(F.broadcast(states))
+    red = ((F.col("key") == "red_obvious") & (place < 3)) | ((F.col("key") == "red_subtle") & (place >= 3))
+    second = F.col("key").isin("green_v2", "yellow_v2", "red_subtle_v2") & F.col("topic").isin(*extra_topics)
+    kept = both.where(F.col("key").isin("green", "yellow") | red | second)
+    filled = F.col("template")
+    for c in ("l1", "l2", "premises"):
+        filled = F.replace(filled, F.lit("{" + c + "}"), F.col(c))
+    kind = F.when(F.col("key").endswith("_v2"), F.when(F.col("key").startswith("red"), "extra-subtle").otherwise("extra")).otherwise(F.when(F.col("key") == "red_obvious", "base-obvious").when(F.col("key") == "red_subtle", "base-subtle").otherwise("base"))
+    return kept.select("topic", "state", F.upper(F.split_part("key", F.lit("_"), F.lit(1))).alias("label"), filled.alias("text"), kind.alias("round"))
+
+
 def expand_templates(templates: DataFrame, states: list[tuple[int, str, str]], variants: int = 5) -> DataFrame:
     """Templates (topic_idx, topic, variant, label, template) by states (idx, name, city), rotated so that states get different variants first.
 

@@ -32,8 +32,10 @@ def nested_json(df: DataFrame, path: str) -> None:
 
 
 def markdown(df: DataFrame, limit: int = 1000) -> str:
-    """A small report frame as a markdown table; reports are one row per metric or class."""
-    rows = [[str(v) for v in r] for r in df.limit(limit).collect()]
+    """A report frame as a markdown table; reports are one row per metric or class, and one of more than ``limit`` rows is an error."""
+    rows = [[str(v) for v in r] for r in df.limit(limit + 1).collect()]
+    if len(rows) > limit:
+        raise ValueError(f"a report of more than {limit} rows")
     return "\n".join(f"| {' | '.join(r)} |" for r in (df.columns, ["---"] * len(df.columns), *rows))
 
 
