@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import textnum
 from .runtime import shuffle_partitions
 
 NO_ID = (1 << 63) - 1
@@ -46,6 +47,11 @@ def dealt(docs: DataFrame, part_bytes: int = PART_BYTES) -> tuple[DataFrame, int
 ANCHOR_MASK = np.uint64(0xFFFFFFFFFFFF0000)
 
 
+def anchors_by_start(grams: np.ndarray, window: int) -> np.ndarray:
+    """The anchor of each ``window`` of gram hashes: the least, hashed again, as least values crowd at the low end and buckets are ranges."""
+    return textnum.mix(textnum.sliding_min(grams & ANCHOR_MASK, window)) & ANCHOR_MASK
+
+
 def pack(anchors: np.ndarray) -> bytes:
     return np.ascontiguousarray(anchors).view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
 

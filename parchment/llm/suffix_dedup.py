@@ -144,7 +144,7 @@ class _Bytes:
             data, offsets = textnum.buffer_of(s.column("text"))
             n = max(0, len(data) - self.length + 1)
             grams = _grams(data)
-            low = textnum.sliding_min(grams & exchange.ANCHOR_MASK, self.length - ANCHOR + 1)
+            low = exchange.anchors_by_start(grams, self.length - ANCHOR + 1)
             doc = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))
             whole = doc[:n] == doc[self.length - 1 : self.length - 1 + n]
             yield s, data, offsets, doc, whole, low

@@ -49,7 +49,7 @@ class _Part:
         n = max(0, len(h) - self.width + 1)
         whole = words.doc[:n] == words.doc[self.width - 1 : self.width - 1 + n]
         grams = textnum.rolling(h, ANCHOR)
-        low = textnum.sliding_min(grams & exchange.ANCHOR_MASK, self.width - ANCHOR + 1)
+        low = exchange.anchors_by_start(grams, self.width - ANCHOR + 1)
         return h, whole, low
 
     def windows(self):
