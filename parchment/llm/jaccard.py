@@ -41,6 +41,8 @@ SAMPLE_ROWS = 5_000
 ORDER_TERMS = 1_000_000
 BROADCAST_ROWS = 1_000_000
 TILE_ROWS = 4096
+PAIR_ROWS = 256
+BUCKET_PAIRS = 2000
 TILE = 1024
 LANES = 8
 _MAPS = [f"w{i}" for i in range(LANES)]
@@ -228,16 +230,19 @@ def _sets(batches):
 
 
 def _exact(percent: int):
-    """Of pairs with their sets, those of the similarity or more."""
+    """Of the pairs of a bucket, those of the similarity or more: rows (a, b, grams) with the set of b, or that of a where b is null."""
 
-    def run(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+    def run(table):
+        first, second, grams = table.column("a").to_pylist(), table.column("b").to_pylist(), table.column("grams").combine_chunks()
+        own = {a: i for i, (a, b) in enumerate(zip(first, second, strict=True)) if b is None}
+        keep = []
+        for i, (a, b) in enumerate(zip(first, second, strict=True)):
+            if b is not None:
+                x, y = (np.frombuffer(grams[k].as_buffer(), np.uint64) for k in (own[a], i))
                 both = len(x) + len(y) - len(np.union1d(x, y))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                if 100 * both >= percent * (len(x) + len(y) - both):
+                    keep.append((a, b))
+        return pa.table({"a": pa.array([a for a, _ in keep], pa.int64()), "b": pa.array([b for _, b in keep], pa.int64())})
 
     return run
 
@@ -267,24 +272,26 @@ class Similar:
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """The ``pairs`` whose sets are as similar by exact comparison; only texts of sets in a pair are read as sets.
 
-        Each set goes straight to its pairs, in one exchange.
+        The set of b goes straight to its pair (a, b), and that of a once to up to PAIR_ROWS of its pairs, in one exchange.
         """
         pairs = cut(self.plausible(pairs))
-        sides = pairs.select(F.col("a").alias("id"), "a", "b").union(pairs.select(F.col("b").alias("id"), "a", "b"))
+        parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIR_ROWS).cast("int").alias("parts"))
+        dealt = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"))
+        sides = dealt.select(F.col("b").alias("id"), "a", "b", "part").union(dealt.select(F.col("a").alias("id"), "a", F.lit(None).cast("long"), "part").distinct())
         named = cut(self.one.select("id", "doc_id", "h").join(sides.select("id").distinct(), "id", "left_semi"))
         few = named.count() <= BROADCAST_ROWS
         texts = self.docs.join(F.broadcast(named) if few else named, ["doc_id", "h"]).select("id", "text")
-        held = texts.mapInArrow(_sets, "id long, grams binary").join(sides, "id")
-        both = held.groupBy("a", "b").agg(F.max(F.when(F.col("id") == F.col("a"), F.col("grams"))).alias("x"), F.max(F.when(F.col("id") == F.col("b"), F.col("grams"))).alias("y"))
-        return cut(both.mapInArrow(_exact(self.percent), "a long, b long"))
+        buckets = max(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(pairs.count() / BUCKET_PAIRS))
+        held = texts.mapInArrow(_sets, "id long, grams binary").join(sides, "id").select("a", "b", "grams", F.pmod(F.xxhash64("a", "part"), F.lit(buckets)).alias("bucket"))
+        return cut(held.groupBy("bucket").applyInArrow(_exact(self.percent), "a long, b long").distinct())
 
     def links(self, more: DataFrame) -> DataFrame:
         """(a, b): links that connect all similar sets; ``more`` (a, b) are further candidates, confirmed alike."""
         keyed = self.first.select("id", "prefix").mapInArrow(_keys, "k long, id long")
-        # the shingle's hash puts the sets in an order of its own, of which the least is drawn
-        order = F.col("id").bitwiseXOR(F.col("k"))
+        # seven bits of a hash of shingle and set, before the id, put the sets in an order of the shingle's own
+        order = F.shiftleft(F.xxhash64("k", "id").bitwiseAND(F.lit(127)), 56).bitwiseOR(F.col("id"))
         groups = keyed.groupBy("k").agg(F.min(order).alias("low"), F.max(order).alias("high")).where("low <> high")
-        met = cut(keyed.join(groups.select("k", F.col("low").bitwiseXOR(F.col("k")).alias("centre")), "k"))
+        met = cut(keyed.join(groups.select("k", F.col("low").bitwiseAND(F.lit((1 << 56) - 1)).alias("centre")), "k"))
         star = self.confirmed(met.select(F.col("centre").alias("a"), F.col("id").alias("b")).union(more))
         found = components(star)
         rooted = met.select("k", "id").join(found, F.col("id") == F.col("node"), "left").select("k", "id", F.coalesce("root", "id").alias("root"))

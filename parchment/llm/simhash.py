@@ -247,7 +247,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """
     groups = cut(near_groups(docs).groupBy("root", "doc_id", "h").agg(F.count("*").alias("n")))
     best = groups.groupBy("root").agg(F.min(F.struct("doc_id", "h")).alias("low"))
-    told = groups.join(best, "root").select("doc_id", "h", "n", (F.struct("doc_id", "h") == F.col("low")).alias("stays"))
+    best = best.select("root", "low.doc_id", "low.h", F.lit(True).alias("stays"))
+    told = groups.join(best, ["root", "doc_id", "h"], "left").withColumn("stays", F.coalesce("stays", F.lit(False)))
     told = cut(told.where("NOT stays OR n > 1").select("doc_id", "h", "stays"))
     told = F.broadcast(told) if told.count() <= jaccard.BROADCAST_ROWS else told
     packed = pack(docs).withColumns({"doc_id": F.coalesce(F.col("row.doc_id").cast("long"), F.lit(_NO_ID)), "h": F.xxhash64("text")})
