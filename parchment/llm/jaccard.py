@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from . import textnum
 from .graph import components
-from .runtime import cut
+from .runtime import cut, settle
 
 WIDTH = 5
 SIMILARITY = 0.8
@@ -292,7 +292,9 @@ class Similar:
         order = F.shiftleft(F.xxhash64("k", "id").bitwiseAND(F.lit(127)), 56).bitwiseOR(F.col("id"))
         groups = keyed.groupBy("k").agg(F.min(order).alias("low"), F.max(order).alias("high")).where("low <> high")
         met = cut(keyed.join(groups.select("k", F.col("low").bitwiseAND(F.lit((1 << 56) - 1)).alias("centre")), "k"))
+        settle(met.sparkSession)
         star = self.confirmed(met.select(F.col("centre").alias("a"), F.col("id").alias("b")).union(more))
+        settle(met.sparkSession)
         found = components(star)
         rooted = met.select("k", "id").join(found, F.col("id") == F.col("node"), "left").select("k", "id", F.coalesce("root", "id").alias("root"))
         open_ = rooted.groupBy("k").agg(F.count("*").alias("size"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1")
