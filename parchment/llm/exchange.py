@@ -97,31 +97,33 @@ def first_of(key: np.ndarray) -> np.ndarray:
 
 KEYS = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("keys", pa.binary())])
 KEYS_DDL = "bucket int, part int, keys binary"
-BACK = pa.schema([("part", pa.int32()), ("keys", pa.binary())])
-BACK_DDL = "part int, keys binary"
-
-
-def _repeated(group: pa.Table) -> pa.Table:
-    held = anchors_of(group.column("keys"))
-    sizes = [len(x) for x in held]
-    keys = np.concatenate(held)
-    order = np.argsort(keys, kind="stable")
-    same = np.zeros(len(keys) + 1, bool)
-    sorted_keys = keys[order]
-    same[1:-1] = sorted_keys[1:] == sorted_keys[:-1]
-    again = np.zeros(len(keys), bool)
-    again[order] = same[1:] | same[:-1]
-    edges = np.cumsum([0, *sizes])
-    rows = []
-    for i, part in enumerate(group.column("part").to_pylist()):
-        if len(x := held[i][again[edges[i] : edges[i + 1]]]):
-            rows.append((part, pack(x)))
-    return table(rows, BACK)
-
-
-def repeated(sent: DataFrame) -> DataFrame:
-    """(part, keys): of the distinct keys that each part has sent, those that another part sent too."""
-    return sent.groupBy("bucket").applyInArrow(_repeated, BACK_DDL)
+BACK = pa.schema([("part", pa.int32()), ("keys", pa.binary()), ("hot", pa.binary())])
+BACK_DDL = "part int, keys binary, hot binary"
+
+
+def _repeated(most: int):
+    def run(group: pa.Table) -> pa.Table:
+        held = anchors_of(group.column("keys"))
+        edges = np.cumsum([0, *(len(x) for x in held)])
+        keys = np.concatenate(held)
+        order = np.argsort(keys, kind="stable")
+        first = np.flatnonzero(first_of(keys[order]))
+        n = np.diff(np.append(first, len(keys)))
+        senders = np.empty(len(keys), np.int64)
+        senders[order] = np.repeat(n, n)
+        rows = []
+        for i, part in enumerate(group.column("part").to_pylist()):
+            n = senders[edges[i] : edges[i + 1]]
+            if (n > 1).any():
+                rows.append((part, pack(held[i][n > 1]), pack(held[i][n > most])))
+        return table(rows, BACK)
+
+    return run
+
+
+def repeated(sent: DataFrame, most: int = NO_ID) -> DataFrame:
+    """(part, keys, hot): of the distinct keys that each part has sent, those that another part sent too, and those of more than ``most`` parts."""
+    return sent.groupBy("bucket").applyInArrow(_repeated(most), BACK_DDL)
 
 
 def in_sorted(values: np.ndarray, within: np.ndarray) -> np.ndarray:

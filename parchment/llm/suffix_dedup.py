@@ -13,6 +13,12 @@ anchors and meet in one bucket.  See ``exchange`` for scale and skew: strings
 without an anchor repeated in another part stay in their part, equal fragments
 of a part are sent once, and no task gathers the copies of a fragment.
 
+A common phrase is an anchor with other bytes around it in each document.  An
+anchor of more than ``HOT_PARTS`` parts is hot: its strings go by the minimizer
+of 40-byte grams, and where that is hot too, by all their 50 bytes, so that a
+key has one content.  What meets at a key is thus bounded by what ``HOT_PARTS``
+parts hold of it.  Equal strings have equal keys at each level.
+
 Defined cases: a null text is empty; matches never cross documents; rows with
 equal ids do not remove each other; a null id is larger than all others; texts
 shorter than 50 bytes lose nothing.
@@ -32,6 +38,7 @@ from .runtime import read
 
 LENGTH = 50
 ANCHOR = 20
+HOT_PARTS = 64
 SEPARATOR = 0xFF  # in no UTF-8 text
 #: Common prefixes below this are read from packed 8-byte keys; wider ones come from interval expansion.
 PACKED = 8
@@ -138,36 +145,78 @@ class _Bytes:
         self.length = length
         self.slices = [s for b in group.combine_chunks().to_batches() for s in textnum.slices(b, "text")]
 
-    def anchors(self):
-        """Of each slice: rows, data, offsets, mask of whole strings by start, and the anchor hash of each start."""
+    def anchors(self, hot: list[np.ndarray]):
+        """Of each slice: rows, data, offsets, rows by byte, mask of whole strings by start, and key and level of each start.
+
+        The key of a string is its anchor at the first level where that is not among the level's ``hot`` ones.
+        """
+        grams = gram_lengths(self.length)
         for s in self.slices:
             data, offsets = textnum.buffer_of(s.column("text"))
             n = max(0, len(data) - self.length + 1)
-            grams = _grams(data)
-            low = exchange.anchors_by_start(grams, self.length - ANCHOR + 1)
+            low = exchange.anchors_by_start(_grams(data, grams[0]), self.length - grams[0] + 1)
+            level = np.zeros(n, np.int8)
+            for k, keys in enumerate(hot):
+                at = np.flatnonzero(level == k)
+                edge = exchange.first_of(low[at])
+                at = at[exchange.in_sorted(low[at][edge], keys)[np.cumsum(edge) - 1]]
+                if not len(at):
+                    break
+                low[at] = exchange.anchors_by_start(_grams(data, grams[k + 1]), self.length - grams[k + 1] + 1)[at]
+                level[at] = k + 1
             doc = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))
             whole = doc[:n] == doc[self.length - 1 : self.length - 1 + n]
-            yield s, data, offsets, doc, whole, low
+            yield s, data, offsets, doc, whole, low, level
+
+
+def gram_lengths(length: int) -> tuple[int, ...]:
+    """Bytes of the grams that are anchors, by level; the last are the strings themselves."""
+    return ANCHOR, ANCHOR + 2 * (length - ANCHOR) // 3, length
 
 
-def _grams(data: np.ndarray) -> np.ndarray:
-    n = len(data) - ANCHOR + 1
+def _grams(data: np.ndarray, width: int) -> np.ndarray:
+    n = len(data) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     up, down = textnum.powers(0, len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
-    return textnum.mix((total[ANCHOR:] - total[:n]) * down[:n])
+    return textnum.mix((total[width:] - total[:n]) * down[:n])
+
+
+def _anchors(key, group: pa.Table, hot: list[np.ndarray], length: int, buckets: int) -> pa.Table:
+    """The part's distinct keys of the level after those that ``hot`` is given of."""
+    found = [np.zeros(0, np.uint64)]
+    for _, _, _, _, whole, low, level in _Bytes(group, length).anchors(hot):
+        x = low[whole & (level == len(hot))]
+        found.append(np.unique(x[exchange.first_of(x)]))
+    keys = np.unique(np.concatenate(found))
+    return exchange.table([(b, key[0].as_py(), x) for b, x in exchange.split(keys, buckets, anchors=True)], exchange.KEYS)
 
 
 def _send_anchors(length: int, buckets: int):
-    def run(key, group):
-        found = [np.zeros(0, np.uint64)]
-        for _, _, _, _, whole, low in _Bytes(group, length).anchors():
-            x = low[whole]
-            found.append(np.unique(x[exchange.first_of(x)]))
-        keys = np.unique(np.concatenate(found))
-        return exchange.table([(b, key[0].as_py(), x) for b, x in exchange.split(keys, buckets, anchors=True)], exchange.KEYS)
+    return lambda key, group: _anchors(key, group, [], length, buckets)
+
+
+def _hot(back: pa.Table) -> list[np.ndarray]:
+    """The hot keys that a part was told, in order, by level."""
+    level = np.array(back.column("level").to_pylist(), object)
+    held = back.column("hot").to_pylist()
+    out = []
+    for k in range(max((x for x in level if x is not None), default=-1) + 1):
+        keys = [exchange.unpack(held[i]) for i in np.flatnonzero(level == k).tolist()]
+        out.append(np.sort(np.concatenate([np.zeros(0, np.uint64), *keys])))
+    return out
+
+
+def _send_longer(length: int, buckets: int, level: int):
+    """Keys of ``level``, of parts that have hot ones at the level before."""
+
+    def run(key, group, back):
+        hot = _hot(back)
+        if len(hot) < level or not len(hot[level - 1]):
+            return exchange.table([], exchange.KEYS)
+        return _anchors(key, group, hot[:level], length, buckets)
 
     return run
 
@@ -184,9 +233,9 @@ def _runs(low: np.ndarray, take: np.ndarray, doc: np.ndarray) -> tuple[np.ndarra
     return first[keep], last[keep]
 
 
-def _fragments(group, length: int, wanted: np.ndarray | None):
-    """Of each slice: its rows, bytes, and the fragments' start, end, anchor and doc_id; ``wanted`` None takes all."""
-    for s, data, _, doc, whole, low in _Bytes(group, length).anchors():
+def _fragments(group, length: int, hot: list[np.ndarray], wanted: np.ndarray | None):
+    """Of each slice: its rows, bytes, and the fragments' start, end, key and doc_id; ``wanted`` None takes all."""
+    for s, data, _, doc, whole, low, _ in _Bytes(group, length).anchors(hot):
         take = whole
         if wanted is not None and len(low):
             edge = exchange.first_of(low)
@@ -259,7 +308,7 @@ def _send_fragments(length: int, buckets: int):
         lows: list[int] = []
         anchor_of = [np.zeros(0, np.uint64)]
         numbers = [np.zeros(0, np.int64)]
-        for _, raw, first, last, anchors, ids in _fragments(group, length, wanted):
+        for _, raw, first, last, anchors, ids in _fragments(group, length, _hot(back), wanted):
             numbers.append(_collected(held, lows, raw, first, last, ids))
             anchor_of.append(anchors)
         part = key[0].as_py() if key[0].is_valid else None
@@ -313,12 +362,14 @@ def _remove(length: int, texts: bool):
     def run(key, group, back):
         told: dict[bytes, list[tuple[int, int, int]]] = {}
         for keys, *columns in zip(*(back.column(c).to_pylist() for c in ("keys", "starts", "lengths", "owners")), strict=True):
+            if keys is None:  # a row of hot keys
+                continue
             xs = zip(*(np.frombuffer(x, t).tolist() for x, t in zip(columns, (np.int32, np.int32, np.int64), strict=True)), strict=True)
             for k, x in enumerate(xs):
                 told.setdefault(keys[16 * k : 16 * k + 16], []).append(x)
-        far = np.unique(np.concatenate([np.zeros(0, np.uint64), *exchange.anchors_of(back.column("anchors"))]))
+        far = np.unique(np.concatenate([np.zeros(0, np.uint64), *exchange.anchors_of(back.column("anchors").drop_null())]))
         # strings within the part: the same classes over the part's own distinct fragments
-        slices = list(_fragments(group, length, None))
+        slices = list(_fragments(group, length, _hot(back), None))
         near = _repeated_here(slices)
         held: dict[bytes, int] = {}
         lows: list[int] = []
@@ -377,9 +428,15 @@ def dedup(docs: DataFrame, length: int = LENGTH, texts: bool = True) -> DataFram
     parted, parts = exchange.dealt(docs)
     buckets = 2 * exchange.n_buckets(docs, parts)
     anchors = parted.groupBy("part").applyInArrow(_send_anchors(length, buckets), exchange.KEYS_DDL)
-    repeated = exchange.repeated(anchors)
+    repeated = exchange.repeated(anchors, HOT_PARTS).withColumn("level", F.lit(0))
+    # no key is of more parts than there are: up to HOT_PARTS parts, no longer ones are asked for
+    levels = len(gram_lengths(length)) if parts > HOT_PARTS else 1
+    for level in range(1, levels):
+        longer = parted.groupBy("part").cogroup(repeated.groupBy("part")).applyInArrow(_send_longer(length, buckets, level), exchange.KEYS_DDL)
+        repeated = repeated.unionByName(exchange.repeated(longer, HOT_PARTS if level + 1 < levels else exchange.NO_ID).withColumn("level", F.lit(level)))
     sent = parted.groupBy("part").cogroup(repeated.groupBy("part")).applyInArrow(_send_fragments(length, buckets), _SENT_DDL)
     owned = sent.groupBy("bucket").applyInArrow(_own(length), _BACK_DDL)
+    owned = owned.unionByName(repeated.where("octet_length(hot) > 0").select("part", "hot", "level"), allowMissingColumns=True)
     return parted.groupBy("part").cogroup(owned.groupBy("part")).applyInArrow(_remove(length, texts), _OUT_DDL)
 
 
