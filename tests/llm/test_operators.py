@@ -6,7 +6,6 @@ import time
 import brute
 import duckdb
 import numpy as np
-import pyarrow as pa
 import pytest
 from conftest import lines
 from pyspark.sql import functions as F
@@ -39,29 +38,6 @@ def test_suffix_array(docs, rows, nothing, small_parts):
     assert suffix_dedup.dedup(nothing).count() == 0
 
 
-def test_suffix_array_hot_anchors(spark, docs, rows, small_parts, monkeypatch):
-    """Anchors of many parts go by longer grams, to the same result; what meets at a hot anchor is less."""
-    monkeypatch.setattr(suffix_dedup, "HOT_PARTS", 2)
-    want = sorted(brute.substrings([(d, t) for d, t, _ in rows]), key=repr)
-    found = suffix_dedup.dedup(docs, texts=False).withColumn("kept", F.lower(F.hex("kept")))
-    assert lines(found, "doc_id", "n_bytes", "n_removed", "n_spans", "kept") == want
-
-    phrase = "and this is the phrase that they all have "
-    around = [(i, f"{brute.sha(str(i))[:60]} {phrase} {brute.sha(str(-i))[:60]}" + (" twice the same end of sixty letters or so, here it stands" if i % 10 == 0 else "")) for i in range(900)]
-    df = spark.createDataFrame(around, "doc_id long, text string")
-    found = suffix_dedup.dedup(df, texts=False).withColumn("kept", F.lower(F.hex("kept")))
-    assert lines(found, "doc_id", "n_bytes", "n_removed", "n_spans", "kept") == sorted(brute.substrings(around), key=repr)
-    group = pa.table({"text": [t for _, t in around], "doc_id": [i for i, _ in around]})
-    hot = []
-    sizes = []
-    for _ in suffix_dedup.gram_lengths(50):
-        parts = list(suffix_dedup._fragments(group, 50, hot, None))
-        keys, n = np.unique(np.concatenate([x[4] for x in parts]), return_counts=True)
-        sizes.append(int(n.max()))
-        hot = [*hot, keys[n > 90]]
-    assert sizes[0] > 800 and sizes[2] <= 90
-
-
 def test_interval_classes_equal_substring_equality():
     rng = np.random.default_rng(1)
     fragments = ["".join(rng.choice(list("ab"), 80)).encode() for _ in range(20)]
