@@ -21,8 +21,9 @@ removed otherwise.
 Scale: one map-only pass finds the entities and is checkpointed without texts.
 Pairs are counted for entities of enough documents only, over all terms of their
 documents; they and the document frequencies of all terms are pre-aggregated per
-partition.  A last map-only pass marks the occurrences; disclosing pairs beyond a
-broadcast are marked in several passes.
+partition.  A last map-only pass marks the occurrences by the disclosing pairs, a
+broadcast of up to BROADCAST_TERMS of them; more are joined to the pairs of each
+document, which Spark splits where one pair is in many documents.
 Texts are never shuffled for the report.  Work within a document grows with its
 entities of enough documents times its distinct terms.
 
@@ -34,7 +35,6 @@ outside all base spans; the frequency of a term counts it inside them too.
 
 from __future__ import annotations
 
-import math
 import re
 
 import numpy as np
@@ -360,18 +360,52 @@ def _mark(table):
     return run
 
 
+def _term_rows(places: bool):
+    """Of documents that hold entities: the terms, by entity and without places, or by place and without entities."""
+
+    def run(batches):
+        for batch in batches:
+            for part in textnum.slices(batch, "text"):
+                rows, spans, about = _holding(part, None)
+                if not rows:
+                    continue
+                h, _, row, start, end = terms_of(part.column("text").take(pa.array(rows)), spans)
+                edges = np.searchsorted(row, np.arange(len(rows) + 1))
+                for i, held in enumerate(about):
+                    here = slice(edges[i], edges[i + 1])
+                    if places:
+                        found = [[pa.array(h[here]), *(pa.array(x[here].astype(np.int32)) for x in (start, end))]]
+                    else:
+                        terms = pa.array(np.unique(h[here]))
+                        found = ([terms, pa.array(np.full(len(terms), e, np.int64))] for e in held)
+                    for columns in found:
+                        ids = [pa.array([part.column(c)[rows[i]].as_py()] * len(columns[0]), pa.int64()) for c in ("doc_id", "h")]
+                        yield pa.RecordBatch.from_arrays([*ids, *columns], names=["doc_id", "h", "term", *(("start", "end") if places else ("entity",))])
+
+    return run
+
+
+def _joined_hits(keyed: DataFrame, scored: DataFrame) -> DataFrame:
+    """The occurrences to mark, with disclosing pairs and texts' terms joined: nothing goes to the driver."""
+    held = keyed.mapInArrow(_term_rows(False), "doc_id long, h long, term long, entity long")
+    told = held.join(scored.select("entity", "term", "level"), ["entity", "term"])
+    told = told.groupBy(F.col("doc_id").alias("t_doc_id"), F.col("h").alias("t_h"), F.col("term").alias("t_term")).agg(F.max("level").alias("level"))
+    places = keyed.mapInArrow(_term_rows(True), "doc_id long, h long, term long, start int, end int")
+    same = F.col("doc_id").eqNullSafe(F.col("t_doc_id")) & (F.col("h") == F.col("t_h")) & (F.col("term") == F.col("t_term"))
+    return places.join(told, same).select("doc_id", "h", "start", "end", "level")
+
+
 def term_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
     """(doc_id, h, terms): the spans that the method adds, one row per distinct (doc_id, h)."""
     scored = cut(disclosures(docs, found))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text").where(F.col("text").isNotNull())
-    rounds = max(1, math.ceil(scored.count() / BROADCAST_TERMS))
-    hits = None
-    for k in range(rounds):
-        some = sorted(tuple(r) for r in scored.where(F.pmod(F.xxhash64("entity", "term"), F.lit(rounds)) == k).select("entity", "term", "level").toLocalIterator())
+    if scored.count() <= BROADCAST_TERMS:
+        some = sorted(tuple(r) for r in scored.select("entity", "term", "level").toLocalIterator())
         e, t, level = zip(*some, strict=True) if some else ((), (), ())
         table = docs.sparkSession.sparkContext.broadcast((np.array(e, np.int64), np.array(t, np.int64), np.array(level, np.int64)))
-        new = keyed.mapInArrow(_mark(table), "doc_id long, h long, start int, end int, level int")
-        hits = new if hits is None else hits.union(new)
+        hits = keyed.mapInArrow(_mark(table), "doc_id long, h long, start int, end int, level int")
+    else:
+        hits = _joined_hits(keyed, scored)
     hit = hits.groupBy("doc_id", "h", "start", "end").agg(F.max("level").alias("level"))
     return hit.groupBy("doc_id", "h").agg(F.array_sort(F.collect_list(F.struct("start", "end", "level"))).alias("terms"))
 

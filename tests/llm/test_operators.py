@@ -199,8 +199,10 @@ def test_pii(docs, rows, nothing):
     assert pii.report(nothing).count() == 0
 
 
-def test_pii_terms_against_brute_force(docs, rows):
-    """Terms, their places and their levels on the mixed rows are those of a plain count of documents."""
+@pytest.mark.parametrize("limit", [pii.BROADCAST_TERMS, 1])
+def test_pii_terms_against_brute_force(docs, rows, monkeypatch, limit):
+    """Terms, their places and their levels on the mixed rows are those of a plain count of documents, broadcast or joined."""
+    monkeypatch.setattr(pii, "BROADCAST_TERMS", limit)
     found = brute.pii_terms([(d, t) for d, t, _ in rows])
     want = {(d, t, *x) for (d, t, _), spans in zip(rows, found, strict=True) for x in spans}
     got = pii.term_spans(docs.select("doc_id", "text"), pii.find(docs)).join(docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("th"), "text"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("th")))
