@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, html, infill, merkle, mixing, pii, quality, secrets, simhash, suffix_dedup, window_dedup
+from . import decontam, html, infill, merkle, mixing, negatives, pii, quality, secrets, simhash, suffix_dedup, window_dedup
 
 QUERIES = {
     "op1_page_differencing": html.op1_page_differencing,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_merkle_fixity": merkle.op8_merkle_fixity,
     "op9_benchmark_decontamination": decontam.op9_benchmark_decontamination,
     "op10_secret_ownership": secrets.op10_secret_ownership,
+    "op12_hard_negatives": negatives.op12_hard_negatives,
     "op13_fill_in_middle": infill.op13_fill_in_middle,
 }
 
@@ -25,5 +26,6 @@ SQL = {
     "op8_merkle_fixity": merkle.OP8_SQL,
     "op9_benchmark_decontamination": decontam.OP9_SQL,
     "op10_secret_ownership": secrets.OP10_SQL,
+    "op12_hard_negatives": negatives.OP12_SQL,
     "op13_fill_in_middle": infill.OP13_SQL,
 }
