@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, html, infill, merkle, mixing, negatives, pii, quality, secrets, simhash, suffix_dedup, window_dedup
+from . import bottomk, decontam, html, infill, merkle, mixing, negatives, pii, quality, secrets, simhash, suffix_dedup, window_dedup
 
 QUERIES = {
     "op1_page_differencing": html.op1_page_differencing,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_merkle_fixity": merkle.op8_merkle_fixity,
     "op9_benchmark_decontamination": decontam.op9_benchmark_decontamination,
     "op10_secret_ownership": secrets.op10_secret_ownership,
+    "op11_bottom_k_dedup": bottomk.op11_bottom_k_dedup,
     "op12_hard_negatives": negatives.op12_hard_negatives,
     "op13_fill_in_middle": infill.op13_fill_in_middle,
 }
