@@ -13,31 +13,67 @@ def any_of(t: Column, patterns) -> Column:
     return F.regexp_like(t, F.lit("(?i)" + "|".join(f"(?:{p})" for p in patterns)))
 
 
+def _tokens(document_says: Column, concern: Column, how: Column, clause: Column) -> dict[str, Column]:
+    """What the checks of a grounding read, each computed once."""
+    return {
+        "everything": F.concat_ws(" ", document_says, concern, how),
+        "new_numbers": F.array_except(text.numbers(document_says), text.numbers(clause)),
+        "says": text.grounding_words(document_says),
+        "source": text.grounding_words(clause),
+    }
+
+
+def _flags(t: dict[str, Column], concern: Column, label: Column, support: Column, retrieved: Column) -> dict[str, Column]:
+    shared = F.size(F.array_intersect(t["says"], t["source"]))
+    ratio = F.when(F.size(t["says"]) > 0, shared / F.size(t["says"])).otherwise(0.0)
+    return {
+        "CITATION_RESTRICTED": F.size(F.array_except(support, retrieved)) == 0,
+        "NO_SMUGGLED_CITATION": (F.regexp_count(t["everything"], F.lit(rules.STATUTE_REFERENCE)) == 0) | (F.size(support) > 0),
+        "DOCUMENT_GROUNDED": (F.size(t["new_numbers"]) == 0) & ((ratio >= rules.MIN_OVERLAP_RATIO) | (shared >= rules.MIN_OVERLAP_WORDS)),
+        "NO_LEGAL_CONCLUSION": ~any_of(t["everything"], rules.CONCLUSIONS),
+        "CONCERN_PRESENT": ~label.isin("YELLOW", "RED") | (F.length(F.trim(concern)) >= rules.MIN_CONCERN_CHARS),
+    }
+
+
+_REASONS = {
+    "CITATION_RESTRICTED": "cites an entry that was not retrieved",
+    "NO_SMUGGLED_CITATION": "names a statute without citing one",
+    "DOCUMENT_GROUNDED": "not supported by the clause",
+    "NO_LEGAL_CONCLUSION": "states a legal conclusion",
+    "CONCERN_PRESENT": "no concern given",
+}
+
+
+def _verdict(flags: Column) -> Column:
+    """struct(checks map, reasons map, passed) of an array of flags in the order of ``_REASONS``."""
+    names = text.strings(_REASONS)
+    told = F.arrays_zip(names.alias("name"), text.strings(_REASONS.values()).alias("why"), flags.alias("ok"))
+    failed = F.filter(told, lambda x: ~x["ok"])
+    reasons = F.map_from_entries(F.transform(failed, lambda x: F.struct(x["name"], x["why"])))
+    return F.struct(F.map_from_arrays(names, flags).alias("checks"), reasons.alias("reasons"), F.forall(flags, lambda x: x).alias("passed"))
+
+
 def grounding(document_says: Column, concern: Column, label: Column, support: Column, how: Column, clause: Column, retrieved: Column) -> Column:
-    """struct(checks map, reasons map, passed) of one explanation.
+    """struct(checks map, reasons map, passed) of one explanation, as one expression; ``grounded`` is for tables.
 
     ``support`` are cited ids and ``retrieved`` the ids offered; ``how`` is the text of how the citations apply.
     """
-    everything = F.concat_ws(" ", document_says, concern, how)
-    cited_ok = F.size(F.array_except(support, retrieved)) == 0
-    smuggled_ok = (F.regexp_count(everything, F.lit(rules.STATUTE_REFERENCE)) == 0) | (F.size(support) > 0)
-    new_numbers = F.array_except(text.numbers(document_says), text.numbers(clause))
-    says, source = text.grounding_words(document_says), text.grounding_words(clause)
-    shared = F.size(F.array_intersect(says, source))
-    ratio = F.when(F.size(says) > 0, shared / F.size(says)).otherwise(0.0)
-    grounded_ok = (F.size(new_numbers) == 0) & ((ratio >= rules.MIN_OVERLAP_RATIO) | (shared >= rules.MIN_OVERLAP_WORDS))
-    conclusion_ok = ~any_of(everything, rules.CONCLUSIONS)
-    concern_ok = ~label.isin("YELLOW", "RED") | (F.length(F.trim(concern)) >= rules.MIN_CONCERN_CHARS)
-    checks = {
-        "CITATION_RESTRICTED": (cited_ok, "cites an entry that was not retrieved"),
-        "NO_SMUGGLED_CITATION": (smuggled_ok, "names a statute without citing one"),
-        "DOCUMENT_GROUNDED": (grounded_ok, "not supported by the clause"),
-        "NO_LEGAL_CONCLUSION": (conclusion_ok, "states a legal conclusion"),
-        "CONCERN_PRESENT": (concern_ok, "no concern given"),
-    }
-    flags = F.create_map(*[x for name, (ok, _) in checks.items() for x in (F.lit(name), F.coalesce(ok, F.lit(False)))])
-    told = F.create_map(*[x for name, (_, why) in checks.items() for x in (F.lit(name), F.lit(why))])
-    return F.struct(flags.alias("checks"), F.map_filter(told, lambda k, _: ~F.element_at(flags, k)).alias("reasons"), F.forall(F.map_values(flags), lambda x: x).alias("passed"))
+    flags = _flags(_tokens(document_says, concern, how, clause), concern, label, support, retrieved)
+    return _verdict(F.array(*[F.coalesce(x, F.lit(False)) for x in flags.values()]))
+
+
+def grounded(df: DataFrame, document_says: Column, concern: Column, label: Column, support: Column, how: Column, clause: Column, retrieved: Column, where: Column | None = None, out: str = "grounding") -> DataFrame:
+    """``df`` with ``out``, as ``grounding`` has it; words, numbers and flags are columns of their own, so each text is read once.
+
+    Rows for which ``where`` does not hold get null.
+    """
+    tokens = _tokens(document_says, concern, how, clause)
+    names = {t: f"_{out}_{t}" for t in tokens}
+    held = df.withColumns({names[t]: c if where is None else F.when(where, c) for t, c in tokens.items()})
+    flags = _flags({t: F.col(c) for t, c in names.items()}, concern, label, support, retrieved)
+    held = held.withColumn(f"_{out}_flags", F.array(*[F.coalesce(x, F.lit(False)) for x in flags.values()]))
+    verdict = _verdict(F.col(f"_{out}_flags"))
+    return held.withColumn(out, verdict if where is None else F.when(where, verdict)).drop(*names.values(), f"_{out}_flags")
 
 
 def parse(content: Column, schema: str) -> Column:
@@ -152,15 +188,15 @@ def explanation_prompt(clause: Column, label: Column, statutes: Column) -> Colum
     return F.concat(F.lit("Clause ("), label, F.lit("):\n"), clause, F.lit("\n\nStatutes:\n"), F.when(F.size(statutes) > 0, listed).otherwise(none))
 
 
-def classify(clauses: DataFrame, llm: DataFrame, trained: DataFrame, approach: str = "llm") -> DataFrame:
-    """Probabilities by approach (llm falls back to trained, ensemble is the mean of both); tables are (clause_id, probabilities)."""
+def classify(clauses: DataFrame, llm: DataFrame, trained: DataFrame, approach: str = "llm", keys: tuple[str, ...] = ("clause_id",)) -> DataFrame:
+    """Probabilities by approach (llm falls back to trained, ensemble is the mean of both); tables are (keys, probabilities)."""
     if approach not in ("llm", "trained", "ensemble"):
         raise ValueError(f"unknown approach: {approach}")
-    both = clauses.join(llm.withColumnRenamed("probabilities", "p_llm"), "clause_id", "left").join(trained.withColumnRenamed("probabilities", "p_trained"), "clause_id", "left")
+    both = clauses.join(llm.withColumnRenamed("probabilities", "p_llm"), [*keys], "left").join(trained.withColumnRenamed("probabilities", "p_trained"), [*keys], "left")
     mean = F.map_zip_with("p_llm", "p_trained", lambda k, a, b: (a + b) / 2)
     p = {"llm": F.coalesce("p_llm", "p_trained"), "trained": F.col("p_trained"), "ensemble": mean}[approach]
     used = F.when((F.lit(approach) == "llm") & F.col("p_llm").isNull(), "trained (llm fallback)").otherwise(approach)
     out = both.withColumn("probabilities", F.when(F.trim("text") != "", p)).withColumn("approach", used)
-    out = out.withColumn("error", F.when(F.trim("text") == "", "blank text").when(F.col("probabilities").isNull(), "classification failed"))
+    out = out.withColumn("error", F.when(F.coalesce(F.trim("text"), F.lit("")) == "", "blank text").when(F.col("probabilities").isNull(), "classification failed"))
     label = argmax(F.col("probabilities"))
     return out.withColumn("label", F.when(F.col("error").isNull(), label)).withColumn("confidence", F.array_max(F.map_values("probabilities"))).drop("p_llm", "p_trained")

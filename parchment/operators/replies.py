@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from . import guardrails
 
-MAX_RETRIES = 5
+MAX_RETRIES = 6
 FIRST_WAIT = 5.0
 QUOTA_MARK = "per day"
 
@@ -64,18 +64,50 @@ def explained(replies: DataFrame, keys: list[str], tries: int = 2) -> DataFrame:
     return out.select(*keys, "explanation", F.when(F.col("explanation").isNull(), F.concat(F.lit("explanation generation failed: "), "last")).alias("reply_error"))
 
 
+def calls(attempts: DataFrame, keys: list[str], limit: int = MAX_RETRIES) -> DataFrame:
+    """(keys, try, content, error) of each call: a call is one try of one prompt, ``attempts`` (keys, try, attempt, ...) are its requests."""
+    out = outcomes(attempts.withColumn("call", F.struct(*keys, "try")), "call", limit)
+    return out.select("call.*", "content", "error")
+
+
+def tried(answers: DataFrame, keys: list[str], parse) -> DataFrame:
+    """(keys, value, error) of ``answers`` (keys, try, content, error), asked again once, and only where the first answer is malformed.
+
+    ``parse`` turns a content into (value, problem or null).  A call that failed is not tried again.
+    """
+    value, problem = parse(F.col("content"))
+    parsed = answers.where("try < 2").select(*keys, "try", F.struct(F.col("error"), problem.alias("problem"), value.alias("value")).alias("x"))
+    first, second = (F.max_by(F.when(F.col("try") == i, F.col("x")), F.when(F.col("try") == i, F.lit(1))).alias(f"t{i}") for i in (0, 1))
+    both = parsed.groupBy(*keys).agg(first, second)
+    ok = lambda t: F.col(t).isNotNull() & F.col(f"{t}.error").isNull() & F.col(f"{t}.problem").isNull()
+    again = F.col("t0").isNotNull() & F.col("t0.error").isNull() & F.col("t0.problem").isNotNull()
+    last = F.coalesce("t1.error", "t1.problem", "t0.problem")
+    return both.select(
+        *keys,
+        F.when(ok("t0"), F.col("t0.value")).when(again & ok("t1"), F.col("t1.value")).alias("value"),
+        F.when(F.col("t0").isNull(), "no reply").when(ok("t0"), F.lit(None)).when(~again, F.col("t0.error")).when(~ok("t1"), last).alias("error"),
+    )
+
+
+FAILED = "explanation generation failed: "
+
+
 def document_review(clauses: DataFrame, replies: DataFrame, keys: list[str]) -> DataFrame:
     """The explain and grounding stage: ``clauses`` (keys, text, label, retrieved ids) with explanation, grounding and error.
 
     A clause without a label was not classified and is not explained; one without a usable reply keeps its label.
     Replies may be the saved ones of an earlier run, which so is rechecked.
     """
-    both = clauses.join(explained(replies, keys), keys, "left")
-    x = F.col("explanation")
-    support = F.transform(F.coalesce(x["statute_support"], F.array()), lambda s: s["entry_id"])
-    how = F.array_join(F.transform(F.coalesce(x["statute_support"], F.array()), lambda s: F.coalesce(s["how_it_applies"], F.lit(""))), " ")
-    classified = F.col("label").isNotNull()
-    checked = guardrails.grounding(x["document_says"], F.coalesce(x["concern"], F.lit("")), F.col("label"), support, how, F.col("text"), F.col("retrieved"))
-    error = F.when(~classified, "classification failed").otherwise(F.when(x.isNull(), F.coalesce("reply_error", F.lit("explanation generation failed: no reply"))))
-    out = both.withColumns({"grounding": F.when(classified & x.isNotNull(), checked), "error": error})
-    return out.withColumn("explanation", F.when(classified, x)).drop("reply_error")
+    return reviewed(clauses, explained(replies, keys), keys)
+
+
+def reviewed(clauses: DataFrame, explanations: DataFrame, keys: list[str], classified: str = "classification failed") -> DataFrame:
+    """``clauses`` with the ``explanations`` (keys, explanation, reply_error), checked against text and retrieved ids; ``classified`` is the error of those without label."""
+    both = clauses.join(explanations, keys, "left")
+    x, labelled = F.col("explanation"), F.col("label").isNotNull()
+    both = both.withColumn("explanation", F.when(labelled, x))
+    support = F.coalesce(x["statute_support"], F.array())
+    how = F.array_join(F.transform(support, lambda s: F.coalesce(s["how_it_applies"], F.lit(""))), " ")
+    checked = guardrails.grounded(both, x["document_says"], F.coalesce(x["concern"], F.lit("")), F.col("label"), F.transform(support, lambda s: s["entry_id"]), how, F.col("text"), F.col("retrieved"), where=x.isNotNull())
+    error = F.when(~labelled, classified).otherwise(F.when(x.isNull(), F.coalesce("reply_error", F.lit(f"{FAILED}no reply"))))
+    return checked.withColumn("error", error).drop("reply_error")

@@ -339,7 +339,7 @@ def reply_outcomes(spark, sf_dir):
         F.col("user_id").alias("key"), n.alias("attempt"), status.alias("status"), F.when((v >= 40) & (v < 60), "Limit Per Day reached").otherwise("slow down").alias("body"),
         F.when(v >= 210, F.col("event_type")).alias("content"), F.when(v < 90, "2.5").when(v < 100, "soon").alias("retry_after"),
     )
-    return replies.outcomes(attempts)
+    return replies.outcomes(attempts, limit=5)
 
 
 @query("SELECT o_orderkey, EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_acctbal > 0) AS cached FROM orders")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import contracts, evaluation, findings, heavy, review
+from . import analysis, contracts, evaluation, findings, heavy, review
 
-QUERIES = {**review.QUERIES, **evaluation.QUERIES, **heavy.QUERIES, **findings.QUERIES, **contracts.QUERIES}
-SQL = {**review.SQL, **evaluation.SQL, **heavy.SQL, **findings.SQL, **contracts.SQL}
+QUERIES = {**review.QUERIES, **evaluation.QUERIES, **heavy.QUERIES, **findings.QUERIES, **contracts.QUERIES, **analysis.QUERIES}
+SQL = {**review.SQL, **evaluation.SQL, **heavy.SQL, **findings.SQL, **contracts.SQL, **analysis.SQL}

@@ -198,8 +198,7 @@ def grounding_checks(spark, sf_dir):
     rest = F.col("turn") % 4
     cites = F.when(rest == 0, F.array().cast("array<string>")).when(rest == 1, text.strings(["e1"])).when(rest == 2, text.strings(["e1", "e2"])).otherwise(text.strings(["x9"]))
     label = F.element_at(text.strings(rules.LABELS), (F.col("turn") % 3 + 1).cast("int"))
-    g = guardrails.grounding(F.col("reply"), F.substring("reply", 1, 30), label, cites, F.lit("section 5"), F.col("text"), text.strings(["e1", "e2", "e3"]))
-    out = _turn_pairs(spark, sf_dir).select("conv_id", "turn", g.alias("g"))
+    out = guardrails.grounded(_turn_pairs(spark, sf_dir), F.col("reply"), F.substring("reply", 1, 30), label, cites, F.lit("section 5"), F.col("text"), text.strings(["e1", "e2", "e3"]), out="g")
     names = ("CITATION_RESTRICTED", "NO_SMUGGLED_CITATION", "DOCUMENT_GROUNDED", "NO_LEGAL_CONCLUSION", "CONCERN_PRESENT")
     return out.select("conv_id", "turn", *[F.element_at("g.checks", n).alias(n.lower()) for n in names], "g.passed")
 
