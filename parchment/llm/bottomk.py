@@ -32,6 +32,7 @@ without any id has none.
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +59,7 @@ TILE = 512
 BUCKET_BYTES = 16 << 20
 
 
+@lru_cache(maxsize=64)
 def least_shared(k: int, percent: int = PERCENT, tail: float = TAIL) -> int:
     """Of the ``k`` least values of their union, two sets of the similarity share at least so many, but for a chance of ``tail``."""
     p, below = percent / 100, 0.0
