@@ -407,28 +407,65 @@ def test_lcs(monkeypatch):
             assert at == sorted(set(at)) and len(at) == length(a, b) and all(x in it for x in picked)
 
 
+def content():
+    return merkle.warc_record(F.col("url"), F.col("html"))
+
+
+def audited(a, b, slot="page_id"):
+    found = merkle.audit(a, b, F.expr("page_id div 256"), ["page_id"], content(), slot=F.col(slot) if slot else None).collect()
+    return {r["page_id"]: r for r in found}
+
+
 def test_merkle(spark):
     rows = [(i, f"u{i}", f"<p>{i}</p>" if i % 9 else None) for i in range(600)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
-    bad = pages.where("page_id <> 300").withColumn("html", F.when(F.col("page_id") == 17, "<p>!!</p>").otherwise(F.col("html")))
-    content = merkle.warc_record(F.col("url"), F.col("html"))
-    audit = lambda a, b: {r["page_id"]: r for r in merkle.audit(a, b, F.expr("page_id div 256"), ["page_id"], content).collect()}
-    found = audit(pages, bad)
-    verdict = {k: r["verdict"] for k, r in found.items()}
-    assert verdict[17] == "corrupt" and verdict[16] == "intact" and verdict[299] == "intact"
-    # records after a lost one move to other offsets, in its segment only
-    assert verdict[300] == "corrupt" and verdict[511] == "missing" and verdict[512] == "intact"
+    bad = pages.where("page_id <> 300").withColumn("html", F.when(F.col("page_id") == 17, "<p>!!</p>").when(F.col("page_id") == 520, "<").otherwise(F.col("html")))
+    found = audited(pages, bad)
+    assert {k: r["verdict"] for k, r in found.items() if r["verdict"] != "intact"} == {17: "corrupt", 300: "missing", 520: "corrupt"} and len(found) == 600
+    # what stands behind a lost or shortened record is intact, at another place
+    lost = found[300]["to"] - found[300]["from"]
+    assert found[300]["replica_from"] is None and found[301]["replica_from"] == found[301]["from"] - lost and found[511]["replica_from"] == found[511]["from"] - lost
+    assert found[299]["replica_from"] == found[299]["from"] and found[512]["replica_from"] == found[512]["from"] == 0 and found[599]["replica_from"] < found[599]["from"]
     # of segment 0: the root, its one child (of 256 records), the 16 nodes below that and the 16 records below the one that differs
-    assert found[17]["nodes_compared"] == 1 + 1 + 16 + 16 and found[512]["nodes_compared"] == 1
-    assert found[512]["root"] == found[512]["replica_root"] and found[17]["root"] != found[17]["replica_root"]
-    same = audit(pages, pages)
+    assert found[17]["nodes_compared"] == 1 + 1 + 16 + 16 and found[300]["nodes_compared"] == 1 + 1 + 16 + 16
+    assert found[17]["root"] != found[17]["replica_root"]
+    same = audited(pages, pages)
     assert {r["verdict"] for r in same.values()} == {"intact"} and {r["nodes_compared"] for r in same.values()} == {1}
-    assert not audit(pages.limit(0), pages.limit(0))
+    assert not audited(pages.limit(0), pages.limit(0))
     # records and whole segments that only the replica has
     more = pages.union(spark.createDataFrame([(767, "u", "x"), (9000, "u", "y")], pages.schema))
-    extra = audit(pages, more)
+    extra = audited(pages, more)
     assert extra[767]["verdict"] == extra[9000]["verdict"] == "extra" and extra[9000]["root"] is None and len(extra) == 602
-    assert audit(more, pages)[9000]["verdict"] == "missing"
+    assert audited(more, pages)[9000]["verdict"] == "missing"
+
+
+@pytest.mark.parametrize("slot", ["page_id", None])
+def test_merkle_against_brute_force(spark, slot):
+    """Random losses, additions, changes and cuts anywhere in a segment, with repeated keys: each record's own verdict, and no other's."""
+    rng = random.Random(7)
+    ours, theirs, want = [], [], []
+    for i in range(700):
+        copies = [f"<p>{i} {c}</p>" for c in range(rng.choice((1, 1, 1, 1, 2, 3)))]
+        if rng.random() < 0.05:
+            copies.append(copies[0])
+        other = [c for c in copies if rng.random() > 0.04]
+        other = [c[: len(c) // 2] if rng.random() < 0.04 else c + "!" if rng.random() < 0.04 else c for c in other] + (["<new>"] if rng.random() < 0.04 else [])
+        ours += [(i, "u", c) for c in copies]
+        theirs += [(i, "u", c) for c in other]
+        kept, left, right = [], list(copies), list(other)
+        for c in copies:
+            if c in right:
+                right.remove(c)
+                left.remove(c)
+                kept.append(c)
+        want += [(i, "intact")] * len(kept) + [(i, "corrupt")] * min(len(left), len(right)) + [(i, "missing")] * max(0, len(left) - len(right)) + [(i, "extra")] * max(0, len(right) - len(left))
+    rng.shuffle(theirs)
+    a, b = (spark.createDataFrame(x, "page_id long, url string, html string").repartition(3) for x in (ours, theirs))
+    found = merkle.audit(a, b, F.expr("page_id div 256"), ["page_id"], content(), slot=F.col(slot) if slot else None)
+    assert lines(found, "page_id", "verdict") == sorted(want, key=repr)
+    assert {"intact", "corrupt", "missing", "extra"} == {v for _, v in want}
+    mine = {(r["segment"], r["from"]): r["hash"] for r in merkle.audit(b, b, F.expr("page_id div 256"), ["page_id"], content(), slot=F.col(slot) if slot else None).collect()}
+    assert all(mine[r["segment"], r["replica_from"]] == r["hash"] for r in found.collect() if r["verdict"] in ("intact", "extra"))
 
 
 def test_merkle_null_keys(spark):
