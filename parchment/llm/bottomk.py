@@ -91,8 +91,13 @@ def most_apart(n: np.ndarray, m: np.ndarray, percent: int = PERCENT) -> np.ndarr
     return np.where((n <= MAP_K) & (m <= MAP_K), whole, cut_off)
 
 
+def brief(sketch: np.ndarray) -> np.ndarray:
+    """The upper halves of the values; values that fall together only make two sketches more alike."""
+    return (sketch >> np.uint64(32)).astype(np.uint32)
+
+
 def may_be_similar(n: int, x: np.ndarray, m: int, y: np.ndarray, k: int = K, percent: int = PERCENT) -> bool:
-    """Whether the union of two sketches allows the similarity; exact for sets that fit their sketches."""
+    """Whether the union of two sketches of sets of ``n`` and ``m`` values allows the similarity."""
     if percent * max(n, m) > 100 * min(n, m):
         return False
     both = np.sort(np.concatenate([x, y]))
@@ -144,6 +149,13 @@ def _prefixes(common, k: int, percent: int):
     return run
 
 
+def _listed(batches):
+    for batch in batches:
+        held = [brief(np.frombuffer(x, np.uint64)).tobytes() for x in batch.column("sketch").to_pylist()]
+        keep = [c for c in batch.schema.names if c != "sketch"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(held, pa.binary())], names=[*keep, "brief"])
+
+
 def _named_sets(width: int):
     """(id, data) of the texts that ``id`` names, each once a partition."""
 
@@ -159,13 +171,13 @@ def _named_sets(width: int):
     return run
 
 
-def _judged(alike):
+def _judged(alike, kind):
     """The pairs of a bucket for which ``alike`` holds: rows (a, b, n, data) are of b, or of a itself where b is null."""
 
     def run(table):
         first, second, sizes = (table.column(c).to_pylist() for c in ("a", "b", "n"))
         data = table.column("data").combine_chunks()
-        at = lambda i: np.frombuffer(data[i].as_buffer(), np.uint64)
+        at = lambda i: np.frombuffer(data[i].as_buffer(), kind)
         own = {a: i for i, (a, b) in enumerate(zip(first, second, strict=True)) if b is None}
         keep = [(a, b) for i, (a, b) in enumerate(zip(first, second, strict=True)) if b is not None and alike(sizes[own[a]], at(own[a]), sizes[i], at(i))]
         return pa.table({"a": pa.array([a for a, _ in keep], pa.int64()), "b": pa.array([b for _, b in keep], pa.int64())})
@@ -219,6 +231,11 @@ def _tiles(percent: int, tile: int = TILE):
     return run
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """A frame of few narrow rows is sent to all; beyond BROADCAST_ROWS it is joined by an exchange."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 class Sketched:
     """The sketches of ``docs`` (doc_id, h, text) and their exact links; ``h`` tells texts of one id apart.
 
@@ -235,9 +252,7 @@ class Sketched:
         full = self.rows.where("n > 0").select("row", "digest")
         least = full.groupBy("digest").agg(F.min("row").alias("id"), F.count("*").alias("copies")).where("copies > 1")
         self.copies = cut(full.join(least, "digest").where("row <> id").select("row", "id"))
-        gone = self.copies.select("row")
-        gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-        self.one = self.rows.where("n > 0").join(gone, "row", "left_anti").withColumnRenamed("row", "id")
+        self.one = self.rows.where("n > 0").join(_small(self.copies.select("row")), "row", "left_anti").withColumnRenamed("row", "id")
 
     def frequent(self):
         """Values that more than COMMON sketches retain, or more where that bounds their number, and the counts; broadcast."""
@@ -249,19 +264,24 @@ class Sketched:
         return self.spark.sparkContext.broadcast((v[np.argsort(v)], c[np.argsort(v)]))
 
     def lists(self) -> DataFrame:
-        """(v, id, pop): inverted lists of two or more sets; ``pop`` is how many sets a set meets in its lists."""
-        keyed = self.one.select("id", "n", "sketch").mapInArrow(_prefixes(self.frequent(), self.k, self.percent), "v long, id long")
-        keyed = cut(keyed)
-        sizes = keyed.groupBy("v").agg(F.count("*").alias("size")).where("size > 1")
-        held = keyed.join(sizes, "v")
-        return cut(held.join(held.groupBy("id").agg(F.sum("size").alias("pop")), "id").select("v", "id", "pop"))
+        """(v, id, pop): inverted lists of two or more sets; ``pop`` is how many sets a set meets in its lists.
+
+        ``listed`` is then (id, doc_id, h, n, bits, brief) of the sets that are in a list.
+        """
+        keyed = cut(self.one.select("id", "n", "sketch").mapInArrow(_prefixes(self.frequent(), self.k, self.percent), "v long, id long"))
+        sizes = _small(cut(keyed.groupBy("v").agg(F.count("*").alias("size")).where("size > 1")))
+        held = cut(keyed.join(sizes, "v"))
+        pop = cut(held.groupBy("id").agg(F.sum("size").alias("pop")))
+        listed = self.one.drop("digest").join(_small(pop.select("id")), "id", "left_semi").select("id", "doc_id", "h", "n", "bits", "sketch")
+        self.listed = cut(listed.mapInArrow(_listed, "id long, doc_id long, h long, n long, bits binary, brief binary"))
+        return held.join(_small(pop), "id").select("v", "id", "pop")
 
     def _dealt(self, pairs: DataFrame, data: DataFrame, size) -> DataFrame:
         """Rows (a, b, n, data) by bucket: of each pair that of b, and that of a, with null as b, once to PAIR_ROWS pairs; ``size`` is in bytes."""
         parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIR_ROWS).cast("int").alias("parts"))
         dealt = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"))
         sides = dealt.select(F.col("b").alias("id"), "a", "b", "part").union(dealt.select(F.col("a").alias("id"), "a", F.lit(None).cast("long"), "part").distinct())
-        sides = sides.join(self.one.select("id", "n"), "id")
+        sides = sides.join(_small(self.listed.select("id", "n")), "id")
         total = sides.agg(F.sum(size)).first()[0] or 0
         buckets = max(shuffle_partitions(self.spark), math.ceil(total / BUCKET_BYTES))
         return data.join(sides, "id").select("a", "b", "n", "data", F.pmod(F.xxhash64("a", "part"), F.lit(buckets)).alias("bucket"))
@@ -270,19 +290,18 @@ class Sketched:
         """The distinct ``pairs`` (a, b) whose union sketch allows the similarity."""
         k, percent = self.k, self.percent
         pairs = cut(pairs.where("a <> b").distinct())
-        held = self._dealt(pairs, self.one.select("id", F.col("sketch").alias("data")), F.least("n", F.lit(k)) * 8)
-        return held.groupBy("bucket").applyInArrow(_judged(lambda n, x, m, y: may_be_similar(n, x, m, y, k, percent)), "a long, b long")
+        held = self._dealt(pairs, self.listed.select("id", F.col("brief").alias("data")), F.least("n", F.lit(k)) * 4)
+        return held.groupBy("bucket").applyInArrow(_judged(lambda n, x, m, y: may_be_similar(n, x, m, y, k, percent), np.uint32), "a long, b long")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The ``pairs`` (a, b) whose full sets are similar; only the texts of sets in a pair that the estimate allows are read."""
         pairs = cut(self.estimated(pairs))
         ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        named = cut(self.one.select("id", "doc_id", "h").join(ids, "id", "left_semi"))
-        few = named.count() <= BROADCAST_ROWS
+        named = cut(self.listed.select("id", "doc_id", "h").join(ids, "id", "left_semi"))
         key = F.coalesce("doc_id", F.lit(-1)).alias("key"), "h"
-        texts = self.docs.select(*key, "text").join((F.broadcast if few else lambda x: x)(named.select("id", *key)), ["key", "h"])
+        texts = self.docs.select(*key, "text").join(_small(named.select("id", *key)), ["key", "h"])
         held = self._dealt(pairs, texts.select("id", "text").mapInArrow(_named_sets(self.width), "id long, data binary"), F.col("n") * 8)
-        return cut(held.groupBy("bucket").applyInArrow(_judged(_similar(self.percent)), "a long, b long").distinct())
+        return cut(held.groupBy("bucket").applyInArrow(_judged(_similar(self.percent), np.uint64), "a long, b long").distinct())
 
     def links(self) -> DataFrame:
         """(a, b): links that connect all similar sets."""
@@ -304,7 +323,7 @@ class Sketched:
 
     def _rest(self, open_: DataFrame) -> DataFrame:
         """(a, b): candidates of different components, list by list; a long list is dealt to parts, and each pair of parts is a group."""
-        sized = open_.join(self.one.select("id", "n", "bits"), "id").withColumn("parts", F.ceil(F.col("size") / TILE_ROWS).cast("int"))
+        sized = open_.join(self.listed.select("id", "n", "bits"), "id").withColumn("parts", F.ceil(F.col("size") / TILE_ROWS).cast("int"))
         dealt = sized.withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         dealt = dealt.select("v", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("part"), "id", "root", "n", "bits")
         buckets = max(shuffle_partitions(self.spark), math.ceil(self.rows.count() / 50_000))

@@ -3,8 +3,11 @@
 Patterns find candidate credentials in every text.  Each candidate's value is
 hashed and the corpus is asked how widely it is held: by how many distinct
 owners and repositories.  A value that many owners hold, or that stands in many
-repositories, is a copied example (documentation, templates); a high-entropy
-value of one owner, in few repositories, looks live.  The contract's three base
+repositories, is a copied example (documentation, templates); a value of one
+owner, in few repositories, that looks drawn by a machine, looks live.  That it
+does if it has ``LIVE_BITS`` bits in all, a digit, and changes between words, capitals
+and digits at ``LIVE_CHANGES`` of its places, separators left out: words and their
+like (``changeme``, ``your_token_here``) do not, however many letters they have.  The contract's three base
 kinds are always reported.  The method adds a span of kind ``live`` for the value
 of each candidate that looks live, and one of kind ``key`` for credential formats
 that the base kinds miss, unless they are copied examples.
@@ -37,7 +40,8 @@ from .runtime import cut, read
 EXAMPLE_OWNERS = 3
 EXAMPLE_REPOSITORIES = 6
 LIVE_REPOSITORIES = 2
-LIVE_BITS = 2.5
+LIVE_BITS = 48
+LIVE_CHANGES = 0.2
 
 KINDS = ("assign", "access", "hex", "key", "live")
 _ASSIGN = re.compile(
@@ -49,6 +53,9 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 # Public formats of issued credentials: GitHub, Slack, Stripe, Google, JSON web tokens.
 _KEYS = re.compile(r"gh[pousr]_[A-Za-z0-9]{36,}|xox[abpr]-[A-Za-z0-9-]{10,}|[sr]k_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")
+_RUNS = re.compile("[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
+_DIGIT = re.compile("[0-9]")
+_SEPARATORS = re.compile("[^A-Za-z0-9]+")
 _KEYS_HINT = ("gh", "xox", "k_live_", "AIza", "eyJ")
 
 
@@ -65,13 +72,16 @@ def candidates(text: str) -> list[tuple[int, str, int, str]]:
     return [(a, KINDS[k], b, v) for a, k, b, v in sorted(found)]
 
 
-def bits(value: str) -> float:
+def drawn(value: str) -> bool:
+    """Whether a value looks drawn at random: enough information in all, and many changes of the kind of character."""
     n = len(value)
-    return -sum(c / n * math.log2(c / n) for c in Counter(value).values())
+    bits = -sum(c * math.log2(c / n) for c in Counter(value).values())
+    plain = _SEPARATORS.sub("", value)
+    return bits >= LIVE_BITS and _DIGIT.search(plain) is not None and len(_RUNS.findall(plain)) - 1 >= LIVE_CHANGES * (len(plain) - 1)
 
 
-_ITEM = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("size", pa.int32()), ("value", pa.string()), ("bits", pa.float64())])
-_FOUND = "doc_id long, h long, owner string, repository string, n_assign long, n_access long, n_hex long, base string, items array<struct<kind:string,start:int,end:int,size:int,value:string,bits:double>>"
+_ITEM = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("size", pa.int32()), ("value", pa.string()), ("drawn", pa.bool_())])
+_FOUND = "doc_id long, h long, owner string, repository string, n_assign long, n_access long, n_hex long, base string, items array<struct<kind:string,start:int,end:int,size:int,value:string,drawn:boolean>>"
 
 
 def _find(batches):
@@ -83,7 +93,7 @@ def _find(batches):
             found = candidates(text) if text else ()
             if found:
                 base[i] = joined([(a, k, b) for a, k, b, _ in found if k != "key"])
-                items[i] = [{"kind": k, "start": a, "end": b, "size": len(v), "value": v, "bits": bits(v)} for a, k, b, v in found]
+                items[i] = [{"kind": k, "start": a, "end": b, "size": len(v), "value": v, "drawn": drawn(v)} for a, k, b, v in found]
                 for _, k, _, _ in found:
                     if k != "key":
                         counts[KINDS.index(k), i] += 1
@@ -108,11 +118,11 @@ def find(docs: DataFrame, owner, repository) -> DataFrame:
 
 def ownership(found: DataFrame) -> DataFrame:
     """(value, n_owners, n_repositories, verdict) over the whole corpus."""
-    held = found.where(F.size("items") > 0).select("owner", "repository", F.explode("items").alias("x")).select("owner", "repository", "x.value", "x.bits")
-    once = held.groupBy("value", "owner", "repository").agg(F.max("bits").alias("bits"))
-    held_by = once.groupBy("value").agg(F.count_distinct("owner").alias("n_owners"), F.count_distinct("owner", "repository").alias("n_repositories"), F.max("bits").alias("bits"))
+    held = found.where(F.size("items") > 0).select("owner", "repository", F.explode("items").alias("x")).select("owner", "repository", "x.value", "x.drawn")
+    once = held.groupBy("value", "owner", "repository").agg(F.max("drawn").alias("drawn"))
+    held_by = once.groupBy("value").agg(F.count_distinct("owner").alias("n_owners"), F.count_distinct("owner", "repository").alias("n_repositories"), F.max("drawn").alias("drawn"))
     example = (F.col("n_owners") >= EXAMPLE_OWNERS) | (F.col("n_repositories") >= EXAMPLE_REPOSITORIES)
-    live = (F.col("n_owners") == 1) & (F.col("n_repositories") <= LIVE_REPOSITORIES) & (F.col("bits") >= LIVE_BITS)
+    live = (F.col("n_owners") == 1) & (F.col("n_repositories") <= LIVE_REPOSITORIES) & F.col("drawn")
     verdict = F.when(example, "example").when(live, "live").otherwise("unclear")
     return held_by.select("value", "n_owners", "n_repositories", verdict.alias("verdict"))
 
@@ -127,7 +137,7 @@ def report(docs: DataFrame, owner=None, repository=None) -> DataFrame:
     spans = F.when((F.col("kind") != "key") | (F.col("verdict") != "example"), F.struct("start", place.alias("k"), "end"))
     live = F.when(F.col("verdict") == "live", F.struct((F.col("end") - F.col("size")).alias("start"), F.lit(len(KINDS)).alias("k"), "end"))
     judged = each.join(ownership(found), "value").groupBy("doc_id", "h").agg(
-        F.count_if(F.col("verdict") == "live").alias("n_live"),
+        F.size(F.collect_set(live)).alias("n_live"),
         F.count_if(F.col("verdict") == "example").alias("n_example"),
         F.max("n_owners").alias("max_owners"),
         F.max("n_repositories").alias("max_repositories"),
@@ -174,10 +184,11 @@ WITH d AS (
 ), held AS (
   SELECT v, count(DISTINCT owner) AS n_owners, count(DISTINCT (owner, repository)) AS n_repositories FROM item JOIN d USING (doc_id) GROUP BY v
 ), entropy AS (
-  SELECT v, -sum(n / length(v) * log2(n / length(v))) AS bits FROM (SELECT v, c, count(*) AS n FROM (SELECT v, unnest(string_split(v, '')) AS c FROM held) GROUP BY v, c) GROUP BY v
+  SELECT v, -sum(n * log2(n / length(v))) >= {LIVE_BITS} AND regexp_matches(v, '[0-9]') AND len(regexp_extract_all(regexp_replace(v, '[^A-Za-z0-9]+', '', 'g'), '[A-Z]?[a-z]+|[A-Z]+|[0-9]+')) - 1 >= {LIVE_CHANGES} * (length(regexp_replace(v, '[^A-Za-z0-9]+', '', 'g')) - 1) AS drawn
+  FROM (SELECT v, c, count(*) AS n FROM (SELECT v, unnest(string_split(v, '')) AS c FROM held) GROUP BY v, c) GROUP BY v
 ), verdicts AS (
   SELECT v, n_owners, n_repositories, CASE WHEN n_owners >= {EXAMPLE_OWNERS} OR n_repositories >= {EXAMPLE_REPOSITORIES} THEN 'example'
-         WHEN n_owners = 1 AND n_repositories <= {LIVE_REPOSITORIES} AND bits >= {LIVE_BITS} THEN 'live' ELSE 'unclear' END AS verdict
+         WHEN n_owners = 1 AND n_repositories <= {LIVE_REPOSITORIES} AND drawn THEN 'live' ELSE 'unclear' END AS verdict
   FROM held JOIN entropy USING (v)
 ), span AS (
   SELECT doc_id, k, a, z FROM item JOIN verdicts USING (v) WHERE k < 3 OR verdict <> 'example'
@@ -187,7 +198,7 @@ WITH d AS (
 ), judged AS (
   SELECT doc_id, count_if(k = 0) AS n_assign, count_if(k = 1) AS n_access, count_if(k = 2) AS n_hex,
          string_agg(['assign', 'access', 'hex'][k + 1] || ':' || a || ':' || z, ',' ORDER BY a, k) FILTER (k < 3) AS base,
-         count_if(verdict = 'live') AS n_live, count_if(verdict = 'example') AS n_example, max(n_owners) AS max_owners, max(n_repositories) AS max_repositories
+         (SELECT count(*) FROM span WHERE span.doc_id = item.doc_id AND span.k = 4) AS n_live, count_if(verdict = 'example') AS n_example, max(n_owners) AS max_owners, max(n_repositories) AS max_repositories
   FROM item JOIN verdicts USING (v) GROUP BY doc_id
 )
 SELECT doc_id, {", ".join(f"CAST(coalesce({c}, 0) AS BIGINT) AS {c}" for c in ("n_assign", "n_access", "n_hex", "n_live", "n_example", "max_owners", "max_repositories"))},

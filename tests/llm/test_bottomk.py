@@ -105,6 +105,7 @@ def test_filters_keep_all_links():
             continue
         kept += 1
         assert bottomk.may_be_similar(len(x), x[:64], len(y), y[:64])
+        assert bottomk.may_be_similar(len(x), bottomk.brief(x[:64]), len(y), bottomk.brief(y[:64]))
         p, q = (s[:64][: bottomk.prefix_size(len(s), 64)] for s in (x, y))
         assert len(np.intersect1d(p, q))
         a, b = (np.frombuffer(bottomk.parity(s[:512]), np.uint64) for s in (x, y))
