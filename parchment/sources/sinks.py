@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -12,6 +14,37 @@ def append(df: DataFrame, path: str, partition_by: str | None = None) -> None:
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def write_unit(batch: DataFrame, batch_id: int, path: str, parts: dict[str, Callable[[DataFrame], DataFrame]]) -> None:
+    """Write what ``parts`` make of a batch, such as parents and their children, as one unit under its number.
+
+    Each part replaces what an earlier try of the batch left; the batch is told in ``commits`` only after all of them,
+    and ``committed`` reads told batches only.  So a try that dies between two parts shows nothing, and one that is
+    replayed after it was told changes nothing.
+    """
+    spark = batch.sparkSession
+    if _exists(spark, f"{path}/commits/batch={batch_id}/_SUCCESS"):
+        return
+    for name, make in parts.items():
+        make(batch).write.mode("overwrite").parquet(f"{path}/{name}/batch={batch_id}")
+    spark.createDataFrame([(len(parts),)], "n_parts int").coalesce(1).write.mode("overwrite").parquet(f"{path}/commits/batch={batch_id}")
+
+
+def stream_units(stream: DataFrame, path: str, parts: dict[str, Callable[[DataFrame], DataFrame]]):
+    """A writer of ``stream`` that writes each micro-batch as one unit; start it with a trigger of choice."""
+    return stream.writeStream.foreachBatch(lambda batch, n: write_unit(batch, n, path, parts)).option("checkpointLocation", f"{path}/checkpoint")
+
+
+def committed(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """One part of all told batches."""
+    told = spark.read.parquet(f"{path}/commits").select("batch").distinct()
+    return spark.read.parquet(f"{path}/{name}").join(F.broadcast(told), "batch", "left_semi").drop("batch")
+
+
 def versioned(df: DataFrame, path: str, version: str, fmt: str = "parquet") -> str:
     """Write beside the versions before, so that no earlier result is overwritten."""
     out = f"{path}/version={version}"

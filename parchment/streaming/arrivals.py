@@ -30,11 +30,30 @@ def run_once(stream: DataFrame, table: str, checkpoint: str, mode: str = "comple
     return stream.sparkSession.table(table)
 
 
+def per_window(events: DataFrame, ts: str, width: str = "1 minute", slide: str | None = None, late: str = "1 minute", keys: tuple[str, ...] = ()) -> DataFrame:
+    """(start, end, keys, n) of arrivals by window, told once a window is closed by the watermark."""
+    at = F.window("at", width, slide) if slide else F.window("at", width)
+    held = events.withColumn("at", F.col(ts).cast("timestamp")).withWatermark("at", late)
+    return held.groupBy(at.alias("w"), *keys).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *keys, "n")
+
+
 class Progress(StreamingQueryListener):
-    """Rows done so far, by query."""
+    """Rows done so far, by query; ``of`` a known total it is (done, total), which reaches the total only at the end.
+
+    A row counts as done when its batch is, and the last one only when the query has ended, so that done equals total
+    says that nothing is left to do.
+    """
 
-    def __init__(self):
+    def __init__(self, total: int | None = None):
+        self.total = total
         self.done: dict[str, int] = {}
+        self.ended: set[str] = set()
+
+    def of(self, query_id: str) -> tuple[int, int | None]:
+        done = self.done.get(query_id, 0)
+        if self.total is None or query_id in self.ended:
+            return done, self.total
+        return min(done, self.total - 1) if self.total else 0, self.total
 
     def onQueryStarted(self, event):
         self.done[str(event.id)] = 0
@@ -47,4 +66,5 @@ class Progress(StreamingQueryListener):
         pass
 
     def onQueryTerminated(self, event):
-        pass
+        if event.exception is None:
+            self.ended.add(str(event.id))

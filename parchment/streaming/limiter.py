@@ -49,19 +49,31 @@ def limited(hits: DataFrame, key: str, ts: str, id_column: str, limit: int, seco
 
 def _stream(limit: int, window: int):
     def run(key, frames, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
         log = deque(state.get[0] if state.exists else ())
         rows = pd.concat(frames).sort_values(["t", "id"])
         rows["allowed"] = decide(rows["t"].tolist(), limit, window, log)
-        state.update((list(log),))
+        if log:
+            state.update((list(log),))
+            # the last accepted hit no longer counts, so the key is as if never seen
+            state.setTimeoutTimestamp(max((log[-1] + window) // 1000, state.getCurrentWatermarkMs()) + 1)
+        elif state.exists:
+            state.remove()
         yield rows[["key", "id", "t", "allowed"]]
 
     return run
 
 
-def limited_stream(hits: DataFrame, key: str, ts: str, id_column: str, limit: int, seconds: int = rules.LIMITER_SECONDS) -> DataFrame:
-    """The same on a stream; the state of a key is its log of accepted hits, at most ``limit`` numbers."""
-    slim = hits.select(F.col(key).cast("string").alias("key"), F.col(id_column).cast("long").alias("id"), F.unix_micros(F.col(ts).cast("timestamp")).alias("t"))
-    return slim.groupBy("key").applyInPandasWithState(_stream(limit, seconds * 1_000_000), "key string, id long, t long, allowed boolean", "log array<long>", "append", "NoTimeout")
+def limited_stream(hits: DataFrame, key: str, ts: str, id_column: str, limit: int, seconds: int = rules.LIMITER_SECONDS, late: str = "1 hour") -> DataFrame:
+    """The same on a stream; the state of a key is its log of accepted hits, at most ``limit`` numbers, and goes when they no longer count.
+
+    ``late`` bounds how far behind the latest hit one may come.
+    """
+    slim = hits.withColumn("at", F.col(ts).cast("timestamp")).withWatermark("at", late)
+    slim = slim.select(F.col(key).cast("string").alias("key"), F.col(id_column).cast("long").alias("id"), F.unix_micros("at").alias("t"), "at")
+    return slim.groupBy("key").applyInPandasWithState(_stream(limit, seconds * 1_000_000), "key string, id long, t long, allowed boolean", "log array<long>", "append", "EventTimeTimeout")
 
 
 def too_soon(requests: DataFrame, key: str, ts: str, seconds: float = 2.5) -> DataFrame:
