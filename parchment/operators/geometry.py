@@ -1,24 +1,21 @@
 """Words on a page to lines and paragraphs, and clauses back to boxes.
 
-Line clustering compares with a moving anchor and alignment moves a cursor, so
-both are grouped functions (by page, and by document); paragraphs from lines are
-windows (``ordering.paragraphs_by_gap``).
+Line clustering compares with a moving anchor, a grouped function by page; paragraphs
+from lines are windows (``ordering.paragraphs_by_gap``).  Locating clauses moves a
+cursor through a document: its tokens are one array and, as codes of equal width, one
+string, in which an opening is found by substring search; clauses are folded over it
+(``functions.arrays``), so no row leaves the JVM.
 """
 
 from __future__ import annotations
 
-import re
-
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import rules, text
+from ..functions import arrays, rules, text
 from .ordering import paragraphs_by_gap, rejoin
 
-_TOKEN = re.compile("[a-z0-9]+")
-
-
 def cluster_lines(words: list[tuple[float, float, str]], tolerance: float = rules.LINE_TOLERANCE) -> list[tuple[float, str]]:
     """(top, x0, text) to lines: a word within ``tolerance`` of the line's first top belongs to it."""
     lines: list[tuple[float, list[str]]] = []
@@ -70,91 +67,76 @@ def ocr_words(rows: DataFrame, width: float, height: float) -> DataFrame:
     )
 
 
-class Stream:
-    """A document's tokens with the places of each token, to find openings without scanning."""
-
-    def __init__(self, words: list[str]):
-        self.tokens, self.owner, self.places = [], [], {}
-        for i, w in enumerate(words):
-            for t in _TOKEN.findall(w.lower()):
-                self.places.setdefault(t, []).append(len(self.tokens))
-                self.tokens.append(t)
-                self.owner.append(i)
-
-    def find(self, head: list[str], low: int, high: int) -> int | None:
-        from bisect import bisect_left
-
-        at = self.places.get(head[0], [])
-        for j in at[bisect_left(at, low) :]:
-            if j + len(head) > high:
-                return None
-            if self.tokens[j : j + len(head)] == head:
-                return j
-        return None
-
-    def align(self, wanted: list[str], start: int) -> list[int]:
-        out, j = [], start
-        for t in wanted:
-            try:
-                j = self.tokens.index(t, j, j + rules.MAX_SKIP + 1)
-            except ValueError:
-                if j >= len(self.tokens):
-                    break
-                continue
-            out.append(j)
-            j += 1
-        return out
-
-
-def locate(words: list[str], clauses: list[tuple[str, str]]) -> dict[str, list[int]]:
-    """Word numbers of each clause that can be located, in document order."""
-    stream, cursor, found = Stream(words), 0, {}
-    size = len(stream.tokens)
-    for clause_id, body in clauses:
-        wanted = _TOKEN.findall(body.lower())
-        lengths = sorted({min(k, len(wanted)) for k in (1, 2, 4)}, reverse=True) if wanted else []
-        tries = ((k, low, high) for k in lengths for low, high in ((cursor, min(size, cursor + rules.SEARCH_WINDOW)), (0, size)))
-        for k, low, high in tries:
-            start = stream.find(wanted[:k], low, high)
-            matched = stream.align(wanted, start) if start is not None else []
-            if matched and len(matched) >= rules.MIN_COVERAGE * len(wanted):
-                found[clause_id] = sorted({stream.owner[j] for j in matched})
-                cursor = matched[-1] + 1
-                break
-    return found
-
-
-def line_boxes(boxes: list[tuple[int, float, float, float, float]]) -> list[list[float]]:
-    """Merge word boxes (page, x0, top, x1, bottom) line by line; the line's top follows its smallest."""
-    out: list[list[float]] = []
-    for page, x0, top, x1, bottom in boxes:
-        if out and out[-1][0] == page and abs(out[-1][2] - top) <= rules.SAME_LINE:
-            b = out[-1]
-            b[1:] = [min(b[1], x0), min(b[2], top), max(b[3], x1), max(b[4], bottom)]
-        else:
-            out.append([page, x0, top, x1, bottom])
-    return [[b[0], *(round(v, 4) for v in b[1:])] for b in out]
+#: A token as text of one width, so that a place in the joined text is a token's number.
+_WIDTH = 17
+
+
+def _coded(tokens: Column) -> Column:
+    return F.array_join(F.transform(tokens, lambda t: F.concat(F.lpad(F.hex(F.xxhash64(t)), _WIDTH - 1, "0"), F.lit(" "))), "")
+
+
+def _hits(codes: Column, wanted: Column, start: Column) -> Column:
+    """The places at which ``wanted`` is met from ``start`` on, in order, skipping up to MAX_SKIP tokens before each, and those not found."""
+
+    def step(acc: Column, token: Column) -> Column:
+        place = F.array_position(F.slice(codes, acc["at"] + 1, F.lit(rules.MAX_SKIP + 1)), token).cast("int")
+        moved = lambda p: F.struct((acc["at"] + p).alias("at"), F.array_append(acc["hits"], acc["at"] + p - 1).alias("hits"))
+        return arrays.once(place, lambda p: F.when(p > 0, moved(p)).otherwise(acc))
+
+    return F.aggregate(wanted, F.struct(start.alias("at"), F.array().cast("array<int>").alias("hits")), step)["hits"]
+
+
+def _found(stream: Column, codes: Column, cursor: Column, x: Column) -> Column:
+    """The places of a clause's tokens (codes, grams), or null: its longest opening first, near the cursor before anywhere."""
+    at = lambda g, low: F.when(F.position(g["gram"], stream, low * _WIDTH + 1) > 0, ((F.position(g["gram"], stream, low * _WIDTH + 1) - 1) / _WIDTH).cast("int"))
+    near = lambda g: arrays.once(at(g, cursor), lambda j: F.when(j + g["k"] <= F.least(F.size(codes), cursor + rules.SEARCH_WINDOW), j))
+    tries = F.flatten(F.transform(x["grams"], lambda g: F.array(near(g), at(g, F.lit(0)))))
+    covers = lambda h: (F.size(h) > 0) & (F.size(h) >= rules.MIN_COVERAGE * F.size(x["codes"]))
+    aligned = lambda j: F.get(F.filter(F.array(_hits(codes, x["codes"], j)), covers), F.lit(0))
+    return F.aggregate(tries, F.lit(None).cast("array<int>"), lambda acc, j: F.when(acc.isNotNull() | j.isNull(), acc).otherwise(aligned(j)))
+
+
+def _same_line(line: Column, box: Column) -> tuple[Column, Column]:
+    """The page and top of the line so far, and whether a box starts a line."""
+    here = F.coalesce((line["page"] == box["page"]) & (F.abs(line["top"] - box["top"]) <= rules.SAME_LINE), F.lit(False))
+    return F.struct(box["page"].alias("page"), F.when(here, F.least(line["top"], box["top"])).otherwise(box["top"]).alias("top")), ~here
 
 
-def _locate(key, words, clauses):
-    order = sorted(range(words.num_rows), key=words.column("pos").to_pylist().__getitem__)
-    box = list(zip(*(words.column(c).to_pylist() for c in ("page", "x0", "top", "x1", "bottom")), strict=True))
-    texts = words.column("text").to_pylist()
-    listed = sorted(zip(*(clauses.column(c).to_pylist() for c in ("order_index", "clause_id", "text")), strict=True))
-    found = locate([texts[i] for i in order], [(c, t) for _, c, t in listed])
-    rows = [(clause, n, *b) for clause, at in found.items() for n, b in enumerate(line_boxes([box[order[i]] for i in at]))]
-    columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
-    types = [pa.string(), pa.int32(), pa.int32(), *[pa.float64()] * 4]
-    names = ["clause_id", "line", "page", "x0", "top", "x1", "bottom"]
-    table = pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
-    return table.add_column(0, "document_id", pa.array([key[0].as_py()] * len(rows), pa.string()))
+def located(docs: DataFrame) -> DataFrame:
+    """``docs`` (document_id, words, clauses: arrays in order) with ``found``, the (clause_id, words: numbers in order) of each clause located."""
+    tokens = docs.withColumn("t", F.transform("words", lambda x: text.layout_tokens(x["text"])))
+    tokens = tokens.withColumns({"owner": F.flatten(F.transform("t", lambda t, i: F.array_repeat(i, F.size(t)))), "t": F.flatten("t")})
+    tokens = tokens.withColumns({"codes": F.transform("t", lambda t: F.xxhash64(t)), "stream": _coded(F.col("t"))}).drop("t")
+    asked = tokens.withColumn("c", F.transform("clauses", lambda x: text.layout_tokens(x["text"])))
+    lengths = lambda t: F.filter(F.array_distinct(F.array(*[F.least(F.lit(k), F.size(t)) for k in (4, 2, 1)])), lambda k: k > 0)
+    grams = lambda t: F.transform(F.reverse(F.array_sort(lengths(t))), lambda k: F.struct(k.alias("k"), _coded(F.slice(t, F.lit(1), k)).alias("gram")))
+    asked = asked.withColumn("c", F.transform("c", lambda t: F.struct(F.transform(t, lambda u: F.xxhash64(u)).alias("codes"), grams(t).alias("grams"))))
+    stream, codes = F.col("stream"), F.col("codes")
+    after = lambda s: lambda h: F.struct(F.coalesce(F.element_at(h, -1) + 1, s["cursor"]).alias("cursor"), h.alias("hits"))
+    zero = F.struct(F.lit(0).alias("cursor"), F.lit(None).cast("array<int>").alias("hits"))
+    hits = arrays.scan(F.col("c"), zero, lambda s, x: arrays.once(_found(stream, codes, s["cursor"], x), after(s)), lambda s: s["hits"], "array<int>")
+    held = asked.withColumn("hits", hits)
+    words = lambda h: F.array_sort(F.array_distinct(F.transform(h, lambda j: F.get("owner", j))))
+    found = F.transform(F.arrays_zip("clauses", "hits"), lambda x: F.struct(x["clauses"]["clause_id"].alias("clause_id"), words(x["hits"]).alias("words")))
+    return held.withColumn("found", F.filter(found, lambda x: x["words"].isNotNull())).drop("c", "hits", "owner", "codes", "stream")
 
 
 def locations(words: DataFrame, clauses: DataFrame) -> DataFrame:
     """One row per line box of each located clause; words and clauses meet by document."""
-    w = words.select("document_id", "pos", F.col("page").cast("int").alias("page"), *[F.col(c).cast("double").alias(c) for c in ("x0", "top", "x1", "bottom")], "text")
-    c = clauses.select("document_id", "order_index", "clause_id", "text")
-    return w.groupBy("document_id").cogroup(c.groupBy("document_id")).applyInArrow(_locate, "document_id string, clause_id string, line int, page int, x0 double, top double, x1 double, bottom double")
+    box = [F.col("page").cast("int").alias("page"), *[F.col(c).cast("double").alias(c) for c in ("x0", "top", "x1", "bottom")]]
+    w = words.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("pos", *box, "text"))).alias("words"))
+    c = clauses.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("order_index", "clause_id", "text"))).alias("clauses"))
+    held = located(w.join(c, "document_id")).withColumn("found", F.transform("found", lambda x: F.struct(x["clause_id"].alias("clause_id"), F.transform(x["words"], lambda i: F.get("words", i).dropFields("pos", "text")).alias("boxes"))))
+    line = F.struct(F.lit(None).cast("int").alias("page"), F.lit(None).cast("double").alias("top"))
+    held = held.withColumn("found", F.transform("found", lambda x: F.struct(x["clause_id"].alias("clause_id"), x["boxes"].alias("boxes"), arrays.starts_of(arrays.fold(x["boxes"], line, _same_line, "boolean")).alias("starts"))))
+    end = lambda x, k: F.coalesce(F.get(x["starts"], k + 1), F.size(x["boxes"]) + 1)
+    runs = lambda x: F.transform(x["starts"], lambda at, k: F.slice(x["boxes"], at, end(x, k) - at))
+    of = lambda b, c, f: F.round(f(F.transform(b, lambda y: y[c])), 4).alias(c)
+    merged = lambda b, k: F.struct(k.cast("int").alias("line"), F.get(b, F.lit(0))["page"].alias("page"), of(b, "x0", F.array_min), of(b, "top", F.array_min), of(b, "x1", F.array_max), of(b, "bottom", F.array_max))
+    held = held.withColumn("found", F.transform("found", lambda x: F.struct(x["clause_id"].alias("clause_id"), F.transform(runs(x), merged).alias("lines"))))
+    # outer, so that no filter on the arrays is pushed down, which would spell all steps again
+    each = held.select("document_id", F.inline_outer("found")).where("clause_id IS NOT NULL")
+    return each.select("document_id", "clause_id", F.inline("lines"))
 
 
 def boxes_by_page(boxes: DataFrame) -> DataFrame:

@@ -1,19 +1,21 @@
-"""Clause segmentation of one document at a time (E2: N6, N7, N9, X-R8, X-R9).
+"""Clause segmentation of one document at a time (E2: N6, N7, N9, X-R1 to X-R9).
 
-Numbering and section state run through a document's paragraphs in order, so this
-is a grouped function: one shuffle by document, Arrow in and out, memory bounded
-by one document.
+Numbering, label and section state run through a document's paragraphs in order.
+``segment`` gathers these by document, one shuffle, and folds them as array columns
+(``functions.arrays``), so no row leaves the JVM; memory is bounded by one document.
+``segment_paragraphs`` says the same for a list of paragraphs, for use as a table
+function in SQL; tests hold the two against each other.
 """
 
 from __future__ import annotations
 
 import re
 
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
-from ..functions import rules
+from ..functions import arrays, rules
 
 _INLINE = re.compile(rules.INLINE_NUMBER)
 _ARTICLE = re.compile(rules.ARTICLE)
@@ -152,24 +154,139 @@ def segment_paragraphs(paragraphs: list[str | None]) -> list[tuple[str, str | No
     return [*titles, *clauses, *signatures, *[("heading", None, None, h) for h in headings]]
 
 
-_OUT = "document_id string, part string, order_index int, clause_id string, clause_number string, section_heading string, text string"
-
-
-def _run(table):
-    doc = table.column("document_id")[0].as_py()
-    rows = sorted(zip(table.column("pos").to_pylist(), table.column("paragraph").to_pylist(), strict=True), key=lambda x: x[0])
-    out, counts = [], {}
-    for part, number, heading, text in segment_paragraphs([p for _, p in rows]):
-        i = counts[part] = counts.get(part, -1) + 1
-        out.append((doc, part, i, f"c{i + 1:03d}" if part == "clause" else None, number, heading, text))
-    types = [pa.string(), pa.string(), pa.int32(), *[pa.string()] * 4]
-    columns = list(zip(*out, strict=True)) if out else [[]] * 7
-    return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[c.split()[0] for c in _OUT.split(", ")])
+#: Classes with their Unicode meaning, and \n as the only line end.
+_U = "(?Ud)"
+_BLANK = r"[\s\x1c-\x1f]"
+_NUMBER_START = r"\d{1,3}(?:\.\d{1,2})*[.)]\s*[A-Z\"“(]"
+_ENDS = "[" + "".join("\\" + x for x in rules.SENTENCE_ENDS) + "]"
+
+
+def _strip(c: Column, chars: str = _BLANK) -> Column:
+    return F.regexp_replace(c, f"{_U}^{chars}+|{chars}+\\z", "")
+
+
+def _has(c: Column, p: str) -> Column:
+    return F.regexp_like(c, F.lit(_U + p))
+
+
+def _group(c: Column, p: str, n: int) -> Column:
+    return F.regexp_extract(c, _U + p, n)
+
+
+def _bare(p: Column) -> Column:
+    return (F.length(p) <= rules.BARE_HEADING_CHARS) & (p.endswith(":") | _has(p, rules.STANDALONE_HEADING))
+
+
+def _banner(p: Column) -> Column:
+    p = _strip(F.regexp_replace(p, ":+\\z", ""))
+    return (p == F.upper(p)) & _has(p, r"\p{L}")
+
+
+def _numbering(last: Column, x: Column) -> tuple[Column, Column]:
+    """The number reached, and whether a piece starts a paragraph of its own."""
+    there = x["top"].isNotNull()
+    first = there & (x["top"] == 1) & ~x["nested"] & (~x["inside"] | x["ends"] | x["caps"])
+    chain = there & last.isNotNull() & ((x["top"] == last + 1) | (x["nested"] & (x["top"] == last)))
+    opens = F.when(first, x["ends"]).otherwise(F.coalesce(chain, F.lit(False)))
+    return F.when(first, F.lit(1)).when(chain, x["top"]).otherwise(last), ~x["inside"] | opens
+
+
+def _labelling(held: Column, x: Column) -> tuple[Column, Column]:
+    """Whether a bare label is held, and whether a paragraph stands on its own."""
+    joins = held & ~x["numbered"]
+    return ~joins & x["label"], ~joins
+
+
+def _sections(state: Column, x: Column) -> tuple[Column, Column]:
+    """(section, compound), and the heading told (with ``pop`` in place of the one before) or the clause."""
+    section = F.when(x["article"], F.coalesce(x["name"], state["section"])).otherwise(state["section"])
+    empty, bare = x["p"] == "", x["bare"]
+    full = F.when(state["compound"], F.concat(section, F.lit(" "), x["heading"])).otherwise(x["heading"])
+    here = F.coalesce(x["banner"], F.when(~x["closes"], section))
+    new = F.when(empty, section).when(bare, full).otherwise(here)
+    compound = F.when(empty, state["compound"]).otherwise(bare)
+    told = F.when(~empty & bare, full).when(~empty, x["banner"])
+    body = F.when(~empty & ~bare, x["text"])
+    emission = F.struct(told.alias("told"), (bare & state["compound"]).alias("pop"), F.when(body.isNotNull(), x["number"]).alias("number"), F.when(body.isNotNull(), F.coalesce(x["own"], here)).alias("heading"), body.alias("text"))
+    return F.struct(new.alias("section"), compound.alias("compound")), emission
+
+
+_ROW = "struct<part:string,order_index:int,clause_id:string,clause_number:string,section_heading:string,text:string>"
+
+
+def _rows(items: Column, part: str, text=lambda x: x, number=None, heading=None) -> Column:
+    none = F.lit(None).cast("string")
+    clause = (lambda i: F.format_string("c%03d", i + 1)) if part == "clause" else lambda i: none
+    return F.transform(items, lambda x, i: F.struct(F.lit(part).alias("part"), i.alias("order_index"), clause(i).alias("clause_id"), (number(x) if number else none).alias("clause_number"), (heading(x) if heading else none).alias("section_heading"), text(x).alias("text")))
+
+
+def segment_arrays(docs: DataFrame) -> DataFrame:
+    """``docs`` (document_id, paragraphs: array of texts in order) with ``parts``, an array of title, clause, signature and heading rows."""
+    c = F.col
+    steps: list[tuple[str, Column]] = []
+    add = lambda name, column: steps.append((name, column))
+    add("clean", F.filter(F.transform("paragraphs", lambda p: _strip(p)), lambda p: p != ""))
+    prose = lambda p: F.endswith(p, F.lit(".")) | _has(p, r"[;!?:]\z") | (F.length(p) > rules.TITLE_CHARS)
+    head = F.slice("clean", F.lit(1), F.lit(rules.TITLE_PARAGRAPHS))
+    add("titles", F.coalesce(F.array_min(F.array_compact(F.transform(head, lambda p, i: F.when(prose(p), i)))), F.size(head)))
+    # a paragraph is cut before every number that could open a clause; whether it does, the numbers before decide
+    add("cut", F.transform(F.slice("clean", c("titles") + 1, F.greatest(F.size("clean") - c("titles"), F.lit(0))), lambda p: F.split(p, f"{_U}(?<![\\w.])(?={_NUMBER_START})")))
+    number = lambda t, n: F.regexp_extract(t, _U + r"^(\d{1,3})((?:\.\d{1,2})*)[.)]\s*(?=[A-Z\"“(])", n)
+    before = lambda q, j, p: F.coalesce(_has(F.get(q, j - 1), p + _BLANK + r"*\z"), F.lit(False))
+    piece = lambda q: F.transform(q, lambda t, j: F.struct(t.alias("text"), (j > 0).alias("inside"), number(t, 1).try_cast("int").alias("top"), (number(t, 2) != "").alias("nested"), before(q, j, _ENDS).alias("ends"), before(q, j, r"\b[A-Z]{3,}").alias("caps")))
+    add("pieces", F.flatten(F.transform("cut", piece)))
+    add("starts", arrays.starts_of(arrays.fold(c("pieces"), F.lit(None).cast("int"), _numbering, "boolean")))
+    add("texts", F.transform(arrays.joined_runs(c("pieces")["text"], c("starts"), ""), lambda p: _strip(p)))
+    add("starts", arrays.starts_of(F.transform("texts", lambda p, i: (i == 0) | ~_has(p, rules.BULLET_LINE))))
+    add("texts", arrays.joined_runs(c("texts"), c("starts"), " "))
+    add("labels", F.transform("texts", lambda p: F.struct((_bare(p) & ~_banner(p) & ~_has(p, rules.ARTICLE)).alias("label"), _has(p, rules.CLAUSE_NUMBER).alias("numbered"))))
+    add("starts", arrays.starts_of(arrays.fold(c("labels"), F.lit(False), _labelling, "boolean")))
+    add("texts", arrays.joined_runs(c("texts"), c("starts"), " "))
+    runs = lambda p: F.filter(F.transform(F.regexp_extract_all(p, F.lit(_U + rules.SIGNATURE_RUN), 0), lambda m: _strip(m)), lambda m: m != "")
+    add("signed", F.flatten(F.transform("texts", lambda p: F.when(F.contains(p, F.lit("_")), runs(p)).otherwise(F.array().cast("array<string>")))))
+    add("texts", F.transform("texts", lambda p: F.when(F.contains(p, F.lit("_")), _strip(F.regexp_replace(p, _U + rules.SIGNATURE_RUN, ""), "[ _]")).otherwise(p)))
+    add("x", F.transform("texts", lambda p: F.struct(p.alias("p"), _has(p, rules.ARTICLE).alias("article"))))
+    name = lambda p: F.nullif(_strip(_group(p, rules.ARTICLE, 1), "[ .:\\-–—]"), F.lit(""))
+    add("x", F.transform("x", lambda x: F.struct(F.when(x["article"], _strip(_group(x["p"], rules.ARTICLE, 2))).otherwise(x["p"]).alias("p"), x["article"].alias("article"), F.when(x["article"], name(x["p"])).alias("name"))))
+    add("x", F.transform("x", lambda x: F.struct(x["p"].alias("p"), x["article"].alias("article"), x["name"].alias("name"), _bare(x["p"]).alias("bare"), (_has(x["p"], rules.CLOSING_FORMULA) | _has(x["p"], rules.SECTION_DIVIDER)).alias("closes"), _has(x["p"], rules.INLINE_BANNER).alias("banner"))))
+    add("x", F.transform("x", lambda x: F.struct(
+        x["p"].alias("p"), x["article"].alias("article"), x["name"].alias("name"), x["bare"].alias("bare"), _strip(F.regexp_replace(x["p"], ":+\\z", "")).alias("heading"), x["closes"].alias("closes"),
+        F.when(x["banner"], _strip(_group(x["p"], rules.INLINE_BANNER, 1))).alias("banner"), F.when(x["banner"], _strip(F.regexp_replace(x["p"], _U + rules.INLINE_BANNER, ""))).otherwise(x["p"]).alias("body"),
+    )))
+    own, text = None, None
+    for pattern, n in ((rules.NUMBERED_HEADING, 2), (rules.COLON_HEADING, 1), (rules.CAPS_HEADING, 1)):
+        hit = lambda b, p=pattern, n=n: _has(b, p) & (F.length(_group(b, p, n)) <= rules.HEADING_CHARS) & (F.size(F.split(_strip(_group(b, p, n)), _U + _BLANK + "+")) <= rules.HEADING_WORDS)
+        head_, rest = lambda b, p=pattern, n=n: _strip(_group(b, p, n)), lambda b, p=pattern: _strip(F.regexp_replace(b, _U + p, ""))
+        own = (lambda b, f=hit, g=head_: F.when(f(b), g(b))) if own is None else lambda b, o=own, f=hit, g=head_: o(b).when(f(b), g(b))
+        text = (lambda b, f=hit, g=rest: F.when(f(b), g(b))) if text is None else lambda b, o=text, f=hit, g=rest: o(b).when(f(b), g(b))
+    deed = lambda b: _has(b, rules.DEED_CONNECTOR)
+    add("x", F.transform("x", lambda x: F.struct(
+        *[x[k].alias(k) for k in ("p", "article", "name", "bare", "heading", "closes", "banner")], F.when(_has(x["body"], rules.CLAUSE_NUMBER), _group(x["body"], rules.CLAUSE_NUMBER, 1)).alias("number"),
+        own(x["body"]).when(deed(x["body"]), _group(x["body"], rules.DEED_CONNECTOR, 1)).alias("own"), text(x["body"]).when(deed(x["body"]), _strip(F.regexp_replace(x["body"], _U + rules.DEED_CONNECTOR, ""))).otherwise(_strip(x["body"])).alias("text"),
+    )))
+    zero = F.struct(F.lit(None).cast("string").alias("section"), F.lit(False).alias("compound"))
+    add("out", arrays.fold(c("x"), zero, _sections, "struct<told:string,pop:boolean,number:string,heading:string,text:string>"))
+    add("told", F.filter("out", lambda x: x["told"].isNotNull()))
+    kept = F.filter(F.transform("told", lambda x, i: F.when(~F.coalesce(F.get("told", i + 1)["pop"], F.lit(False)), x["told"])), lambda h: h.isNotNull())
+    parts = F.concat(
+        _rows(F.slice("clean", F.lit(1), c("titles")), "title"),
+        _rows(F.filter("out", lambda x: x["text"].isNotNull()), "clause", lambda x: x["text"], lambda x: x["number"], lambda x: x["heading"]),
+        _rows(c("signed"), "signature"),
+        _rows(kept, "heading"),
+    )
+    add("parts", parts)
+    made = docs.select("document_id", "paragraphs")
+    for name, column in steps:
+        made = made.withColumn(name, column)
+    return made.select("document_id", "parts")
 
 
 def segment(paragraphs: DataFrame) -> DataFrame:
     """Paragraphs (document_id, pos, paragraph) to title, clause, signature and heading rows, numbered within their part."""
-    return paragraphs.groupBy("document_id").applyInArrow(_run, _OUT)
+    held = paragraphs.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("pos", "paragraph"))).alias("p"))
+    made = segment_arrays(held.select("document_id", F.col("p.paragraph").alias("paragraphs")))
+    # the outer form, as a plain one has the size of the array as a filter, which Spark pushes down and so spells all steps again
+    return made.select("document_id", F.inline_outer("parts")).where("part IS NOT NULL")
 
 
 @udtf(returnType="part string, clause_number string, section_heading string, text string")

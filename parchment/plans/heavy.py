@@ -107,13 +107,142 @@ def sliding_log_limiter(spark, sf_dir):
 def _paragraphs(spark, sf_dir):
     return read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.posexplode(F.split("text", "\n")).alias("pos", "paragraph"))
 
+_WS = r"[\s\v\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_NUMBER_SQL = r"\d{1,3}(?:\.\d{1,2})*[.)]\s*[A-Z\"“(]"
+_LOOK = r"(?=[A-Z\"“(])"
+
+
+def _strip_sql(x: str, chars: str = _WS) -> str:
+    return f"regexp_replace({x}, '^{chars}+|{chars}+$', '', 'g')"
+
+
+def _ahead(p: str) -> tuple[str, str]:
+    """A rule without its last look-ahead, and what that asks for, as a group to keep: RE2 has no look-ahead."""
+    body, _, look = p.rpartition("(?=")
+    return body.replace("'", "''"), look[:-1].replace("'", "''")
+
+
+def _hit_sql(x: str, p: str, n: int) -> tuple[str, str, str]:
+    """Whether a heading rule holds for ``x``, its heading, and the text after it."""
+    body, look = _ahead(p)
+    whole = f"{body}({look})" if not look.startswith("[A-Z][a-z]|") else f"{body}([A-Z][a-z]|•)"
+    group = f"regexp_extract({x}, '{whole}', {n})"
+    last = 1 + len([1 for i, ch in enumerate(whole) if ch == "(" and whole[i - 1] != "\\" and whole[i + 1] != "?"]) - 1
+    hit = f"(regexp_matches({x}, '{whole}') AND length({group}) <= {rules.HEADING_CHARS} AND len(regexp_split_to_array({_strip_sql(group)}, '\\s+')) <= {rules.HEADING_WORDS})"
+    return hit, _strip_sql(group), _strip_sql(f"regexp_replace({x}, '{whole}', '\\{last}')")
+
+
+def _bare_sql(x: str) -> str:
+    return f"(length({x}) <= {rules.BARE_HEADING_CHARS} AND (ends_with({x}, ':') OR regexp_matches({x}, '{rules.STANDALONE_HEADING.replace(chr(39), chr(39) * 2)}')))"
+
+
+def _segments_sql() -> str:
+    ends = "[" + "".join(x for x in rules.SENTENCE_ENDS if x != "-") + "-]"
+    number = rules.CLAUSE_NUMBER.replace(r"\d+(?=[.)]\s*[A-Z(])", r"\d+[.)]\s*[A-Z(]").replace(r"[IVXLC]+(?=[.)]\s)", r"[IVXLC]+[.)]\s")
+    article = rules.ARTICLE.replace("'", "''")
+    banner = _ahead(rules.INLINE_BANNER)[0]
+    hits = [_hit_sql("body", p, n) for p, n in ((rules.NUMBERED_HEADING, 2), (rules.COLON_HEADING, 1), (rules.CAPS_HEADING, 1))]
+    deed = r"^(BETWEEN|AND|WITNESSETH)\b\s*:?\s+(\S)"
+    hits.append((f"regexp_matches(body, '{deed}')", f"regexp_extract(body, '{deed}', 1)", _strip_sql(f"regexp_replace(body, '{deed}', '\\2')")))
+    own = "CASE " + " ".join(f"WHEN {h} THEN {g}" for h, g, _ in hits) + " END"
+    text = "CASE " + " ".join(f"WHEN {h} THEN {t}" for h, _, t in hits) + f" ELSE {_strip_sql('body')} END"
+    mark = "chr(1)"
+    told = "regexp_replace(x.p, ':+$', '')"
+    return f"""
+a0 AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS pos FROM documents),
+a1 AS (SELECT doc_id, pos, {_strip_sql('line')} AS p FROM a0),
+a2 AS MATERIALIZED (SELECT doc_id, p, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS i, count(*) OVER (PARTITION BY doc_id) AS n FROM a1 WHERE p <> ''),
+a3 AS MATERIALIZED (SELECT doc_id, coalesce(min(CASE WHEN i < 3 AND (regexp_matches(p, '[.;!?:]$') OR length(p) > {rules.TITLE_CHARS}) THEN i END), least(max(n), 3)) AS k FROM a2 GROUP BY doc_id),
+b0 AS (SELECT doc_id, i, string_split(regexp_replace(regexp_replace(p, '(^|[^\\p{{L}}\\p{{N}}_.])({_NUMBER_SQL})', '\\1' || {mark} || '\\2', 'g'), '([^\\p{{L}}\\p{{N}}_.\\x01])({_NUMBER_SQL})', '\\1' || {mark} || '\\2', 'g'), {mark}) AS q FROM a2 JOIN a3 USING (doc_id) WHERE i >= k),
+b1 AS (SELECT doc_id, i, unnest(q) AS t, unnest(range(0, len(q))) AS j FROM b0),
+b2 AS (SELECT doc_id, i, j, t, lag(t) OVER (PARTITION BY doc_id, i ORDER BY j) AS prev, row_number() OVER (PARTITION BY doc_id ORDER BY i, j) AS n FROM b1 WHERE t <> ''),
+b3 AS MATERIALIZED (SELECT doc_id, n, t, prev IS NOT NULL AS inside, TRY_CAST(nullif(regexp_extract(t, '^(\\d{{1,3}})((?:\\.\\d{{1,2}})*)[.)]\\s*[A-Z\\"“(]', 1), '') AS INTEGER) AS top, regexp_extract(t, '^(\\d{{1,3}})((?:\\.\\d{{1,2}})*)[.)]\\s*[A-Z\\"“(]', 2) <> '' AS nested,
+  coalesce(regexp_matches(prev, '{ends}\\s*$'), false) AS ends, coalesce(regexp_matches(prev, '(?:^|[^\\p{{L}}\\p{{N}}_])[A-Z]{{3,}}\\s*$'), false) AS caps FROM b2),
+b4(doc_id, n, t, last, start) AS (
+  SELECT doc_id, CAST(0 AS BIGINT), '', CAST(NULL AS INTEGER), false FROM a3
+  UNION ALL
+  SELECT h.doc_id, h.n, h.t, CASE WHEN h.top = 1 AND NOT h.nested AND (NOT h.inside OR h.ends OR h.caps) THEN 1 WHEN h.top = r.last + 1 OR (h.nested AND h.top = r.last) THEN h.top ELSE r.last END,
+    NOT h.inside OR coalesce(CASE WHEN h.top = 1 AND NOT h.nested AND (h.ends OR h.caps) THEN h.ends ELSE h.top = r.last + 1 OR (h.nested AND h.top = r.last) END, false)
+  FROM b4 r JOIN b3 h ON h.doc_id = r.doc_id AND h.n = r.n + 1
+),
+c0 AS (SELECT doc_id, n, t, count_if(start) OVER (PARTITION BY doc_id ORDER BY n) AS g FROM b4 WHERE n > 0),
+c1 AS (SELECT doc_id, g, {_strip_sql("string_agg(t, '' ORDER BY n)")} AS p FROM c0 GROUP BY 1, 2),
+c2 AS (SELECT doc_id, g, p, count_if(NOT regexp_matches(p, '{rules.BULLET_LINE}')) OVER (PARTITION BY doc_id ORDER BY g) AS h, min(g) OVER (PARTITION BY doc_id) AS low, regexp_matches(p, '{rules.BULLET_LINE}') AS bullet FROM c1),
+c3 AS (SELECT doc_id, h, string_agg(p, ' ' ORDER BY g) AS p FROM c2 GROUP BY 1, 2),
+d0 AS MATERIALIZED (SELECT doc_id, p, row_number() OVER (PARTITION BY doc_id ORDER BY h) AS n, regexp_matches(p, '{number}') AS numbered, NOT regexp_matches(p, '{article}') AND {_bare_sql('p')} AND NOT (regexp_replace(p, ':+$', '') = upper(regexp_replace(p, ':+$', '')) AND regexp_matches(regexp_replace(p, ':+$', ''), '\\p{{L}}')) AS label FROM c3),
+d1(doc_id, n, p, held, start) AS (
+  SELECT doc_id, CAST(0 AS BIGINT), '', false, false FROM a3
+  UNION ALL
+  SELECT h.doc_id, h.n, h.p, NOT (r.held AND NOT h.numbered) AND h.label, NOT (r.held AND NOT h.numbered) FROM d1 r JOIN d0 h ON h.doc_id = r.doc_id AND h.n = r.n + 1
+),
+d2 AS (SELECT doc_id, n, p, count_if(start) OVER (PARTITION BY doc_id ORDER BY n) AS g FROM d1 WHERE n > 0),
+d3 AS (SELECT doc_id, g AS n, string_agg(p, ' ' ORDER BY n) AS whole FROM d2 GROUP BY 1, 2),
+e0 AS (SELECT doc_id, n, [{_strip_sql('m')} FOR m IN regexp_extract_all(whole, '{rules.SIGNATURE_RUN}')] AS signed, CASE WHEN contains(whole, '_') THEN {_strip_sql(f"regexp_replace(whole, '{rules.SIGNATURE_RUN}', '', 'g')", '[ _]')} ELSE whole END AS p FROM d3),
+e1 AS (SELECT doc_id, n, regexp_matches(p, '{article}') AS article, nullif({_strip_sql(f"regexp_extract(p, '{article}', 1)", '[ .:\\-–—]')}, '') AS name, CASE WHEN regexp_matches(p, '{article}') THEN {_strip_sql(f"regexp_extract(p, '{article}', 2)")} ELSE p END AS p FROM e0),
+e2 AS (SELECT *, {_bare_sql('p')} AS bare, {_strip_sql("regexp_replace(p, ':+$', '')")} AS heading, regexp_matches(p, '{rules.CLOSING_FORMULA}') OR regexp_matches(p, '{rules.SECTION_DIVIDER}') AS closes, regexp_matches(p, '{banner.replace(chr(34), chr(34))}\\d+[.)]\\s') AS ban FROM e1),
+e3 AS (SELECT *, CASE WHEN ban THEN {_strip_sql(f"regexp_extract(p, '{banner}', 1)")} END AS banner, CASE WHEN ban THEN {_strip_sql(f"regexp_replace(p, '{banner}', '')")} ELSE p END AS body FROM e2),
+e4 AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS m, CASE WHEN regexp_matches(body, '{number}') THEN regexp_extract(regexp_extract(body, '{number}', 1), '^(?:\\d+(?:\\.\\d+)+|\\d+|[IVXLC]+)') END AS number, {own} AS own, {text} AS text FROM e3),
+f0(doc_id, m, section, compound, told, pop, number, heading, text) AS (
+  SELECT doc_id, CAST(0 AS BIGINT), CAST(NULL AS VARCHAR), false, CAST(NULL AS VARCHAR), false, CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR) FROM a3
+  UNION ALL
+  SELECT doc_id, m, CASE WHEN p = '' THEN section WHEN bare THEN whole ELSE here END, CASE WHEN p = '' THEN was ELSE bare END, CASE WHEN p = '' THEN NULL WHEN bare THEN whole ELSE banner END, p <> '' AND bare AND was,
+    CASE WHEN p <> '' AND NOT bare THEN number END, CASE WHEN p <> '' AND NOT bare THEN coalesce(own, here) END, CASE WHEN p <> '' AND NOT bare THEN text END
+  FROM (SELECT *, CASE WHEN was THEN section || ' ' || heading ELSE heading END AS whole, coalesce(banner, CASE WHEN NOT closes THEN section END) AS here
+    FROM (SELECT x.doc_id, x.m, x.p, x.bare, x.heading, x.closes, x.banner, x.number, x.own, x.text, r.compound AS was, CASE WHEN x.article THEN coalesce(x.name, r.section) ELSE r.section END AS section FROM f0 r JOIN e4 x ON x.doc_id = r.doc_id AND x.m = r.m + 1))
+),
+f1 AS (SELECT doc_id, m, told, coalesce(lead(pop) OVER (PARTITION BY doc_id ORDER BY m), false) AS gone FROM f0 WHERE told IS NOT NULL),
+signs AS (SELECT doc_id, n, unnest(signed) AS s, unnest(range(0, len(signed))) AS j FROM e0),
+segments AS (
+  SELECT doc_id, 'title' AS part, i AS o, NULL AS clause_number, NULL AS section_heading, p AS text FROM a2 JOIN a3 USING (doc_id) WHERE i < k
+  UNION ALL SELECT doc_id, 'clause', row_number() OVER (PARTITION BY doc_id ORDER BY m) - 1, number, heading, text FROM f0 WHERE text IS NOT NULL
+  UNION ALL SELECT doc_id, 'signature', row_number() OVER (PARTITION BY doc_id ORDER BY n, j) - 1, NULL, NULL, s FROM signs WHERE s <> ''
+  UNION ALL SELECT doc_id, 'heading', row_number() OVER (PARTITION BY doc_id ORDER BY m) - 1, NULL, NULL, told FROM f1 WHERE NOT gone
+)"""
 
-@query()
+
+@query(
+    f"""
+WITH RECURSIVE {_segments_sql()}
+SELECT CAST(doc_id AS VARCHAR) AS document_id, part, CAST(o AS INTEGER) AS order_index, CASE WHEN part = 'clause' THEN 'c' || CASE WHEN o < 999 THEN lpad(CAST(o + 1 AS VARCHAR), 3, '0') ELSE CAST(o + 1 AS VARCHAR) END END AS clause_id, clause_number, section_heading, text FROM segments
+"""
+)
 def paragraph_segmentation(spark, sf_dir):
     return segment.segment(_paragraphs(spark, sf_dir))
 
 
-@query()
+#: The places of a clause's tokens from a start on, skipping up to MAX_SKIP tokens before each and those not found.
+_ALIGN_SQL = f"""list_reduce(x.wanted, lambda a, t: CASE WHEN list_position(tokens[a.at + 1:a.at + {rules.MAX_SKIP + 1}], t) > 0
+    THEN {{'at': a.at + list_position(tokens[a.at + 1:a.at + {rules.MAX_SKIP + 1}], t), 'hits': list_append(a.hits, a.at + list_position(tokens[a.at + 1:a.at + {rules.MAX_SKIP + 1}], t) - 1)}} ELSE a END,
+    {{'at': CAST(s AS BIGINT), 'hits': CAST([] AS BIGINT[])}}).hits"""
+
+
+_STARTS_SQL = f"""list_filter(flatten(list_transform(x.openings, lambda o: [CASE WHEN list_filter(o.places, lambda p: p >= acc.cursor)[1] + o.k <= least(len(tokens), acc.cursor + {rules.SEARCH_WINDOW}) THEN list_filter(o.places, lambda p: p >= acc.cursor)[1] END, o.places[1]])), lambda s: s IS NOT NULL)"""
+
+
+@query(
+    f"""
+WITH RECURSIVE {_segments_sql()},
+w0 AS (SELECT doc_id, unnest(string_split_regex(trim(text), '\\s+')) AS w, unnest(range(0, len(string_split_regex(trim(text), '\\s+')))) AS pos FROM documents),
+w1 AS (SELECT doc_id, pos, unnest(regexp_extract_all(lower(w), '[a-z0-9]+')) AS t, unnest(range(0, len(regexp_extract_all(lower(w), '[a-z0-9]+')))) AS k FROM w0),
+w2 AS MATERIALIZED (SELECT doc_id, pos, t, row_number() OVER (PARTITION BY doc_id ORDER BY pos, k) - 1 AS j FROM w1),
+w3 AS MATERIALIZED (SELECT doc_id, list(t ORDER BY j) AS tokens, list(pos ORDER BY j) AS owner FROM w2 GROUP BY doc_id),
+g0 AS (SELECT doc_id, j, t AS g1, t || ' ' || lead(t) OVER w AS g2, t || ' ' || lead(t) OVER w || ' ' || lead(t, 2) OVER w AS g3, t || ' ' || lead(t) OVER w || ' ' || lead(t, 2) OVER w || ' ' || lead(t, 3) OVER w AS g4 FROM w2 WINDOW w AS (PARTITION BY doc_id ORDER BY j)),
+q0 AS (SELECT doc_id, o AS n, regexp_extract_all(lower(text), '[a-z0-9]+') AS wanted FROM segments WHERE part = 'clause'),
+q1 AS (SELECT doc_id, n, unnest(list_distinct([least(4, len(wanted)), least(2, len(wanted)), least(1, len(wanted))])) AS k, wanted FROM q0),
+q2 AS (SELECT doc_id, n, k, array_to_string(wanted[1:k], ' ') AS gram FROM q1 WHERE k > 0),
+p0 AS (SELECT doc_id, gram, list(j ORDER BY j) AS places FROM (SELECT doc_id, j, unnest([g1, g2, g3, g4]) AS gram FROM g0) JOIN (SELECT DISTINCT doc_id, gram FROM q2) USING (doc_id, gram) GROUP BY 1, 2),
+p1 AS (SELECT doc_id, n, list({{'k': k, 'places': places}} ORDER BY k DESC) AS openings FROM q2 JOIN p0 USING (doc_id, gram) GROUP BY 1, 2),
+p2 AS (SELECT doc_id, list({{'n': n, 'wanted': wanted, 'openings': coalesce(openings, [])}} ORDER BY n) AS clauses FROM q0 LEFT JOIN p1 USING (doc_id, n) GROUP BY doc_id),
+r0 AS (SELECT doc_id, list_reduce(clauses, lambda acc, x: list_transform([list_filter(list_transform({_STARTS_SQL}, lambda s: {_ALIGN_SQL}), lambda h: len(h) > 0 AND len(h) >= {rules.MIN_COVERAGE} * len(x.wanted))[1]],
+    lambda h: {{'cursor': CASE WHEN h IS NULL THEN acc.cursor ELSE h[-1] + 1 END, 'out': list_append(acc.out, {{'n': x.n, 'hits': h}})}})[1],
+    {{'cursor': CAST(0 AS BIGINT), 'out': CAST([] AS STRUCT(n BIGINT, hits BIGINT[])[])}}).out AS out FROM p2 JOIN w3 USING (doc_id)),
+r AS (SELECT doc_id, o.n AS n, o.hits AS hits FROM (SELECT doc_id, unnest(out) AS o FROM r0)),
+l0 AS (SELECT DISTINCT doc_id, n, owner[h + 1] AS pos FROM (SELECT doc_id, n, unnest(hits) AS h FROM r WHERE hits IS NOT NULL) JOIN w3 USING (doc_id)),
+l1 AS (SELECT doc_id, n, pos // 10 AS l, min(pos % 10) AS low, max(pos % 10) AS high FROM l0 GROUP BY 1, 2, 3)
+SELECT CAST(doc_id AS VARCHAR) AS document_id, CASE WHEN n < 999 THEN 'c' || lpad(CAST(n + 1 AS VARCHAR), 3, '0') ELSE 'c' || CAST(n + 1 AS VARCHAR) END AS clause_id, CAST(row_number() OVER (PARTITION BY doc_id, n ORDER BY l) - 1 AS INTEGER) AS line,
+  CAST(l // 40 + 1 AS INTEGER) AS page, round(CAST(low AS DOUBLE) / 10, 4) AS x0, round(CAST(l % 40 AS DOUBLE) / 40, 4) AS top, round(CAST(high + 1 AS DOUBLE) / 10, 4) AS x1, round((CAST(l % 40 AS DOUBLE) + CAST(0.9 AS DOUBLE)) / 40, 4) AS bottom FROM l1
+"""
+)
 def clause_location(spark, sf_dir):
     """Words laid out ten to a line and forty lines to a page, and the segmented clauses located among them."""
     docs = read(spark, sf_dir, "documents")

@@ -33,9 +33,8 @@ def test_segment_numbers_rows(spark):
 
 def test_location_and_boxes(spark):
     words = ["The", "tenant", "pays", "rent", "The", "tenant", "pays", "dues", "now"]
-    found = geometry.locate(words, [("c001", "The tenant pays rent"), ("c002", "The tenant pays dues now"), ("c003", "absent words entirely")])
-    assert found == {"c001": [0, 1, 2, 3], "c002": [4, 5, 6, 7, 8]}
-    assert geometry.line_boxes([(1, 0.1, 0.5, 0.2, 0.52), (1, 0.3, 0.505, 0.4, 0.53), (1, 0.1, 0.6, 0.2, 0.62)]) == [[1, 0.1, 0.5, 0.4, 0.53], [1, 0.1, 0.6, 0.2, 0.62]]
+    docs = spark.createDataFrame([("d", [(w,) for w in words], [("c001", "The tenant pays rent"), ("c002", "The tenant pays dues now"), ("c003", "absent words entirely")])], "document_id string, words array<struct<text:string>>, clauses array<struct<clause_id:string,text:string>>")
+    assert {x["clause_id"]: x["words"] for x in geometry.located(docs).first()["found"]} == {"c001": [0, 1, 2, 3], "c002": [4, 5, 6, 7, 8]}
     assert geometry.cluster_lines([(10, 2, "b"), (12, 1, "a"), (14, 0, "c")]) == [(10, "b a"), (14, "c")]
 
 
