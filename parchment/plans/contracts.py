@@ -11,7 +11,7 @@ from ..operators.common import checkpoint, read
 from ..sources import readers
 from ..streaming import limiter
 from .heavy import _PAIRS, _vectors
-from .review import _CONCLUSIONS_SQL, _LABEL_SQL, _PAIRS_SQL, _turn_pairs, sql_words
+from .review import _CONCLUSIONS_SQL, _LABEL_SQL, _PAIRS_SQL, _QUERIES_SQL, _query_tables, _turn_pairs, sql_words
 
 QUERIES, SQL = {}, {}
 
@@ -171,10 +171,18 @@ def reply_keys(spark, sf_dir):
     return read(spark, sf_dir, "orders").select("o_orderkey", text.cache_key(F.lit("v1"), F.col("o_orderpriority"), F.col("o_custkey")).alias("key"))
 
 
-@query("SELECT conv_id, turn, array_to_string(list_filter(['b', 'a' || (turn % 2), 'c'], lambda x: x IN ('a0', 'c', 'z')), ',') AS known FROM conversations")
+@query(
+    """
+WITH c AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '[a-z]+') AS cited, regexp_extract_all(lower(coalesce(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), '')), '[a-z]+') AS known FROM conversations)
+SELECT conv_id, turn, array_to_string(list_filter(cited, lambda x, i: list_position(cited, x) = i AND list_contains(known, x)), ',') AS known FROM c
+"""
+)
 def citations_known(spark, sf_dir):
-    cited = F.array(F.lit("b"), F.concat(F.lit("a"), (F.col("turn") % 2).cast("string")), F.lit("c"), F.concat(F.lit("a"), (F.col("turn") % 2).cast("string")), F.lit("b"))
-    return _conversations(spark, sf_dir).select("conv_id", "turn", F.array_join(guardrails.known_citations(cited, text.strings(["z", "c", "a0"])), ",").alias("known"))
+    """The words of a turn as cited ids, and those of the turn before as the ids that were offered."""
+    ids = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z]+"), 0)
+    before = F.coalesce(F.lag("text").over(W.partitionBy("conv_id").orderBy("turn")), F.lit(""))
+    turns = _conversations(spark, sf_dir).withColumn("before", before)
+    return turns.select("conv_id", "turn", F.array_join(guardrails.known_citations(ids(F.col("text")), ids(F.col("before"))), ",").alias("known"))
 
 
 @query("SELECT l_partkey AS a, l_suppkey AS b, 'overlap' AS relationship_type, min(l_linestatus) AS explanation FROM lineitem WHERE (l_partkey + l_suppkey) % 3 = 1 GROUP BY 1, 2")
@@ -227,27 +235,54 @@ def children_in_order(spark, sf_dir):
     return out.select("o_orderkey", F.array_join(F.transform("items", lambda x: x["l_partkey"].cast("string")), ",").alias("parts"))
 
 
-@query("SELECT item_id, item_id % 3 = 0 AS citation_ok, true AS excerpt_ok, false AS url_ok FROM benchmark")
+@query(
+    """
+WITH h AS (SELECT item_id % 8 AS topic, list({'c': 'Act ' || (item_id % 10), 'e': text, 'u': 'https://a.example/' || (item_id % 6)}) AS held FROM benchmark WHERE item_id % 3 > 0 GROUP BY 1),
+c AS (SELECT item_id, item_id % 8 AS topic, 'Act ' || (item_id % 7) AS citation, CASE item_id % 4 WHEN 0 THEN text || ' ' WHEN 1 THEN upper(text) ELSE text END AS excerpt, 'https://a.example/' || (item_id % 6) || CASE WHEN item_id % 5 = 0 THEN '/' ELSE '' END AS url FROM benchmark)
+SELECT item_id, len([x FOR x IN held IF x.c = citation]) > 0 AS citation_ok, len([x FOR x IN held IF x.e = excerpt]) > 0 AS excerpt_ok, len([x FOR x IN held IF x.u = url]) > 0 AS url_ok FROM c JOIN h USING (topic)
+"""
+)
 def traceability(spark, sf_dir):
-    """Is a claimed citation, excerpt or URL, byte for byte, that of some retrieved entry?"""
-    entry = F.struct(F.lit("Act 0").alias("citation"), F.col("text").alias("excerpt_text"), F.lit("https://a.example/").alias("source_url"))
-    held = F.array(entry, entry.withField("citation", F.lit("Act 9")))
-    claimed = F.concat(F.lit("Act "), (F.col("item_id") % 3).cast("string"))
-    return read(spark, sf_dir, "benchmark").select("item_id", retrieval.traceable(held, "citation", claimed).alias("citation_ok"), retrieval.traceable(held, "excerpt_text", F.col("text")).alias("excerpt_ok"), retrieval.traceable(held, "source_url", F.lit("https://a.example")).alias("url_ok"))
+    """Is a claimed citation, excerpt or URL, byte for byte, that of some entry retrieved for its topic?"""
+    n = F.col("item_id")
+    items = read(spark, sf_dir, "benchmark").withColumn("topic", n % 8)
+    url = F.concat(F.lit("https://a.example/"), (n % 6).cast("string"))
+    entry = F.struct(F.concat(F.lit("Act "), (n % 10).cast("string")).alias("citation"), F.col("text").alias("excerpt_text"), url.alias("source_url"))
+    held = items.where("item_id % 3 > 0").groupBy("topic").agg(F.collect_list(entry).alias("held"))
+    claimed = items.join(held, "topic")
+    excerpt = F.when(n % 4 == 0, F.concat("text", F.lit(" "))).when(n % 4 == 1, F.upper("text")).otherwise(F.col("text"))
+    said = {"citation": F.concat(F.lit("Act "), (n % 7).cast("string")), "excerpt_text": excerpt, "source_url": F.concat(url, F.when(n % 5 == 0, "/").otherwise(""))}
+    return claimed.select("item_id", *[retrieval.traceable(F.col("held"), field, c).alias(name) for (field, c), name in zip(said.items(), ("citation_ok", "excerpt_ok", "url_ok"), strict=True)])
 
 
-@query("SELECT s.n_name AS jurisdiction, o.n_name AS entry_jurisdiction, s.n_name = o.n_name OR o.n_name = 'Central' AS allowed FROM (VALUES ('Maharashtra'), ('Delhi')) s(n_name), (VALUES ('Maharashtra'), ('Delhi'), ('Central'), ('Goa')) o(n_name)")
+@query(
+    f"""
+WITH {_QUERIES_SQL}
+SELECT q.jurisdiction, kb.jurisdiction AS entry_jurisdiction, count(*) AS n, count(DISTINCT q.doc_id) AS queries FROM q JOIN kb ON q.topic = kb.topic AND kb.jurisdiction IN (q.jurisdiction, 'Central') AND q.jurisdiction IN ('Maharashtra', 'Delhi') GROUP BY 1, 2
+"""
+)
 def isolation_policy(spark, sf_dir):
-    """Which entries a state may retrieve with Central opted in, by the policy and by retrieval itself."""
-    states = [r["jurisdiction"] for r in retrieval.central_policy()]
-    asked = spark.createDataFrame([(s, s, "t", "deposit") for s in states], "query_id string, jurisdiction string, topic string, text string")
-    held = ("Maharashtra", "Delhi", "Central", "Goa")
-    entries = retrieval.with_words(spark.createDataFrame([(f"e{h}", h, "deposit") for h in held], "entry_id string, jurisdiction string, text string"), "text")
-    # a bridge that names every entry for every state: isolation must not depend on it
-    bridge = spark.createDataFrame([(s, "t", f"e{h}") for s in (*states, "Central") for h in held], "jurisdiction string, topic string, entry_id string")
-    got = retrieval.retrieve(asked, bridge, entries, central=True, strict=True).select("jurisdiction", "entry_jurisdiction", F.lit(True).alias("allowed"))
-    pairs = asked.select("jurisdiction", F.explode(text.strings(held)).alias("entry_jurisdiction"))
-    return pairs.join(got, ["jurisdiction", "entry_jurisdiction"], "left").withColumn("allowed", F.coalesce("allowed", F.lit(False)))
+    """What each state retrieves, by the state of the entry, through a bridge that names every entry for every state: isolation must not depend on it."""
+    asked, bridge, entries = _query_tables(spark, sf_dir)
+    every = bridge.withColumn("jurisdiction", F.explode(text.strings([*(r["jurisdiction"] for r in retrieval.central_policy()), "Central", "Karnataka"])))
+    found = retrieval.retrieve(asked, every, entries, "doc_id", central=True)
+    return found.groupBy("jurisdiction", "entry_jurisdiction").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("queries"))
+
+
+@query(
+    f"""
+WITH {_QUERIES_SQL}, f AS (SELECT q.doc_id, q.jurisdiction, kb.jurisdiction AS other FROM q JOIN kb ON q.topic = kb.topic AND (kb.jurisdiction IN (q.jurisdiction, 'Central') OR q.doc_id % 5 = 0) WHERE q.jurisdiction IS NOT NULL),
+n AS (SELECT jurisdiction, count(*) AS queries, CAST(count_if(doc_id IN (SELECT doc_id FROM f)) AS BIGINT) AS matched FROM q GROUP BY 1)
+SELECT jurisdiction, queries, matched, round(matched / queries, 6) AS share, coalesce((SELECT CAST(count_if(other NOT IN (n.jurisdiction, 'Central')) AS BIGINT) FROM f WHERE f.jurisdiction = n.jurisdiction), 0) AS leaks FROM n
+"""
+)
+def leak_audit(spark, sf_dir):
+    """The coverage report of a retrieval that leaks on purpose: for every fifth document it takes the entries of any state."""
+    asked, _, entries = _query_tables(spark, sf_dir)
+    kb = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("entry_id"), F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("topic")).join(entries.select("entry_id", F.col("jurisdiction").alias("entry_jurisdiction")), "entry_id")
+    leaky = asked.where("jurisdiction IS NOT NULL").join(kb, "topic").where((F.col("entry_jurisdiction") == F.col("jurisdiction")) | (F.col("entry_jurisdiction") == "Central") | (F.col("doc_id") % 5 == 0))
+    ranked = leaky.select("doc_id", "jurisdiction", "entry_jurisdiction", F.col("entry_id").cast("string").alias("entry_id"), F.lit(1).alias("rank"))
+    return retrieval.coverage(retrieval.retrieved_arrays(asked, ranked, "doc_id"), ranked).withColumn("share", F.round("share", 6))
 
 
 @query("SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: x * x)) / greatest(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))), 1e-12), 4) AS length FROM embeddings")

@@ -100,18 +100,34 @@ def evaluate_sets(spark, sf_dir):
 
 
 @query(
-    f"""
-WITH {_PAIRS}, s AS (SELECT vec_id, vec_id // 30 AS block, vec_id % 5 = 0 AS test FROM v), c AS (SELECT a, max(s) AS m FROM p WHERE a % 5 = 0 AND b % 5 <> 0 GROUP BY 1)
-SELECT CAST(count_if(test) AS BIGINT) AS test_size, CAST(count_if(NOT test) AS BIGINT) AS train_size, (SELECT count(*) FROM (SELECT block FROM s GROUP BY block HAVING count(DISTINCT test) > 1)) AS shared_block,
-       CAST(0 AS BIGINT) AS shared_id, (SELECT round(max(m), 6) FROM c) AS max_similarity, (SELECT CAST(count_if(m >= 0.4) AS BIGINT) FROM c) AS close_rows, false AS clean
-FROM s
+    """
+WITH s AS (
+  SELECT 'by id' AS variant, vec_id, vec_id // 30 AS block, vec_id % 5 = 0 AS test, embedding FROM embeddings
+  UNION ALL SELECT 'by block', vec_id, vec_id // 30, (vec_id // 30) % 5 = 0, embedding FROM embeddings
+  UNION ALL SELECT 'repeated', vec_id, vec_id // 30, (vec_id // 30) % 5 = 0, embedding FROM embeddings
+  UNION ALL SELECT 'repeated', vec_id, vec_id // 30, (vec_id // 30) % 5 <> 0, embedding FROM embeddings WHERE vec_id % 97 = 0
+), e AS (SELECT variant, test, vec_id, [CAST(x AS DOUBLE) FOR x IN embedding] AS v FROM s),
+c AS (SELECT a.variant, a.vec_id, max(list_dot_product(a.v, b.v)) AS m FROM e a JOIN e b ON a.variant = b.variant AND a.test AND NOT b.test GROUP BY 1, 2),
+n AS (SELECT variant, round(max(m), 6) AS max_similarity, CAST(count_if(m >= 0.4) AS BIGINT) AS close_rows FROM c GROUP BY 1),
+z AS (SELECT variant, CAST(count_if(test) AS BIGINT) AS test_size, CAST(count_if(NOT test) AS BIGINT) AS train_size FROM s GROUP BY 1),
+k AS (SELECT variant, CAST(count_if(sides > 1) AS BIGINT) AS shared_block FROM (SELECT variant, block, count(DISTINCT test) AS sides FROM s GROUP BY 1, 2) GROUP BY 1),
+i AS (SELECT variant, CAST(count_if(sides > 1) AS BIGINT) AS shared_id FROM (SELECT variant, vec_id, count(DISTINCT test) AS sides FROM s GROUP BY 1, 2) GROUP BY 1)
+SELECT *, shared_block = 0 AND shared_id = 0 AND max_similarity < 0.95 AS clean FROM z JOIN k USING (variant) JOIN i USING (variant) JOIN n USING (variant)
 """
 )
 def leakage_report(spark, sf_dir):
-    v = _vectors(spark, sf_dir)
-    rows = v.select("id", F.floor(F.col("id") / 30).alias("block"), F.when(F.col("id") % 5 == 0, "test").otherwise("train").alias("split"))
-    best = vectors.similar(v.where("id % 5 = 0"), v.where("id % 5 <> 0"), best=1).groupBy("a").agg(F.max("similarity").alias("max_similarity"))
-    return findings.leakage(rows, best, "block", "id", close=0.4).withColumn("max_similarity", F.round("max_similarity", 6))
+    """Three splits: rows of a block on both sides, whole blocks on one side, and the same with some rows repeated on the other."""
+    v = _vectors(spark, sf_dir).withColumn("block", F.floor(F.col("id") / 30))
+    side = lambda test: F.when(test, "test").otherwise("train")
+    whole = F.col("block") % 5 == 0
+    again = v.where("id % 97 = 0").withColumn("split", side(~whole))
+    splits = {"by id": v.withColumn("split", side(F.col("id") % 5 == 0)), "by block": v.withColumn("split", side(whole)), "repeated": v.withColumn("split", side(whole)).unionByName(again)}
+    out = None
+    for variant, rows in splits.items():
+        best = vectors.similar(rows.where("split = 'test'"), rows.where("split = 'train'"), best=1).groupBy("a").agg(F.max("similarity").alias("max_similarity"))
+        one = findings.leakage(rows, best, "block", "id", close=0.4).withColumns({"max_similarity": F.round("max_similarity", 6), "variant": F.lit(variant)})
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query('SELECT "group", label, count(*) AS n FROM (SELECT CAST(doc_id // 30 AS BIGINT) AS "group", quality AS label FROM labels UNION ALL SELECT 1000000 + CAST(vec_id % 47 AS BIGINT), label % 2 FROM embeddings) GROUP BY 1, 2')
