@@ -57,6 +57,8 @@ PAIR_ROWS = 256
 TILE_ROWS = 4096
 TILE = 512
 BUCKET_BYTES = 16 << 20
+TASK_ROWS = 100_000
+LEAST_TASKS = 4
 
 
 @lru_cache(maxsize=64)
@@ -236,6 +238,16 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def _tasks(n: int) -> int:
+    return max(LEAST_TASKS, math.ceil(n / TASK_ROWS))
+
+
+def _dense(df: DataFrame) -> tuple[DataFrame, int]:
+    """A checkpointed frame in as few tasks as its rows need, and their number, so that no step leaves many tiny files of exchange."""
+    n = _tasks(df.count())
+    return df.coalesce(n), n
+
+
 class Sketched:
     """The sketches of ``docs`` (doc_id, h, text) and their exact links; ``h`` tells texts of one id apart.
 
@@ -268,23 +280,25 @@ class Sketched:
 
         ``listed`` is then (id, doc_id, h, n, bits, brief) of the sets that are in a list.
         """
-        keyed = cut(self.one.select("id", "n", "sketch").mapInArrow(_prefixes(self.frequent(), self.k, self.percent), "v long, id long"))
-        sizes = _small(cut(keyed.groupBy("v").agg(F.count("*").alias("size")).where("size > 1")))
-        held = cut(keyed.join(sizes, "v"))
-        pop = cut(held.groupBy("id").agg(F.sum("size").alias("pop")))
+        keyed, n = _dense(cut(self.one.select("id", "n", "sketch").mapInArrow(_prefixes(self.frequent(), self.k, self.percent), "v long, id long")))
+        sizes = _small(cut(keyed.groupBy("v").agg(F.count("*").alias("size")).where("size > 1").coalesce(n)))
+        held, n = _dense(cut(keyed.join(sizes, "v")))
+        pop = cut(held.groupBy("id").agg(F.sum("size").alias("pop")).coalesce(n))
         listed = self.one.drop("digest").join(_small(pop.select("id")), "id", "left_semi").select("id", "doc_id", "h", "n", "bits", "sketch")
         self.listed = cut(listed.mapInArrow(_listed, "id long, doc_id long, h long, n long, bits binary, brief binary"))
         return held.join(_small(pop), "id").select("v", "id", "pop")
 
     def _dealt(self, pairs: DataFrame, data: DataFrame, size) -> DataFrame:
         """Rows (a, b, n, data) by bucket: of each pair that of b, and that of a, with null as b, once to PAIR_ROWS pairs; ``size`` is in bytes."""
-        parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIR_ROWS).cast("int").alias("parts"))
-        dealt = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"))
-        sides = dealt.select(F.col("b").alias("id"), "a", "b", "part").union(dealt.select(F.col("a").alias("id"), "a", F.lit(None).cast("long"), "part").distinct())
-        sides = sides.join(_small(self.listed.select("id", "n")), "id")
+        pairs, n = _dense(pairs)
+        parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIR_ROWS).cast("int").alias("parts")).coalesce(n)
+        dealt = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part")).coalesce(n)
+        sides = dealt.select(F.col("b").alias("id"), "a", "b", "part").union(dealt.select(F.col("a").alias("id"), "a", F.lit(None).cast("long"), "part").distinct().coalesce(n))
+        sides = cut(sides.join(_small(self.listed.select("id", "n")), "id").coalesce(n))
         total = sides.agg(F.sum(size)).first()[0] or 0
         buckets = max(shuffle_partitions(self.spark), math.ceil(total / BUCKET_BYTES))
-        return data.join(sides, "id").select("a", "b", "n", "data", F.pmod(F.xxhash64("a", "part"), F.lit(buckets)).alias("bucket"))
+        held = data.join(sides, "id").coalesce(max(n, math.ceil(total / BUCKET_BYTES)))
+        return held.select("a", "b", "n", "data", F.pmod(F.xxhash64("a", "part"), F.lit(buckets)).alias("bucket"))
 
     def estimated(self, pairs: DataFrame) -> DataFrame:
         """The distinct ``pairs`` (a, b) whose union sketch allows the similarity."""
@@ -308,12 +322,15 @@ class Sketched:
         lists = self.lists()
         central = lists.groupBy("v").agg(F.max_by("id", F.struct("pop", -F.col("id"))).alias("centre"))
         star = self.verified(lists.join(central, "v").select(F.col("centre").alias("a"), F.col("id").alias("b")))
-        open_ = cut(self._open(lists, components(star)))
+        open_, n = _dense(cut(self._open(lists, self._components(star))))
         drawn = F.min_by(F.struct("id", "root"), F.xxhash64("v", "id")).alias("centre")
-        met = open_.join(open_.groupBy("v").agg(drawn), "v").where("root <> centre.root")
-        again = self.verified(met.select(F.least("id", "centre.id").alias("a"), F.greatest("id", "centre.id").alias("b")))
+        met = open_.join(open_.groupBy("v").agg(drawn).coalesce(n), "v").where("root <> centre.root")
+        again = self.verified(met.select(F.least("id", "centre.id").alias("a"), F.greatest("id", "centre.id").alias("b")).coalesce(n))
         found = star.union(again)
-        return found.union(self.verified(self._rest(self._open(lists, components(found)))))
+        return found.union(self.verified(self._rest(self._open(open_.select("v", "id"), self._components(found)))))
+
+    def _components(self, found: DataFrame) -> DataFrame:
+        return components(found, _tasks(found.count()))
 
     def _open(self, lists: DataFrame, found: DataFrame) -> DataFrame:
         """(v, id, root, size): the lists that hold sets of several components."""
@@ -335,7 +352,7 @@ def clusters(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, k: int
     """(doc_id, n_shingles, component_id, kept) of each row of ``docs`` (doc_id, text)."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
     sets = Sketched(slim, percent, width, k)
-    found = components(sets.links())
+    found = sets._components(sets.links())
     rows = sets.rows.select("row", "doc_id", "n")
     # a set's id: its own row, or for a copy the least row of its like
     copied = sets.copies.join(rows, "row").select("id", "doc_id")

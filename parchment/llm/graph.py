@@ -8,17 +8,23 @@ from pyspark.sql import functions as F
 from .runtime import cut
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the smallest node of each linked node's component, by alternating stars."""
+def components(edges: DataFrame, tasks: int | None = None) -> DataFrame:
+    """(node, root): the smallest node of each linked node's component, by alternating stars.
+
+    ``tasks`` bounds the tasks of a step, so that few edges in many partitions don't leave a file of exchange in each.
+    """
+    few = (lambda df: df.coalesce(tasks)) if tasks else lambda df: df
     edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    edges = few(edges)
     before = None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = few(both.groupBy("u").agg(F.min("v").alias("m"))).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = few(large)
+        low = few(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").where("u <> v").distinct()
-        edges = cut(small)
+        edges = few(cut(few(small)))
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct().toDF("node", "root"))

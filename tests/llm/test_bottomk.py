@@ -74,8 +74,8 @@ def crowd():
     return [*data, (None, data[3][1]), (None, "only here and without any id"), data[5], (9999, None)]
 
 
-@pytest.mark.parametrize("k,tile_rows,pair_rows,common", [(64, 4096, 256, 8), (64, 40, 3, 0), (128, 100, 16, 100_000)])
-def test_crowd(spark, monkeypatch, k, tile_rows, pair_rows, common):
+@pytest.mark.parametrize("k,tile_rows,pair_rows,common,percent,width", [(64, 40, 3, 0, 85, 3), (128, 4096, 256, 100_000, 60, 2)])
+def test_crowd(spark, monkeypatch, k, tile_rows, pair_rows, common, percent, width):
     monkeypatch.setattr(bottomk, "TILE_ROWS", tile_rows)
     monkeypatch.setattr(bottomk, "PAIR_ROWS", pair_rows)
     monkeypatch.setattr(bottomk, "COMMON", common)
@@ -83,13 +83,7 @@ def test_crowd(spark, monkeypatch, k, tile_rows, pair_rows, common):
     monkeypatch.setattr(bottomk._tiles, "__defaults__", (16,))
     data = crowd()
     df = spark.createDataFrame([(d, t, "r", "x", 1) for d, t in data], "doc_id long, text string, row string, id string, n int").repartition(3)
-    assert found(df, k=k) == plain(data)
-
-
-def test_other_thresholds(spark):
-    data = crowd()[:300]
-    df = spark.createDataFrame(data, "doc_id long, text string")
-    assert found(df, percent=60, width=2) == plain(data, 60, 2)
+    assert found(df, k=k, percent=percent, width=width) == plain(data, percent, width)
 
 
 def test_filters_keep_all_links():
