@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -57,15 +60,166 @@ def out_of_fold(df: DataFrame, c: float, balanced: bool, folds: int = 5, labels=
     return out
 
 
+class Grid(NamedTuple):
+    """The models of a grouped search, one for each grid point and fold, side by side: ``fold`` is left out, ``weight`` is by class."""
+
+    fold: np.ndarray
+    penalty: np.ndarray
+    weight: np.ndarray
+
+
+def _batch_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows with a last 1, class numbers, folds)."""
+    values = batch.column("x").flatten().to_numpy(zero_copy_only=False)
+    x = np.ones((batch.num_rows, len(values) // max(1, batch.num_rows) + 1))
+    x[:, :-1] = values.reshape(batch.num_rows, -1)
+    return x, batch.column("y").to_numpy().astype(np.int64), batch.column("fold").to_numpy().astype(np.int64)
+
+
+def _softmax(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Probabilities (row, model, class) of parameters (model, column, class)."""
+    z = np.einsum("nd,mdk->nmk", x, w, optimize=True)
+    z -= z.max(axis=2, keepdims=True)
+    p = np.exp(z)
+    return p / p.sum(axis=2, keepdims=True)
+
+
+def _losses(grid: Grid, held):
+    """Per partition the sums of loss (model) and its gradient (model, column, class) over the rows that each model is fitted on."""
+
+    def run(batches):
+        w = held.value
+        loss, gradient = np.zeros(len(w)), np.zeros(w.shape)
+        for batch in batches:
+            if batch.num_rows:
+                x, y, fold = _batch_of(batch)
+                p = _softmax(x, w)
+                own = grid.weight[:, y].T * (fold[:, None] != grid.fold[None, :])
+                loss -= (own * np.log(np.maximum(p[np.arange(len(y)), :, y], 1e-300))).sum(axis=0)
+                p[np.arange(len(y)), :, y] -= 1
+                gradient += np.einsum("nd,nmk->mdk", x, p * own[:, :, None], optimize=True)
+        yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([loss, gradient.ravel()]).tobytes()], pa.binary())], names=["sums"])
+
+    return run
+
+
+def _confusions(grid: Grid, held, n_classes: int):
+    """Per partition the counts (model, true class, predicted class) of the rows that each model was not fitted on."""
+
+    def run(batches):
+        out = np.zeros((len(grid.fold), n_classes, n_classes))
+        for batch in batches:
+            if batch.num_rows:
+                x, y, fold = _batch_of(batch)
+                top = _softmax(x, held.value).argmax(axis=2)
+                row, model = np.nonzero(fold[:, None] == grid.fold[None, :])
+                np.add.at(out, (model, y[row], top[row, model]), 1)
+        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["sums"])
+
+    return run
+
+
+def _added(table: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(x.as_buffer(), np.float64) for x in table.column("sums"))
+    return pa.table({"sums": pa.array([total.tobytes()], pa.binary())})
+
+
+def _summed(df: DataFrame, run) -> np.ndarray:
+    """One pass: what ``run`` yields per partition, added in two levels; what comes to the driver is of the size of the models."""
+    parts = df.mapInArrow(run, "sums binary").withColumn("part", F.spark_partition_id() % 16)
+    return sum(np.frombuffer(r["sums"], np.float64) for r in parts.groupBy("part").applyInArrow(_added, "sums binary").collect())
+
+
+def minimised(evaluate, start: np.ndarray, tolerance: float = 1e-7, passes: int = 400, memory: int = 10) -> np.ndarray:
+    """Limited-memory quasi-Newton steps of many problems at once: ``evaluate`` gives (values, gradients) of all in one pass.
+
+    Each problem (first axis) has its own history, direction and step length, and rests once its gradient is small.
+    """
+    dot = lambda a, b: (a * b).reshape(len(a), -1).sum(axis=1)
+    wide = lambda v: v.reshape(-1, *[1] * (start.ndim - 1))
+    x = start.copy()
+    f, g = evaluate(x)
+    scale = np.maximum(1.0, np.abs(g).reshape(len(g), -1).max(axis=1))
+    s, y = [np.zeros((memory, *x.shape)) for _ in range(2)]
+    rho = np.zeros((memory, len(x)))
+    direction, step = -g, 1 / np.maximum(1.0, np.sqrt(dot(g, g)))
+    active = np.ones(len(x), bool)
+    for _ in range(passes):
+        if not active.any():
+            break
+        trial = x + wide(np.where(active, step, 0.0)) * direction
+        f2, g2 = evaluate(trial)
+        good = active & (f2 <= f + 1e-4 * step * dot(g, direction))
+        step = np.where(active & ~good, step / 2, step)
+        active &= good | (step > 1e-12)
+        at = np.flatnonzero(good)
+        if not len(at):
+            continue
+        for h, new in ((s, trial - x), (y, g2 - g)):
+            h[1:, at], h[0, at] = h[:-1, at].copy(), new[at]
+        curve = dot(s[0], y[0])
+        rho[1:, at], rho[0, at] = rho[:-1, at].copy(), np.where(curve > 1e-12, 1 / np.maximum(curve, 1e-12), 0.0)[at]
+        x[at], f[at], g[at] = trial[at], f2[at], g2[at]
+        q, alpha = g.copy(), np.zeros((memory, len(x)))
+        for i in range(memory):
+            alpha[i] = rho[i] * dot(s[i], q)
+            q -= wide(alpha[i]) * y[i]
+        length = dot(y[0], y[0])
+        q *= wide(np.where(rho[0] > 0, curve / np.maximum(length, 1e-300), 1.0))
+        for i in reversed(range(memory)):
+            q += wide(alpha[i] - rho[i] * dot(y[i], q)) * s[i]
+        down = dot(q, g) > 0
+        direction[at] = -np.where(wide(down), q, g)[at]
+        step[at] = 1.0
+        active &= np.abs(g).reshape(len(g), -1).max(axis=1) > tolerance * scale
+    return x
+
+
 def select_model(df: DataFrame, label: str, grid=rules.C_GRID, folds: int = 5, labels=rules.LABELS) -> tuple[float, bool, float]:
-    """(C, balanced, macro-F1): best out-of-fold macro-F1, strict improvement in grid order."""
+    """(C, balanced, macro-F1): best out-of-fold macro-F1, strict improvement in grid order, unweighted points before balanced ones.
+
+    All models of the search, a fold each for every grid point, are fitted side by side: a pass over the rows gives the
+    loss and gradient of all of them, so the number of passes is that of the slowest fit and not of the grid.  ``df`` is as
+    from ``group_folds`` of ``prepared``.
+    """
+    k = len(labels)
+    held = df.select(vector_to_array("features").alias("x"), F.col("y").cast("int").alias("y"), F.col("fold").cast("int").alias("fold")).persist()
+    counts = np.zeros((folds, k))
+    for r in held.groupBy("fold", "y").count().collect():  # a row for each fold and class
+        counts[r["fold"], r["y"]] = r["count"]
+    points = [(c, balanced) for balanced in (False, True) for c in grid]
+    weights, penalties, left_out = [], [], []
+    for c, balanced in points:
+        for fold in range(folds):
+            n = counts.sum(axis=0) - counts[fold]
+            there = np.maximum(1, (n > 0).sum())
+            weights.append(n.sum() / (there * np.maximum(n, 1)) if balanced else np.ones(k))
+            penalties.append(1 / c)
+            left_out.append(fold)
+    models = Grid(np.array(left_out), np.array(penalties), np.array(weights))
+    first = held.first()
+    if first is None:
+        return 0.0, False, -1.0
+    shape, context = (len(left_out), len(first["x"]) + 1, k), df.sparkSession.sparkContext
+
+    def evaluate(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        shared = context.broadcast(w)
+        sums = _summed(held, _losses(models, shared))
+        shared.unpersist()
+        loss, gradient = sums[: len(w)].copy(), sums[len(w) :].reshape(w.shape).copy()
+        bound = w.copy()
+        bound[:, -1] = 0  # the intercept is free
+        return loss + models.penalty * (bound**2).sum(axis=(1, 2)) / 2, gradient + models.penalty[:, None, None] * bound
+
+    found = context.broadcast(minimised(evaluate, np.zeros(shape)))
+    table = _summed(held, _confusions(models, found, k)).reshape(len(points), folds, k, k).sum(axis=1)
+    held.unpersist()
     best = (0.0, False, -1.0)
-    for c in grid:
-        for balanced in (False, True):
-            scored = out_of_fold(df, c, balanced, folds, labels).withColumn("predicted", top_label(F.col("probabilities"), labels))
-            f1 = summary(scored, label, "predicted", labels).first()["macro_f1"]
-            if f1 > best[2]:
-                best = (c, balanced, f1)
+    for (c, balanced), t in zip(points, table, strict=True):
+        hit, both = np.diagonal(t), t.sum(axis=0) + t.sum(axis=1)
+        f1 = float(np.where(both > 0, 2 * hit / np.maximum(both, 1), 0.0).mean())
+        if f1 > best[2]:
+            best = (c, balanced, f1)
     return best
 
 
