@@ -38,14 +38,20 @@ def once(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), lambda v: use(v)), 1)
 
 
+def part(items: Column, first: Column, n: Column) -> Column:
+    """``n`` items from place ``first`` on, counted from 0 and at least one; ``slice`` would copy the whole array each time."""
+    return F.transform(F.sequence(first, first + n - 1), lambda i: F.get(items, i))
+
+
 def _folded(items: Column, zero: Column, one: Callable[[Column, Column], Column], emits: str, chunk: int) -> Column:
     nothing = F.array().cast(f"array<{emits}>")
 
     def many(acc: Column, part: Column) -> Column:
         return F.array_append(acc, F.aggregate(part, F.struct(F.element_at(acc, -1)["state"].alias("state"), nothing.alias("out")), one))
 
-    last = F.floor((F.greatest(F.size(items), F.lit(1)) - 1) / chunk).cast("int")
-    chunks = F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(items, i * chunk + 1, F.lit(chunk)))
+    n = F.size(items)
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / chunk).cast("int")), lambda i: part(items, i * chunk, F.least(n - i * chunk, F.lit(chunk))))
+    chunks = F.when(n > 0, chunks).otherwise(F.slice(F.array(items), 1, 0))
     start = F.array(F.struct(zero.alias("state"), nothing.alias("out")))
     return F.flatten(F.transform(F.aggregate(chunks, start, many), lambda x: x["out"]))
 
@@ -58,4 +64,4 @@ def starts_of(flags: Column) -> Column:
 def joined_runs(texts: Column, starts: Column, sep: str) -> Column:
     """The texts from each position of ``starts`` up to the next, joined; ``starts`` should be a plain column."""
     end = lambda k: F.coalesce(F.get(starts, k + 1), F.size(texts) + 1)
-    return F.transform(starts, lambda a, k: F.array_join(F.slice(texts, a, end(k) - a), sep))
+    return F.transform(starts, lambda a, k: F.array_join(part(texts, a - 1, end(k) - a), sep))

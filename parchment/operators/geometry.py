@@ -79,7 +79,7 @@ def _hits(codes: Column, wanted: Column, start: Column) -> Column:
     """The places at which ``wanted`` is met from ``start`` on, in order, skipping up to MAX_SKIP tokens before each, and those not found."""
 
     def step(acc: Column, token: Column) -> Column:
-        place = F.array_position(F.slice(codes, acc["at"] + 1, F.lit(rules.MAX_SKIP + 1)), token).cast("int")
+        place = F.coalesce(*[F.when(F.get(codes, acc["at"] + i) == token, F.lit(i + 1)) for i in range(rules.MAX_SKIP + 1)], F.lit(0))
         moved = lambda p: F.struct((acc["at"] + p).alias("at"), F.array_append(acc["hits"], acc["at"] + p - 1).alias("hits"))
         return arrays.once(place, lambda p: F.when(p > 0, moved(p)).otherwise(acc))
 
@@ -124,13 +124,19 @@ def located(docs: DataFrame) -> DataFrame:
 def locations(words: DataFrame, clauses: DataFrame) -> DataFrame:
     """One row per line box of each located clause; words and clauses meet by document."""
     box = [F.col("page").cast("int").alias("page"), *[F.col(c).cast("double").alias(c) for c in ("x0", "top", "x1", "bottom")]]
-    w = words.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("pos", *box, "text"))).alias("words"))
-    c = clauses.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("order_index", "clause_id", "text"))).alias("clauses"))
-    held = located(w.join(c, "document_id")).withColumn("found", F.transform("found", lambda x: F.struct(x["clause_id"].alias("clause_id"), F.transform(x["words"], lambda i: F.get("words", i).dropFields("pos", "text")).alias("boxes"))))
+    # gathering saves no rows before the exchange, so rows go first and are gathered where they meet
+    w = words.repartition("document_id").groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("pos", *box, "text"))).alias("words"))
+    c = clauses.repartition("document_id").groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("order_index", "clause_id", "text"))).alias("clauses"))
+    return locations_of(w.join(c, "document_id"))
+
+
+def locations_of(docs: DataFrame) -> DataFrame:
+    """As ``locations``, where a document is one row with arrays of words and clauses in order; no exchange is needed."""
+    held = located(docs).withColumn("found", F.transform("found", lambda x: F.struct(x["clause_id"].alias("clause_id"), F.transform(x["words"], lambda i: F.get("words", i).dropFields("pos", "text")).alias("boxes"))))
     line = F.struct(F.lit(None).cast("int").alias("page"), F.lit(None).cast("double").alias("top"))
     held = held.withColumn("found", F.transform("found", lambda x: F.struct(x["clause_id"].alias("clause_id"), x["boxes"].alias("boxes"), arrays.starts_of(arrays.fold(x["boxes"], line, _same_line, "boolean")).alias("starts"))))
     end = lambda x, k: F.coalesce(F.get(x["starts"], k + 1), F.size(x["boxes"]) + 1)
-    runs = lambda x: F.transform(x["starts"], lambda at, k: F.slice(x["boxes"], at, end(x, k) - at))
+    runs = lambda x: F.transform(x["starts"], lambda at, k: arrays.part(x["boxes"], at - 1, end(x, k) - at))
     of = lambda b, c, f: F.round(f(F.transform(b, lambda y: y[c])), 4).alias(c)
     merged = lambda b, k: F.struct(k.cast("int").alias("line"), F.get(b, F.lit(0))["page"].alias("page"), of(b, "x0", F.array_min), of(b, "top", F.array_min), of(b, "x1", F.array_max), of(b, "bottom", F.array_max))
     held = held.withColumn("found", F.transform("found", lambda x: F.struct(x["clause_id"].alias("clause_id"), F.transform(runs(x), merged).alias("lines"))))

@@ -157,12 +157,17 @@ def segment_paragraphs(paragraphs: list[str | None]) -> list[tuple[str, str | No
 #: Classes with their Unicode meaning, and \n as the only line end.
 _U = "(?Ud)"
 _BLANK = r"[\s\x1c-\x1f]"
+_SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _NUMBER_START = r"\d{1,3}(?:\.\d{1,2})*[.)]\s*[A-Z\"“(]"
 _ENDS = "[" + "".join("\\" + x for x in rules.SENTENCE_ENDS) + "]"
 
 
-def _strip(c: Column, chars: str = _BLANK) -> Column:
-    return F.regexp_replace(c, f"{_U}^{chars}+|{chars}+\\z", "")
+def _strip(c: Column, chars: str = _SPACES) -> Column:
+    return F.btrim(c, F.lit(chars))
+
+
+def _colons(c: Column) -> Column:
+    return F.rtrim(c, F.lit(":"))
 
 
 def _has(c: Column, p: str) -> Column:
@@ -178,7 +183,7 @@ def _bare(p: Column) -> Column:
 
 
 def _banner(p: Column) -> Column:
-    p = _strip(F.regexp_replace(p, ":+\\z", ""))
+    p = _strip(_colons(p))
     return (p == F.upper(p)) & _has(p, r"\p{L}")
 
 
@@ -220,8 +225,11 @@ def _rows(items: Column, part: str, text=lambda x: x, number=None, heading=None)
     return F.transform(items, lambda x, i: F.struct(F.lit(part).alias("part"), i.alias("order_index"), clause(i).alias("clause_id"), (number(x) if number else none).alias("clause_number"), (heading(x) if heading else none).alias("section_heading"), text(x).alias("text")))
 
 
-def segment_arrays(docs: DataFrame) -> DataFrame:
-    """``docs`` (document_id, paragraphs: array of texts in order) with ``parts``, an array of title, clause, signature and heading rows."""
+def segment_arrays(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(document_id, parts, keep) of ``docs`` (document_id, paragraphs: array of texts in order); parts are title, clause, signature and heading rows.
+
+    Where a document is one row, this needs no exchange; ``segment`` is for paragraphs that are rows.
+    """
     c = F.col
     steps: list[tuple[str, Column]] = []
     add = lambda name, column: steps.append((name, column))
@@ -244,13 +252,13 @@ def segment_arrays(docs: DataFrame) -> DataFrame:
     add("texts", arrays.joined_runs(c("texts"), c("starts"), " "))
     runs = lambda p: F.filter(F.transform(F.regexp_extract_all(p, F.lit(_U + rules.SIGNATURE_RUN), 0), lambda m: _strip(m)), lambda m: m != "")
     add("signed", F.flatten(F.transform("texts", lambda p: F.when(F.contains(p, F.lit("_")), runs(p)).otherwise(F.array().cast("array<string>")))))
-    add("texts", F.transform("texts", lambda p: F.when(F.contains(p, F.lit("_")), _strip(F.regexp_replace(p, _U + rules.SIGNATURE_RUN, ""), "[ _]")).otherwise(p)))
+    add("texts", F.transform("texts", lambda p: F.when(F.contains(p, F.lit("_")), _strip(F.regexp_replace(p, _U + rules.SIGNATURE_RUN, ""), " _")).otherwise(p)))
     add("x", F.transform("texts", lambda p: F.struct(p.alias("p"), _has(p, rules.ARTICLE).alias("article"))))
-    name = lambda p: F.nullif(_strip(_group(p, rules.ARTICLE, 1), "[ .:\\-–—]"), F.lit(""))
+    name = lambda p: F.nullif(_strip(_group(p, rules.ARTICLE, 1), " .:-–—"), F.lit(""))
     add("x", F.transform("x", lambda x: F.struct(F.when(x["article"], _strip(_group(x["p"], rules.ARTICLE, 2))).otherwise(x["p"]).alias("p"), x["article"].alias("article"), F.when(x["article"], name(x["p"])).alias("name"))))
     add("x", F.transform("x", lambda x: F.struct(x["p"].alias("p"), x["article"].alias("article"), x["name"].alias("name"), _bare(x["p"]).alias("bare"), (_has(x["p"], rules.CLOSING_FORMULA) | _has(x["p"], rules.SECTION_DIVIDER)).alias("closes"), _has(x["p"], rules.INLINE_BANNER).alias("banner"))))
     add("x", F.transform("x", lambda x: F.struct(
-        x["p"].alias("p"), x["article"].alias("article"), x["name"].alias("name"), x["bare"].alias("bare"), _strip(F.regexp_replace(x["p"], ":+\\z", "")).alias("heading"), x["closes"].alias("closes"),
+        x["p"].alias("p"), x["article"].alias("article"), x["name"].alias("name"), x["bare"].alias("bare"), _strip(_colons(x["p"])).alias("heading"), x["closes"].alias("closes"),
         F.when(x["banner"], _strip(_group(x["p"], rules.INLINE_BANNER, 1))).alias("banner"), F.when(x["banner"], _strip(F.regexp_replace(x["p"], _U + rules.INLINE_BANNER, ""))).otherwise(x["p"]).alias("body"),
     )))
     own, text = None, None
@@ -275,20 +283,25 @@ def segment_arrays(docs: DataFrame) -> DataFrame:
         _rows(kept, "heading"),
     )
     add("parts", parts)
-    made = docs.select("document_id", "paragraphs")
+    made = docs.select("document_id", "paragraphs", *keep)
     for name, column in steps:
         made = made.withColumn(name, column)
-    return made.select("document_id", "parts")
+    return made.select("document_id", "parts", *keep)
 
 
-def segment(paragraphs: DataFrame) -> DataFrame:
-    """Paragraphs (document_id, pos, paragraph) to title, clause, signature and heading rows, numbered within their part."""
-    held = paragraphs.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("pos", "paragraph"))).alias("p"))
-    made = segment_arrays(held.select("document_id", F.col("p.paragraph").alias("paragraphs")))
+def rows_of(made: DataFrame) -> DataFrame:
+    """The ``parts`` of documents as rows."""
     # the outer form, as a plain one has the size of the array as a filter, which Spark pushes down and so spells all steps again
     return made.select("document_id", F.inline_outer("parts")).where("part IS NOT NULL")
 
 
+def segment(paragraphs: DataFrame) -> DataFrame:
+    """Paragraphs (document_id, pos, paragraph) to title, clause, signature and heading rows, numbered within their part."""
+    # gathering saves no rows before the exchange, so rows go first and are gathered where they meet
+    held = paragraphs.repartition("document_id").groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("pos", "paragraph"))).alias("p"))
+    return rows_of(segment_arrays(held.select("document_id", F.col("p.paragraph").alias("paragraphs"))))
+
+
 @udtf(returnType="part string, clause_number string, section_heading string, text string")
 class SegmentTable:
     """segment(paragraphs): the parts of one document as a table function, for SQL with a lateral join."""

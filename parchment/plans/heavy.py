@@ -104,6 +104,12 @@ def sliding_log_limiter(spark, sf_dir):
     return limiter.limited(read(spark, sf_dir, "events"), "user_id", "ts", "event_id", limit=3, seconds=4 * 3600)
 
 
+def _documents(spark, sf_dir):
+    """A row for each document, dealt evenly whatever the number of files: the arrays that follow never leave their row."""
+    docs = read(spark, sf_dir, "documents").repartition("doc_id")
+    return docs.select(F.col("doc_id").cast("string").alias("document_id"), F.split("text", "\n").alias("paragraphs"), "text")
+
+
 def _paragraphs(spark, sf_dir):
     return read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.posexplode(F.split("text", "\n")).alias("pos", "paragraph"))
 
@@ -207,7 +213,7 @@ SELECT CAST(doc_id AS VARCHAR) AS document_id, part, CAST(o AS INTEGER) AS order
 """
 )
 def paragraph_segmentation(spark, sf_dir):
-    return segment.segment(_paragraphs(spark, sf_dir))
+    return segment.rows_of(segment.segment_arrays(_documents(spark, sf_dir)))
 
 
 #: The places of a clause's tokens from a start on, skipping up to MAX_SKIP tokens before each and those not found.
@@ -245,12 +251,13 @@ SELECT CAST(doc_id AS VARCHAR) AS document_id, CASE WHEN n < 999 THEN 'c' || lpa
 )
 def clause_location(spark, sf_dir):
     """Words laid out ten to a line and forty lines to a page, and the segmented clauses located among them."""
-    docs = read(spark, sf_dir, "documents")
-    w = docs.select(F.col("doc_id").cast("string").alias("document_id"), F.posexplode(F.split(F.trim("text"), r"\s+")).alias("pos", "text"))
-    line, column = F.floor(F.col("pos") / 10), F.col("pos") % 10
-    w = w.select("document_id", "pos", (F.floor(line / 40) + 1).alias("page"), (column / 10).alias("x0"), ((line % 40) / 40).alias("top"), ((column + 1) / 10).alias("x1"), ((line % 40 + 0.9) / 40).alias("bottom"), "text")
-    clauses = segment.segment(_paragraphs(spark, sf_dir)).where("part = 'clause'")
-    return geometry.locations(w, clauses)
+    line, column = lambda i: F.floor(i / 10), lambda i: i % 10
+    placed = lambda w, i: F.struct(
+        i.alias("pos"), (F.floor(line(i) / 40) + 1).cast("int").alias("page"), (column(i) / 10).alias("x0"), ((line(i) % 40) / 40).alias("top"), ((column(i) + 1) / 10).alias("x1"), ((line(i) % 40 + 0.9) / 40).alias("bottom"), w.alias("text")
+    )
+    made = segment.segment_arrays(_documents(spark, sf_dir), ("text",))
+    clauses = F.transform(F.filter("parts", lambda x: x["part"] == "clause"), lambda x: F.struct(x["order_index"].alias("order_index"), x["clause_id"].alias("clause_id"), x["text"].alias("text")))
+    return geometry.locations_of(made.select("document_id", F.transform(F.split(F.trim("text"), r"\s+"), placed).alias("words"), clauses.alias("clauses")))
 
 
 @query()
@@ -314,7 +321,8 @@ def corpus_review(spark, sf_dir):
     from ..operators import review
     from .review import _query_tables
 
-    clauses = segment.segment(_paragraphs(spark, sf_dir)).where("part = 'clause'").select("document_id", "order_index", "clause_id", "section_heading", "text")
+    made = segment.rows_of(segment.segment_arrays(_documents(spark, sf_dir)))
+    clauses = made.where("part = 'clause'").select("document_id", "order_index", "clause_id", "section_heading", "text")
     _, bridge, entries = _query_tables(spark, sf_dir)
     bridge = bridge.select("jurisdiction", F.lit("notice").alias("topic"), F.col("entry_id").cast("string").alias("entry_id"))
     entries = entries.withColumn("entry_id", F.col("entry_id").cast("string"))
