@@ -367,3 +367,19 @@ def clusters(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, k: int
 
 def op11_bottom_k_dedup(spark, sf_dir: str) -> DataFrame:
     return clusters(read(spark, sf_dir, "documents"))
+
+
+#: DuckDB: all pairs that share a shingle, their exact similarity, and the components of those that have it.
+OP11_SQL = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, md5(unnest(CASE WHEN len(w) < {WIDTH} THEN [array_to_string(w, ' ')] ELSE [array_to_string(w[i:i + {WIDTH - 1}], ' ') FOR i IN range(1, len(w) - {WIDTH - 2})] END)) AS x FROM w WHERE len(w) > 0
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2
+), e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= {PERCENT} * (x.n + y.n - c)
+), sides AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e
+), r(id, root) AS (SELECT doc_id, doc_id FROM w UNION SELECT sides.b, r.root FROM r JOIN sides ON sides.a = r.id
+), c AS (SELECT id AS doc_id, min(root) AS component_id FROM r GROUP BY id)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM w LEFT JOIN n USING (doc_id) JOIN c USING (doc_id)
+"""

@@ -27,6 +27,7 @@ SQL = {
     "op8_merkle_fixity": merkle.OP8_SQL,
     "op9_benchmark_decontamination": decontam.OP9_SQL,
     "op10_secret_ownership": secrets.OP10_SQL,
+    "op11_bottom_k_dedup": bottomk.OP11_SQL,
     "op12_hard_negatives": negatives.OP12_SQL,
     "op13_fill_in_middle": infill.OP13_SQL,
 }
