@@ -14,11 +14,14 @@ whose values most sets retain; near copies of one text become one component.  Wh
 list has several components left, its sets meet one drawn by the list, so that a
 set meets as many different ones as it has lists.  At last only sets of different
 components are compared in tiles by parity bits of their least hashes, a lower bound
-of their difference.  In each round the union sketch of a candidate pair estimates
-its similarity, and what may be similar is verified by the Jaccard similarity of the
-full sets, read again from the texts of these documents only.
-
-Scale: a row of the first pass is a sketch of at most ``8 k`` bytes and a map of 128.
+of their difference.  In each round these bits, one to two for each value of a set
+(of its ``MAP_K`` least, if it has more), tell which candidates may be similar: a pair
+of less than about 0.82 goes no further, so that a family of near copies below the
+threshold yields few pairs.  What may be similar is verified by the Jaccard similarity
+of the full sets, read again from the texts of these documents only.
+
+Scale: a row of the first pass is a sketch of at most ``8 k`` bytes and a map of 128,
+or of an eighth to a quarter of a byte for each value of a larger set.
 Equal sets, told by 128 bits, are one.  A pair sends one set, and the other goes once
 to up to ``PAIR_ROWS`` pairs; buckets are bound by bytes.  Counts are combined before
 their exchange; the table of frequent values has at most ``ORDER_TERMS`` entries.
@@ -36,6 +39,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,8 +52,9 @@ from .runtime import cut, read, shuffle_partitions
 WIDTH = 3
 PERCENT = 85
 K = 64
-MAP_K = 512
+MAP_K = 1 << 16
 MAP_BITS = 1024
+MAP_BYTES = 32 << 20
 TAIL = 1e-12
 ORDER_TERMS = 1_000_000
 COMMON = 8
@@ -66,7 +71,7 @@ def least_shared(k: int, percent: int = PERCENT, tail: float = TAIL) -> int:
     """Of the ``k`` least values of their union, two sets of the similarity share at least so many, but for a chance of ``tail``."""
     p, below = percent / 100, 0.0
     for c in range(k + 1):
-        below += math.comb(k, c) * p**c * (1 - p) ** (k - c)
+        below += math.exp(math.lgamma(k + 1) - math.lgamma(c + 1) - math.lgamma(k - c + 1) + c * math.log(p) + (k - c) * math.log1p(-p)) if p < 1 else float(c == k)
         if below > tail:
             return c
     return k
@@ -81,11 +86,17 @@ def prefix_size(n: int, k: int, percent: int = PERCENT) -> int:
 
 
 def parity(values: np.ndarray) -> bytes:
-    """Parity bits of a set: two sets differ in at least as many values as their bits."""
-    odd = np.bincount((values & np.uint64(MAP_BITS - 1)).astype(np.int64), minlength=MAP_BITS) & 1
+    """Parity bits of a set, one to two for each value: two sets differ in at least as many values as their bits."""
+    n = max(MAP_BITS, 1 << (len(values) - 1).bit_length())
+    odd = np.bincount((values & np.uint64(n - 1)).astype(np.int64), minlength=n) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
+def folded(maps: np.ndarray, words: int) -> np.ndarray:
+    """Parity bits of sets (rows of 64-bit words) as they are with fewer bits."""
+    return np.bitwise_xor.reduce(maps.reshape(len(maps), -1, words), axis=1)
+
+
 def most_apart(n: np.ndarray, m: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """Similar sets of ``n`` and ``m`` values differ in at most so many of their ``MAP_K`` least."""
     whole = (100 - percent) * (n + m) // (100 + percent)
@@ -151,13 +162,6 @@ def _prefixes(common, k: int, percent: int):
     return run
 
 
-def _listed(batches):
-    for batch in batches:
-        held = [brief(np.frombuffer(x, np.uint64)).tobytes() for x in batch.column("sketch").to_pylist()]
-        keep = [c for c in batch.schema.names if c != "sketch"]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(held, pa.binary())], names=[*keep, "brief"])
-
-
 def _named_sets(width: int):
     """(id, data) of the texts that ``id`` names, each once a partition."""
 
@@ -196,21 +200,64 @@ def _similar(percent: int):
     return alike
 
 
+def _near(percent: int):
+    """Whether the parity bits of two sets allow the similarity."""
+
+    def alike(n: int, x: np.ndarray, m: int, y: np.ndarray) -> bool:
+        if percent * max(n, m) > 100 * min(n, m):
+            return False
+        words = min(len(x), len(y))
+        return int(np.bitwise_count(folded(x[None], words) ^ folded(y[None], words)).sum(dtype=np.int64)) <= int(most_apart(np.int64(n), np.int64(m), percent))
+
+    return alike
+
+
+class _Maps:
+    """The parity bits of a group's sets by length; those of similar sets are of one length or of twice that."""
+
+    def __init__(self, column: pa.ChunkedArray, percent: int):
+        held = column.combine_chunks()
+        sizes = pc.binary_length(held).to_numpy() // 8
+        self.percent, self.words, self.at, self.rows = percent, sizes, {}, {}
+        for w in np.unique(sizes).tolist():
+            own = np.flatnonzero(sizes == w)
+            self.rows[w] = np.frombuffer(b"".join(held.take(pa.array(own)).to_pylist()), np.uint64).reshape(len(own), w)
+            self.at[w] = np.zeros(len(sizes), np.int64)
+            self.at[w][own] = np.arange(len(own))
+
+    def _of(self, which: np.ndarray, words: int) -> np.ndarray:
+        out, own = np.empty((len(which), words), np.uint64), self.words[which]
+        for w in np.unique(own).tolist():
+            here = np.flatnonzero(own == w)
+            out[here] = folded(self.rows[w][self.at[w][which[here]]], words)
+        return out
+
+    def close(self, s: np.ndarray, t: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+        """Which pairs of rows (s, t), of sets of n and m values, may be similar; at most MAP_BYTES are looked at in one go."""
+        out, words = np.zeros(len(s), bool), np.minimum(self.words[s], self.words[t])
+        for w in np.unique(words).tolist():
+            here, step = np.flatnonzero(words == w), max(1, MAP_BYTES // (8 * w))
+            for i in range(0, len(here), step):
+                k = here[i : i + step]
+                out[k] = np.bitwise_count(self._of(s[k], w) ^ self._of(t[k], w)).sum(axis=1, dtype=np.int64) <= most_apart(n[k], m[k], self.percent)
+        return out
+
+
 def _tiles(percent: int, tile: int = TILE):
     """Pairs of each list that are of different components and that sizes and parity bits allow to be similar."""
 
     def run(table):
         columns = {c: table.column(c).to_numpy() for c in ("v", "i", "j", "part", "id", "root", "n")}
-        maps = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(table.num_rows, -1)
+        maps = _Maps(table.column("bits"), percent)
         order = np.lexsort([columns[c] for c in ("root", "j", "i", "v")])
-        columns, maps = {c: x[order] for c, x in columns.items()}, maps[order]
+        columns = {c: x[order] for c, x in columns.items()}
         new = np.zeros(len(order), bool)
         for c in ("v", "i", "j"):
             new[1:] |= columns[c][1:] != columns[c][:-1]
         cuts = [0, *np.flatnonzero(new).tolist(), len(order)]
         left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for low, high in zip(cuts, cuts[1:], strict=False):
-            n, root, part, ids, bits = (x[low:high] for x in (columns["n"], columns["root"], columns["part"], columns["id"], maps))
+            n, root, part, ids, at = (x[low:high] for x in (columns["n"], columns["root"], columns["part"], columns["id"], order))
             split = columns["i"][low] != columns["j"][low]
             names, size = np.unique(root, return_counts=True)
             few = np.flatnonzero(root != names[size.argmax()])  # pairs within the largest component need no look
@@ -223,7 +270,7 @@ def _tiles(percent: int, tile: int = TILE):
                         near &= part[x, None] != part[None, y]
                     s, t = np.nonzero(near)
                     s, t = x[s], y[t]
-                    close = np.bitwise_count(bits[s] ^ bits[t]).sum(axis=1, dtype=np.int64) <= most_apart(n[s], n[t], percent)
+                    close = maps.close(at[s], at[t], n[s], n[t])
                     left.append(ids[s[close]])
                     right.append(ids[t[close]])
         a, b = np.concatenate(left), np.concatenate(right)
@@ -278,14 +325,13 @@ class Sketched:
     def lists(self) -> DataFrame:
         """(v, id, pop): inverted lists of two or more sets; ``pop`` is how many sets a set meets in its lists.
 
-        ``listed`` is then (id, doc_id, h, n, bits, brief) of the sets that are in a list.
+        ``listed`` is then (id, doc_id, h, n, bits) of the sets that are in a list.
         """
         keyed, n = _dense(cut(self.one.select("id", "n", "sketch").mapInArrow(_prefixes(self.frequent(), self.k, self.percent), "v long, id long")))
         sizes = _small(cut(keyed.groupBy("v").agg(F.count("*").alias("size")).where("size > 1").coalesce(n)))
         held, n = _dense(cut(keyed.join(sizes, "v")))
         pop = cut(held.groupBy("id").agg(F.sum("size").alias("pop")).coalesce(n))
-        listed = self.one.drop("digest").join(_small(pop.select("id")), "id", "left_semi").select("id", "doc_id", "h", "n", "bits", "sketch")
-        self.listed = cut(listed.mapInArrow(_listed, "id long, doc_id long, h long, n long, bits binary, brief binary"))
+        self.listed = cut(self.one.select("id", "doc_id", "h", "n", "bits").join(_small(pop.select("id")), "id", "left_semi"))
         return held.join(_small(pop), "id").select("v", "id", "pop")
 
     def _dealt(self, pairs: DataFrame, data: DataFrame, size) -> DataFrame:
@@ -301,15 +347,17 @@ class Sketched:
         return held.select("a", "b", "n", "data", F.pmod(F.xxhash64("a", "part"), F.lit(buckets)).alias("bucket"))
 
     def estimated(self, pairs: DataFrame) -> DataFrame:
-        """The distinct ``pairs`` (a, b) whose union sketch allows the similarity."""
-        k, percent = self.k, self.percent
+        """The distinct ``pairs`` (a, b) whose parity bits allow the similarity."""
         pairs = cut(pairs.where("a <> b").distinct())
-        held = self._dealt(pairs, self.listed.select("id", F.col("brief").alias("data")), F.least("n", F.lit(k)) * 4)
-        return held.groupBy("bucket").applyInArrow(_judged(lambda n, x, m, y: may_be_similar(n, x, m, y, k, percent), np.uint32), "a long, b long")
+        held = self._dealt(pairs, self.listed.select("id", F.col("bits").alias("data")), F.greatest("n", F.lit(MAP_BITS)) / 4)
+        return held.groupBy("bucket").applyInArrow(_judged(_near(self.percent), np.uint64), "a long, b long")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The ``pairs`` (a, b) whose full sets are similar; only the texts of sets in a pair that the estimate allows are read."""
-        pairs = cut(self.estimated(pairs))
+        return self._exact(self.estimated(pairs))
+
+    def _exact(self, pairs: DataFrame) -> DataFrame:
+        pairs = cut(pairs)
         ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
         named = cut(self.listed.select("id", "doc_id", "h").join(ids, "id", "left_semi"))
         key = F.coalesce("doc_id", F.lit(-1)).alias("key"), "h"
@@ -327,7 +375,7 @@ class Sketched:
         met = open_.join(open_.groupBy("v").agg(drawn).coalesce(n), "v").where("root <> centre.root")
         again = self.verified(met.select(F.least("id", "centre.id").alias("a"), F.greatest("id", "centre.id").alias("b")).coalesce(n))
         found = star.union(again)
-        return found.union(self.verified(self._rest(self._open(open_.select("v", "id"), self._components(found)))))
+        return found.union(self._exact(self._rest(self._open(open_.select("v", "id"), self._components(found))).distinct()))
 
     def _components(self, found: DataFrame) -> DataFrame:
         return components(found, _tasks(found.count()))

@@ -4,6 +4,7 @@ import random
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import lines
 
@@ -110,3 +111,31 @@ def test_filters_keep_all_links():
 
 def test_least_shared_is_a_tail():
     assert 0 < bottomk.least_shared(64) < bottomk.least_shared(64, tail=1e-3) < 64 * 0.85
+
+
+def family(rng, size, copies, changed):
+    """Sets that each have ``changed`` values of their own in place of the common ones."""
+    base = rng.integers(0, 1 << 63, size).astype(np.uint64)
+    return [np.unique(np.concatenate([rng.permutation(base)[changed:], rng.integers(0, 1 << 63, changed).astype(np.uint64)])) for _ in range(copies)]
+
+
+def listed(sets):
+    zero = [0] * len(sets)
+    return pa.table({"v": zero, "i": zero, "j": zero, "part": zero, "id": [*range(len(sets))], "root": [*range(len(sets))], "n": [len(x) for x in sets], "bits": [bottomk.parity(x[: bottomk.MAP_K]) for x in sets]})
+
+
+@pytest.mark.parametrize("size", [600, 1500, 5000])
+def test_a_family_below_the_threshold_gives_no_pairs(size):
+    """Large near copies of one text, each pair at 0.75 or less: their number of candidates does not grow with its square."""
+    sets = family(np.random.default_rng(size), size, 40, size // 6)
+    assert bottomk._tiles(85)(listed(sets)).num_rows == 0
+
+
+def test_tiles_keep_similar_sets_of_maps_of_two_lengths():
+    rng = np.random.default_rng(2)
+    for size in (1000, 2020, 4090):
+        base = np.unique(rng.integers(0, 1 << 63, size + 60).astype(np.uint64))
+        sets = [base[k : size + 60 - k] for k in range(0, 40, 4)]
+        got = bottomk._tiles(85, 4)(listed(sets))
+        near = {(i, j) for j in range(len(sets)) for i in range(j) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 85 * len(np.union1d(sets[i], sets[j]))}
+        assert len({len(bottomk.parity(x)) for x in sets}) == 2 and near <= set(zip(got["a"].to_pylist(), got["b"].to_pylist(), strict=True))
