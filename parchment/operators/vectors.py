@@ -18,6 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 BLOCK = 1024
+PART_ROWS = 8 * BLOCK
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -109,14 +110,79 @@ def shortlist(vectors: DataFrame, k: int, threshold: float) -> DataFrame:
     return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity").groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
 
 
+def _best_within(k: int, threshold: float, names: list[str]):
+    """Of two blocks of rows (key, at, v, d), each left row's pairs of the same key that can be among its ``k`` best at or above the threshold."""
+
+    def run(left, right):
+        n, right = left.num_rows, right.select(["rkey", "rat", "rv", "rd"]).rename_columns(["key", "at", "v", "d"])
+        codes = [pa.chunked_array([*left.column(c).chunks, *right.column(c).chunks]).combine_chunks().dictionary_encode().indices.to_numpy() for c in ("key", "at")]
+        width = np.concatenate([t.column("d").to_numpy() for t in (left, right)]).astype(np.int64)
+        kind = np.unique(np.stack([codes[0], width], axis=1), axis=0, return_inverse=True)[1].reshape(-1)
+        sides = [np.argsort(x, kind="stable") for x in (kind[:n], kind[n:])]
+        cuts = [np.searchsorted(x[at], np.arange(kind.max() + 2)) for x, at in zip((kind[:n], kind[n:]), sides, strict=True)]
+        rows, columns, values = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        for c in range(len(cuts[0]) - 1):
+            x, y = (at[edges[c] : edges[c + 1]] for at, edges in zip(sides, cuts, strict=True))
+            if not len(x) or not len(y):
+                continue
+            d = int(width[x[0]])
+            u, w = (t.column("v").take(pa.array(at)).combine_chunks().flatten().to_numpy().reshape(len(at), d) for t, at in ((left, x), (right, y)))
+            odd = not (np.isfinite(u).all() and np.isfinite(w).all())
+            for i in range(0, len(x), BLOCK):
+                own = x[i : i + BLOCK]
+                edge = np.full(len(own), threshold)
+                best = np.full((len(own), k), -np.inf)
+                for j in range(0, len(y), BLOCK):
+                    other = y[j : j + BLOCK]
+                    s = u[i : i + BLOCK] @ w[j : j + BLOCK].T
+                    order = np.where(np.isnan(s), np.inf, s) if odd else s  # Spark sorts NaN above all numbers
+                    p, q = np.nonzero(order >= edge[:, None])
+                    there = codes[1][own[p]] != codes[1][n + other[q]]
+                    p, q = p[there], q[there]
+                    rows.append(own[p])
+                    columns.append(other[q])
+                    values.append(s[p, q])
+                    # a row's best so far; ties at their edge all stay
+                    sorting = np.lexsort([-order[p, q], p])
+                    place = np.arange(len(p)) - np.searchsorted(p, p)
+                    few = sorting[place < k]
+                    fresh = np.full((len(own), k), -np.inf)
+                    fresh[p[few], place[place < k]] = order[p[few], q[few]]
+                    best = np.sort(np.concatenate([best, fresh], axis=1), axis=1)[:, -k:]
+                    edge = np.maximum(threshold, best[:, 0] - 1e-9)
+        a, b, found = np.concatenate(rows), np.concatenate(columns), np.concatenate(values)
+        # those that later blocks have outdone are left out
+        rank = np.where(np.isnan(found), np.inf, found)
+        sorting = np.lexsort([-rank, a])
+        a, b, found, rank = a[sorting], b[sorting], found[sorting], rank[sorting]
+        first = np.searchsorted(a, a)
+        last = np.minimum(first + k, np.searchsorted(a, a, side="right")) - 1
+        keep = rank >= rank[last] - 1e-9 if len(a) else np.zeros(0, bool)
+        return pa.table([left.column("key").take(pa.array(a[keep])), left.column("at").take(pa.array(a[keep])), right.column("at").take(pa.array(b[keep])), pa.array(found[keep])], names=names)
+
+    return run
+
+
 def shortlist_within(rows: DataFrame, key: str, position: str, vector: str, k: int, threshold: float) -> DataFrame:
-    """As ``shortlist`` within each document: a self equi-join on the key, whose groups are one document's clauses."""
-    a = rows.select(key, F.col(position).alias("a"), F.col(vector).alias("va"))
-    b = rows.select(F.col(key).alias("k2"), F.col(position).alias("b"), F.col(vector).alias("vb"))
-    pairs = a.join(b, (F.col(key) == F.col("k2")) & (F.col("a") != F.col("b"))).withColumn("similarity", dot(F.col("va"), F.col("vb"))).where(F.col("similarity") >= threshold)
-    rank = F.row_number().over(W.partitionBy(key, "a").orderBy(F.round("similarity", 9).desc(), "b"))
+    """As ``shortlist`` within each document: blocks of one document's clauses are multiplied, and only the best of a block leave a task.
+
+    Small documents share a group; a large one is dealt into parts, and each pair of its parts is a group of its own.
+    """
+    kinds = dict(rows.dtypes)
+    held = rows.where(F.col(key).isNotNull() & F.col(position).isNotNull() & ~F.exists(vector, lambda x: x.isNull()))
+    held = held.select(F.col(key).alias("key"), F.col(position).alias("at"), F.col(vector).cast("array<double>").alias("v"), F.size(vector).alias("d"))
+    sizes = held.groupBy("key").agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("parts"))
+    buckets = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = held.join(sizes, "key")
+    dealt = dealt.withColumns({"bucket": F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int"), "own": F.pmod(F.xxhash64("at", "v"), F.col("parts")).cast("int")})
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    left = dealt.select("key", "at", "v", "d", "bucket", F.col("own").alias("i"), every.alias("j"))
+    right = dealt.select(*[F.col(c).alias(f"r{c}") for c in ("key", "at", "v", "d", "bucket")], F.col("own").alias("rj"), every.alias("ri"))
+    names = ["key", "a", "b", "similarity"]
+    pairs = left.groupBy("bucket", "i", "j").cogroup(right.groupBy("rbucket", "ri", "rj")).applyInArrow(_best_within(k, threshold, names), f"key {kinds[key]}, a {kinds[position]}, b {kinds[position]}, similarity double")
+    rank = F.row_number().over(W.partitionBy("key", "a").orderBy(F.round("similarity", 9).desc(), "b"))
     near = pairs.withColumn("rank", rank).where(F.col("rank") <= k)
-    return near.groupBy(key, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("similarity").alias("similarity"))
+    return near.groupBy(F.col("key").alias(key), F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("similarity").alias("similarity"))
 
 
 def components(nodes: DataFrame, edges: DataFrame, checkpoint) -> DataFrame:

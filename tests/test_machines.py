@@ -1,8 +1,10 @@
 """Sequential machines, windows, store, vectors and streams on small inputs."""
 
 import json
+import math
 from datetime import datetime
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from parchment.operators import geometry, metrics, ordering, retrieval, segment, splits, store, vectors
@@ -145,3 +147,30 @@ def test_clauses_are_located_in_all_languages(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     found = heavy.clause_location(spark, str(tmp_path)).drop("document_id").groupBy("clause_id", "line").count().collect()
     assert found and all(r["count"] == 5 for r in found)
+
+
+def test_shortlist_within_matches_all_pairs_in_parts(spark, monkeypatch):
+    """One large document in several parts and many small ones; ties, repeated places, nulls, NaN and vectors of two lengths."""
+    rng = np.random.default_rng(4)
+    data = [("big", i, rng.integers(-2, 3, 4).astype(float).tolist()) for i in range(150)]
+    data += [(f"d{k}", i, rng.normal(size=4).tolist()) for k in range(30) for i in range(k % 5)]
+    data += [("odd", 1, [1.0, 2.0]), ("odd", 2, [2.0, 1.0]), ("odd", 3, [1.0, 1.0, 1.0]), ("odd", 3, [1.0, 3.0]), ("odd", 4, None), ("odd", None, [1.0, 1.0]), (None, 5, [1.0, 1.0]), ("odd", 6, [None, 1.0]), ("odd", 7, [float("nan"), 1.0])]
+    df = spark.createDataFrame(data, "doc string, at int, v array<double>").repartition(3)
+    monkeypatch.setattr(vectors, "BLOCK", 16)
+    monkeypatch.setattr(vectors, "PART_ROWS", 40)
+    got = vectors.shortlist_within(df, "doc", "at", "v", 2, 0.5)
+    assert "FlatMapCoGroupsInArrow" in got._jdf.queryExecution().optimizedPlan().toString()  # pairs below the best never leave a block
+    best = {}
+    sort = lambda s: (1, 0.0) if math.isnan(s) else (0, round(s, 9))
+    for k, a, v in data:
+        for k2, b, w in data:
+            if k is not None and k == k2 and a is not None and b is not None and a != b and v and w and len(v) == len(w) and None not in v + w:
+                s = sum(x * y for x, y in zip(v, w, strict=True))
+                if math.isnan(s) or s >= 0.5:
+                    best.setdefault((k, a), []).append((sort(s), -b, s))
+    want = {}
+    for (k, a), found in best.items():
+        for rank, b, s in sorted(found, reverse=True)[:2]:
+            pair = (k, min(a, -b), max(a, -b))
+            want[pair] = max(want.get(pair, (rank, s)), (rank, s))
+    assert {(r["doc"], r["a"], r["b"]): sort(r["similarity"]) for r in got.collect()} == {p: sort(s) for p, (_, s) in want.items()}
