@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from .metrics import summary
 
+FIT_ROWS = 50_000
+
 
 def prepared(df: DataFrame, vector: str, label: str, labels=rules.LABELS) -> DataFrame:
     index = F.array_position(F.array(*map(F.lit, labels)), F.col(label)) - 1
@@ -30,7 +32,8 @@ def fit(df: DataFrame, c: float, balanced: bool = False, labels=rules.LABELS, ma
     if balanced:
         weight = F.element_at(F.create_map(*[F.lit(x) for y, k in counts.items() for x in (y, n / (len(counts) * k))]), F.col("y"))
     model = LogisticRegression(family="multinomial", featuresCol="features", labelCol="y", weightCol="w", regParam=1 / (c * n), elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=1e-8)
-    return model.fit(df.withColumn("w", weight))
+    # a pass over few rows is short: tasks follow the rows, so that what all passes send to the driver does not follow the files
+    return model.fit(df.withColumn("w", weight).coalesce(max(1, math.ceil(n / FIT_ROWS))))
 
 
 def predict(model, df: DataFrame, labels=rules.LABELS) -> DataFrame:

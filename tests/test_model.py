@@ -58,3 +58,15 @@ def test_minimised_solves_many_problems_at_once():
 def test_nothing_to_choose_from(spark):
     df = spark.createDataFrame([], "id int, g int, risk string, v array<double>")
     assert model.select_model(model.group_folds(model.prepared(df, "v", "risk"), "g", 3), "risk", folds=3) == (0.0, False, -1.0)
+
+
+def test_tasks_of_a_fit_follow_the_rows(spark, monkeypatch):
+    """Each pass of a fit sends a result per task: few rows in many partitions are fitted in one task, many rows in several."""
+    seen = []
+    plain = model.LogisticRegression.fit
+    monkeypatch.setattr(model.LogisticRegression, "fit", lambda self, df: seen.append(df.rdd.getNumPartitions()) or plain(self, df))
+    df = model.prepared(spark.range(60).select("id", F.array((F.col("id") % 7).cast("double"), (F.col("id") % 3).cast("double")).alias("v"), F.element_at(F.array(*map(F.lit, rules.LABELS)), (F.col("id") % 3 + 1).cast("int")).alias("label")).repartition(20), "v", "label")
+    one = model.fit(df, 1.0)
+    monkeypatch.setattr(model, "FIT_ROWS", 20)
+    three = model.fit(df, 1.0)
+    assert seen == [1, 3] and abs(one.coefficientMatrix.toArray() - three.coefficientMatrix.toArray()).max() < 1e-5
