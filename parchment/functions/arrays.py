@@ -27,10 +27,15 @@ def fold(items: Column, zero: Column, step: Callable[[Column, Column], tuple[Col
 def scan(items: Column, zero: Column, step: Callable[[Column, Column], Column], emit: Callable[[Column], Column], emits: str, chunk: int = CHUNK) -> Column:
     """As ``fold``, for a costly step: it gives the new state, is evaluated once, and ``emit`` reads what it emits from that."""
 
+    # what a state emits is appended a step later: ``once`` would copy all that was emitted before with each result
     def one(acc: Column, item: Column) -> Column:
-        return once(step(acc["state"], item), lambda s: F.struct(s.alias("state"), F.array_append(acc["out"], emit(s)).alias("out")))
+        return F.struct(step(acc["state"], item).alias("state"), F.array_append(acc["out"], emit(acc["state"])).alias("out"))
 
-    return _folded(items, zero, one, emits, chunk)
+    def ended(chunks: Column) -> Column:
+        out = F.array_append(_outs(chunks), emit(F.element_at(chunks, -1)["state"]))
+        return F.slice(out, F.lit(2), F.size(out) - 1)
+
+    return _folded(items, zero, one, emits, chunk, ended)
 
 
 def once(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -43,7 +48,11 @@ def part(items: Column, first: Column, n: Column) -> Column:
     return F.transform(F.sequence(first, first + n - 1), lambda i: F.get(items, i))
 
 
-def _folded(items: Column, zero: Column, one: Callable[[Column, Column], Column], emits: str, chunk: int) -> Column:
+def _outs(chunks: Column) -> Column:
+    return F.flatten(F.transform(chunks, lambda x: x["out"]))
+
+
+def _folded(items: Column, zero: Column, one: Callable[[Column, Column], Column], emits: str, chunk: int, ended: Callable[[Column], Column] = _outs) -> Column:
     nothing = F.array().cast(f"array<{emits}>")
 
     def many(acc: Column, part: Column) -> Column:
@@ -53,7 +62,7 @@ def _folded(items: Column, zero: Column, one: Callable[[Column, Column], Column]
     chunks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / chunk).cast("int")), lambda i: part(items, i * chunk, F.least(n - i * chunk, F.lit(chunk))))
     chunks = F.when(n > 0, chunks).otherwise(F.slice(F.array(items), 1, 0))
     start = F.array(F.struct(zero.alias("state"), nothing.alias("out")))
-    return F.flatten(F.transform(F.aggregate(chunks, start, many), lambda x: x["out"]))
+    return F.aggregate(chunks, start, many, ended)
 
 
 def starts_of(flags: Column) -> Column:

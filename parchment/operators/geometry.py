@@ -2,8 +2,8 @@
 
 Line clustering compares with a moving anchor, a grouped function by page; paragraphs
 from lines are windows (``ordering.paragraphs_by_gap``).  Locating clauses moves a
-cursor through a document: its tokens are one array and, as codes of equal width, one
-string, in which an opening is found by substring search; clauses are folded over it
+cursor through a document: its tokens are one array of codes, and the
+list of its runs is sorted, in which an opening is found by halving; clauses are folded over it
 (``functions.arrays``), so no row leaves the JVM.
 """
 
@@ -67,33 +67,51 @@ def ocr_words(rows: DataFrame, width: float, height: float) -> DataFrame:
     )
 
 
-#: A token as text of one width, so that a place in the joined text is a token's number.
-_WIDTH = 17
+#: Openings of a clause that are looked up, in tokens, longest first; of three only what is a whole clause.
+_OPENINGS = (4, 3, 2, 1)
 
 
-def _coded(tokens: Column) -> Column:
-    return F.array_join(F.transform(tokens, lambda t: F.concat(F.lpad(F.hex(F.xxhash64(t)), _WIDTH - 1, "0"), F.lit(" "))), "")
+def _gram(codes: Column, first: Column, k: int) -> Column:
+    return F.xxhash64(*[F.get(codes, first + i) for i in range(k)])
+
+
+def _runs(codes: Column, k: int) -> Column:
+    n = F.size(codes) - (k - 1)
+    places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, lambda j: F.struct(_gram(codes, j, k).alias("gram"), j.alias("at")))
+
+
+def _first(index: Column, halves: Column, gram: Column, low: Column) -> Column:
+    """The first place of a run at ``low`` or after it, or null."""
+
+    def found(key: Column) -> Column:
+        before = F.aggregate(halves, F.lit(0), lambda n, h: F.when(F.get(index, n + h - 1) < key, n + h).otherwise(n))
+        return arrays.once(before, lambda n: arrays.once(F.get(index, n), lambda x: F.when(x["gram"] == key["gram"], x["at"])))
+
+    return arrays.once(F.struct(gram.alias("gram"), low.alias("at")), found)
 
 
 def _hits(codes: Column, wanted: Column, start: Column) -> Column:
     """The places at which ``wanted`` is met from ``start`` on, in order, skipping up to MAX_SKIP tokens before each, and those not found."""
 
-    def step(acc: Column, token: Column) -> Column:
-        place = F.coalesce(*[F.when(F.get(codes, acc["at"] + i) == token, F.lit(i + 1)) for i in range(rules.MAX_SKIP + 1)], F.lit(0))
-        moved = lambda p: F.struct((acc["at"] + p).alias("at"), F.array_append(acc["hits"], acc["at"] + p - 1).alias("hits"))
-        return arrays.once(place, lambda p: F.when(p > 0, moved(p)).otherwise(acc))
+    def step(state: Column, token: Column) -> Column:
+        place = F.coalesce(*[F.when(F.get(codes, state["at"] + i) == token, state["at"] + i) for i in range(rules.MAX_SKIP + 1)])
+        return arrays.once(place, lambda p: F.struct(F.coalesce(p + 1, state["at"]).alias("at"), p.alias("hit")))
 
-    return F.aggregate(wanted, F.struct(start.alias("at"), F.array().cast("array<int>").alias("hits")), step)["hits"]
+    zero = F.struct(start.alias("at"), F.lit(None).cast("int").alias("hit"))
+    return F.array_compact(arrays.scan(wanted, zero, step, lambda s: s["hit"], "int"))
 
 
-def _found(stream: Column, codes: Column, cursor: Column, x: Column) -> Column:
-    """The places of a clause's tokens (codes, grams), or null: its longest opening first, near the cursor before anywhere."""
-    at = lambda g, low: F.when(F.position(g["gram"], stream, low * _WIDTH + 1) > 0, ((F.position(g["gram"], stream, low * _WIDTH + 1) - 1) / _WIDTH).cast("int"))
-    near = lambda g: arrays.once(at(g, cursor), lambda j: F.when(j + g["k"] <= F.least(F.size(codes), cursor + rules.SEARCH_WINDOW), j))
-    tries = F.flatten(F.transform(x["grams"], lambda g: F.array(near(g), at(g, F.lit(0)))))
+def _found(codes: Column, index: Column, halves: Column, cursor: Column, x: Column) -> Column:
+    """The places of a clause's tokens (codes, tries), or null: its longest opening first, near the cursor before anywhere; no try is made once one holds."""
     covers = lambda h: (F.size(h) > 0) & (F.size(h) >= rules.MIN_COVERAGE * F.size(x["codes"]))
     aligned = lambda j: F.get(F.filter(F.array(_hits(codes, x["codes"], j)), covers), F.lit(0))
-    return F.aggregate(tries, F.lit(None).cast("array<int>"), lambda acc, j: F.when(acc.isNotNull() | j.isNull(), acc).otherwise(aligned(j)))
+
+    def tried(t: Column) -> Column:
+        fits = lambda j: ~t["near"] | (j + t["k"] <= F.least(F.size(codes), cursor + rules.SEARCH_WINDOW))
+        return arrays.once(_first(index, halves, t["gram"], F.when(t["near"], cursor).otherwise(0)), lambda j: F.when(j.isNotNull() & fits(j), aligned(j)))
+
+    return F.aggregate(x["tries"], F.lit(None).cast("array<int>"), lambda acc, t: F.when(acc.isNotNull(), acc).otherwise(tried(t)))
 
 
 def _same_line(line: Column, box: Column) -> tuple[Column, Column]:
@@ -105,20 +123,25 @@ def _same_line(line: Column, box: Column) -> tuple[Column, Column]:
 def located(docs: DataFrame) -> DataFrame:
     """``docs`` (document_id, words, clauses: arrays in order) with ``found``, the (clause_id, words: numbers in order) of each clause located."""
     tokens = docs.withColumn("t", F.transform("words", lambda x: text.layout_tokens(x["text"])))
-    tokens = tokens.withColumns({"owner": F.flatten(F.transform("t", lambda t, i: F.array_repeat(i, F.size(t)))), "t": F.flatten("t")})
-    tokens = tokens.withColumns({"codes": F.transform("t", lambda t: F.xxhash64(t)), "stream": _coded(F.col("t"))}).drop("t")
-    asked = tokens.withColumn("c", F.transform("clauses", lambda x: text.layout_tokens(x["text"])))
-    lengths = lambda t: F.filter(F.array_distinct(F.array(*[F.least(F.lit(k), F.size(t)) for k in (4, 2, 1)])), lambda k: k > 0)
-    grams = lambda t: F.transform(F.reverse(F.array_sort(lengths(t))), lambda k: F.struct(k.alias("k"), _coded(F.slice(t, F.lit(1), k)).alias("gram")))
-    asked = asked.withColumn("c", F.transform("c", lambda t: F.struct(F.transform(t, lambda u: F.xxhash64(u)).alias("codes"), grams(t).alias("grams"))))
-    stream, codes = F.col("stream"), F.col("codes")
+    tokens = tokens.withColumns({"owner": F.flatten(F.transform("t", lambda t, i: F.array_repeat(i, F.size(t)))), "codes": F.transform(F.flatten("t"), lambda t: F.xxhash64(t))}).drop("t")
+    codes = F.col("codes")
+    asked = tokens.withColumn("c", F.transform("clauses", lambda x: F.transform(text.layout_tokens(x["text"]), lambda u: F.xxhash64(u))))
+    three = F.exists("c", lambda t: F.size(t) == 3)
+    runs = F.concat(*[_runs(codes, k) for k in _OPENINGS if k != 3], F.when(three, _runs(codes, 3)).otherwise(F.slice(_runs(codes, 1), F.lit(1), F.lit(0))))
+    # all runs of an opening's length in order of the run, then the place, so that a run is found by halving
+    asked = asked.withColumn("index", F.sort_array(runs))
+    asked = asked.withColumn("halves", F.transform(F.sequence(F.floor(F.log2(F.greatest(F.size("index"), F.lit(1)))).cast("int"), F.lit(0)), lambda i: F.call_function("shiftleft", F.lit(1), i)))
+    fits = lambda t, k: F.size(t) == 3 if k == 3 else F.size(t) >= k
+    tries = lambda t: F.array_compact(F.array(*[F.when(fits(t, k), F.struct(F.lit(k).alias("k"), _gram(t, F.lit(0), k).alias("gram"), F.lit(near).alias("near"))) for k in _OPENINGS for near in (True, False)]))
+    asked = asked.withColumn("c", F.transform("c", lambda t: F.struct(t.alias("codes"), tries(t).alias("tries"))))
     after = lambda s: lambda h: F.struct(F.coalesce(F.element_at(h, -1) + 1, s["cursor"]).alias("cursor"), h.alias("hits"))
     zero = F.struct(F.lit(0).alias("cursor"), F.lit(None).cast("array<int>").alias("hits"))
-    hits = arrays.scan(F.col("c"), zero, lambda s, x: arrays.once(_found(stream, codes, s["cursor"], x), after(s)), lambda s: s["hits"], "array<int>")
+    hits = arrays.scan(F.col("c"), zero, lambda s, x: arrays.once(_found(codes, F.col("index"), F.col("halves"), s["cursor"], x), after(s)), lambda s: s["hits"], "array<int>")
     held = asked.withColumn("hits", hits)
-    words = lambda h: F.array_sort(F.array_distinct(F.transform(h, lambda j: F.get("owner", j))))
+    # places ascend, and so do the words that own them
+    words = lambda h: F.array_distinct(F.transform(h, lambda j: F.get("owner", j)))
     found = F.transform(F.arrays_zip("clauses", "hits"), lambda x: F.struct(x["clauses"]["clause_id"].alias("clause_id"), words(x["hits"]).alias("words")))
-    return held.withColumn("found", F.filter(found, lambda x: x["words"].isNotNull())).drop("c", "hits", "owner", "codes", "stream")
+    return held.withColumn("found", F.filter(found, lambda x: x["words"].isNotNull())).drop("c", "hits", "owner", "codes", "index", "halves")
 
 
 def locations(words: DataFrame, clauses: DataFrame) -> DataFrame:

@@ -55,3 +55,20 @@ def test_nothing_to_locate(spark):
     c = spark.createDataFrame([("d", 0, "c001", "words"), ("e", 0, "c001", None), ("f", 0, "c001", "ONLY"), ("g", 0, "c001", "no document")], "document_id string, order_index int, clause_id string, text string")
     assert [(r["document_id"], r["page"]) for r in geometry.locations(w, c).collect()] == [("f", 1)]
     assert geometry.locations(w.where(F.lit(False)), c).count() == 0
+
+
+def test_openings_are_looked_up_by_halving(spark):
+    """No search through the whole token stream, whose cost is a document's length for each clause; clauses of three tokens, far ones and absent ones."""
+    words = [f"w{i % 700}" for i in range(5000)]
+    clauses = [(k, f"c{k + 1:03d}", t) for k, t in enumerate(("w699 w0 w1", "w5 w6 w9 w10", "x1 w6", "w400", "w698 w699 w0", "absent", "w1 w2", "w3 w5 w6 w7 w8"))]
+    boxes = [(i, 1, (i % 10) / 10, i // 10 * 0.1, (i % 10 + 1) / 10, i // 10 * 0.1 + 0.05) for i in range(len(words))]
+    w = spark.createDataFrame([("d", *b, t) for b, t in zip(boxes, words, strict=True)], "document_id string, pos long, page int, x0 double, top double, x1 double, bottom double, text string")
+    c = spark.createDataFrame([("d", *x) for x in clauses], "document_id string, order_index int, clause_id string, text string")
+    out = geometry.locations(w, c)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "sort_array(" in plan and "locate(" not in plan and "position(" not in plan
+    got = {}
+    for r in out.orderBy("clause_id", "line").collect():
+        got.setdefault(r["clause_id"], []).append((r["x0"], round(r["top"], 1)))
+    want = {k: [(b[1], round(b[2], 1)) for b in line_boxes([boxes[i][1:] for i in at])] for k, at in locate(words, [(i, t) for _, i, t in clauses]).items()}
+    assert got == want and len(want) == 6
