@@ -1,7 +1,7 @@
 """Words on a page to lines and paragraphs, and clauses back to boxes.
 
-Line clustering compares with a moving anchor, a grouped function by page; paragraphs
-from lines are windows (``ordering.paragraphs_by_gap``).  Locating clauses moves a
+Line clustering compares with a moving anchor, folded over a page's words as an array;
+paragraphs from lines are windows (``ordering.paragraphs_by_gap``).  Locating clauses moves a
 cursor through a document: its tokens are one array of codes, and the
 list of its runs is sorted, in which an opening is found by halving; clauses are folded over it
 (``functions.arrays``), so no row leaves the JVM.
@@ -9,13 +9,13 @@ list of its runs is sorted, in which an opening is found by halving; clauses are
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import arrays, rules, text
 from .ordering import paragraphs_by_gap, rejoin
 
+
 def cluster_lines(words: list[tuple[float, float, str]], tolerance: float = rules.LINE_TOLERANCE) -> list[tuple[float, str]]:
     """(top, x0, text) to lines: a word within ``tolerance`` of the line's first top belongs to it."""
     lines: list[tuple[float, list[str]]] = []
@@ -27,16 +27,24 @@ def cluster_lines(words: list[tuple[float, float, str]], tolerance: float = rule
     return [(top, " ".join(x)) for top, x in lines]
 
 
-def _lines(table):
-    doc, page = table.column("document_id")[0].as_py(), table.column("page")[0].as_py()
-    found = cluster_lines(list(zip(*(table.column(c).to_pylist() for c in ("top", "x0", "text")), strict=True)))
-    n = len(found)
-    return pa.table({"document_id": pa.array([doc] * n, pa.string()), "page": pa.array([page] * n, pa.int32()), "line_no": pa.array(range(n), pa.int32()), "top": pa.array([t for t, _ in found], pa.float64()), "text": pa.array([x for _, x in found], pa.string())})
+def _anchored(anchor: Column, word: Column) -> tuple[Column, Column]:
+    """The top of the line's first word, and whether a word starts a line."""
+    here = F.coalesce(F.abs(word["top"] - anchor) <= rules.LINE_TOLERANCE, F.lit(False))
+    return F.when(here, anchor).otherwise(word["top"]), ~here
 
 
 def lines(words: DataFrame) -> DataFrame:
-    clean = words.select("document_id", F.col("page").cast("int").alias("page"), F.col("top").cast("double").alias("top"), F.col("x0").cast("double").alias("x0"), text.fix_glyphs(F.col("text")).alias("text"))
-    return clean.groupBy("document_id", "page").applyInArrow(_lines, "document_id string, page int, line_no int, top double, text string")
+    """(document_id, page, line_no, top, text) of word boxes, as ``cluster_lines`` says for one page."""
+    word = F.struct(F.col("top").cast("double").alias("top"), F.col("x0").cast("double").alias("x0"), "text")
+    clean = words.select("document_id", F.col("page").cast("int").alias("page"), word.alias("w"))
+    # gathering saves no rows before the exchange, so rows go first and are gathered where they meet
+    pages = clean.repartition("document_id", "page").groupBy("document_id", "page").agg(F.sort_array(F.collect_list("w")).alias("w"))
+    pages = pages.withColumn("starts", arrays.starts_of(arrays.fold(F.col("w"), F.lit(None).cast("double"), _anchored, "boolean")))
+    pages = pages.withColumn("texts", F.col("w")["text"])
+    tops = F.transform("starts", lambda a: F.get("w", a - 1)["top"])
+    found = pages.select("document_id", "page", F.posexplode_outer(F.arrays_zip(tops.alias("top"), arrays.joined_runs(F.col("texts"), F.col("starts"), " ").alias("text"))).alias("line_no", "line"))
+    # no glyph holds a space, so a line's are those of its words
+    return found.select("document_id", "page", "line_no", F.col("line.top").alias("top"), text.fix_glyphs(F.col("line.text")).alias("text"))
 
 
 def paragraphs(words: DataFrame) -> DataFrame:

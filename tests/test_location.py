@@ -72,3 +72,18 @@ def test_openings_are_looked_up_by_halving(spark):
         got.setdefault(r["clause_id"], []).append((r["x0"], round(r["top"], 1)))
     want = {k: [(b[1], round(b[2], 1)) for b in line_boxes([boxes[i][1:] for i in at])] for k, at in locate(words, [(i, t) for _, i, t in clauses]).items()}
     assert got == want and len(want) == 6
+
+
+def test_lines_are_clustered_in_the_jvm(spark):
+    """No Python call for each page; a line keeps the first top that opened it."""
+    rng = random.Random(3)
+    pages = {(d, p): [(rng.randrange(400) / 4, float(i), f"w{i}") for i in range(rng.choice((1, 30, 700)))] for d in "ab" for p in (1, 2, 3)}
+    rows = [(d, p, *w) for (d, p), ws in pages.items() for w in ws] + [("c", 1, 0.0, 0.0, "(cid:127)"), ("c", 1, 3.0, 0.0, "x"), ("c", 1, 3.5, 0.0, "y")]
+    rng.shuffle(rows)
+    out = geometry.lines(spark.createDataFrame(rows, "document_id string, page int, top double, x0 double, text string"))
+    assert "Arrow" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {}
+    for r in out.orderBy("document_id", "page", "line_no").collect():
+        got.setdefault((r["document_id"], r["page"]), []).append((r["top"], r["text"]))
+    assert got.pop(("c", 1)) == [(0.0, "• x"), (3.5, "y")]
+    assert got == {k: geometry.cluster_lines(ws) for k, ws in pages.items()}
