@@ -18,7 +18,8 @@ of their difference.  In each round these bits, one to two for each value of a s
 (of its ``MAP_K`` least, if it has more), tell which candidates may be similar: a pair
 of less than about 0.82 goes no further, so that a family of near copies below the
 threshold yields few pairs.  What may be similar is verified by the Jaccard similarity
-of the full sets, read again from the texts of these documents only.
+of the full sets, read again from the texts of these documents only; in the last round
+sets meet by list with their full sets, and only pairs that join two components leave.
 
 Scale: a row of the first pass is a sketch of at most ``8 k`` bytes and a map of 128,
 or of an eighth to a quarter of a byte for each value of a larger set.
@@ -47,7 +48,7 @@ from pyspark.sql import functions as F
 from . import textnum
 from .graph import components
 from .jaccard import BROADCAST_ROWS, shingle_sets
-from .runtime import cut, read, shuffle_partitions
+from .runtime import cut, read, settle, shuffle_partitions
 
 WIDTH = 3
 PERCENT = 85
@@ -243,19 +244,48 @@ class _Maps:
         return out
 
 
-def _tiles(percent: int, tile: int = TILE):
-    """Pairs of each list that are of different components and that sizes and parity bits allow to be similar."""
+def _joins(percent: int, root: np.ndarray, held: pa.ChunkedArray):
+    """Which of the pairs of rows, taken in turn, are similar by full sets and join two components; ``root`` names each row's."""
+    data, parent, alike = held.combine_chunks(), {}, _similar(percent)
+    at = lambda i: np.frombuffer(data[i].as_buffer(), np.uint64)
+
+    def top(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = x = parent.get(up, up)
+        return x
+
+    def run(s: np.ndarray, t: np.ndarray) -> np.ndarray:
+        kept = np.zeros(len(s), bool)
+        for k, (i, j) in enumerate(zip(s.tolist(), t.tolist(), strict=True)):
+            p, q = top(int(root[i])), top(int(root[j]))
+            if p != q:
+                x, y = at(i), at(j)
+                if alike(len(x), x, len(y), y):
+                    kept[k], parent[max(p, q)] = True, min(p, q)
+        return kept
+
+    return run
+
+
+def _tiles(percent: int, tile: int = TILE, *, marks: bool = False):
+    """Pairs of each list that are of different components and that sizes and parity bits allow to be similar.
+
+    Where rows have full sets as ``data``, only pairs that are similar by them and that join two components are kept, so
+    that a bucket yields fewer pairs than it has sets.  With ``marks`` the rows (v, id) of a list that are in a pair are
+    named instead of the pairs.
+    """
 
     def run(table):
         columns = {c: table.column(c).to_numpy() for c in ("v", "i", "j", "part", "id", "root", "n")}
         maps = _Maps(table.column("bits"), percent)
+        joins = _joins(percent, columns["root"], table.column("data")) if "data" in table.column_names else None
         order = np.lexsort([columns[c] for c in ("root", "j", "i", "v")])
         columns = {c: x[order] for c, x in columns.items()}
         new = np.zeros(len(order), bool)
         for c in ("v", "i", "j"):
             new[1:] |= columns[c][1:] != columns[c][:-1]
         cuts = [0, *np.flatnonzero(new).tolist(), len(order)]
-        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        left, right, marked = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.zeros(len(order), bool)
         for low, high in zip(cuts, cuts[1:], strict=False):
             n, root, part, ids, at = (x[low:high] for x in (columns["n"], columns["root"], columns["part"], columns["id"], order))
             split = columns["i"][low] != columns["j"][low]
@@ -271,8 +301,17 @@ def _tiles(percent: int, tile: int = TILE):
                     s, t = np.nonzero(near)
                     s, t = x[s], y[t]
                     close = maps.close(at[s], at[t], n[s], n[t])
-                    left.append(ids[s[close]])
-                    right.append(ids[t[close]])
+                    s, t = s[close], t[close]
+                    if marks:
+                        marked[low + s] = marked[low + t] = True
+                        continue
+                    if joins is not None:
+                        kept = joins(at[s], at[t])
+                        s, t = s[kept], t[kept]
+                    left.append(ids[s])
+                    right.append(ids[t])
+        if marks:
+            return pa.table({"v": columns["v"][marked], "id": columns["id"][marked]})
         a, b = np.concatenate(left), np.concatenate(right)
         pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
@@ -359,23 +398,33 @@ class Sketched:
     def _exact(self, pairs: DataFrame) -> DataFrame:
         pairs = cut(pairs)
         ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+        held = self._dealt(pairs, self._full(ids), F.col("n") * 8)
+        return cut(held.groupBy("bucket").applyInArrow(_judged(_similar(self.percent), np.uint64), "a long, b long").distinct())
+
+    def _full(self, ids: DataFrame) -> DataFrame:
+        """(id, data): the full sets of ``ids``, read again from their texts."""
         named = cut(self.listed.select("id", "doc_id", "h").join(ids, "id", "left_semi"))
         key = F.coalesce("doc_id", F.lit(-1)).alias("key"), "h"
         texts = self.docs.select(*key, "text").join(_small(named.select("id", *key)), ["key", "h"])
-        held = self._dealt(pairs, texts.select("id", "text").mapInArrow(_named_sets(self.width), "id long, data binary"), F.col("n") * 8)
-        return cut(held.groupBy("bucket").applyInArrow(_judged(_similar(self.percent), np.uint64), "a long, b long").distinct())
+        return texts.select("id", "text").mapInArrow(_named_sets(self.width), "id long, data binary")
 
     def links(self) -> DataFrame:
         """(a, b): links that connect all similar sets."""
         lists = self.lists()
+        settle(self.spark)
         central = lists.groupBy("v").agg(F.max_by("id", F.struct("pop", -F.col("id"))).alias("centre"))
         star = self.verified(lists.join(central, "v").select(F.col("centre").alias("a"), F.col("id").alias("b")))
+        settle(self.spark)
         open_, n = _dense(cut(self._open(lists, self._components(star))))
+        del lists, central
+        settle(self.spark)
         drawn = F.min_by(F.struct("id", "root"), F.xxhash64("v", "id")).alias("centre")
         met = open_.join(open_.groupBy("v").agg(drawn).coalesce(n), "v").where("root <> centre.root")
         again = self.verified(met.select(F.least("id", "centre.id").alias("a"), F.greatest("id", "centre.id").alias("b")).coalesce(n))
         found = star.union(again)
-        return found.union(self._exact(self._rest(self._open(open_.select("v", "id"), self._components(found))).distinct()))
+        del met
+        settle(self.spark)
+        return found.union(self._rest(cut(self._open(open_.select("v", "id"), self._components(found)))))
 
     def _components(self, found: DataFrame) -> DataFrame:
         return components(found, _tasks(found.count()))
@@ -387,19 +436,37 @@ class Sketched:
         return rooted.join(several.select("v", "size"), "v")
 
     def _rest(self, open_: DataFrame) -> DataFrame:
-        """(a, b): candidates of different components, list by list; a long list is dealt to parts, and each pair of parts is a group."""
+        """(a, b): links that join the different components of each list.
+
+        Sets that are in no candidate pair go first; the others meet again, by list, with their full sets.
+        """
         sized = open_.join(self.listed.select("id", "n", "bits"), "id").withColumn("parts", F.ceil(F.col("size") / TILE_ROWS).cast("int"))
-        dealt = sized.withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        dealt = dealt.select("v", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("part"), "id", "root", "n", "bits")
         buckets = max(shuffle_partitions(self.spark), math.ceil(self.rows.count() / 50_000))
-        dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64("v", "i", "j"), F.lit(buckets)))
-        return dealt.groupBy("bucket").applyInArrow(_tiles(self.percent), "a long, b long")
+        met = self._met(sized, buckets).groupBy("bucket").applyInArrow(_tiles(self.percent, marks=True), "v long, id long")
+        met, n = _dense(cut(met))
+        met = cut(met.distinct().coalesce(n).join(open_.select("v", "id", "root"), ["v", "id"]).coalesce(n))
+        bits = self.listed.join(_small(met.select("id").distinct().coalesce(n)), "id", "left_semi").select("id", "n", "bits")
+        met = cut(met.join(bits, "id").coalesce(n))
+        size = F.sum(F.col("n") * 8).alias("size")
+        total = met.agg(size).first()[0] or 0
+        parts = met.groupBy("v").agg(size).coalesce(n).select("v", F.ceil(F.col("size") / BUCKET_BYTES).cast("int").alias("parts"))
+        full = self._full(met.select("id").distinct().coalesce(n))
+        held = full.join(met.join(parts, "v").coalesce(n), "id").coalesce(max(n, math.ceil(total / BUCKET_BYTES)))
+        buckets = max(shuffle_partitions(self.spark), math.ceil(total / BUCKET_BYTES))
+        return cut(self._met(held, buckets, "data").groupBy("bucket").applyInArrow(_tiles(self.percent), "a long, b long"))
+
+    def _met(self, sized: DataFrame, buckets: int, *more: str) -> DataFrame:
+        """Rows of lists (v, id, root, n, bits, parts) by bucket; a long list is dealt to parts, and each pair of parts is a group."""
+        dealt = sized.withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        dealt = dealt.select("v", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("part"), "id", "root", "n", "bits", *more)
+        return dealt.withColumn("bucket", F.pmod(F.xxhash64("v", "i", "j"), F.lit(buckets)))
 
 
 def clusters(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, k: int = K) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each row of ``docs`` (doc_id, text)."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
     sets = Sketched(slim, percent, width, k)
+    settle(sets.spark)
     found = sets._components(sets.links())
     rows = sets.rows.select("row", "doc_id", "n")
     # a set's id: its own row, or for a copy the least row of its like

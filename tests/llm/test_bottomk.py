@@ -139,3 +139,20 @@ def test_tiles_keep_similar_sets_of_maps_of_two_lengths():
         got = bottomk._tiles(85, 4)(listed(sets))
         near = {(i, j) for j in range(len(sets)) for i in range(j) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 85 * len(np.union1d(sets[i], sets[j]))}
         assert len({len(bottomk.parity(x)) for x in sets}) == 2 and near <= set(zip(got["a"].to_pylist(), got["b"].to_pylist(), strict=True))
+
+
+@pytest.mark.parametrize("changed", [27, 20])
+def test_a_family_near_the_threshold_gives_fewer_pairs_than_sets(changed):
+    """Sets of 0.82 to 0.85, which parity bits do not tell, and of more: full sets are compared where they meet, and only joins are kept."""
+    sets = family(np.random.default_rng(changed), 600, 60, changed)
+    table = listed(sets)
+    assert bottomk._tiles(85)(table).num_rows > 500
+    near = [(i, j) for j in range(60) for i in range(j) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 85 * len(np.union1d(sets[i], sets[j]))]
+    got = bottomk._tiles(85, 16)(table.append_column("data", pa.array([x.tobytes() for x in sets])))
+    pairs = list(zip(got["a"].to_pylist(), got["b"].to_pylist(), strict=True))
+    root = list(range(60))
+    for a, b in near:
+        root = [root[a] if x == root[b] else x for x in root]
+    assert set(pairs) <= set(near) and len(pairs) == 60 - len(set(root)) and (len(pairs) == 59) == (changed == 20)
+    marked = bottomk._tiles(85, marks=True)(table)
+    assert marked.num_rows == 60 and sorted(marked["id"].to_pylist()) == [*range(60)]
