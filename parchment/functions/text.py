@@ -6,6 +6,10 @@ the default here is ASCII, as most SQL engines read them.
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -189,9 +193,26 @@ def first_rule(text: Column, table=rules.TOPICS, unicode: bool = False) -> Colum
     return out
 
 
+def headed(text: Column, heading: Column | None = None) -> Column:
+    return F.concat(F.coalesce(heading, F.lit("")), F.lit(" "), text) if heading is not None else F.concat(F.lit(" "), text)
+
+
 def topic(text: Column, heading: Column | None = None, table=rules.TOPICS, unicode: bool = False) -> Column:
-    whole = F.concat(F.coalesce(heading, F.lit("")), F.lit(" "), text) if heading is not None else F.concat(F.lit(" "), text)
-    return first_rule(whole, table, unicode)
+    return first_rule(headed(text, heading), table, unicode)
+
+
+def holds_any(text: Column, literals) -> Column:
+    """Is one of the literals in a text, in either case?  One scan of Arrow batches for all of them.
+
+    Rules that need one of these words read only such texts: Java tries each rule at each character of a text.
+    """
+    p = "|".join(map(re.escape, literals))
+
+    @F.arrow_udf("boolean")
+    def found(texts: pa.Array) -> pa.Array:
+        return pc.match_substring_regex(texts, pattern=p, ignore_case=True)
+
+    return found(text)
 
 
 def signals(text: Column, p: str, unicode: bool = False) -> Column:

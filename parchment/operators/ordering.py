@@ -134,8 +134,13 @@ def risk_rank(label: Column) -> Column:
     return F.when(label == "RED", 0).when(label == "YELLOW", 1).otherwise(2)
 
 
-def first_signal(rows: DataFrame, key: str, order: str, hint: str) -> DataFrame:
-    """Per key, the hint of the first row with a signal: definitive, unsupported or ambiguous."""
+def signalled(hint: str) -> Column:
+    """Does a hint say something: definitive, unsupported or ambiguous?"""
     h = F.col(hint)
-    some = h["jurisdiction"].isNotNull() | h["unsupported_hint"].isNotNull() | h["ambiguous"]
+    return h["jurisdiction"].isNotNull() | h["unsupported_hint"].isNotNull() | h["ambiguous"]
+
+
+def first_signal(rows: DataFrame, key: str, order: str, hint: str) -> DataFrame:
+    """Per key, the hint of the first row with a signal."""
+    h, some = F.col(hint), signalled(hint)
     return rows.groupBy(key).agg(F.min_by(F.when(some, h), F.when(some, F.col(order))).alias(hint), F.min(F.when(some, F.col(order))).alias("at"))

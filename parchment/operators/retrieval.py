@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import rules, text
+from ..functions import arrays, rules, text
 
 
 def with_words(entries: DataFrame, *columns: str, stop=rules.RETRIEVAL_STOP_WORDS) -> DataFrame:
@@ -60,6 +60,24 @@ def retrieved_arrays(queries: DataFrame, ranked: DataFrame, query_id: str = "que
     return queries.join(lists, query_id, "left").withColumn("retrieved", F.coalesce("retrieved", F.array().cast("array<string>")))
 
 
+def ranked_lists(queries: DataFrame, bridge: DataFrame, entries: DataFrame, query: str = "text", states=rules.STATES) -> DataFrame:
+    """All queries (jurisdiction, topic, ``query``: text) with ``retrieved``: the ids that ``retrieve`` ranks with ``central``, in one pass.
+
+    A query meets the entries of its state and topic as one list and ranks them in its row, so that queries, which may be
+    costly to make, are read once and need no id.  The lists are reference data of bounded size and are broadcast.
+    """
+    of = F.col("jurisdiction")
+    own = bridge.select(F.explode(F.filter(text.strings(states), lambda s: (of == s) | (of == rules.CENTRAL))).alias("b_jurisdiction"), F.col("topic").alias("b_topic"), "entry_id").distinct()
+    # the other states' entries never pass, whatever the bridge says
+    held = own.join(entries.select("entry_id", "jurisdiction", "entry_words"), "entry_id").where((of == F.col("b_jurisdiction")) | (of == rules.CENTRAL))
+    lists = held.groupBy("b_jurisdiction", "b_topic").agg(F.collect_list(F.struct("entry_id", "entry_words")).alias("b_entries"))
+    # no score, of a text or an entry that is null, comes last
+    place = lambda words, e: F.struct(F.coalesce(-relevance(words, e["entry_words"]), F.lit(1)).alias("place"), e["entry_id"].alias("entry_id"))
+    ranked = arrays.once(text.retrieval_words(F.col(query)), lambda words: F.array_sort(F.array_distinct(F.transform("b_entries", lambda e: place(words, e)))))
+    found = queries.join(F.broadcast(lists), (of == F.col("b_jurisdiction")) & (F.col("topic") == F.col("b_topic")), "left")
+    return found.withColumn("retrieved", F.when(F.col("b_entries").isNull(), F.array().cast("array<string>")).otherwise(F.transform(ranked, lambda x: x["entry_id"]))).drop("b_jurisdiction", "b_topic", "b_entries")
+
+
 def central_policy(states=rules.STATES) -> list[dict]:
     return [{"jurisdiction": s, "own": True, "central": "opt-in, same topic", "other": False} for s in states]
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import rules, text
@@ -19,14 +20,22 @@ def placed(clauses: DataFrame, bridge: DataFrame, entries: DataFrame, states: Da
     """Each clause (document_id, order_index, clause_id, section_heading, text) with topic, jurisdiction and the ranked ids of its entries.
 
     ``states`` (document_id, jurisdiction) says each document's state; without it the first clause that names one decides.
+    Clauses are read once: a document's state comes by a window over its clauses, and ids are ranked in a clause's row.
     """
-    tagged = clauses.withColumn("topic", text.topic(F.col("text"), F.col("section_heading"), topics))
-    if states is None:
-        hints = tagged.withColumn("hint", text.jurisdiction(F.col("text")))
-        states = ordering.first_signal(hints, "document_id", "order_index", "hint").select("document_id", F.col("hint.jurisdiction").alias("jurisdiction"))
-    asked = tagged.join(states, "document_id", "left").withColumn("query_id", F.concat_ws("/", *KEYS))
-    ranked = retrieval.retrieve(asked, bridge, entries, central=True)
-    return retrieval.retrieved_arrays(asked, ranked).drop("query_id")
+    said, heading = F.col("text"), F.col("section_heading")
+    whole, topic = text.headed(said, heading), text.topic(said, heading, topics)
+    if topics == rules.TOPICS:
+        topic = F.when(text.holds_any(whole, rules.TOPIC_WORDS), topic)
+    if states is not None:
+        return retrieval.ranked_lists(clauses.withColumn("topic", topic).join(states, "document_id", "left"), bridge, entries)
+    hint = F.when(text.holds_any(whole, rules.STATE_WORDS), text.jurisdiction(said))
+    hints = clauses.withColumns({"topic": topic, "_hint": hint})
+    # of the texts that pass the window only those with a topic are ever searched with, so a caller that drops ``text`` moves no others
+    some, kept = ordering.signalled("_hint"), F.when(F.col("topic").isNotNull(), said)
+    told = hints.select("*", F.when(some, F.col("_hint.jurisdiction")).alias("_state"), F.when(some, F.col("order_index")).alias("_at"), kept.alias("_said")).drop("_hint")
+    first = F.min_by("_state", "_at").over(W.partitionBy("document_id"))
+    asked = told.withColumn("jurisdiction", F.when(F.col("document_id").isNotNull(), first)).drop("_state", "_at")
+    return retrieval.ranked_lists(asked, bridge, entries, query="_said").drop("_said")
 
 
 def review(clauses: DataFrame, bridge: DataFrame, entries: DataFrame, labels: DataFrame, states: DataFrame | None = None) -> DataFrame:

@@ -84,3 +84,46 @@ def test_grounding_of_a_table_equals_the_expression(spark):
     x = [F.col(c) for c in "scluhtr"]
     both = guardrails.grounded(df, *x, out="a").withColumn("b", guardrails.grounding(*x)).collect()
     assert all(r["a"] == r["b"] for r in both) and len(both) == 4
+
+
+def test_placed_reads_clauses_once(spark, inputs):
+    """Topics, states and retrieval come in one pass; clauses may be costly to make."""
+    clauses, bridge, entries, _ = inputs
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    rows = review.placed(clauses.mapInArrow(counted, clauses.schema), bridge, entries).collect()
+    assert len(rows) == made.value == len(CLAUSES)
+    assert {(r["document_id"], r["clause_id"]): (r["topic"], r["jurisdiction"], r["retrieved"]) for r in rows} == {
+        ("d", "c001"): ("notice", "Maharashtra", ["M1"]), ("d", "c002"): ("security_deposit", "Maharashtra", ["C1"]), ("d", "c003"): ("maintenance", "Maharashtra", []),
+        ("d", "c004"): (None, "Maharashtra", []), ("e", "c001"): ("security_deposit", None, []),
+    }
+
+
+def test_placed_takes_the_first_signal(spark, inputs):
+    """An unsupported or ambiguous signal before a state leaves the document without one; a null document has none."""
+    _, bridge, entries, _ = inputs
+    said = [("a", 1, "In Pune."), ("a", 0, "Nothing."), ("b", 0, "In JAIPUR."), ("b", 1, "In Delhi."), ("c", 0, "Delhi or Mumbai."), ("c", 1, "In Mumbai."), ("f", 0, None), ("f", 1, "NCR"), (None, 0, "In Thane."), ("g", 0, "Punekar")]
+    clauses = spark.createDataFrame([(d, i, f"c{i}", None, t) for d, i, t in said], "document_id string, order_index int, clause_id string, section_heading string, text string")
+    rows = review.placed(clauses, bridge, entries).collect()
+    assert len(rows) == len(said)
+    assert {r["document_id"]: r["jurisdiction"] for r in rows} == {"a": "Maharashtra", "b": None, "c": None, "f": "Delhi", None: None, "g": None}
+
+
+def test_ranked_lists_equal_retrieve(spark):
+    """In one pass as by rows: ties, an entry named twice, other states' entries, Central, nulls, entries of one id."""
+    asked = [(0, "Delhi", "t", "red green blue"), (1, "Maharashtra", "t", "green"), (2, "Delhi", "u", "red"), (3, None, "t", "red"), (4, "Delhi", None, "red"), (5, "Punjab", "t", "red"), (6, "Delhi", "t", None), (7, "Delhi", "t", ""), (8, "Central", "t", "red")]
+    asked = spark.createDataFrame(asked, "query_id int, jurisdiction string, topic string, text string")
+    bridge = [("Delhi", "t", x) for x in "abbcdxn"] + [("Central", "t", x) for x in "bcez"] + [("Maharashtra", "t", x) for x in "ame"] + [("Punjab", "t", "p"), ("Central", "v", "a"), (None, "t", "a"), ("Delhi", None, "a")]
+    bridge = spark.createDataFrame(bridge, "jurisdiction string, topic string, entry_id string")
+    entries = [("a", "Delhi", "red"), ("b", "Delhi", "red green blue"), ("c", "Central", "blue"), ("c", "Central", "red blue"), ("c", "Delhi", "blue"), ("d", "Maharashtra", "red"), ("e", "Central", "green red"), ("m", "Maharashtra", "green"), ("n", "Delhi", None), ("p", "Punjab", "red"), ("x", "Delhi", "")]
+    entries = retrieval.with_words(spark.createDataFrame(entries, "entry_id string, jurisdiction string, text string"), "text")
+    entries = entries.withColumn("entry_words", F.when(F.col("entry_id") != "n", F.col("entry_words")))
+    want = retrieval.retrieved_arrays(asked, retrieval.retrieve(asked, bridge, entries, central=True))
+    got = {r["query_id"]: r["retrieved"] for r in retrieval.ranked_lists(asked, bridge, entries).collect()}
+    assert got == {r["query_id"]: r["retrieved"] for r in want.collect()}
+    assert got[0][0] == "b" and got[0].count("c") == 2 and "d" not in got[0] and len(got) == 9

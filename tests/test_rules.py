@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from parchment.functions import text
+from parchment.functions import rules, text
 from parchment.operators import model, retrieval, store
 from parchment.sources import readers, sinks
 
@@ -97,3 +97,18 @@ def test_reports_and_guards(spark):
     t = spark.createDataFrame([(0, "a", 0, "GREEN", "in {city}, {state}"), (1, "b", 1, "RED", "{state}")], "topic_idx int, topic string, variant int, label string, template string")
     out = {(r["topic"], r["state"]): (r["rotation"], r["clause_text"]) for r in readers.expand_templates(t, states, 2).collect()}
     assert out == {("a", "S"): (0, "in City, S"), ("a", "T"): (1, "in Town, T"), ("b", "S"): (1, "S"), ("b", "T"): (0, "T")}
+
+
+def test_words_are_in_all_that_their_rules_find(spark):
+    """The words by which texts are passed over miss none that a rule finds: each rule's alternatives, in odd case and place."""
+    topics = ["security deposit", "DEPOSIT", "évict", "evicted", "terminating", "reenter", "re-entry re-enter", "forfeiture", "repossession", "vacated", "maintains", "maintenance", "repairs", "rent will increase", "licence fee\x0bescalates", "license fees be enhanced", "registered", "REGISTRATION", "Stamp Duty", "notice", "_notice", "Knotice"]
+    states = ["Maharashtra", "mumbai", "PUNE", "Nagpur", "thane", "navi mumbai", "nashik", "andheri", "Bandra", "delhi", "New Delhi", "NCR", "karnataka", "bengaluru", "bangalore", "mysuru", "mysore", "tamil nadu", "chennai", "coimbatore", "madurai", "uttar pradesh", "lucknow", "kanpur", "noida", "ghaziabad", "west bengal", "kolkata", "howrah", "punjab", "chandigarh", "ludhiana", "amritsar", "rajasthan", "jaipur", "jodhpur", "udaipur", "gujarat", "ahmedabad", "surat", "vadodara"]
+    pieces = [(None, t) for t in (*topics, *states, "", "rent", "Punekar", "Kolkata", None)] + [("Stamp", "duty"), ("SECURITY", "Deposit"), ("Rent", "to increase"), ("", "x")]
+    df = spark.createDataFrame([(h, t if t is None else f"{a}{t}{b}") for h, t in pieces for a, b in (("", ""), ("(", ")"), ("é", ""), ("In ", " ist"))], "h string, t string")
+    hint = text.jurisdiction(F.col("t"))
+    said = hint["jurisdiction"].isNotNull() | hint["unsupported_hint"].isNotNull() | hint["ambiguous"]
+    whole = text.headed(F.col("t"), F.col("h"))
+    rows = df.select("t", text.topic(F.col("t"), F.col("h")).isNotNull().alias("a"), text.holds_any(whole, rules.TOPIC_WORDS).alias("b"), said.alias("c"), text.holds_any(whole, rules.STATE_WORDS).alias("d")).collect()
+    assert all(r["b"] for r in rows if r["a"]) and all(r["d"] for r in rows if r["c"])
+    assert sum(r["a"] for r in rows) > len(topics) and sum(r["c"] or False for r in rows) > len(states)
+    assert not any(r["b"] or r["d"] for r in rows if r["t"] in ("", "x", "rent"))
