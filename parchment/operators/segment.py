@@ -238,10 +238,13 @@ def segment_arrays(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     head = F.slice("clean", F.lit(1), F.lit(rules.TITLE_PARAGRAPHS))
     add("titles", F.coalesce(F.array_min(F.array_compact(F.transform(head, lambda p, i: F.when(prose(p), i)))), F.size(head)))
     # a paragraph is cut before every number that could open a clause; whether it does, the numbers before decide
-    add("cut", F.transform(F.slice("clean", c("titles") + 1, F.greatest(F.size("clean") - c("titles"), F.lit(0))), lambda p: F.split(p, f"{_U}(?<![\\w.])(?={_NUMBER_START})")))
+    add("cut", F.transform(F.slice("clean", c("titles") + 1, F.greatest(F.size("clean") - c("titles"), F.lit(0))), lambda p: F.split(p, f"{_U}(?={_NUMBER_START})(?<![\\w.])")))
     number = lambda t, n: F.regexp_extract(t, _U + r"^(\d{1,3})((?:\.\d{1,2})*)[.)]\s*(?=[A-Z\"“(])", n)
     before = lambda q, j, p: F.coalesce(_has(F.get(q, j - 1), p + _BLANK + r"*\z"), F.lit(False))
-    piece = lambda q: F.transform(q, lambda t, j: F.struct(t.alias("text"), (j > 0).alias("inside"), number(t, 1).try_cast("int").alias("top"), (number(t, 2) != "").alias("nested"), before(q, j, _ENDS).alias("ends"), before(q, j, r"\b[A-Z]{3,}").alias("caps")))
+    # a failed cast raises inside Spark, which is costly, so only what starts like a number is cast
+    digit = lambda t: _has(F.substring(t, 1, 1), r"\d")
+    top = lambda t: F.when(digit(t), F.nullif(number(t, 1), F.lit("")).try_cast("int"))
+    piece = lambda q: F.transform(q, lambda t, j: F.struct(t.alias("text"), (j > 0).alias("inside"), top(t).alias("top"), (digit(t) & (number(t, 2) != "")).alias("nested"), before(q, j, _ENDS).alias("ends"), before(q, j, r"\b[A-Z]{3,}").alias("caps")))
     add("pieces", F.flatten(F.transform("cut", piece)))
     add("starts", arrays.starts_of(arrays.fold(c("pieces"), F.lit(None).cast("int"), _numbering, "boolean")))
     add("texts", F.transform(arrays.joined_runs(c("pieces")["text"], c("starts"), ""), lambda p: _strip(p)))
