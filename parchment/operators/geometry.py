@@ -2,8 +2,9 @@
 
 Line clustering compares with a moving anchor, folded over a page's words as an array;
 paragraphs from lines are windows (``ordering.paragraphs_by_gap``).  Locating clauses moves a
-cursor through a document: its tokens are one array of codes, and the
-list of its runs is sorted, in which an opening is found by halving; clauses are folded over it
+cursor through a document: its tokens are one array of codes, in which a clause is sought close to
+the cursor.  Only where one is not found so, the list of the document's runs is
+sorted, in which an opening is found by halving; clauses are folded over it
 (``functions.arrays``), so no row leaves the JVM.
 """
 
@@ -77,6 +78,8 @@ def ocr_words(rows: DataFrame, width: float, height: float) -> DataFrame:
 
 #: Openings of a clause that are looked up, in tokens, longest first; of three only what is a whole clause.
 _OPENINGS = (4, 3, 2, 1)
+#: Tokens from the cursor on at which an opening is sought before a document's runs are sorted, in steps; fewer than the search window.
+_CLOSE = (16, 512)
 
 
 def _gram(codes: Column, first: Column, k: int) -> Column:
@@ -122,34 +125,62 @@ def _found(codes: Column, index: Column, halves: Column, cursor: Column, x: Colu
     return F.aggregate(x["tries"], F.lit(None).cast("array<int>"), lambda acc, t: F.when(acc.isNotNull(), acc).otherwise(tried(t)))
 
 
+def _close(codes: Column, cursor: Column, wanted: Column, steps: tuple[int, ...]) -> Column:
+    """(at, hits) of a clause whose longest opening is met close to the cursor: ``at`` if its tokens all follow there, ``hits`` if enough of them do.
+
+    The first try of ``_found`` is the same, so what is found here is what is found there; null if it is to be made.
+    """
+    n = F.size(wanted)
+    same = lambda j, i: (n <= i) | (F.get(codes, j + i) == F.get(wanted, F.lit(i)))
+    opens = lambda j: same(j, 0) & same(j, 1) & same(j, 2) & same(j, 3)
+    first = F.coalesce(*[F.get(F.filter(F.sequence(cursor + low, cursor + (high - 1)), opens), F.lit(0)) for low, high in zip((0, *steps), steps)])
+    place = lambda at, hits: F.struct(at.alias("at"), hits.cast("array<int>").alias("hits"))
+    covered = lambda j: F.get(F.filter(F.array(_hits(codes, wanted, j)), lambda h: F.size(h) >= rules.MIN_COVERAGE * n), F.lit(0))
+    skipping = lambda j: arrays.once(covered(j), lambda h: F.when(h.isNotNull(), place(j, h)))
+    return arrays.once(first, lambda j: F.when(j.isNotNull(), F.when(arrays.part(codes, j, n) == wanted, place(j, F.lit(None))).otherwise(skipping(j))))
+
+
 def _same_line(line: Column, box: Column) -> tuple[Column, Column]:
     """The page and top of the line so far, and whether a box starts a line."""
     here = F.coalesce((line["page"] == box["page"]) & (F.abs(line["top"] - box["top"]) <= rules.SAME_LINE), F.lit(False))
     return F.struct(box["page"].alias("page"), F.when(here, F.least(line["top"], box["top"])).otherwise(box["top"]).alias("top")), ~here
 
 
-def located(docs: DataFrame) -> DataFrame:
-    """``docs`` (document_id, words, clauses: arrays in order) with ``found``, the (clause_id, words: numbers in order) of each clause located."""
-    tokens = docs.withColumn("t", F.transform("words", lambda x: text.layout_tokens(x["text"])))
+def located(docs: DataFrame, texts: Column | None = None) -> DataFrame:
+    """``docs`` (document_id, words, clauses: arrays in order) with ``found``, the (clause_id, words: numbers in order) of each clause located.
+
+    ``texts`` are the words' texts, by default their field of that name.
+    """
+    tokens = docs.withColumn("t", F.transform(F.col("words")["text"] if texts is None else texts, text.layout_tokens))
     tokens = tokens.withColumns({"owner": F.flatten(F.transform("t", lambda t, i: F.array_repeat(i, F.size(t)))), "codes": F.transform(F.flatten("t"), lambda t: F.xxhash64(t))}).drop("t")
     codes = F.col("codes")
     asked = tokens.withColumn("c", F.transform("clauses", lambda x: F.transform(text.layout_tokens(x["text"]), lambda u: F.xxhash64(u))))
+    # after a clause: the cursor, and the place of the clause as ``_close`` says, if any; ``lost`` from the first one on that is not found close to the cursor
+    kind = "struct<cursor:int,at:int,hits:array<int>,lost:boolean>"
+    state = lambda cursor, at, hits, lost: F.struct(cursor.cast("int").alias("cursor"), at.cast("int").alias("at"), hits.cast("array<int>").alias("hits"), lost.alias("lost"))
+    stays = lambda s, lost: state(s["cursor"], F.lit(None), F.lit(None), lost)
+    after = lambda p, t: state(F.coalesce(F.element_at(p["hits"], -1) + 1, p["at"] + F.size(t)), p["at"], p["hits"], F.lit(False))
+    zero = state(F.lit(0), F.lit(None), F.lit(None), F.lit(False))
+    asks = lambda t: F.coalesce(F.size(t) > 0, F.lit(False))
+    close = lambda s, t: F.when(s["lost"] | ~asks(t), stays(s, s["lost"])).otherwise(arrays.once(_close(codes, s["cursor"], t, _CLOSE), lambda p: F.when(p.isNotNull(), after(p, t)).otherwise(stays(s, F.lit(True)))))
+    asked = asked.withColumn("places", arrays.scan(F.col("c"), zero, close, lambda s: s, kind))
+    asked = asked.withColumn("lost", F.exists("places", lambda s: s["lost"]))
     three = F.exists("c", lambda t: F.size(t) == 3)
     runs = F.concat(*[_runs(codes, k) for k in _OPENINGS if k != 3], F.when(three, _runs(codes, 3)).otherwise(F.slice(_runs(codes, 1), F.lit(1), F.lit(0))))
     # all runs of an opening's length in order of the run, then the place, so that a run is found by halving
-    asked = asked.withColumn("index", F.sort_array(runs))
+    asked = asked.withColumn("index", F.when(F.col("lost"), F.sort_array(runs)))
     asked = asked.withColumn("halves", F.transform(F.sequence(F.floor(F.log2(F.greatest(F.size("index"), F.lit(1)))).cast("int"), F.lit(0)), lambda i: F.call_function("shiftleft", F.lit(1), i)))
     fits = lambda t, k: F.size(t) == 3 if k == 3 else F.size(t) >= k
     tries = lambda t: F.array_compact(F.array(*[F.when(fits(t, k), F.struct(F.lit(k).alias("k"), _gram(t, F.lit(0), k).alias("gram"), F.lit(near).alias("near"))) for k in _OPENINGS for near in (True, False)]))
-    asked = asked.withColumn("c", F.transform("c", lambda t: F.struct(t.alias("codes"), tries(t).alias("tries"))))
-    after = lambda s: lambda h: F.struct(F.coalesce(F.element_at(h, -1) + 1, s["cursor"]).alias("cursor"), h.alias("hits"))
-    zero = F.struct(F.lit(0).alias("cursor"), F.lit(None).cast("array<int>").alias("hits"))
-    hits = arrays.scan(F.col("c"), zero, lambda s, x: arrays.once(_found(codes, F.col("index"), F.col("halves"), s["cursor"], x), after(s)), lambda s: s["hits"], "array<int>")
-    held = asked.withColumn("hits", hits)
+    asked = asked.withColumn("x", F.when(F.col("lost"), F.transform("c", lambda t: F.struct(t.alias("codes"), tries(t).alias("tries")))))
+    far = lambda s, x: arrays.once(_found(codes, F.col("index"), F.col("halves"), s["cursor"], x), lambda h: F.when(h.isNotNull(), F.struct(F.get(h, F.lit(0)).alias("at"), h.alias("hits"))))
+    place = lambda s, x: F.when(asks(x["codes"]), F.coalesce(_close(codes, s["cursor"], x["codes"], _CLOSE[:1]), far(s, x)))
+    again = arrays.scan(F.col("x"), zero, lambda s, x: arrays.once(place(s, x), lambda p: F.when(p.isNotNull(), after(p, x["codes"])).otherwise(stays(s, F.lit(False)))), lambda s: s, kind)
+    held = asked.withColumn("places", F.when(F.col("lost"), again).otherwise(F.col("places")))
     # places ascend, and so do the words that own them
-    words = lambda h: F.array_distinct(F.transform(h, lambda j: F.get("owner", j)))
-    found = F.transform(F.arrays_zip("clauses", "hits"), lambda x: F.struct(x["clauses"]["clause_id"].alias("clause_id"), words(x["hits"]).alias("words")))
-    return held.withColumn("found", F.filter(found, lambda x: x["words"].isNotNull())).drop("c", "hits", "owner", "codes", "index", "halves")
+    words = lambda s: F.array_distinct(F.transform(F.coalesce(s["hits"], F.sequence(s["at"], s["cursor"] - 1)), lambda j: F.get("owner", j)))
+    found = F.transform("places", lambda s, i: F.struct(F.get("clauses", i)["clause_id"].alias("clause_id"), F.when(s["at"].isNotNull(), words(s)).alias("words")))
+    return held.withColumn("found", F.filter(found, lambda x: x["words"].isNotNull())).drop("c", "x", "places", "lost", "owner", "codes", "index", "halves")
 
 
 def locations(words: DataFrame, clauses: DataFrame) -> DataFrame:

@@ -1,10 +1,13 @@
 """Clause location by array columns against a plain restatement."""
 
 import random
+import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from parchment.operators import geometry
+from parchment.plans import heavy
 from tests.plain_location import line_boxes, locate
 
 WORDS = "the tenant pays rent on time and shall not sublet premises without consent of owner 5,000 days (30) notice-period é".split()
@@ -74,6 +77,50 @@ def test_openings_are_looked_up_by_halving(spark):
     assert got == want and len(want) == 6
 
 
+def test_runs_are_sorted_only_for_clauses_that_are_not_close(spark, monkeypatch):
+    """Clauses in their order, some with tokens left out, need no list of a document's runs; one that stands far does."""
+    words = [f"w{i % 90}" for i in range(400)]
+    order = ["w0 w1 w2 w3 w4", "", "w9 w10 w11 w12 w14 w16", "w20 w21 w22", "w30 w31", "w32", "w33 w34 w35 w36 w38 w39 w40 absent w43", "w89 w0 w1 w2"]
+    rows = {"near": order, "far": [*order, "w80 w81 w82 w83", "w10 w11"], "absent": ["w3 w4 w5 w6", "absent", "w7 w8 w9 w10"]}
+    boxes = [(i, 1, (i % 10) / 10, i // 10 * 0.1, (i % 10 + 1) / 10, i // 10 * 0.1 + 0.05) for i in range(len(words))]
+    w = spark.createDataFrame([(d, *b, t) for d in rows for b, t in zip(boxes, words, strict=True)], "document_id string, pos long, page int, x0 double, top double, x1 double, bottom double, text string")
+    c = spark.createDataFrame([(d, k, f"c{k + 1:03d}", t) for d, x in rows.items() for k, t in enumerate(x)], "document_id string, order_index int, clause_id string, text string")
+
+    def found(out):
+        got = {}
+        for r in out.orderBy("document_id", "clause_id", "line").collect():
+            got.setdefault((r["document_id"], r["clause_id"]), []).append((r["x0"], round(r["top"], 1), r["x1"]))
+        return got
+
+    want = {(d, k): [(b[1], round(b[2], 1), b[3]) for b in line_boxes([boxes[i][1:] for i in at])] for d, x in rows.items() for k, at in locate(words, [(f"c{n + 1:03d}", t) for n, t in enumerate(x)]).items()}
+    assert found(geometry.locations(w, c)) == want and len(want) == 7 + 9 + 2
+    monkeypatch.setattr(geometry, "_CLOSE", (2, 5), raising=False)
+    assert found(geometry.locations(w, c)) == want
+    monkeypatch.undo()
+    monkeypatch.setattr(geometry, "_runs", lambda codes, k: F.raise_error(F.lit("runs are made")).cast("array<struct<gram:bigint,at:int>>"))
+    assert found(geometry.locations(w, c.where("document_id = 'near'"))) == {k: v for k, v in want.items() if k[0] == "near"}
+    with pytest.raises(Exception, match="runs are made"):
+        geometry.locations(w, c).collect()
+
+
+def test_query_gives_boxes_of_words_on_its_grid(spark, tmp_path, monkeypatch):
+    """The lines of ``clause_location`` are those of word boxes, which it no longer makes; words without a token, with several, empty and null texts."""
+    rng = random.Random(8)
+    made = lambda n: " ".join(rng.choice([*WORDS, "—", "...", "a/b/c", "É", "x_y"]) for _ in range(n))
+    texts = ["\n".join(f"{k + 1}. {made(rng.choice((1, 4, 9, 40, 500)))}." for k in range(rng.randrange(1, 9))) for _ in range(40)]
+    texts += ["", None, "  \n ", "1. RENT\n—", "  1. The tenant\t\tpays.  \n\n2. The owner repairs."]
+    spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    columns = ["document_id", "clause_id", "line", "page", "x0", "top", "x1", "bottom"]
+    clauses = heavy.paragraph_segmentation(spark, str(tmp_path)).where("part = 'clause'").select("document_id", "order_index", "clause_id", "text")
+    words = [(str(i), k, k // 400 + 1, k % 10 / 10, k // 10 % 40 / 40, (k % 10 + 1) / 10, (k // 10 % 40 + 0.9) / 40, w) for i, t in enumerate(texts) if t is not None for k, w in enumerate(re.split(r"[ \t\n]+", t.strip(" ")))]
+    w = spark.createDataFrame(words, "document_id string, pos long, page int, x0 double, top double, x1 double, bottom double, text string")
+    want = sorted(tuple(r) for r in geometry.locations(w, clauses).select(*columns).collect())
+    monkeypatch.setattr(geometry, "locations_of", lambda docs: pytest.fail("boxes of words are made"))
+    got = heavy.clause_location(spark, str(tmp_path))
+    assert got.columns == columns and dict(got.dtypes)["line"] == dict(got.dtypes)["page"] == "int"
+    assert sorted(tuple(r) for r in got.collect()) == want and len(want) > 300
+
+
 def test_lines_are_clustered_in_the_jvm(spark):
     """No Python call for each page; a line keeps the first top that opened it."""
     rng = random.Random(3)
