@@ -152,7 +152,7 @@ def located(docs: DataFrame, texts: Column | None = None) -> DataFrame:
     ``texts`` are the words' texts, by default their field of that name.
     """
     tokens = docs.withColumn("t", F.transform(F.col("words")["text"] if texts is None else texts, text.layout_tokens))
-    tokens = tokens.withColumns({"owner": F.flatten(F.transform("t", lambda t, i: F.array_repeat(i, F.size(t)))), "codes": F.transform(F.flatten("t"), lambda t: F.xxhash64(t))}).drop("t")
+    tokens = tokens.withColumns({"whole": ~F.exists("t", lambda t: F.size(t) == 0), "owner": F.flatten(F.transform("t", lambda t, i: F.array_repeat(i, F.size(t)))), "codes": F.transform(F.flatten("t"), lambda t: F.xxhash64(t))}).drop("t")
     codes = F.col("codes")
     asked = tokens.withColumn("c", F.transform("clauses", lambda x: F.transform(text.layout_tokens(x["text"]), lambda u: F.xxhash64(u))))
     # after a clause: the cursor, and the place of the clause as ``_close`` says, if any; ``lost`` from the first one on that is not found close to the cursor
@@ -177,10 +177,11 @@ def located(docs: DataFrame, texts: Column | None = None) -> DataFrame:
     place = lambda s, x: F.when(asks(x["codes"]), F.coalesce(_close(codes, s["cursor"], x["codes"], _CLOSE[:1]), far(s, x)))
     again = arrays.scan(F.col("x"), zero, lambda s, x: arrays.once(place(s, x), lambda p: F.when(p.isNotNull(), after(p, x["codes"])).otherwise(stays(s, F.lit(False)))), lambda s: s, kind)
     held = asked.withColumn("places", F.when(F.col("lost"), again).otherwise(F.col("places")))
-    # places ascend, and so do the words that own them
-    words = lambda s: F.array_distinct(F.transform(F.coalesce(s["hits"], F.sequence(s["at"], s["cursor"] - 1)), lambda j: F.get("owner", j)))
+    # places ascend, and so do the words that own them; where each word has a token, no word is left out between two
+    owners = lambda s: F.array_distinct(F.transform(F.coalesce(s["hits"], F.sequence(s["at"], s["cursor"] - 1)), lambda j: F.get("owner", j)))
+    words = lambda s: F.when(F.col("whole") & s["hits"].isNull(), F.sequence(F.get("owner", s["at"]), F.get("owner", s["cursor"] - 1))).otherwise(owners(s))
     found = F.transform("places", lambda s, i: F.struct(F.get("clauses", i)["clause_id"].alias("clause_id"), F.when(s["at"].isNotNull(), words(s)).alias("words")))
-    return held.withColumn("found", F.filter(found, lambda x: x["words"].isNotNull())).drop("c", "x", "places", "lost", "owner", "codes", "index", "halves")
+    return held.withColumn("found", F.filter(found, lambda x: x["words"].isNotNull())).drop("c", "x", "places", "lost", "whole", "owner", "codes", "index", "halves")
 
 
 def locations(words: DataFrame, clauses: DataFrame) -> DataFrame:
